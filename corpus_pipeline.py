@@ -4,10 +4,19 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    from siftgraph.llm.quality import judged
+
+    found = judged(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=COLUMNS)
+    return found.where("accepted").select(*COLUMNS)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays."""
     from siftgraph.llm.neardup import deduplicated
@@ -23,6 +32,14 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return found.where("n_hit = 0").select(*COLUMNS)
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by the name of its kind in brackets."""
+    from siftgraph.llm.pii import redacted, train
+
+    docs = docs.select(*COLUMNS)
+    return redacted(docs, train(docs)).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept texts as token ids, with the digests that a round trip is checked by."""
     from siftgraph.llm.bpe import digests
@@ -30,7 +47,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-STAGES = [("near_duplicates", near_duplicates), ("decontamination", decontaminate), ("byte_bpe", encode)]
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontaminate), ("personal_data", personal_data), ("byte_bpe", encode)]
 
 #: The stages are beyond SQL; tests compare them with brute force.
 ORACLE_SQL = None

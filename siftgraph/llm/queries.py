@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,6 +17,20 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(_read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_runs", "keep")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judged
+
+    return judged(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, found, train
+
+    docs = _read(spark, sf_dir, "documents")
+    rows = found(docs, train(docs))
+    return rows.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination, digest
 
@@ -29,5 +44,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = Non
     return digests(_read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_near_duplicates, op9_decontamination, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_near_duplicates, op7_quality, op8_pii, op9_decontamination, op10_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {}
