@@ -6,17 +6,37 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import licenses
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scanned
+
+    return scanned(_read(spark, sf_dir, "documents"))
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import classes
 
     return classes(_read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_runs", "keep")
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import neighbours
+
+    return neighbours(_read(spark, sf_dir, "embeddings"))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .shards import sharded
+
+    return sharded(_read(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judged
 
@@ -44,5 +64,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = Non
     return digests(_read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_near_duplicates, op7_quality, op8_pii, op9_decontamination, op10_byte_bpe)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_near_duplicates, op4_neighbours, op6_sharding, op7_quality, op8_pii, op9_decontamination, op10_byte_bpe)}
+ORACLE_SQL = {"op1_licenses": licenses.oracle_sql()}
