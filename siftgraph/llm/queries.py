@@ -31,6 +31,12 @@ def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(_read(spark, sf_dir, "embeddings"))
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import scores
+
+    return scores(_read(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .shards import sharded
 
@@ -64,5 +70,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = Non
     return digests(_read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_licenses, op2_near_duplicates, op4_neighbours, op6_sharding, op7_quality, op8_pii, op9_decontamination, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_near_duplicates, op3_chat, op4_neighbours, op5_lm_scores, op6_sharding, op7_quality, op8_pii, op9_decontamination, op10_byte_bpe)}
 ORACLE_SQL = {"op1_licenses": licenses.oracle_sql()}
