@@ -25,6 +25,13 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(_read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_runs", "keep")
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import parsed, train, transcripts
+
+    talks = _read(spark, sf_dir, "conversations")
+    return parsed(transcripts(talks), train(talks), ("conv_id", "piece", "truth"))
+
+
 def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neighbours import neighbours
 
