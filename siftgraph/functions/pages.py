@@ -8,6 +8,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from .domains import plausible_tracker
 
@@ -22,13 +23,13 @@ LEGAL_ENTITY = (
 LEGAL_PATH = r"(?i)(?:^|/)(?:privacy(?:-policy)?|terms(?:-of-(?:use|service))?|legal|imprint|impressum|about|company)(?:[/.?#-]|$)"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescaped(s: pd.Series) -> pd.Series:
     """Character references resolved; the table of names is beyond built-in functions."""
     return s.map(html.unescape, na_action="ignore")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def joined_urls(base: pd.Series, links: pd.Series) -> pd.Series:
     """Links resolved against their page, without fragments; unusable ones left out."""
 

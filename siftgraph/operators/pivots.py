@@ -5,12 +5,13 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # How specific an identifier's type is.
 SPECIFICITY = {"email": 1.0, "phone": 0.85, "tracker": 2.5, "ns": 0.25, "org": 0.9, "name": 0.35}
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def half_even(x: pd.Series) -> pd.Series:
     """Rounding of the exact binary value to six places; no built-in function does that."""
     return x.map(lambda v: round(v, 6), na_action="ignore")

@@ -33,11 +33,11 @@ def registration_records(payloads: DataFrame) -> DataFrame:
     """Registry JSON (domain, payload) as whois records: registrant fields by role, first event of each action, name servers."""
     j = lambda path: F.get_json_object("payload", path)
     entities = F.from_json(F.coalesce(j("$.entities"), F.lit("[]")), "array<struct<roles:array<string>,vcardArray:string>>")
-    registrant = F.filter(entities, lambda e: F.array_contains(e["roles"], "registrant"))[0]["vcardArray"]
+    registrant = F.get(F.filter(entities, lambda e: F.array_contains(e["roles"], "registrant")), 0)["vcardArray"]
     cards = F.from_json(F.get_json_object(registrant, "$[1]"), "array<array<string>>")
-    field = lambda name: redacted_identity(F.filter(cards, lambda x: (F.lower(x[0]) == name) & (F.coalesce(x[3], F.lit("")) != ""))[0][3])
+    field = lambda name: redacted_identity(F.get(F.get(F.filter(cards, lambda x: (F.lower(F.get(x, 0)) == name) & (F.coalesce(F.get(x, 3), F.lit("")) != "")), 0), 3))
     events = F.from_json(F.coalesce(j("$.events"), F.lit("[]")), "array<struct<eventAction:string,eventDate:string>>")
-    event = lambda name: F.coalesce(F.filter(events, lambda e: e["eventAction"] == name)[0]["eventDate"], F.lit(""))
+    event = lambda name: F.coalesce(F.get(F.filter(events, lambda e: e["eventAction"] == name), 0)["eventDate"], F.lit(""))
     servers = F.from_json(F.coalesce(j("$.nameservers"), F.lit("[]")), "array<struct<ldhName:string>>")
     names = F.array_sort(F.array_distinct(F.filter(F.transform(servers, lambda s: F.regexp_replace(F.lower(s["ldhName"]), r"\.+$", "")), lambda s: F.coalesce(s, F.lit("")) != "")))
     return payloads.select("domain", field("fn").alias("registrant_name"), field("org").alias("registrant_org"), field("email").alias("registrant_email"), field("tel").alias("registrant_phone"), event("registration").alias("creation_date"), event("expiration").alias("expiration_date"), names.alias("nameservers"))
@@ -98,7 +98,7 @@ def search_hits(results: DataFrame, most: int) -> DataFrame:
 def archive_rows(listings: DataFrame) -> DataFrame:
     """Rows of array listings (domain, payload), named by their header; pages that were found only."""
     table = F.from_json("payload", "array<array<string>>")
-    named = F.transform(F.slice(table, 2, 1_000_000), lambda r: F.map_from_arrays(table[0], r))
+    named = F.transform(F.slice(table, 2, 1_000_000), lambda r: F.map_from_arrays(F.get(table, 0), r))
     rows = listings.select("domain", F.explode(named).alias("m"))
     out = rows.select("domain", *[F.try_element_at("m", F.lit(c)).alias(c) for c in ("timestamp", "original", "statuscode", "mimetype", "digest")])
     return out.where("statuscode = '200' and mimetype = 'text/html'").withColumn("captured_at", F.try_to_timestamp("timestamp", F.lit("yyyyMMddHHmmss")))
