@@ -45,10 +45,24 @@ def marker(line: str) -> tuple[str, int]:
     return (next(g for g in m.groups() if g).lower(), m.end()) if m else ("", 0)
 
 
+def logical(text: str) -> list[str]:
+    """Lines, where one that is a marker and nothing else is joined with the next."""
+    out: list[str] = []
+    open_ = False
+    for line in text.split("\n"):
+        if open_:
+            out[-1] += "\n" + line
+        else:
+            out.append(line)
+        open_ = not open_ and 0 < marker(line)[1] == len(line)
+    return out
+
+
 def observed(lines: list[str]) -> list[tuple]:
     out, blank = [], True
     for line in lines:
-        mark = marker(line)[0]
+        mark, size = marker(line.split("\n")[0])
+        line = line[size:].removeprefix("\n")
         first = line[:1]
         kind = 0 if not first else 1 if first.isupper() else 2 if first.islower() else 3
         out.append((mark, min(12, len(line).bit_length()), kind, line[-1:] if line[-1:] in ("?", ".", ":", "") else "x", blank))
@@ -66,8 +80,12 @@ def written_as(turns: list[tuple[str | None, str | None]], style: int, bare: int
         if not mark and i:
             own = ["", *own]
         role = role if known else "user"
-        lines += own
         first = 1 if not mark and i else 0
+        if first:
+            own = ["", *logical("\n".join(own[1:]))]
+        else:
+            own = logical("\n".join(own))
+        lines += own
         states += [STATES.index((role, k == first)) if k >= first else states[-1] // 2 * 2 + 1 for k in range(len(own))]
     return "\n".join(lines), states
 
@@ -79,7 +97,7 @@ class Hmm:
     @staticmethod
     def fit(conversations: list[list[tuple[str | None, str | None]]]) -> Hmm:
         n = len(STATES)
-        start, move = np.ones(n), np.ones((n, n))
+        start, move = np.full(n, 0.01), np.full((n, n), 0.01)
         counts: list[dict] = [{} for _ in range(5)]
         total = np.zeros(n)
         for c, turns in enumerate(conversations):
@@ -90,14 +108,14 @@ class Hmm:
                 start[states[0]] += 1
                 np.add.at(move, (states[:-1], states[1:]), 1)
                 np.add.at(total, states, 1)
-                for s, o in zip(states, observed(text.split("\n"))):
+                for s, o in zip(states, observed(logical(text))):
                     for f, value in enumerate(o):
                         counts[f].setdefault(value, np.zeros(n))[s] += 1
         tables, default = [], []
         for t in counts:
             size = len(t) + 1
             tables.append({k: np.log((x + 0.1) / (total + 0.1 * size)) for k, x in t.items()})
-            default.append(np.log(0.1 / (total + 0.1 * size)))
+            default.append(np.zeros(n))  # a value never seen says nothing
         return Hmm(np.log(start / start.sum()), np.log(move / move.sum(axis=1, keepdims=True)), tables, default)
 
     def states(self, lines: list[str]) -> list[int]:
@@ -120,12 +138,12 @@ class Hmm:
         """(role, text) of each turn."""
         if not transcript:
             return []
-        lines = transcript.split("\n")
+        lines = logical(transcript)
         turns: list[tuple[str, list[str]]] = []
         for line, s in zip(lines, self.states(lines)):
             role, first = STATES[s]
             if first or not turns or turns[-1][0] != role:
-                size = marker(line)[1] if first else 0
+                size = marker(line.split("\n")[0])[1] if first else 0
                 turns.append((role, [line[size:]]))
             else:
                 turns[-1][1].append(line)

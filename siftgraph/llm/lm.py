@@ -131,8 +131,8 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     of = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     total, types, once, twice = map(int, of)
     # The head is bounded by its length; ties go by hash.
-    top = counts.orderBy(F.desc("c"), "tok").limit(head).toPandas()
-    tok, c = top["tok"].to_numpy(np.int64).view(U64), top["c"].to_numpy(np.int64)
+    top = counts.orderBy(F.desc("c"), "tok").limit(head).toArrow()
+    tok, c = top["tok"].to_numpy().view(U64), top["c"].to_numpy()
     end_at = np.flatnonzero(tok == END)
     neural = np.zeros(len(tok), dtype=np.int32)  # 0: the class of the others, 1: the end
     plain = np.flatnonzero(tok != END)[: vocabulary - 2]
@@ -174,9 +174,9 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     model = Lbl.start(unigram, width)
     for _ in range(ROUNDS if total else 0):
         made = taught.mapInArrow(learner(spark.sparkContext.broadcast(model.flat)), "n long, flat array<double>")
-        mean = made.select("n", F.posexplode("flat").alias("k", "x")).groupBy("k").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x")).toPandas()  # a number for each parameter
+        mean = made.select("n", F.posexplode("flat").alias("k", "x")).groupBy("k").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x")).toArrow()  # a number for each parameter
         flat = np.empty(len(model.flat), dtype=np.float32)
-        flat[mean["k"].to_numpy()] = mean["x"]
+        flat[mean["k"].to_numpy()] = mean["x"].to_numpy()
         model = Lbl(flat, v, width)
     ready = spark.sparkContext.broadcast((model.flat, model.normaliser()))
 
