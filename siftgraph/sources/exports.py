@@ -71,3 +71,25 @@ def ascii_tree(edges: list[tuple[str, str, str]], root: str) -> str:
             seen.add(node)
             todo += [(b, r, depth + 1) for r, b in sorted(below.get(node, []), reverse=True)]
     return "\n".join(out)
+
+
+def markdown_report(spark: SparkSession, run: dict, counts: dict[str, int], usage: list, claims: list, pivots: list, most_claims: int = 20, most_pivots: int = 10) -> str:
+    """A run's report from aggregates and the few rows that it shows."""
+    out = [f"# Report: {run['id']}", "", f"- Root domain: `{run['root_domain']}`", f"- Status: `{run['status']}`", *[f"- {k}: `{v}`" for k, v in counts.items()], "", "## Sources", ""]
+    out += [f"- `{u['provider']}` / `{u['capability']}`: `{u['status']}`, calls `{u['calls']}`" for u in usage] or ["- none"]
+    out += ["", "## Claims", "", *[f"- `{c['subject_value_norm']}` {c['claim_type']} `{c['object_value_norm']}` ({c['confidence_class']}, {c['score']:.2f})" for c in claims[:most_claims]]]
+    out += ["", "## Pivots", "", *[f"- `{p['id_type']}` `{p['value']}` ({p['score']:.2f})" for p in pivots[:most_pivots]]]
+    return "\n".join(out) + "\n"
+
+
+def write_bundle(spark: SparkSession, folder: str, report: str, tree: str, graph: DataFrame) -> None:
+    """The report, the tree and the graph's JSON in a folder that Spark can write."""
+    graph.select("json").write.mode("overwrite").text(f"{folder}/graph")
+    for name, text in (("report", report), ("tree", tree)):
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/{name}")
+
+
+def discovered_domains(nodes: DataFrame, lineage: DataFrame) -> DataFrame:
+    """(run_id, domain, first_depth) of domain nodes; the depth is the least of their lineage, 0 where they have none."""
+    depth = lineage.groupBy("run_id", F.col("child_node_id").alias("node_id")).agg(F.min("depth").alias("d"))
+    return nodes.where("node_type = 'domain'").join(depth, ["run_id", "node_id"], "left").select("run_id", F.col("value_norm").alias("domain"), F.coalesce("d", F.lit(0)).alias("first_depth"))

@@ -82,3 +82,30 @@ def test_streams_equal_batch(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
         assert sorted(map(tuple, spark.table(name).collect())) == sorted(map(tuple, want.collect())) != []
+
+
+def test_registry_settings_and_reports(spark, tmp_path):
+    import pytest
+
+    from siftgraph.plans.settings import resolve
+    from siftgraph.sources import registry as rg
+
+    t = rg.sources(spark, ("crtsh",))
+    assert [r.name for r in rg.usable(t, "subdomains").collect()] == ["subfinder", "hackertarget"]
+    assert [r.name for r in rg.usable(t, "reverse_whois").collect()] == ["whoxy", "duckduckgo"] and rg.usable(t, "dns", "none").count() == 0
+    o = rg.with_policy(spark.createDataFrame([("whoxy",), ("crtsh",)], "source string"), spark.createDataFrame([("whoxy", False, "none", "none")], "source string, cache_allowed boolean, export_scope string, raw_retention string"))
+    assert sorted(tuple(r) for r in o.collect()) == [("crtsh", True, "normalized", "hash_only"), ("whoxy", False, "none", "none")]
+    calls = spark.createDataFrame([("crtsh", 1, 7), ("crtsh", 2, 7)], "provider string, attempts int, upstream_requests int")
+    assert rg.over_limits(calls, t).count() == 1
+    s = resolve("max", env={"SIFTGRAPH_NODE_CAP": "7", "SIFTGRAPH_PAID_APPROVED": "true"}, pivot_top_k=1)
+    assert (s.node_cap, s.pivot_top_k, s.paid_approved, s.queue_cap) == (7, 1, True, 300)
+    with pytest.raises(ValueError):
+        resolve("odd", env={})
+    nodes = spark.createDataFrame([("r", "1", "domain", "a"), ("r", "2", "domain", "b"), ("r", "3", "ip", "c")], "run_id string, node_id string, node_type string, value_norm string")
+    lineage = spark.createDataFrame([("r", "2", 3), ("r", "2", 1)], "run_id string, child_node_id string, depth int")
+    assert sorted(tuple(r)[1:] for r in x.discovered_domains(nodes, lineage).collect()) == [("a", 0), ("b", 1)]
+    edges = spark.createDataFrame([("r", "1", "links", "2")], "run_id string, from_node_id string, relation_type string, to_node_id string")
+    report = x.markdown_report(spark, {"id": "r", "root_domain": "a", "status": "completed"}, {"Domains": 2}, [], [], [])
+    x.write_bundle(spark, str(tmp_path / "b"), report, x.ascii_tree([("a", "links", "b")], "a"), x.graph_json(nodes, edges))
+    assert json.loads(spark.read.text(str(tmp_path / "b/graph")).first()[0])["run_id"] == "r"
+    assert x.duplicate_keys(nodes, ["run_id"]).count() == 1 and x.orphans(edges, nodes, "to_node_id", "node_id").count() == 0
