@@ -9,9 +9,11 @@ from ..functions import domains as dom
 from ..functions import pages as pg
 from ..operators import evidence as ev
 from ..operators import graph as gr
+from ..operators import models as mo
 from ..operators import pivots as pv
 from ..operators import quality as qu
 from ..operators import usage as us
+from ..sources import exports as ex
 from .views import table, view, with_views
 
 QUERIES: dict = {}
@@ -276,3 +278,50 @@ def added_domains(spark, sf_dir):
 def pivot_groups(spark, sf_dir):
     expected = table(spark, sf_dir, "part").select((F.col("p_partkey") % 3).alias("case_id"), F.lit("org").alias("id_type"), F.col("p_name").alias("value"), F.concat(F.lit("g"), (F.col("p_size") % 5).cast("string")).alias("group"))
     return qu.pivot_scores(expected.select("case_id", "id_type", "value"), expected).select("case_id", "groups")
+
+
+@query("select id from v_tasks where status = 'pending' and created_at <= timestamp '1997-01-01' or status = 'in_progress' and created_at + interval 1 hour < timestamp '1997-01-01' and attempts < max_attempts", "tasks")
+def runnable_tasks(spark, sf_dir):
+    t = view(spark, sf_dir, "tasks").withColumn("available_at", F.col("created_at")).withColumn("lease_until", F.col("created_at") + F.expr("interval 1 hour"))
+    return us.runnable(t, F.lit("1997-01-01").cast("timestamp_ntz")).select("id")
+
+
+@query("select o_orderkey as id, ceil(o_orderkey * 0.25 + o_custkey * 2.00)::bigint as cost from orders")
+def call_costs(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), mo.micro_dollars(F.lit("gpt-5-mini"), F.col("o_orderkey"), F.col("o_custkey")).alias("cost"))
+
+
+@query("select doc_id, strlen(text)::bigint as bound from documents")
+def token_bounds(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", mo.token_bound(F.col("text")).alias("bound"))
+
+
+@query("select provider, capability, count(*) as calls, sum(case when status = 'success' then latency_ms end)::bigint as latency_ms from v_calls group by all", "calls")
+def model_usage(spark, sf_dir):
+    rows = view(spark, sf_dir, "calls").withColumn("latency_ms", F.when(F.col("status") == "success", F.col("latency_ms")))
+    return mo.usage(rows, ["provider", "capability"], ["latency_ms"])
+
+
+@query("select count(*) filter (mod(event_id, 3) = 0) as dropped, count(*) filter (mod(event_id, 3) = 1) as stripped from events")
+def export_counts(spark, sf_dir):
+    scope = F.when(F.col("event_id") % 3 == 0, "none").when(F.col("event_id") % 3 == 1, "derived_only").otherwise("normalized")
+    return ex.exportable(table(spark, sf_dir, "events").select(scope.alias("export_scope"), F.col("props").alias("object_value_norm")))[1]
+
+
+@query("select domain, id_type, value, score::double as score from v_pivots where id_type <> 'other' and score <= 0.9", "pivots")
+def valid_pivots(spark, sf_dir):
+    p = view(spark, sf_dir, "pivots").withColumn("score", F.col("score").cast("double"))
+    return p.where(dom.valid_pivot(F.col("id_type"), F.col("value"), F.col("score") / 0.9)).select("domain", "id_type", "value", "score")
+
+
+@query("select key as provider, n from (select provider as key, count(*) as n from v_calls where status = 'error' group by 1)", "calls")
+def source_errors(spark, sf_dir):
+    return view(spark, sf_dir, "calls").where("status = 'error'").groupBy("provider").agg(F.count("*").alias("n"))
+
+
+@query("""select 'r' as run_id, concat('c', cast(c_custkey as varchar)) as domain, case when c_custkey % 2 = 0 then 1 else 0 end as first_depth from customer""")
+def discovered_domains(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.lit("r").alias("run_id"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("value_norm"), "c_custkey")
+    nodes = c.select("run_id", F.col("value_norm").alias("node_id"), F.lit("domain").alias("node_type"), "value_norm")
+    lineage = c.where("c_custkey % 2 = 0").select("run_id", F.col("value_norm").alias("child_node_id"), F.explode(F.array(F.lit(2), F.lit(1))).alias("depth"))
+    return ex.discovered_domains(nodes, lineage)

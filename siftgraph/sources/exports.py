@@ -73,7 +73,7 @@ def ascii_tree(edges: list[tuple[str, str, str]], root: str) -> str:
     return "\n".join(out)
 
 
-def markdown_report(spark: SparkSession, run: dict, counts: dict[str, int], usage: list, claims: list, pivots: list, most_claims: int = 20, most_pivots: int = 10) -> str:
+def markdown_report(run: dict, counts: dict[str, int], usage: list, claims: list, pivots: list, most_claims: int = 20, most_pivots: int = 10) -> str:
     """A run's report from aggregates and the few rows that it shows."""
     out = [f"# Report: {run['id']}", "", f"- Root domain: `{run['root_domain']}`", f"- Status: `{run['status']}`", *[f"- {k}: `{v}`" for k, v in counts.items()], "", "## Sources", ""]
     out += [f"- `{u['provider']}` / `{u['capability']}`: `{u['status']}`, calls `{u['calls']}`" for u in usage] or ["- none"]

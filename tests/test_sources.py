@@ -105,7 +105,7 @@ def test_registry_settings_and_reports(spark, tmp_path):
     lineage = spark.createDataFrame([("r", "2", 3), ("r", "2", 1)], "run_id string, child_node_id string, depth int")
     assert sorted(tuple(r)[1:] for r in x.discovered_domains(nodes, lineage).collect()) == [("a", 0), ("b", 1)]
     edges = spark.createDataFrame([("r", "1", "links", "2")], "run_id string, from_node_id string, relation_type string, to_node_id string")
-    report = x.markdown_report(spark, {"id": "r", "root_domain": "a", "status": "completed"}, {"Domains": 2}, [], [], [])
+    report = x.markdown_report({"id": "r", "root_domain": "a", "status": "completed"}, {"Domains": 2}, [], [], [])
     x.write_bundle(spark, str(tmp_path / "b"), report, x.ascii_tree([("a", "links", "b")], "a"), x.graph_json(nodes, edges))
     assert json.loads(spark.read.text(str(tmp_path / "b/graph")).first()[0])["run_id"] == "r"
     assert x.duplicate_keys(nodes, ["run_id"]).count() == 1 and x.orphans(edges, nodes, "to_node_id", "node_id").count() == 0
