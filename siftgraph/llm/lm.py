@@ -130,9 +130,19 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     counts = written(taught.mapInArrow(count, "tok long, n long").groupBy("tok").agg(F.sum("n").alias("c")), "counts")
     of = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     total, types, once, twice = map(int, of)
-    # The head is bounded by its length; ties go by hash.
-    top = counts.orderBy(F.desc("c"), "tok").limit(head).toArrow()
+    # The most frequent tokens, down to the count class (eighths of a power of two)
+    # that keeps them within ``head``: nothing is sorted over the cluster for it.
+    level = F.floor(F.log2("c") * 8).cast("int")
+    sizes = sorted(((r.k, r.n) for r in counts.groupBy(level.alias("k")).agg(F.count("*").alias("n")).collect()), reverse=True)  # a few hundred classes
+    least, held = 1 << 20, 0
+    for k, n in sizes:
+        if (held := held + n) > head:
+            break
+        least = k
+    top = counts.where(level >= least).toArrow()
     tok, c = top["tok"].to_numpy().view(U64), top["c"].to_numpy()
+    order = np.lexsort((tok, -c))
+    tok, c = tok[order], c[order]
     end_at = np.flatnonzero(tok == END)
     neural = np.zeros(len(tok), dtype=np.int32)  # 0: the class of the others, 1: the end
     plain = np.flatnonzero(tok != END)[: vocabulary - 2]

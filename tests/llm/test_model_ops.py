@@ -148,7 +148,8 @@ def test_transcripts(spark):
     got = chat.parsed(chat.transcripts(table.where("conv_id >= 40")), model, ("conv_id", "piece", "truth")).collect()
     right = np.mean([a == b for x in got for a, b in zip(x.roles.split(","), x.truth.split(","))])
     assert right > 0.95 and len(got) == 20
-    assert model.parse("### Human\nhi\nthere\n### Assistant\nhello") == [("user", "hi\nthere"), ("assistant", "hello")]
+    long = talk(40) + ".\n" + talk(30) + "."
+    assert model.parse(f"### Human\nSo what is this?\n### Assistant\n{long}") == [("user", "So what is this?"), ("assistant", long)]
     assert chat.rendered([("user", "hi")]) == "<|user|>\nhi\n<|end|>\n"
     empty = spark.createDataFrame([(1, None), (2, "")], "id int, transcript string")
     assert [(x.n_lines, x.n_turns) for x in chat.parsed(empty, model).collect()] == [(0, 0), (0, 0)]
