@@ -132,7 +132,7 @@ def _extend(a: np.ndarray, b: np.ndarray, p: int, q: int, k: int) -> tuple[int,
     return (start, end) if end - p >= k else (p, p)
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, broadcast_mb: int = 64, keep: tuple[str, ...] = ()) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, broadcast_mb: int = 16, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: id, n_words, n_hit, items (sorted ids found), and the columns in ``keep``.
 
     Items are read in pieces of at most ``broadcast_mb`` MB of text, each piece

@@ -148,10 +148,10 @@ def neighbours(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str =
     points = written(few.groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")).select(F.col("ids")[0].alias("point"), "ids", "v"), "points")
     asked = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v").distinct()
     asked = written(asked.join(points.select("v", "point"), "v").select("query_id", "point", "v"), "asked")
-    fit = points.select("v", "point").orderBy(F.xxhash64("point"), "point").limit(sample).toPandas()
-    if fit.empty:
+    fit = points.select("v", "point").orderBy(F.xxhash64("point"), "point").limit(sample).select("v").toArrow()
+    if not fit.num_rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    x = np.array(fit["v"].tolist(), dtype=np.float64)
+    x = fit["v"].combine_chunks().flatten().to_numpy().reshape(fit.num_rows, -1)
     trees_ = [Tree(x, leaf, seed + i) for i in range(trees)]
     share = calibrated(trees_, x, k, recall)
     forest = spark.sparkContext.broadcast(trees_)
