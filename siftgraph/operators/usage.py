@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,44 +59,51 @@ def next_task(tasks: DataFrame, keys: list[str]) -> DataFrame:
     return tasks.groupBy(*keys).agg(F.min_by("id", F.struct((-F.col("priority")).alias("p"), "created_at", "id")).alias("id"))
 
 
-def admitted(requests: DataFrame, key: str, cost: str, order: list[str], budget: float) -> DataFrame:
-    """Requests in order, each admitted if it fits what is left; one that doesn't consumes nothing.
+def in_order(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Each key's rows in one task, in order, for a fold whose state is a few numbers: rows stream through it and are never held together."""
+    return rows.repartition(key).sortWithinPartitions(key, *order)
 
-    A fold over each key's sorted requests. The state is one number, so the
-    rows of a key go through it in order; keys are spread over the cluster.
-    """
-    item = F.struct(*order, F.col(cost).cast("double").alias("__cost"))
-    rows = requests.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("r"))
-    names = [*order, "__cost"]
-    empty = rows.select(F.filter("r", lambda x: F.lit(False)).alias("r")).schema["r"].dataType.simpleString()
-    start = F.struct(F.lit(0.0).alias("used"), F.array().cast(empty).alias("ok"))
 
-    def step(s, x):
-        fits = s["used"] + x["__cost"] <= budget
-        return F.struct(F.when(fits, s["used"] + x["__cost"]).otherwise(s["used"]).alias("used"), F.when(fits, F.array_append(s["ok"], x)).otherwise(s["ok"]).alias("ok"))
+def admitted(requests: DataFrame, key: str, cost: str, order: list[str], budget: float) -> DataFrame:
+    """Requests in order, each admitted if it fits what is left of its key's budget; one that doesn't consumes nothing."""
+    cols = [key, *order, cost]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, used = None, 0.0
+        for p in frames:
+            ok = []
+            for k, c in zip(p[key], p[cost]):
+                if k != now:
+                    now, used = k, 0.0
+                fits = used + c <= budget
+                used += c if fits else 0.0
+                ok.append(fits)
+            yield p[ok]
 
-    got = rows.select(key, F.explode(F.aggregate("r", start, step, lambda s: s["ok"])).alias("x"))
-    return got.select(key, *[F.col(f"x.{n}").alias(cost if n == "__cost" else n) for n in names])
+    rows = requests.select(*cols)
+    return in_order(rows, key, order).mapInPandas(run, rows.schema)
 
 
 def circuits(calls: DataFrame, failures: int = 3, cooldown_s: float = 60.0) -> DataFrame:
     """(provider, opened_at, failures): a source opens after so many failures in a row (one for ``auth``), stays open for a while, and calls in that time don't happen."""
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        out, streak, until = [], 0, None
-        for r in p.sort_values(["started_at", "id"]).itertuples():
-            if until is not None and r.started_at < until:
-                continue
-            if r.status in ("success", "empty"):
-                streak = 0
-            elif r.status not in ("budget_exceeded", "capacity"):
-                streak += 1
-                if streak >= failures or r.status == "auth":
-                    out.append((r.provider, r.started_at, streak))
-                    until, streak = r.started_at + pd.Timedelta(seconds=cooldown_s), 0
-        return pd.DataFrame(out, columns=["provider", "opened_at", "failures"])
-
-    return calls.select("provider", "id", "status", F.col("started_at").cast("timestamp").alias("started_at")).groupBy("provider").applyInPandas(run, "provider string, opened_at timestamp, failures int")
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, streak, until = None, 0, None
+        for p in frames:
+            out = []
+            for who, status, at in zip(p["provider"], p["status"], p["started_at"]):
+                if who != now:
+                    now, streak, until = who, 0, None
+                if (until is not None and at < until) or status in ("budget_exceeded", "capacity"):
+                    continue
+                streak = 0 if status in ("success", "empty") else streak + 1
+                if streak and (streak >= failures or status == "auth"):
+                    out.append((who, at, streak))
+                    until, streak = at + pd.Timedelta(seconds=cooldown_s), 0
+            yield pd.DataFrame(out, columns=["provider", "opened_at", "failures"])
+
+    rows = calls.select("provider", "id", "status", F.col("started_at").cast("timestamp").alias("started_at"))
+    return in_order(rows, "provider", ["started_at", "id"]).mapInPandas(run, "provider string, opened_at timestamp, failures int")
 
 
 def retention(runs: DataFrame, before: Column) -> DataFrame:
