@@ -4,10 +4,15 @@ States are a role and whether the line begins a turn. Emissions are
 independent given the state: the speaker marker at the line's start, the
 line's length class, its first character's class, its last character, and
 whether a blank line stands before it. Counts come from labelled conversations
-(at most ``SAMPLE``, a documented bound) written in several marker styles, some
-turns without any marker. Viterbi finds the best states of a transcript;
+(at most ``SAMPLE``, of each its turns below 64 with 4,000 characters at most:
+the documented bounds of the fit) written in several marker styles, some turns
+without any marker. Viterbi finds the best states of a transcript;
 each turn is then written in one canonical form, without its marker.
 
+Parsing itself takes transcripts whole. ``transcripts`` makes them from rows, a
+piece for each ``PIECE`` turn numbers; rows that repeat a turn number of one
+conversation stand together in its piece.
+
 A null or empty transcript has no turns. Ties in Viterbi go to the first state
 in the listed order. Repeated rows are parsed each for itself; other columns
 are ignored, whatever their names.
