@@ -175,3 +175,26 @@ def test_viterbi_is_exact():
     seen, own = chat.observed(lines), model.states(lines)
     mine = model.start[own[0]] + sum(model.move[a, b] for a, b in zip(own, own[1:])) + sum(t.get(x, d)[s] for s, o in zip(own, seen) for t, x, d in zip(model.tables, o, model.default))
     assert abs(mine - score) < 1e-9 and len(path) == len(own)
+
+
+def test_quality_counts_half_of_all_trusted_text(spark, docs, monkeypatch):
+    from pyspark.sql import functions as F
+
+    big = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(199)), lambda i: F.substring(F.sha2(F.concat(F.col("id"), F.lit(" "), i), 256), 1, 9))).alias("text"))
+    size = big.count() * 200 * 10
+    seen = []
+    monkeypatch.setattr(q, "fitted", lambda t, fit=q.fitted: seen.append(t.agg(F.sum(F.length("text"))).first()[0]) or fit(t.limit(5)))
+    q.judged(big, big.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")))
+    assert 0.45 * size < seen[0] < 0.55 * size  # 3 of 6 MB, not 1
+
+
+def test_quality_by_shards_gives_the_same(spark, docs):
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 160, 2)], "doc_id long, quality int, toxic int")
+    key = lambda r: (str(r.doc_id), r.n_tokens, round(r.log10_perplexity, 5), round(r.threshold, 4), r.accepted)
+    whole = sorted(map(key, q.judged(docs, labels).collect()))
+    assert sorted(map(key, q.judged(docs, labels, local=0).collect())) == whole
+    trusted = docs.where("doc_id < 80").select("lang", "text")
+    *levels, _ = q.fitted(trusted)
+    langs = {r.lang for r in trusted.select("lang").distinct().collect()}
+    told = [{(str(r.doc_id), r.n_tokens, round(r.logp, 3)) for r in x.collect()} for x in (q.scored(docs, q.gathered(*levels), langs, ("doc_id", "lang")), q.scored_by_shuffle(docs, *levels, langs, ("doc_id", "lang"), shard=500))]
+    assert told[0] == told[1]
