@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
-SAMPLE, ROUNDS = 2000, 6
+SAMPLE, ROUNDS = 4000, 6
 
 # The patterns of the base kinds. Look-behinds and possessive
 # repeats only keep failing starts from being tried again.
@@ -258,13 +258,18 @@ def made_sentences(n: int = 160, seed: int = 7) -> list[str]:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> SkipChain:
-    """Fits on at most ``sample`` documents that hold a digit or an @ (those of the least hashes), of each at most 8,000 characters of the lines that do."""
-    lines = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: x.rlike("[0-9@]"))
-    text = F.substring(F.concat_ws("\n", lines), 1, 8000)
-    # Few rows leave the executors: those of low hashes, about eight times the sample.
-    h = F.xxhash64(F.col(id_col).cast("string"))
-    low = F.pmod(h, F.lit(1 << 30)) < int(min(1.0, 8 * sample / max(1, docs.count())) * (1 << 30))
-    rows = docs.where(low).select(h.alias("h"), text.alias("t")).where("t <> ''").orderBy("h", "t").limit(sample).collect()
+    """Fits on at most ``sample`` documents that hold a digit or an @ (those of the least hashes), of each all lines that do."""
+    docs = docs.where(F.col(text_col).rlike("[0-9@]"))
+    lines = F.filter(F.split(F.col(text_col), "\n"), lambda x: x.rlike("[0-9@]"))
+    text = F.concat_ws("\n", lines)
+    # Few rows leave the executors: those of low hashes, about twice the sample of the documents that fit.
+    h = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30))
+    n = docs.count()
+    low = h < int(min(1.0, 2 * (sample + 100) / max(1, n)) * (1 << 30))
+    least = lambda df: df.select(h.alias("h"), text.alias("t")).orderBy("h", "t").limit(sample).collect()
+    rows = least(docs.where(low))
+    if len(rows) < min(sample, n):  # ids that repeat, such as nulls, share a hash
+        rows = least(docs)
     return SkipChain.fit([*made_sentences(), *(r.t for r in rows)])
 
 

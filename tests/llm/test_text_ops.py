@@ -206,3 +206,16 @@ def test_licences(spark):
     rows = {r.doc_id: r for r in licenses.scanned(docs(spark, texts)).collect()}
     assert [rows[i].license for i in range(9)] == ["MIT", "MIT", "MIT", None, "Apache-2.0-line", None, None, None, "MIT"]
     assert rows[5].digest == rows[6].digest and licenses.scanned(docs(spark, texts).limit(0)).count() == 0
+
+
+def test_pii_sample_is_full_where_few_documents_fit(spark, monkeypatch):
+    got = []
+    monkeypatch.setattr(pii.SkipChain, "fit", staticmethod(lambda texts: got.append(texts)))
+    texts = ["no such thing"] * 4000
+    for i in range(0, 4000, 100):
+        texts[i] = f"plain\nnumber {i} " + "x" * 30_000
+    made = len(pii.made_sentences())
+    pii.train(docs(spark, texts), sample=20)
+    pii.train(docs(spark, texts, [None] * len(texts)), sample=20)
+    assert [len(x) - made for x in got] == [20, 20]
+    assert pii.SAMPLE == 4000 and all(len(x) > 30_000 and "plain" not in x for x in got[0][made:])
