@@ -100,7 +100,7 @@ class Index:
                 for y in range(int(self.first[x]), int(self.first[x + 1])):
                     i, q = int(self.item[y]), int(self.pos[y])
                     line = (i, p - q)
-                    if done.get(line, -1) >= p:
+                    if done.get(line, -1) > p:  # the end of a span is the first word after it
                         continue
                     a, b = _extend(h[lo:hi], self.words[i], p - lo, q, self.k)
                     done[line] = lo + b

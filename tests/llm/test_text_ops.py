@@ -219,3 +219,11 @@ def test_pii_sample_is_full_where_few_documents_fit(spark, monkeypatch):
     pii.train(docs(spark, texts, [None] * len(texts)), sample=20)
     assert [len(x) - made for x in got] == [20, 20]
     assert pii.SAMPLE == 4000 and all(len(x) > 30_000 and "plain" not in x for x in got[0][made:])
+
+
+def test_decontamination_of_a_passage_split_over_two_rows():
+    for k in range(40):  # the least hash of the second row is sometimes at its first word
+        words = [f"w{k}x{i}" for i in range(20)]
+        rows = [" ".join(words[:10]), " ".join(words[10:])]
+        (_, _, t), = text.slices(pa.array(rows))
+        assert list(dc.Index([1], [" ".join(words)]).scan(t)) == [(10, 10, {"1"})] * 2
