@@ -198,3 +198,12 @@ def test_quality_by_shards_gives_the_same(spark, docs):
     langs = {r.lang for r in trusted.select("lang").distinct().collect()}
     told = [{(str(r.doc_id), r.n_tokens, round(r.logp, 3)) for r in x.collect()} for x in (q.scored(docs, q.gathered(*levels), langs, ("doc_id", "lang")), q.scored_by_shuffle(docs, *levels, langs, ("doc_id", "lang"), shard=500))]
     assert told[0] == told[1]
+
+
+def test_quality_trusts_no_toxic_text(spark, monkeypatch):
+    rows = [(i, "vile words here" if i % 2 else "fair words here", "en") for i in range(80)]
+    seen = []
+    monkeypatch.setattr(q, "fitted", lambda t, fit=q.fitted: seen.extend(r.text for r in t.collect()) or fit(t))
+    labels = [(i, 1, i % 2) for i in range(80)] + [(0, 1, None), (2, 0, 1), (2, 1, 0)]
+    q.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert seen and set(seen) == {"fair words here"}
