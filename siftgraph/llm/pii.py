@@ -5,8 +5,9 @@ white space) that hold a digit or an @; its labels are ``O`` and the four
 kinds. Chain edges join neighbouring tokens; skip edges join each token with
 the next one of equal form and with the next one of equal shape in the whole
 document, however far, so that repeated and similar tokens share potentials.
-Loopy sum-product messages run for a fixed number of rounds over all documents
-of a slice at once. A token of a kind that no base span touches adds a span.
+Loopy sum-product messages run over all documents of a slice at once until none
+changes by ``SETTLED``; ``ROUNDS`` only ends messages that swing for ever. Edges
+whose incoming messages have settled rest. A token of a kind that no base span touches adds a span.
 
 Weights come from pseudo-likelihood on a sample of at most ``SAMPLE``
 documents (a documented bound) and on sentences made by a rule, labelled by the
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
-SAMPLE, ROUNDS = 4000, 6
+SAMPLE, ROUNDS, SETTLED = 4000, 10_000, 1e-4
 
 # The patterns of the base kinds. Look-behinds and possessive
 # repeats only keep failing starts from being tried again.
@@ -139,7 +140,7 @@ class Graph:
                 self.edges.append((n - 1, n, 0))
             if core in form:
                 self.edges.append((form[core], n, 1))
-            elif s in alike:
+            if s in alike and alike[s] != form.get(core):  # a pair is joined once
                 self.edges.append((alike[s], n, 2))
             form[core] = alike[s] = n
 
@@ -159,14 +160,25 @@ class SkipChain:
         kernel = np.exp(np.concatenate([self.pair[e[:, 2]], self.pair[e[:, 2]].transpose(0, 2, 1)]))  # [edge, from, to]
         back = np.concatenate([np.arange(len(e)) + len(e), np.arange(len(e))])
         msg = np.zeros((len(src), len(LABELS)))
+        live = np.arange(len(src))
+        total = unary.copy()
         for _ in range(ROUNDS):
-            total = unary.copy()
-            np.add.at(total, dst, msg)
-            inner = total[src] - msg[back]
+            inner = total[src[live]] - msg[back[live]]
             inner -= inner.max(axis=1, keepdims=True)
-            new = np.log(np.einsum("ei,eij->ej", np.exp(inner), kernel) + 1e-300)
+            new = np.log(np.einsum("ei,eij->ej", np.exp(inner), kernel[live]) + 1e-300)
             new -= new.max(axis=1, keepdims=True)
-            msg = 0.5 * msg + 0.5 * new
+            step = 0.5 * (new - msg[live])
+            msg[live] += step
+            np.add.at(total, dst[live], step)
+            moved = np.abs(step).max(axis=1) > SETTLED
+            if not moved.any():
+                break
+            # A changed message wakes those that leave its target.
+            woken = np.zeros(n, dtype=bool)
+            woken[dst[live[moved]]] = True
+            next_up = woken[src]
+            next_up[live[moved]] = True
+            live = np.flatnonzero(next_up)
         total = unary.copy()
         np.add.at(total, dst, msg)
         return total

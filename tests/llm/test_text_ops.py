@@ -227,3 +227,16 @@ def test_decontamination_of_a_passage_split_over_two_rows():
         rows = [" ".join(words[:10]), " ".join(words[10:])]
         (_, _, t), = text.slices(pa.array(rows))
         assert list(dc.Index([1], [" ".join(words)]).scan(t)) == [(10, 10, {"1"})] * 2
+
+
+def test_skip_edges_join_forms_and_shapes_and_reach_far():
+    g = pii.Graph()
+    g.add(0, "a 12345 b 67890 c 12345")
+    assert sorted(g.edges) == [(0, 1, 2), (0, 2, 1), (1, 2, 2)]
+    far = pii.Graph()
+    far.add(0, " x ".join(["77"] * 40))
+    pair = np.stack([np.zeros((5, 5)), np.eye(5) * 9, np.eye(5)])
+    field = pii.SkipChain({"b-": np.zeros(5)}, pair)
+    far.features = [["up"] if i == 0 else [] for i in range(40)]
+    field.rows["up"] = np.array([0, 0, 0, 6.0, 0])
+    assert (field.beliefs(far).argmax(axis=1) == 3).all()
