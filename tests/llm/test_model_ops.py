@@ -177,15 +177,18 @@ def test_viterbi_is_exact():
     assert abs(mine - score) < 1e-9 and len(path) == len(own)
 
 
-def test_quality_counts_half_of_all_trusted_text(spark, docs, monkeypatch):
+def test_quality_fits_on_a_stated_part_of_the_trusted_text(spark, docs, monkeypatch):
     from pyspark.sql import functions as F
 
     big = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(199)), lambda i: F.substring(F.sha2(F.concat(F.col("id"), F.lit(" "), i), 256), 1, 9))).alias("text"))
     size = big.count() * 200 * 10
     seen = []
     monkeypatch.setattr(q, "fitted", lambda t, fit=q.fitted: seen.append(t.agg(F.sum(F.length("text"))).first()[0]) or fit(t.limit(5)))
-    q.judged(big, big.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")))
-    assert 0.45 * size < seen[0] < 0.55 * size  # 3 of 6 MB, not 1
+    labels = big.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    q.judged(big, labels, fit_mb=None)
+    assert 0.45 * size < seen[0] < 0.55 * size  # 3 of 6 MB: half of all
+    q.judged(big, labels, fit_mb=1.5)
+    assert 1.3e6 < seen[1] < 1.7e6
 
 
 def test_quality_by_shards_gives_the_same(spark, docs):
