@@ -7,16 +7,19 @@ shared span, so extending each common fingerprint to the left and to the right
 finds every shared span of that length. Items of fewer than ``window`` words
 are looked up whole by the hash of all their words.
 
-The index of the items is broadcast to the Python workers only if its measured
-size is below ``broadcast_mb``; a larger benchmark is cut into pieces of that
-size, by item, and the documents' fingerprints are then joined by a shuffle
-with the items' fingerprints, and each matched (document, item) pair is
-extended after joining both texts.
+The index of the items is broadcast to the Python workers only if the items
+that hold a word measure less than ``broadcast_mb`` together. For a larger
+benchmark the documents' fingerprints are joined by a shuffle with the items'
+distinct ones; the documents that share one are candidates, and the hashes of
+their windows are joined with those of the items' windows. No text is copied to
+a pair, and only true hits become (document, item) rows. Both ways give the
+same rows.
 
 Nulls, empty texts and texts of separators only have no words: 0 hits, not
 contaminated. Repeated documents or items each count for themselves; items of
 equal id count once. Columns other than the named ones are ignored, whatever
-their names. Empty tables give empty or all-clean results.
+their names; a kept column named as a result (n_words, n_hit, items) gives way
+to the result. Empty tables give empty or all-clean results.
 """
 
 from __future__ import annotations
@@ -26,13 +29,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from .text import ALNUM, U64, Lookup, Texts, grams, slices
 
 K = 5
+RESULTS = ("n_words", "n_hit", "items")
 
 
 def winnow(g: np.ndarray, w: int, doc_of: np.ndarray | None = None, window: int = 0) -> np.ndarray:
@@ -132,97 +136,112 @@ def _extend(a: np.ndarray, b: np.ndarray, p: int, q: int, k: int) -> tuple[int,
     return (start, end) if end - p >= k else (p, p)
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, broadcast_mb: int = 16, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: id, n_words, n_hit, items (sorted ids found), and the columns in ``keep``.
-
-    Items are read in pieces of at most ``broadcast_mb`` MB of text, each piece
-    an index of bounded size; with several pieces the documents are scanned
-    once for each and the spans joined, which costs passes, never results.
-    """
+def contamination(
+    docs: DataFrame,
+    items: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text: str = "text",
+    window: int = 10,
+    broadcast_mb: int = 16,
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """One row per document: id, the columns in ``keep``, n_words, n_hit, items (sorted ids found)."""
     spark = docs.sparkSession
-    items = items.select(F.col(item_col).alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t"))
-    total = items.agg(F.sum(F.octet_length("t")), F.max(F.octet_length("t"))).first()
-    pieces = max(1, -(-int(total[0] or 0) // (broadcast_mb << 20)))
-    kinds = {f.name: f.dataType for f in docs.schema.fields}
-    cols = [id_col, *[c for c in keep if c != id_col]]
-    base = docs.select(*cols, F.col(text_col).alias("__text") if text_col in cols else F.col(text_col).alias("__text"))
-    out_schema = docs.select(*cols).schema.add("n_words", "long").add("n_hit", "long").add("items", ArrayType(StringType()))
-
-    def scan_with(index, schema):
-        def scan(batches):
-            for batch in batches:
-                rows = [r for _, _, t in slices(batch.column(batch.num_columns - 1)) for r in index.value.scan(t)]
-                own = [batch.column(i) for i in range(len(cols))]
-                yield pa.RecordBatch.from_arrays([*own, pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([sorted(r[2]) for r in rows], pa.list_(pa.string()))], names=schema.names)
-
-        return scan
+    items = items.select(F.col(item_col).cast("string").alias("i"), F.col(item_text).alias("t"))
+    items = items.where(F.col("t").rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"))  # others have no words
+    cols = [id_col, *[c for c in keep if c not in (id_col, *RESULTS)]]
+    bytes_ = items.agg(F.sum(F.octet_length("t") + F.coalesce(F.octet_length("i"), F.lit(0)) + 64)).first()[0] or 0
+    if bytes_ >= broadcast_mb << 20:
+        return _by_shuffle(docs, items, cols, text_col, window)
+    got = items.collect()
+    index = spark.sparkContext.broadcast(Index([r.i for r in got], [r.t for r in got], window))
+    schema = docs.select(*cols).schema.add("n_words", "long").add("n_hit", "long").add("items", ArrayType(StringType()))
+
+    def scan(batches):
+        for batch in batches:
+            rows = [r for _, _, t in slices(batch.column(batch.num_columns - 1)) for r in index.value.scan(t)]
+            told = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())]
+            found = pa.array([sorted(r[2]) for r in rows], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *told, found], names=schema.names)
 
-    assert set(cols) <= set(kinds)
-    if pieces == 1:
-        got = items.collect()
-        index = spark.sparkContext.broadcast(Index([r.i for r in got], [r.t for r in got], window))
-        return base.mapInArrow(scan_with(index, out_schema), out_schema)
-    return _by_shuffle(docs, items, cols, text_col, window)
+    return docs.select(*cols, F.col(text_col).alias("__text")).mapInArrow(scan, schema)
 
 
 def _by_shuffle(docs: DataFrame, items: DataFrame, cols: list[str], text_col: str, window: int) -> DataFrame:
-    """The same rows where the items are too many to broadcast: a shuffle join of the fingerprints of both sides."""
+    """The same rows where the items are too many to broadcast."""
     from .storage import written
 
     spark = docs.sparkSession
 
-    def prints(both: bool):
+    def lengths_of(batches):
+        for batch in batches:
+            for _, _, t in slices(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.diff(t.words(ALNUM)[2])))], names=["n"])
+
+    short = items.select("t").mapInArrow(lengths_of, "n long").where(F.col("n").between(1, window - 1)).distinct()
+    lengths = sorted(r.n for r in short.collect())  # window - 1 numbers at most
+
+    def prints(asks: bool):
+        """(row, fp): distinct fingerprints of each text, and hashes of the short items' lengths."""
+
         def emit(batches):
             for batch in batches:
                 for i, j, t in slices(batch.column(1)):
                     s, e, first = t.words(ALNUM)
                     h = t.hashes(s, e)
-                    ids, fps = [], []
+                    rows, fps = [], []
                     for d in range(j - i):
                         own = h[first[d] : first[d + 1]]
-                        if both or len(own) >= window:
-                            g = grams(own, K)
-                            got = [g[winnow(g, window - K + 1)]]
-                        else:
-                            got = [grams(own, len(own))] if len(own) else []
-                        if both:
-                            got += [grams(own, n) for n in range(1, window) if n in lengths.value]
+                        got = [g[winnow(g, window - K + 1)] for g in [grams(own, K)] if len(own) >= window]
+                        got += [grams(own, n) for n in (lengths if asks else [len(own)] * (0 < len(own) < window))]
                         fp = np.unique(np.concatenate(got)) if got else np.empty(0, dtype=U64)
-                        ids += [i + d] * len(fp)
+                        rows.append(np.full(len(fp), i + d))
                         fps.append(fp)
-                    fp = np.concatenate(fps).view(np.int64) if fps else np.empty(0, dtype=np.int64)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(fp)], names=["id", "fp"])
+                    at, fp = np.concatenate(rows).astype(np.int64), np.concatenate(fps)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(fp.view(np.int64))], names=["row", "fp"])
 
         return emit
 
-    def count_words(batches):
-        for batch in batches:
-            for _, _, t in slices(batch.column(0)):
-                s, _, first = t.words(ALNUM)
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.diff(first)))], names=["n"])
+    def windows(asks: bool):
+        """(row, at, size, hash) of each window, of an item's own length where that is short."""
 
-    short = items.select("t").mapInArrow(count_words, "n long").where(F.col("n").between(1, window - 1)).distinct()
-    lengths = spark.sparkContext.broadcast({r.n for r in short.collect()})  # window - 1 numbers at most
-    rows = written(docs.select(*cols, F.col(text_col).alias("__text"), F.monotonically_increasing_id().alias("__row")), "decon-docs")
-    things = items.select(F.struct("i", "t").alias("x"), F.monotonically_increasing_id().alias("item"))
-    things = written(things.select("item", "x.i", "x.t"), "decon-items")
-    a = rows.select("__row", "__text").mapInArrow(prints(True), "id long, fp long")
-    b = things.select("item", "t").mapInArrow(prints(False), "id long, fp long").withColumnRenamed("id", "item")
-    pairs = a.join(b, "fp").select("id", "item").distinct()
-    pairs = pairs.join(things, "item").join(rows.select(F.col("__row").alias("id"), "__text"), "id")
-
-    def spans(batches):
-        for batch in batches:
-            x = batch.to_pydict()
-            ids, who, lo, hi = [], [], [], []
-            for d, i, t, text in zip(x["id"], x["i"], x["t"], x["__text"]):
-                for a, b in _hits(Index([i], [t], window), text):
-                    ids.append(d), who.append(None if i is None else str(i)), lo.append(a), hi.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(who, pa.string()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=["__row", "i", "lo", "hi"])
+        def emit(batches):
+            for batch in batches:
+                for i, j, t in slices(batch.column(1), 1 << 19):
+                    s, e, first = t.words(ALNUM)
+                    h = t.hashes(s, e)
+                    doc = np.repeat(np.arange(j - i), np.diff(first))
+                    count = np.diff(first)[doc]
+                    for n in (*lengths, window):
+                        g = grams(h, n)
+                        on = doc[: len(g)] == doc[n - 1 :] if len(g) else np.empty(0, dtype=bool)
+                        if not asks and n < window:
+                            on = on & (count[: len(g)] == n)
+                        at = np.flatnonzero(on)
+                        own = doc[at]
+                        yield pa.RecordBatch.from_arrays(
+                            [batch.column(0).take(pa.array(i + own)), pa.array(at - first[own]), pa.array(np.full(len(at), n)), pa.array(g[at].view(np.int64))],
+                            names=["row", "at", "size", "hash"],
+                        )
 
-    hits = pairs.select("id", F.col("i").cast("string").alias("i"), "t", "__text").mapInArrow(spans, "__row long, i string, lo long, hi long")
-    hits = hits.distinct().groupBy("__row").agg(F.array_sort(F.collect_set(F.coalesce("i", F.lit("None")))).alias("items"), F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    covered = F.aggregate(F.array_sort("spans"), F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")), lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0).cast("long"), x["hi"] - F.greatest(s["end"], x["lo"]))).alias("n"), F.greatest(s["end"], x["hi"]).alias("end")))["n"]
+        return emit
+
+    rows = written(docs.select(*cols, F.col(text_col).alias("__text"), F.monotonically_increasing_id().alias("__row")), "decon-docs")
+    asked = rows.select("__row", "__text").mapInArrow(prints(True), "row long, fp long")
+    named = items.select(F.coalesce("i", F.lit("None")).alias("i"), "t")
+    known = named.mapInArrow(prints(False), "row string, fp long").select("fp").distinct()
+    candidates = asked.join(known, "fp", "left_semi").select(F.col("row").alias("__row")).distinct()
+    texts = rows.select("__row", "__text").join(candidates, "__row", "left_semi")
+    own = texts.mapInArrow(windows(True), "row long, at long, size long, hash long")
+    theirs = named.mapInArrow(windows(False), "row string, at long, size long, hash long").select("hash", "size", F.col("row").alias("item")).distinct()
+    hits = written(own.join(theirs, ["hash", "size"]).select("row", "at", "size", "item"), "decon-hits")
+    found = hits.groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    before = F.max(F.col("at") + F.col("size")).over(Window.partitionBy("row").orderBy("at", "size").rowsBetween(Window.unboundedPreceding, -1))
+    new = F.col("at") + F.col("size") - F.greatest(F.col("at"), F.coalesce(before, F.lit(0)))
+    spans = hits.select("row", "at", "size").distinct().withColumn("new", F.greatest(F.lit(0), new))
+    covered = spans.groupBy("row").agg(F.sum("new").alias("n_hit"))
 
     def words(batches):
         for batch in batches:
@@ -232,27 +251,10 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, cols: list[str], text_col: st
 
     schema = rows.select(*cols, "__row").schema.add("n_words", "long")
     counted = rows.select(*cols, "__row", "__text").mapInArrow(words, schema)
+    told = covered.join(found, "row").withColumnRenamed("row", "__row")
     none = F.array().cast("array<string>")
-    return counted.join(hits.select("__row", covered.alias("n_hit"), "items"), "__row", "left").select(*cols, "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", none).alias("items"))
-
-
-def _hits(index: Index, text: str | None) -> list[tuple[int, int]]:
-    """Word spans of the one item of an index in one text."""
-    (_, _, t), = slices(pa.array([text or ""], pa.large_string()))
-    s, e, _ = t.words(ALNUM)
-    h, (own,) = t.hashes(s, e), index.words
-    if not len(own):
-        return []
-    if len(own) < index.window:
-        return [(int(p), int(p) + len(own)) for p in np.flatnonzero(grams(h, len(own)) == grams(own, len(own))[0])]
-    out = set()
-    for p in np.flatnonzero(index.table.find(grams(h, index.k)) >= 0).tolist():
-        x = int(index.table.find(grams(h[p : p + index.k], index.k))[0])
-        for y in range(int(index.first[x]), int(index.first[x + 1])):
-            a, b = _extend(h, own, p, int(index.pos[y]), index.k)
-            if b - a >= index.window:
-                out.add((a, b))
-    return sorted(out)
+    hit = F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit")
+    return counted.join(told, "__row", "left").select(*cols, "n_words", hit, F.coalesce("items", none).alias("items"))
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -262,3 +264,21 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def sha_of(items: list[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+
+
+def oracle_sql(window: int = 10) -> str:
+    """``digest`` of the documents against the benchmark in DuckDB: windows as texts, joined by equality."""
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    words = f"regexp_extract_all({low}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""with d as (select row_number() over () as k, doc_id, {words} as w from documents),
+b as (select item_id, {words} as w from benchmark),
+items as (select distinct item_id, least(len(w), {window}) as n, array_to_string(w[p : p + least(len(w), {window}) - 1], ' ') as s
+  from (select item_id, w, unnest(range(1, greatest(len(w) - {window}, 0) + 2)) as p from b where len(w) > 0)),
+sizes as (select distinct n from items),
+spots as (select k, w, n, unnest(range(1, len(w) - n + 2)) as p from d, sizes where len(w) >= n),
+hits as (select k, p, spots.n, item_id from spots join items on items.n = spots.n and s = array_to_string(w[p : p + spots.n - 1], ' ')),
+covered as (select k, count(distinct q) as n_hit from (select k, unnest(range(p, p + n)) as q from hits) group by 1),
+found as (select k, list_sort(list(distinct cast(item_id as varchar))) as items from hits group by 1)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(len(items), 0) as n_items,
+sha256(array_to_string(coalesce(items, []), ',')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join covered using (k) left join found using (k)"""

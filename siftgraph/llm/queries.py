@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses
+from . import decontaminate, licenses
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -78,4 +78,4 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = Non
 
 
 QUERIES = {f.__name__: f for f in (op1_licenses, op2_near_duplicates, op3_chat, op4_neighbours, op5_lm_scores, op6_sharding, op7_quality, op8_pii, op9_decontamination, op10_byte_bpe)}
-ORACLE_SQL = {"op1_licenses": licenses.oracle_sql()}
+ORACLE_SQL = {"op1_licenses": licenses.oracle_sql(), "op9_decontamination": decontaminate.oracle_sql()}

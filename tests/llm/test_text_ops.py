@@ -59,16 +59,36 @@ def test_decontamination_against_brute_force(spark, mb, monkeypatch):
     items = [*enumerate(item_texts), (1, item_texts[1])]
     texts = [" ".join(r.choice(vocab, 60)) + ". " + item_texts[k % 6] + "; " + " ".join(r.choice(vocab, 9)) for k in range(25)] + ["", None, "solo", "z " * 40, item_texts[0], item_texts[0][:-2]]
     d, b = docs(spark, texts), spark.createDataFrame(items, "item_id int, text string")
-    found = dc.contamination(d, b, keep=("text", "items")) if mb else dc._by_shuffle(d, b.selectExpr("item_id as i", "coalesce(text, '') as t"), ["doc_id"], "text", 10)
+    found = dc.contamination(d, b, keep=("text", "items") if mb else (), broadcast_mb=mb)
     if mb:
-        assert found.columns == ["doc_id", "text", "items", "n_words", "n_hit", "items"]
-        found = dc.contamination(d, b)
+        assert found.columns == ["doc_id", "text", "n_words", "n_hit", "items"]  # a result replaces a kept column of its name
+        assert dc.contamination(d, b, keep=("text", "items"), broadcast_mb=0).columns == found.columns
     got = {r.doc_id: (r.n_words, r.n_hit, r.items_sha256, r.contaminated) for r in dc.digest(found).collect()}
     want = {i: brute(t, items) for i, t in enumerate(texts)}
     assert got == want and dc.digest(dc.contamination(d.limit(0), b)).count() == 0
     assert not any(r.contaminated for r in dc.digest(dc.contamination(d, b.limit(0))).collect())
 
 
+def test_decontamination_of_passages_that_go_on_in_the_next_row(spark):
+    r = np.random.default_rng(8)
+    items = [(f"i{k}", " ".join(f"k{k}w{j}" for j in range(30))) for k in range(12)]
+    texts = []
+    for _, t in items:
+        w, cut = t.split(), int(r.integers(10, 16))
+        texts += [" ".join(["x"] * 4 + w[:cut]), " ".join(w[cut : cut + int(r.integers(9, 13))] + ["y"] * 3)]
+    long_text = " ".join(f"z{j}" for j in range(60_000)) + " " + items[3][1]
+    texts += [long_text, items[5][1]]
+    for order in (range(len(texts)), r.permutation(len(texts))):
+        own = [texts[i] for i in order]
+        d, b = docs(spark, own).coalesce(1), spark.createDataFrame(items, "item_id string, text string")
+        want = {i: brute(t, items) for i, t in enumerate(own) if len(t) < 9999} | {
+            i: (60_030, 30, dc.sha_of(["i3"]), True) for i, t in enumerate(own) if len(t) > 9999
+        }
+        for mb in (16, 0):
+            rows = dc.digest(dc.contamination(d, b, broadcast_mb=mb)).collect()
+            assert {x.doc_id: (x.n_words, x.n_hit, x.items_sha256, x.contaminated) for x in rows} == want
+
+
 @pytest.fixture(scope="module")
 def coder():
     path = P.path("byte_bpe_multi_50k.tiktoken")
