@@ -132,7 +132,13 @@ def slices(column: pa.Array | pa.ChunkedArray, most: int = 2 << 20) -> Iterator[
 
 
 class Lookup:
-    """A hash table from non-zero uint64 keys to positions, built once, probed with whole arrays."""
+    """A hash table from non-zero uint64 keys to positions, built once, probed with whole arrays. Only the keys are pickled; a worker builds the table anew."""
+
+    def __getstate__(self) -> np.ndarray:
+        return self.keys
+
+    def __setstate__(self, keys: np.ndarray) -> None:
+        self.__init__(keys)
 
     def __init__(self, keys: np.ndarray):
         self.keys = np.asarray(keys, dtype=U64)
