@@ -19,6 +19,11 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned(_read(spark, sf_dir, "documents"))
 
 
+def license_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``op1_licenses``' operator over licence files as they occur, which the documents don't hold."""
+    return licenses.scanned(spark.createDataFrame(licenses.variants(), "doc_id int, text string"))
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import classes
 
@@ -77,5 +82,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = Non
     return digests(_read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_licenses, op2_near_duplicates, op3_chat, op4_neighbours, op5_lm_scores, op6_sharding, op7_quality, op8_pii, op9_decontamination, op10_byte_bpe)}
-ORACLE_SQL = {"op1_licenses": licenses.oracle_sql(), "op9_decontamination": decontaminate.oracle_sql()}
+QUERIES = {f.__name__: f for f in (op1_licenses, license_variants, op2_near_duplicates, op3_chat, op4_neighbours, op5_lm_scores, op6_sharding, op7_quality, op8_pii, op9_decontamination, op10_byte_bpe)}
+ORACLE_SQL = {"op1_licenses": licenses.oracle_sql(), "license_variants": licenses.variants_sql(), "op9_decontamination": decontaminate.oracle_sql()}

@@ -260,3 +260,22 @@ def test_skip_edges_join_forms_and_shapes_and_reach_far():
     far.features = [["up"] if i == 0 else [] for i in range(40)]
     field.rows["up"] = np.array([0, 0, 0, 6.0, 0])
     assert (field.beliefs(far).argmax(axis=1) == 3).all()
+
+
+def test_licenses_as_files_hold_them(spark):
+    from pathlib import Path
+
+    rows = dict(licenses.variants())
+    n = len(rows)
+    place = Path("/usr/share/common-licenses")  # public texts, where the system has them
+    long = {"Apache-2.0": "Apache-2.0", "GPL-3.0": "GPL-3", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    names = [k for k, f in long.items() if (place / f).exists()]
+    for k in names:
+        text_ = (place / long[k]).read_text()
+        rows[len(rows)] = "\n".join(x.strip() for x in text_.splitlines()).replace(" license ", " licence ")
+    d = spark.createDataFrame([(i, t, "x", "y") for i, t in rows.items()], "doc_id int, text string, digest string, license string")
+    got = {r.doc_id: r.license for r in licenses.scanned(d).collect()}
+    mit, bsd = ["MIT"] * 2, ["BSD-2-Clause"] * 3
+    assert [got[i] for i in range(n)] == [*mit, *bsd, "ISC", "MIT", "Zlib", "BSD-3-Clause", "Unlicense", None, None]
+    assert [got[n + i] for i in range(len(names))] == names
+    assert licenses.scanned(spark.createDataFrame([(1, "x " * 400_000)], "doc_id int, text string")).first().license is None
