@@ -1,20 +1,23 @@
 """Scoring by a log-bilinear neural language model trained with noise-contrastive estimation.
 
 Tokens are runs of other characters than ASCII white space, A-Z folded, and one
-end for each text; they are told apart by 64-bit hashes. The neural vocabulary
-holds the most frequent tokens and one class for all others. With context
-vectors r of the two tokens before, q = C1 r1 + C2 r2, and the score of token w
-is q . r_w + b_w; noise-contrastive estimation learns it against the unigram
-noise. Every partition of the training texts trains from the same start on all
-of its tokens; the parameters are averaged with the partitions' token counts as
-weights. The normaliser of every context is one batched matrix product over
-the vocabulary, so the scores are normalised log-probabilities.
-
-Within the class of the others, a token seen c times has (c - D) / n of the
+end for each text; they are told apart by 64-bit hashes. Every token type, seen
+or not, is an outcome with a vector: the end and the ``plain`` most frequent
+types have one each, all others share ``buckets`` vectors, dealt by their hash,
+as targets and as contexts. With context vectors r of the two tokens before,
+q = C1 r1 + C2 r2, and the score of outcome w is q . r_w + b_w; noise-contrastive
+estimation learns it against the unigram noise. Learners, one for about
+``LEARN`` tokens of text, train from the same start on all of their tokens, and
+their parameters are averaged with their token counts as weights, so scores
+depend a little on how the input is split into partitions. The normaliser of
+every context is one batched matrix product over the outcomes, made by tasks of
+the cluster, so the scores are normalised log-probabilities.
+
+Within a bucket of n training tokens, a type seen c times has (c - D) / n of the
 mass, and all unseen ones together, one outcome as in the base score, the rest;
-D is n1 / (n1 + 2 n2) of the training counts. Counts of the ``head`` most
-frequent tokens go to the scorers (a bounded table); rarer tokens are joined
-with the counts by a shuffle.
+D is n1 / (n1 + 2 n2) of the training counts. A bucket without training tokens
+is all unseen. Counts of about the ``head`` most frequent types go to the scorers
+(a bounded table); rarer types are joined with the counts by a shuffle.
 
 A null text is empty: one end. Null ids train (crc32 of nothing is 0). Repeated
 rows are scored each for itself; other columns are ignored, whatever their
@@ -35,7 +38,8 @@ from .storage import written
 from .text import NONSPACE, U64, Lookup, Texts, slices
 
 END = U64(0x656E64)
-VOCABULARY, WIDTH, HEAD, NOISE, BATCH, RATE, ROUNDS = 1024, 32, 1 << 17, 64, 4096, 0.05, 1
+PLAIN, BUCKETS, WIDTH, HEAD = 1023, 1024, 32, 1 << 17
+NOISE, BATCH, RATE, LEARN = 64, 4096, 0.05, 4 << 20
 
 
 def _stream(t: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -93,11 +97,12 @@ class Lbl:
         seen += grad.flat**2
         self.flat -= np.float32(RATE) * grad.flat / np.sqrt(seen + np.float32(1e-8))
 
-    def normaliser(self) -> np.ndarray:
-        """log Z of each context (w1, w2), a matrix product for each w1."""
-        q1, q2 = self.r @ self.c[0].T, self.r @ self.c[1].T
-        out = np.empty((self.v, self.v), dtype=np.float32)
-        for i in range(self.v):
+    def normaliser(self, rows: np.ndarray | None = None) -> np.ndarray:
+        """log Z of the contexts (w1, w2) of each w1 in ``rows`` (all by default), a matrix product for each."""
+        rows = np.arange(self.v) if rows is None else rows
+        q1, q2 = self.r[rows] @ self.c[0].T, self.r @ self.c[1].T
+        out = np.empty((len(rows), self.v), dtype=np.float32)
+        for i in range(len(rows)):
             s = (q1[i] + q2) @ self.r.T + self.b
             top = s.max(axis=1, keepdims=True)
             out[i] = (top + np.log(np.exp(s - top).sum(axis=1, keepdims=True)))[:, 0]
@@ -105,21 +110,56 @@ class Lbl:
 
 
 def _contexts(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two neural ids before each token of its own text; ends (1) before its start."""
-    w1, w2 = np.ones(len(ids), dtype=ids.dtype), np.ones(len(ids), dtype=ids.dtype)
+    """The two outcomes before each token of its own text; ends (0) before its start."""
+    w1, w2 = np.zeros(len(ids), dtype=ids.dtype), np.zeros(len(ids), dtype=ids.dtype)
     w1[1:], w2[2:] = ids[:-1], ids[:-2]
     start = bounds[:-1]
-    w1[start] = w2[start] = 1
-    w2[start[start + 1 < bounds[1:]] + 1] = 1
+    w1[start] = w2[start] = 0
+    w2[start[start + 1 < bounds[1:]] + 1] = 0
     return w1, w2
 
 
-def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = VOCABULARY, width: int = WIDTH, head: int = HEAD, modulus: int = 7, held: int = 2) -> DataFrame:
-    """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
-    out = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(modulus)) == held
-    base = docs.select(F.col(id_col).alias("id"), out.alias("held_out"), F.col(text_col).alias("text"))
-    taught = base.where("not held_out").select("text")
+class Types:
+    """The frequent types with their counts, and the totals of the training tokens."""
+
+    def __init__(self, tok: np.ndarray, c: np.ndarray, totals: tuple[int, int, int, int], sums: np.ndarray, kinds: np.ndarray, plain: int):
+        order = np.lexsort((tok, -c))
+        self.tok, self.c = tok[order], c[order]
+        self.total, self.types, once, twice = totals
+        self.table = Lookup(self.tok)
+        own = np.flatnonzero(self.tok != END)[:plain]
+        self.first = 1 + len(own)  # the first bucket's outcome; the end's is 0
+        self.buckets = len(sums)
+        self.outcome = self.first + self.bucket(self.tok)
+        self.outcome[own] = 1 + np.arange(len(own))
+        self.outcome[self.tok == END] = 0
+        alone = np.flatnonzero(self.outcome < self.first)
+        self.n = sums - np.bincount(self.bucket(self.tok[alone]), self.c[alone], self.buckets)
+        kinds = kinds - np.bincount(self.bucket(self.tok[alone]), minlength=self.buckets)
+        mass = np.zeros(self.first + self.buckets)
+        mass[self.outcome[alone]] = self.c[alone]
+        mass[self.first :] = self.n
+        self.unigram = (mass + 0.5) / (mass.sum() + 0.5 * len(mass))
+        self.discount = once / (once + 2 * twice) if once and twice else 0.5
+        #: log10 shares within each bucket: of its tokens, and of what no training text holds.
+        self.log_n = np.log10(np.maximum(self.n, 1.0))
+        self.unseen = np.where(self.n > 0, np.log10(np.maximum(self.discount * kinds, 1e-300)) - self.log_n, 0.0)
+
+    def bucket(self, h: np.ndarray) -> np.ndarray:
+        return (h & U64(self.buckets - 1)).astype(np.int64)
+
+    def numbers(self, t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(hashes, bounds, places in the table or -1, outcomes)."""
+        h, bounds = _stream(t)
+        at = self.table.find(h)
+        out = self.first + self.bucket(h)
+        known = at >= 0
+        out[known] = self.outcome[at[known]]
+        return h, bounds, at, out
+
+
+def counted(taught: DataFrame, head: int = HEAD, plain: int = PLAIN, buckets: int = BUCKETS) -> tuple[DataFrame, Types]:
+    """((tok, c) of all training types, the frequent ones for the scorers). ``buckets`` is a power of two."""
 
     def count(batches):
         for batch in batches:
@@ -129,76 +169,111 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 
     counts = written(taught.mapInArrow(count, "tok long, n long").groupBy("tok").agg(F.sum("n").alias("c")), "counts")
     of = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-    total, types, once, twice = map(int, of)
-    # The most frequent tokens, down to the count class (eighths of a power of two)
-    # that keeps them within ``head``: nothing is sorted over the cluster for it.
+    bucket = F.col("tok").bitwiseAND(F.lit(buckets - 1))
+    per = counts.groupBy(bucket.alias("b")).agg(F.sum("c").alias("n"), F.count("*").alias("k")).collect()  # a row for each bucket
+    sums, kinds = np.zeros(buckets), np.zeros(buckets)
+    for r in per:
+        sums[r.b], kinds[r.b] = r.n, r.k
+    # Whole count classes (eighths of a power of two) from the top, and of the first that
+    # doesn't fit a part by hash: nothing is sorted over the cluster for it.
     level = F.floor(F.log2("c") * 8).cast("int")
-    sizes = sorted(((r.k, r.n) for r in counts.groupBy(level.alias("k")).agg(F.count("*").alias("n")).collect()), reverse=True)  # a few hundred classes
-    least, held = 1 << 20, 0
-    for k, n in sizes:
-        if (held := held + n) > head:
+    sizes = counts.groupBy(level.alias("k")).agg(F.count("*").alias("n")).collect()  # a few hundred classes
+    room, edge, share = head, -1, 0.0
+    for r in sorted(sizes, key=lambda r: -r.k):
+        if r.n > room:
+            edge, share = r.k, room / r.n
             break
-        least = k
-    top = counts.where(level >= least).toArrow()
-    tok, c = top["tok"].to_numpy().view(U64), top["c"].to_numpy()
-    order = np.lexsort((tok, -c))
-    tok, c = tok[order], c[order]
-    end_at = np.flatnonzero(tok == END)
-    neural = np.zeros(len(tok), dtype=np.int32)  # 0: the class of the others, 1: the end
-    plain = np.flatnonzero(tok != END)[: vocabulary - 2]
-    neural[plain] = np.arange(2, 2 + len(plain))
-    neural[end_at] = 1
-    v = 2 + len(plain)
-    mass = np.zeros(v)
-    mass[neural[neural > 0]] = c[neural > 0]
-    others = total - int(mass.sum())  # tokens of the class of the others
-    kinds = types - int((neural > 0).sum())
-    mass[0] = others
-    unigram = (mass + 0.5) / (mass.sum() + 0.5 * v)
-    discount = once / (once + 2 * twice) if once and twice else 0.5
-    rare = math.log10(discount * kinds / others) if others else 0.0
-    shared = spark.sparkContext.broadcast((Lookup(tok), neural, c))
-
-    def numbers(t: Texts):
-        table, neural, _ = shared.value
-        h, bounds = _stream(t)
-        at = table.find(h)
-        return h, bounds, at, np.where(at >= 0, neural[at], 0) if len(neural) else np.zeros(len(h), dtype=np.int32)
-
-    def learner(flat):
-        def learn(batches):
-            model, seen, n = Lbl(flat.value.copy(), v, width), np.full(len(flat.value), 1e-6, dtype=np.float32), 0
-            rng = np.random.default_rng(9)
-            for batch in batches:
-                for _, _, t in slices(batch.column(0), 8 << 20):
-                    _, bounds, _, ids = numbers(t)
-                    w1, w2 = _contexts(ids, bounds)
-                    for i in range(0, len(ids), BATCH):
-                        model.train(ids[i : i + BATCH], w1[i : i + BATCH], w2[i : i + BATCH], unigram, seen, rng)
-                    n += len(ids)
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([model.flat.astype(np.float64)])], names=["n", "flat"])
-
-        return learn
-
-    model = Lbl.start(unigram, width)
-    for _ in range(ROUNDS if total else 0):
-        made = taught.mapInArrow(learner(spark.sparkContext.broadcast(model.flat)), "n long, flat array<double>")
-        mean = made.select("n", F.posexplode("flat").alias("k", "x")).groupBy("k").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x")).toArrow()  # a number for each parameter
-        flat = np.empty(len(model.flat), dtype=np.float32)
-        flat[mean["k"].to_numpy()] = mean["x"].to_numpy()
-        model = Lbl(flat, v, width)
-    ready = spark.sparkContext.broadcast((model.flat, model.normaliser()))
+        room -= r.n
+    dice = F.pmod(F.xxhash64("tok"), F.lit(1 << 20)) < int(share * (1 << 20))
+    # The end of a text is always there, so that it has its outcome.
+    top = counts.where((level > edge) | (level == edge) & dice | (F.col("tok") == int(END))).toArrow()
+    return counts, Types(top["tok"].to_numpy().view(U64), top["c"].to_numpy(), tuple(map(int, of)), sums, kinds, plain)
+
+
+def fitted(taught: DataFrame, types: Types, width: int = WIDTH, learn: int = LEARN) -> tuple[Lbl, np.ndarray]:
+    """(model, log Z of every pair of outcomes)."""
+    spark = taught.sparkSession
+    model, v = Lbl.start(types.unigram, width), len(types.unigram)
+    shared, begin = spark.sparkContext.broadcast(types), spark.sparkContext.broadcast(model.flat)
+
+    def teach(batches):
+        own, n, seen = Lbl(begin.value.copy(), v, width), 0, np.full(len(begin.value), 1e-6, dtype=np.float32)
+        unigram, rng = shared.value.unigram, np.random.default_rng(9)
+        for batch in batches:
+            for _, _, t in slices(batch.column(0), 8 << 20):
+                _, bounds, _, ids = shared.value.numbers(t)
+                w1, w2 = _contexts(ids, bounds)
+                for i in range(0, len(ids), BATCH):
+                    own.train(ids[i : i + BATCH], w1[i : i + BATCH], w2[i : i + BATCH], unigram, seen, rng)
+                n += len(ids)
+        if n:
+            yield _vector(n, own.flat)
+
+    def add(batches):
+        n, total = 0, np.zeros(len(begin.value))
+        for batch in batches:
+            for k, flat in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                n, total = n + k, total + k * np.frombuffer(flat, dtype=np.float32)
+        if n:
+            yield _vector(n, total / n)
+
+    if types.total:
+        learners = max(1, -(-types.total // learn))
+        made = taught.coalesce(learners).mapInArrow(teach, "n long, flat binary").withColumn("k", F.spark_partition_id() % 16)
+        # Sums stream through 16 tasks; 16 vectors of a fixed size come to the driver.
+        rows = made.repartition(16, "k").select("n", "flat").mapInArrow(add, "n long, flat binary").collect()
+        mean = sum(r.n * np.frombuffer(r.flat, dtype=np.float32).astype(np.float64) for r in rows) / sum(r.n for r in rows)
+        model = Lbl(mean.astype(np.float32), v, width)
+    final = spark.sparkContext.broadcast(model.flat)
+
+    def normal(batches):
+        own = Lbl(final.value, v, width)
+        for batch in batches:
+            at = np.asarray(batch.column(0))
+            for i in range(0, len(at), 16):
+                z = own.normaliser(at[i : i + 16])
+                yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 16]), pa.array([x.tobytes() for x in z], pa.binary())], names=["i", "z"])
+
+    rows = spark.range(0, v, 1, max(1, v // 32)).mapInArrow(normal, "i long, z binary").toArrow()  # v rows of v numbers
+    order = np.argsort(rows["i"].to_numpy())
+    z = np.frombuffer(b"".join(rows["z"].to_pylist()), dtype=np.float32).reshape(v, v)
+    return model, z[order]
+
+
+def _vector(n: int, flat: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([flat.astype(np.float32).tobytes()], pa.binary())], names=["n", "flat"])
+
+
+def scores(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    plain: int = PLAIN,
+    buckets: int = BUCKETS,
+    width: int = WIDTH,
+    head: int = HEAD,
+    modulus: int = 7,
+    held: int = 2,
+) -> DataFrame:
+    """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    spark = docs.sparkSession
+    out = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(modulus)) == held
+    base = docs.select(F.col(id_col).alias("id"), out.alias("held_out"), F.col(text_col).alias("text"))
+    taught = base.where("not held_out").select("text")
+    counts, types = counted(taught, head, plain, buckets)
+    model, logz = fitted(taught, types, width)
+    shared = spark.sparkContext.broadcast(types)
+    ready = spark.sparkContext.broadcast((model.flat, logz))
 
     def score(batches):
-        table, neural, c = shared.value
+        own = shared.value
         flat, logz = ready.value
-        m = Lbl(flat, v, width)
+        m = Lbl(flat, len(own.unigram), width)
         q1, q2 = m.r @ m.c[0].T, m.r @ m.c[1].T
-        log_c, log_d = np.log10(c + 1.0), np.log10(np.maximum(c - discount, 1e-300))
+        log_c, log_d = np.log10(own.c + 1.0), np.log10(np.maximum(own.c - own.discount, 1e-300))
         for batch in batches:
             for i, j, t in slices(batch.column(2)):
-                h, bounds, at, ids = numbers(t)
+                h, bounds, at, ids = own.numbers(t)
                 w1, w2 = _contexts(ids, bounds)
                 p = np.empty(len(ids))
                 for a in range(0, len(ids), 1 << 16):
@@ -206,23 +281,43 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
                     p[s] = np.einsum("ij,ij->i", q1[w1[s]] + q2[w2[s]], m.r[ids[s]]) + m.b[ids[s]] - logz[w1[s], w2[s]]
                 p /= math.log(10)
                 known = at >= 0
-                inside = known & (ids == 0)
-                p[inside] += log_d[at[inside]] - math.log10(max(1, others))
-                b = np.where(known, log_c[at], 0.0) if len(c) else np.zeros(len(h))
+                inside = known & (ids >= own.first)
+                p[inside] += log_d[at[inside]] - own.log_n[ids[inside] - own.first]
+                b = np.where(known, log_c[at], 0.0) if len(own.c) else np.zeros(len(h))
                 size = np.diff(bounds)
                 add = lambda x: np.add.reduceat(x, bounds[:-1]) if len(x) else x  # noqa: E731  every text has its end
                 miss = np.flatnonzero(~known)
                 doc = np.repeat(np.arange(j - i), size)[miss]
                 ends = np.searchsorted(doc, np.arange(j - i + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(h[miss].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(size.astype(np.int64)), pa.array(add(known.astype(np.int64))), pa.array(add(b)), pa.array(add(p)), lists, batch.column(3).slice(i, j - i)], names=["id", "held_out", "n_tokens", "n_known", "base", "score", "rest", "row"])
+                sums = [pa.array(size.astype(np.int64)), pa.array(add(known.astype(np.int64))), pa.array(add(b)), pa.array(add(p))]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), *sums, lists, batch.column(3).slice(i, j - i)],
+                    names=["id", "held_out", "n_tokens", "n_known", "base", "score", "rest", "row"],
+                )
 
-    schema = base.select("id", "held_out").schema.add("n_tokens", "long").add("n_known", "long").add("base", "double").add("score", "double").add("rest", ArrayType(LongType())).add("row", "long")
+    schema = base.select("id", "held_out").schema.add("n_tokens", "long").add("n_known", "long").add("base", "double").add("score", "double")
+    schema = schema.add("rest", ArrayType(LongType())).add("row", "long")
     told = written(base.withColumn("row", F.monotonically_increasing_id()).mapInArrow(score, schema), "scored")
     rest = told.select("row", F.explode("rest").alias("tok")).groupBy("row", "tok").agg(F.count("*").alias("m"))
-    rest = rest.join(counts, "tok", "left")
-    inner = F.when(F.col("c").isNull(), F.lit(rare)).otherwise(F.log10(F.col("c") - discount) - math.log10(max(1, others)))
-    rest = rest.groupBy("row").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("m")).otherwise(0)).alias("known"), F.sum(F.col("m") * F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("b"), F.sum(F.col("m") * inner).alias("s"))
+    inner = spark.createDataFrame(list(zip(range(buckets), types.log_n.tolist(), types.unseen.tolist())), "b long, log_n double, unseen double")
+    rest = rest.join(counts, "tok", "left").withColumn("b", F.col("tok").bitwiseAND(F.lit(buckets - 1)))
+    rest = rest.join(F.broadcast(inner), "b")  # a row for each bucket
+    share = F.when(F.col("c").isNull(), F.col("unseen")).otherwise(F.log10(F.col("c") - types.discount) - F.col("log_n"))
+    m = F.col("m")
+    rest = rest.groupBy("row").agg(
+        F.sum(F.when(F.col("c").isNotNull(), m).otherwise(0)).alias("known"),
+        F.sum(m * F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("b"),
+        F.sum(m * share).alias("s"),
+    )
     full = told.join(rest, "row", "left")
     zero = F.lit(0.0)
-    return full.select(F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("b", zero) - F.col("n_tokens") * math.log10(total + types + 1)).alias("base_score"), (F.col("score") + F.coalesce("s", zero)).alias("score"))
+    return full.select(
+        F.col("id").alias(id_col),
+        "held_out",
+        "n_tokens",
+        (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
+        F.lit(types.total).cast("long").alias("train_tokens"),
+        (F.col("base") + F.coalesce("b", zero) - F.col("n_tokens") * math.log10(types.total + types.types + 1)).alias("base_score"),
+        (F.col("score") + F.coalesce("s", zero)).alias("score"),
+    )

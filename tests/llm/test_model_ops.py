@@ -4,10 +4,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from siftgraph.llm import chat, lm, neighbours as nb, quality as q, shards as sh
+from siftgraph.llm import chat, lm, neighbours as nb, quality as q, shards as sh, text
 
 LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -58,10 +59,53 @@ def test_lm_learns_and_is_normalised(scored):
 
 
 def test_lm_rare_words_by_shuffle(docs, scored):
-    few = lm.scores(docs, head=40, vocabulary=20)
+    few = lm.scores(docs, head=40, plain=20, buckets=8)
     base = {(r.doc_id, r.n_tokens): round(r.base_score, 6) for r in scored}
     for r in few.collect():
         assert base[r.doc_id, r.n_tokens] == round(r.base_score, 6)
+    assert lm.scores(docs, head=0, plain=5, buckets=2).count() == docs.count()
+
+
+def test_lm_score_against_brute_force(docs, monkeypatch):
+    """The trained model, token by token from its definition; in each context all outcomes sum to one."""
+    kept = []
+    monkeypatch.setattr(lm, "fitted", lambda taught, types, width, fit=lm.fitted: kept.append((taught, types, fit(taught, types, width))) or kept[-1][2])
+    got = {(r.doc_id, r.n_tokens): r.score for r in lm.scores(docs, head=40, plain=20, buckets=8).collect()}
+    taught, types, (m, _) = kept[0]
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW))
+
+    def hashed(w):
+        ((_, _, t),) = text.slices(pa.array([w]))
+        return int(t.hashes(*t.words(text.NONSPACE)[:2])[0])
+
+    end = int(lm.END)
+    c = Counter(h for r in taught.collect() for h in [*map(hashed, words(r.text)), end])
+    singles = [end, *[int(x) for x in types.tok[(types.outcome > 0) & (types.outcome < types.first)]]]
+    assert types.first == 21 and sorted(c[x] for x in singles[1:])[0] >= sorted(c.values())[-21]
+    place = {x: i for i, x in enumerate(singles)}
+    out = lambda h: place.get(h, 21 + h % 8)
+    ones, twos = (sum(v == i for v in c.values()) for i in (1, 2))
+    d = ones / (ones + 2 * twos) if ones and twos else 0.5
+
+    def logp(w1, w2):
+        s = (m.c[0] @ m.r[w1] + m.c[1] @ m.r[w2]) @ m.r.T.astype(np.float64) + m.b
+        return s - np.log(np.exp(s).sum())
+
+    def share(h):
+        own = {k: n for k, n in c.items() if k not in place and k % 8 == h % 8}
+        if h in place:
+            return 1.0
+        return ((c[h] - d) if h in own else d * len(own)) / sum(own.values()) if own else 1.0
+
+    for r in docs.where("doc_id in (3, 12, 902) or doc_id is null").collect():
+        h, w1, w2, want = [*map(hashed, words(r.text)), end], 0, 0, 0.0
+        for x in h:
+            want += logp(w1, w2)[out(x)] / math.log(10) + math.log10(share(x))
+            w1, w2 = out(x), w1
+        assert abs(got[r.doc_id, len(h)] - want) < 1e-3 * len(h)
+    total = sum(np.exp(logp(3, 22)[out(h)]) * share(h) for h in c)
+    total += sum(np.exp(logp(3, 22)[21 + b]) * share(-8 + b) for b in range(8))  # what no text holds, of each bucket
+    assert abs(total - 1) < 1e-6
     assert lm.scores(docs.limit(0)).count() == 0
 
 
