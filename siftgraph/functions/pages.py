@@ -1,12 +1,18 @@
-"""Facts in page sources as Column expressions; entities are unescaped by one table."""
+"""Facts in page sources as Column expressions.
+
+Character references are resolved by a pandas UDF, applied to the extracted
+strings alone (a title, never a page), since no built-in function has the table
+of names."""
 
 from __future__ import annotations
 
 import html
+import re
+import unicodedata
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -15,10 +21,11 @@ from .domains import plausible_tracker
 # Tracker ids and the copyright notice in page sources.
 TRACKERS = (r"UA-[0-9]{4,10}-[0-9]{1,4}", r"G-[A-Z0-9]{6,12}", r"GTM-[A-Z0-9]{4,10}", r"ca-pub-[0-9]{10,20}")
 COPYRIGHT = r"(?i)(?:\x{00A9}|&copy;|copyright)\s*(?:[0-9]{4}(?:\s*[-\x{2013}\x{2014}]\s*[0-9]{4})?)?[\s,]*([A-Za-z0-9][A-Za-z0-9&.,'\- ]{2,60})"
-_SUFFIX = r"(?:Inc\.?|Incorporated|LLC|L\.L\.C\.?|Ltd\.?|Limited|Corporation|Corp\.?|Company|Co\.?|plc|L\.P\.?|LP|GmbH|S\.A\.?|B\.V\.?)"
+# Endings of legal names, statements that name a legal entity, paths of legal pages.
+LEGAL_SUFFIX = r"(?:Inc\.?|Incorporated|LLC|L\.L\.C\.?|Ltd\.?|Limited|Corporation|Corp\.?|Company|Co\.?|plc|L\.P\.?|LP|GmbH|S\.A\.?|B\.V\.?)"
 LEGAL_ENTITY = (
     r"(?i)\b(?:legal\s+(?:name|entity)|company\s+name|owned\s+and\s+operated\s+by|operated\s+by|provided\s+by|website\s+is\s+operated\s+by)\s*[:\-]?\s*"
-    r"([A-Z][A-Za-z0-9&'\x{2019}.,()\- ]{1,100}?\s+" + _SUFFIX + r")(?=[.,;)]|$|\s+(?:is|with|whose|which|that|registered|having)\b)"
+    r"([A-Z][A-Za-z0-9&'\x{2019}.,()\- ]{1,100}?\s+" + LEGAL_SUFFIX + r")(?=[.,;)]|$|\s+(?:is|with|whose|which|that|registered|having)\b)"
 )
 LEGAL_PATH = r"(?i)(?:^|/)(?:privacy(?:-policy)?|terms(?:-of-(?:use|service))?|legal|imprint|impressum|about|company)(?:[/.?#-]|$)"
 
@@ -49,12 +56,17 @@ def spaces(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", " "), "^ | $", "")
 
 
+# Where a page states its title and description.
+TITLE = r"(?is)<title[^>]*>(.*?)</title>"
+DESCRIPTION = r"""(?is)<meta[^>]+name=["']description["'][^>]+content=["'](.*?)["']"""
+
+
 def title(source: Column, most: int = 200) -> Column:
-    return F.substring(spaces(F.regexp_extract(source, r"(?is)<title[^>]*>(.*?)</title>", 1)), 1, most)
+    return F.substring(spaces(unescaped(F.regexp_extract(source, TITLE, 1))), 1, most)
 
 
 def description(source: Column, most: int = 300) -> Column:
-    return F.substring(spaces(F.regexp_extract(source, r"""(?is)<meta[^>]+name=["']description["'][^>]+content=["'](.*?)["']""", 1)), 1, most)
+    return F.substring(spaces(unescaped(F.regexp_extract(source, DESCRIPTION, 1))), 1, most)
 
 
 def trackers(source: Column) -> Column:
@@ -70,15 +82,27 @@ def copyright_owner(source: Column) -> Column:
 
 
 def plain_text(source: Column) -> Column:
-    return spaces(F.regexp_replace(F.regexp_replace(source, r"(?is)<(script|style)\b.*?</\1>", " "), r"<[^>]+>", " "))
+    return spaces(unescaped(F.regexp_replace(F.regexp_replace(source, r"(?is)<(script|style)\b.*?</\1>", " "), r"<[^>]+>", " ")))
 
 
 def legal_entities(source: Column) -> Column:
     """Owners named on legal pages, first spelling of each, in order."""
     text = spaces(unescaped(F.regexp_replace(source, r"<[^>]+>", " ")))
     names = F.transform(F.regexp_extract_all(text, F.lit(LEGAL_ENTITY), F.lit(1)), lambda x: F.regexp_replace(spaces(x), r"^[ ,.;:-]+|[ ,.;:-]+$", ""))
-    first = F.aggregate(names, F.array().cast("array<string>"), lambda got, x: F.when(F.exists(got, lambda y: F.lower(y) == F.lower(x)), got).otherwise(F.array_append(got, x)))
-    return first
+    return folded_once(names)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def folded_once(names: pd.Series) -> pd.Series:
+    """The first spelling of each name, compared by full case folding, in order."""
+
+    def one(xs):
+        out: dict[str, str] = {}
+        for x in xs if xs is not None else []:
+            out.setdefault(x.casefold(), x)
+        return list(out.values())
+
+    return names.map(one)
 
 
 def legal_links(source: Column, base: Column, most: int = 2) -> Column:
@@ -89,3 +113,55 @@ def legal_links(source: Column, base: Column, most: int = 2) -> Column:
     apex = registrable(normalized_domain(base))
     own = F.filter(links, lambda u: u.rlike("^https?://") & (registrable(normalized_domain(u)) == apex) & F.regexp_extract(u, r"^https?://[^/?#]*([^?#]*)", 1).rlike(LEGAL_PATH))
     return F.slice(F.array_distinct(own), 1, most)
+
+
+@F.pandas_udf(StringType())
+def plain_name(name: pd.Series) -> pd.Series:
+    """A name as it is compared: compatibility forms, case folded, other than word characters as single spaces."""
+    return name.map(lambda s: " ".join(re.sub(r"\W+", " ", unicodedata.normalize("NFKC", s).casefold()).split()), na_action="ignore")
+
+
+@F.pandas_udf(StringType())
+def titled(label: pd.Series) -> pd.Series:
+    """Capitals after every character that isn't a letter, unlike ``initcap``."""
+    return label.map(str.title, na_action="ignore")
+
+
+def redirect_domain(domain: Column, final_url: Column) -> Column:
+    """The owner's domain that a page's last address belongs to, where it isn't the asked one's; else empty."""
+    from .domains import normalized_domain, registrable
+
+    host = F.regexp_extract(F.lower(final_url), r"^[^:/?#]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
+    apex = registrable(normalized_domain(host))
+    return F.coalesce(F.when(apex != registrable(domain), apex), F.lit(""))
+
+
+def root_alias(domain: Column) -> Column:
+    return titled(F.regexp_replace(F.split_part(domain, F.lit("."), F.lit(1)), "-", " "))
+
+
+def page_records(fetched: DataFrame) -> DataFrame:
+    """Records of fetched pages (domain, html, final_url, legal_html): the facts of the page and those of its legal page.
+
+    A missing page gives the alias alone; ``legal_html`` may be null.
+    """
+    html_, legal = F.coalesce("html", F.lit("")), F.coalesce("legal_html", F.lit(""))
+    alias = root_alias(F.col("domain"))
+    return fetched.select(
+        "domain",
+        title(html_).alias("title"),
+        description(html_).alias("description"),
+        F.filter(F.array(alias), lambda x: x != "").alias("aliases"),
+        trackers(html_).alias("tracker_ids"),
+        copyright_owner(html_).alias("copyright_org"),
+        F.coalesce("final_url", F.lit("")).alias("final_url"),
+        redirect_domain(F.col("domain"), F.coalesce("final_url", F.lit(""))).alias("redirect_domain"),
+        legal_entities(legal).alias("legal_entities"),
+    )
+
+
+def verified_trackers(candidates: DataFrame, pages: DataFrame) -> DataFrame:
+    """Candidates (domain, tracker_id) whose own root page (domain, html) holds the exact tracker: a semi join on both."""
+    held = pages.select("domain", F.explode(F.transform(trackers(F.coalesce("html", F.lit(""))), F.upper)).alias("tracker_id")).distinct()
+    asked = candidates.withColumn("tracker_id", F.upper(F.trim("tracker_id")))
+    return asked.join(held, ["domain", "tracker_id"], "left_semi")

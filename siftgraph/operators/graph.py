@@ -35,25 +35,35 @@ def expand(links: DataFrame, roots: DataFrame, max_depth: int, node_cap: int | N
     wave is written out so that plans don't grow. ``node_cap`` is tested between
     waves, where (depth, domain) decides who stays, so it isn't overshot.
     """
-    seen = roots.select("domain", F.lit(0).alias("depth")).distinct()
-    front = seen
+    front = cut(roots.select("domain", F.lit(0).alias("depth")).distinct())
+    waves, count = [front], front.count()
     for depth in range(1, max_depth + 1):
-        new = links.join(front.select(F.col("domain").alias("from_domain")), "from_domain").select(F.col("to_domain").alias("domain")).distinct()
-        new = _cut(new.join(seen, "domain", "left_anti").withColumn("depth", F.lit(depth)))
-        if new.isEmpty():
+        if node_cap is not None and count >= node_cap:
             break
-        seen, front = _cut(seen.unionByName(new)), new
-        if node_cap is not None and seen.count() >= node_cap:
+        new = links.join(front.select(F.col("domain").alias("from_domain")), "from_domain").select(F.col("to_domain").alias("domain")).distinct()
+        for wave in waves:  # the written waves before; only the new one is written now
+            new = new.join(wave.select("domain"), "domain", "left_anti")
+        front = cut(new.withColumn("depth", F.lit(depth)))
+        n = front.count()
+        if not n:
             break
+        waves.append(front)
+        count += n
+    seen = waves[0]
+    for wave in waves[1:]:
+        seen = seen.unionByName(wave)
     return seen if node_cap is None else seen.orderBy("depth", "domain").limit(node_cap)
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint; in local runs without a folder for them, one of this machine."""
-    context = df.sparkSession.sparkContext
-    place = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the folder that ``spark.checkpoint.dir`` names; only a local session may do without one."""
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        place = spark.conf.get("spark.checkpoint.dir", None)
         if place is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir isn't set: executors need a folder that they share")
             import tempfile
 
             place = tempfile.mkdtemp(prefix="siftgraph-")
@@ -67,10 +77,13 @@ def unprocessed(nodes: DataFrame, processed: DataFrame) -> DataFrame:
 
 
 def both_ends(captures: DataFrame, key: str, order: list[str], k: int) -> DataFrame:
-    """Of each key the first ceil(k/2) and last floor(k/2) captures."""
+    """Of each key the first ceil(k/2) and last floor(k/2) captures: two ranks, each limited before its shuffle, and what both gave once."""
+    cols = captures.columns
     asc = F.row_number().over(Window.partitionBy(key).orderBy(*order))
     desc = F.row_number().over(Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order]))
-    return captures.withColumn("from_start", asc).withColumn("from_end", desc).where((F.col("from_start") <= (k + 1) // 2) | (F.col("from_end") <= k // 2))
+    first = captures.withColumn("__r", asc).where(F.col("__r") <= (k + 1) // 2)
+    last = captures.withColumn("__r", desc).where(F.col("__r") <= k // 2)
+    return first.select(*cols).unionByName(last.select(*cols)).distinct()
 
 
 def exactly_one(candidates: DataFrame, name: str, value: str) -> DataFrame:

@@ -48,6 +48,17 @@ def micro_dollars(model: Column, tokens_in: Column, tokens_out: Column) -> Colum
     return F.ceil(whole(tokens_in) * rate(0) + whole(tokens_out) * rate(1)).cast("long")
 
 
+#: Days after which prices are too old to be relied on.
+PRICE_DAYS = 90
+
+
+def priced(calls: DataFrame, reviewed: Column, today: Column) -> DataFrame:
+    """``calls`` (model, tokens_in, tokens_out) with ``cost`` in micro-dollars and ``refusal``: a model without a price, or prices reviewed too long ago, refuse the call."""
+    cost = micro_dollars(F.col("model"), F.col("tokens_in"), F.col("tokens_out"))
+    refusal = F.when(F.datediff(today, reviewed) > PRICE_DAYS, "stale prices").when(cost.isNull(), "unknown model")
+    return calls.withColumn("refusal", refusal).withColumn("cost", F.when(F.col("refusal").isNull(), cost))
+
+
 def token_bound(text: Column) -> Column:
     """No tokenizer makes more tokens than bytes."""
     return F.octet_length(text).cast("long")

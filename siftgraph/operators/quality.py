@@ -65,3 +65,98 @@ def pivot_scores(predicted: DataFrame, expected: DataFrame) -> DataFrame:
     wrong = p.join(expected.select(*keys).distinct(), keys, "left_anti").groupBy("case_id").agg(F.count("*").alias("fp"))
     out = groups.join(hits, "case_id", "full").join(wrong, "case_id", "full").select("case_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("groups", "tp", "fp")])
     return ratios(out.withColumn("fn", F.col("groups") - F.col("tp")), "tp", "fp", "groups")
+
+
+def predicted_domains(runs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(run_id, domain): the owners' domains of a run's domain nodes, without its root's; nodes that aren't domain names count for nothing."""
+    from .validation import owner
+
+    root = runs.select("run_id", owner(F.col("root_domain")).alias("__root"))
+    own = nodes.where("node_type = 'domain'").select("run_id", owner(F.col("value_norm")).alias("domain")).where("domain is not null")
+    return own.join(root, "run_id").where("domain <> __root").select("run_id", "domain").distinct()
+
+
+USAGE = ("calls", "upstream_requests", "latency_ms", "units")
+
+
+def usage_totals(usage: DataFrame, keys: list[str]) -> DataFrame:
+    """Sums of the four measures of each graph; 0 where a row lacks one."""
+    return usage.groupBy(*keys).agg(*[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in USAGE])
+
+
+def costs(comparisons: DataFrame, baseline: DataFrame, candidate: DataFrame, keys: list[str]) -> DataFrame:
+    """``comparisons`` with the usage deltas of candidate and baseline, and what each new true positive cost; null where nothing was gained or less was used."""
+    side = lambda df, p: usage_totals(df, keys).select(*keys, *[F.col(c).alias(f"{p}_{c}") for c in USAGE])
+    out = comparisons.join(side(baseline, "b"), keys, "left").join(side(candidate, "c"), keys, "left")
+    zero = F.lit(0)
+    for c in USAGE:
+        out = out.withColumn(f"{c}_delta", F.coalesce(f"c_{c}", zero) - F.coalesce(f"b_{c}", zero))
+    for c in ("calls", "units"):
+        d = F.col(f"{c}_delta")
+        out = out.withColumn(f"{c}_per_new_tp", F.when((F.col("new_tp") > 0) & (d >= 0), d.cast("double") / F.col("new_tp")))
+    return out.drop(*[f"{p}_{c}" for p in "bc" for c in USAGE])
+
+
+MIN_CASES, MIN_POSITIVE_CASES, MIN_ABSTENTIONS, MIN_LIFT = 20, 10, 5, 0.05
+
+
+def accepted_pivots(candidates: DataFrame, least: float = 0.4) -> DataFrame:
+    """(case_id, id_type, value): valid candidates of at least ``least``, in normal form, each once."""
+    from ..functions.domains import normalized_identifier, valid_pivot
+
+    good = candidates.where((F.col("score") >= least) & valid_pivot(F.col("id_type"), F.col("value"), F.col("score")))
+    return good.select("case_id", "id_type", normalized_identifier(F.col("id_type"), F.col("value")).alias("value")).where("value is not null").distinct()
+
+
+def pivot_benchmark(cases: DataFrame, expected: DataFrame, baseline: DataFrame, model: DataFrame, calls: DataFrame, cloud: bool = False) -> DataFrame:
+    """One row for saved model outputs: what the rules find (``baseline``), what they and the model find together (``assisted``), the lift, abstention, and whether the model may be recommended.
+
+    cases (case_id, corpus_class, expected_abstain), expected (case_id, id_type, value, group: alternatives share
+    one), baseline and model (case_id, id_type, value, score), calls (case_id, disposition, tokens, cost).
+    """
+    keys = ["case_id", "id_type", "value"]
+    from ..functions.domains import normalized_identifier
+
+    groups = expected.select("case_id", "id_type", normalized_identifier(F.col("id_type"), F.col("value")).alias("value"), "group").distinct()
+    rules = accepted_pivots(baseline)
+    both = rules.union(accepted_pivots(model)).distinct()
+    total = groups.select("case_id", "group").distinct().agg(F.count("*").alias("groups"))
+
+    def score(found: DataFrame, p: str) -> DataFrame:
+        hit = found.join(groups, keys).select("case_id", "group").distinct().agg(F.count("*").alias(f"{p}tp"))
+        wrong = found.join(groups.select(*keys).distinct(), keys, "left_anti").agg(F.count("*").alias(f"{p}fp"))
+        return hit.withColumn("__k", F.lit(0)).join(wrong.withColumn("__k", F.lit(0)), "__k")
+
+    out = total.withColumn("__k", F.lit(0))  # one row each from here
+    for found, p in ((rules, "baseline_"), (both, "assisted_")):
+        out = ratios(out.join(score(found, p), "__k"), f"{p}tp", f"{p}fp", "groups", p)
+    state = F.coalesce("disposition", F.lit("missing"))
+    c = cases.join(calls, "case_id", "left").withColumn("disposition", state)
+    right = F.when(F.col("expected_abstain"), F.col("disposition") == "abstained").otherwise(F.col("disposition") == "accepted")
+    all_known = lambda col: F.when(F.count_if(F.col(col).isNull()) == 0, F.sum(col))
+    per = c.agg(
+        F.count("*").alias("cases"),
+        F.count_if(~F.col("expected_abstain")).alias("positive_cases"),
+        F.count_if("expected_abstain").alias("abstention_cases"),
+        F.count_if(F.col("corpus_class") != "held_out").alias("synthetic_cases"),
+        F.try_divide(F.count_if(F.col("expected_abstain") & right), F.count_if("expected_abstain")).alias("abstention_accuracy"),
+        F.count_if(F.col("disposition").isin("invalid", "error", "missing")).alias("invalid_or_error_count"),
+        all_known("tokens").alias("tokens"),
+        all_known("cost").alias("cost"),
+        F.count_if(F.col("cost").isNull()).alias("unpriced"),
+    )
+    out = out.join(per.withColumn("__k", F.lit(0)), "__k").drop("__k")
+    out = out.withColumn("recall_lift", F.col("assisted_recall") - F.col("baseline_recall")).withColumn("precision_delta", F.col("assisted_precision") - F.col("baseline_precision"))
+    rule = lambda bad, text: F.when(F.coalesce(bad, F.lit(True)), text)
+    reasons = [
+        rule(F.col("synthetic_cases") > 0, "corpus contains synthetic cases"),
+        rule(F.col("cases") < MIN_CASES, f"requires at least {MIN_CASES} cases"),
+        rule(F.col("positive_cases") < MIN_POSITIVE_CASES, f"requires at least {MIN_POSITIVE_CASES} positive cases"),
+        rule(F.col("abstention_cases") < MIN_ABSTENTIONS, f"requires at least {MIN_ABSTENTIONS} abstention cases"),
+        rule(F.col("invalid_or_error_count") > 0, "all model outputs must be valid and completed"),
+        rule(F.col("precision_delta") < 0, "assisted precision must not regress from baseline"),
+        rule(F.col("recall_lift") < MIN_LIFT, f"recall lift must be at least {MIN_LIFT:.2f}"),
+        rule((F.col("unpriced") > 0) & F.lit(cloud), "cloud provider-reported cost must be known for every case"),
+    ]
+    out = out.withColumn("reasons", F.array_compact(F.array(*reasons))).drop("unpriced")
+    return out.withColumn("eligible", F.size("reasons") == 0)

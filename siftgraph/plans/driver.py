@@ -51,7 +51,17 @@ def blocked_hosts(spark, sf_dir):
 
 
 _SPACES = lambda x: f"trim(regexp_replace({x}, '\\s+', ' ', 'g'), ' ')"
-_TITLE = f"substr({_SPACES(chr(39).join(['regexp_extract(html, ', '(?is)<title[^>]*>(.*?)</title>', ', 1)']))}, 1, 200)"
+#: Character references that the pages hold.
+_REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#x27;", "''"), ("&eacute;", "é"), ("&mdash;", "—"), ("&ndash;", "–"), ("&nbsp;", " "), ("&copy;", "©"), ("&amp;", "&"))
+
+
+def _unescaped(x: str) -> str:
+    for a, b in _REFERENCES:
+        x = f"replace({x}, '{a}', '{b}')"
+    return x
+
+
+_TITLE = f"substr({_SPACES(_unescaped(chr(39).join(['regexp_extract(html, ', '(?is)<title[^>]*>(.*?)</title>', ', 1)'])))}, 1, 200)"
 
 
 @query(f"select page_id, {_TITLE} as title from pages")
@@ -302,10 +312,20 @@ def model_usage(spark, sf_dir):
     return mo.usage(rows, ["provider", "capability"], ["latency_ms"])
 
 
-@query("select count(*) filter (mod(event_id, 3) = 0) as dropped, count(*) filter (mod(event_id, 3) = 1) as stripped from events")
+_SCOPES = "case when event_id % 3 = 0 then 'none' when event_id % 3 = 1 then 'derived_only' else 'normalized' end"
+
+
+@query("select count(*) filter (mod(event_id, 3) = 0) as denied, count(*) filter (mod(event_id, 3) = 1) as restricted from events")
 def export_counts(spark, sf_dir):
-    scope = F.when(F.col("event_id") % 3 == 0, "none").when(F.col("event_id") % 3 == 1, "derived_only").otherwise("normalized")
-    return ex.exportable(table(spark, sf_dir, "events").select(scope.alias("export_scope"), F.col("props").alias("object_value_norm")))[1]
+    scoped = table(spark, sf_dir, "events").select(F.expr(_SCOPES).alias("export_scope"), F.col("props").alias("object_value_norm"))
+    return ex.exportable(scoped)[1]
+
+
+@query(f"""select event_id as claim_id, event_type as source, export_scope, case when export_scope = 'normalized' then user_id end as object from
+(select *, {_SCOPES} as export_scope from events) where export_scope <> 'none'""")
+def exported_evidence(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("claim_id"), F.col("event_type").alias("source"), F.expr(_SCOPES).alias("export_scope"), F.col("user_id").alias("object"))
+    return ex.exportable_evidence(e)
 
 
 @query("select domain, id_type, value, score::double as score from v_pivots where id_type <> 'other' and score <= 0.9", "pivots")

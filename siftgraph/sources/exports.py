@@ -16,34 +16,60 @@ def graphs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
+# What of a piece of evidence may leave where its values may not.
+DERIVED = ("observation_id", "polarity", "weight", "reason", "created_at", "source", "predicate", "observed_at", "source_family", "data_policy_version", "export_scope", "raw_retention")
+
+
 def exportable(observations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows that may be exported, counts of dropped and stripped ones). ``none`` stays inside; ``derived_only`` leaves without values."""
-    kept = observations.where("export_scope <> 'none'")
-    strip = F.col("export_scope") == "derived_only"
-    for c in ("object_value_norm", "normalized", "raw_hash", "source_record_id"):
-        if c in kept.columns:
-            kept = kept.withColumn(c, F.when(~strip, F.col(c)))
-    counts = observations.agg(F.count_if(F.col("export_scope") == "none").alias("dropped"), F.count_if(F.col("export_scope") == "derived_only").alias("stripped"))
-    return kept, counts
+    """(observations that may be exported, counts of those kept back). Only scope ``normalized``, the default, leaves; ``derived_only`` ones are restricted, all others denied."""
+    scope = F.coalesce(F.nullif("export_scope", F.lit("")), F.lit("normalized"))
+    denied = ~scope.isin("normalized", "derived_only")
+    counts = observations.agg(F.count_if(denied).alias("denied"), F.count_if(scope == "derived_only").alias("restricted"))
+    return observations.where(scope == "normalized"), counts
+
+
+def exportable_evidence(evidence: DataFrame, keys: tuple[str, ...] = ("claim_id",)) -> DataFrame:
+    """Evidence rows that may be exported: of ``derived_only`` ones the derived columns alone, denied ones not at all."""
+    scope = F.coalesce(F.nullif("export_scope", F.lit("")), F.lit("normalized"))
+    kept = evidence.where(scope.isin("normalized", "derived_only"))
+    bare = [c for c in kept.columns if c not in (*DERIVED, *keys)]
+    return kept.select(*[F.when(scope == "normalized", F.col(c)).alias(c) if c in bare else F.col(c) for c in kept.columns])
+
+
+def egress_text(value: Column, most: int = 1000) -> Column:
+    """A value as it may go to a model: without control characters, trimmed and bounded; null where nothing is left."""
+    v = F.regexp_replace(F.regexp_replace(value, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""), r"(?U)^\s+|\s+$", "")
+    return F.nullif(F.substring(v, 1, most), F.lit(""))
+
 
+def egress_list(values: Column, most: int = 250) -> Column:
+    texts = F.transform(F.slice(F.coalesce(values, F.array().cast("array<string>")), 1, most), lambda x: egress_text(x))
+    return F.filter(texts, lambda x: x.isNotNull())
 
-def egress_text(value: Column, cloud: bool, most: int = 1000) -> Column:
-    """A value as it may go to a model: no control characters, bounded, mail and phone masked for a remote one."""
-    v = F.substring(F.regexp_replace(value, r"[\x00-\x1F\x7F]", " "), 1, most)
-    if not cloud:
-        return v
-    v = F.regexp_replace(v, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[email]")
-    return F.regexp_replace(v, r"\+?[0-9][0-9 ().-]{7,}[0-9]", "[phone]")
 
+# The fields of the evidence that a model may see; people's own only if the model runs here.
+_TEXTS = ("domain", "registrant_org", "creation_date", "expiration_date", "title", "description", "copyright_org", "redirect_domain")
+_LISTS = ("nameservers", "aliases", "tracker_ids", "legal_entities", "subdomains")
+_PERSONAL = ("registrant_name", "registrant_email", "registrant_phone")
 
-def egress_list(values: Column, cloud: bool, most: int = 250) -> Column:
-    return F.slice(F.transform(values, lambda x: egress_text(x, cloud)), 1, most)
 
+def model_evidence(records: DataFrame, cloud: bool) -> DataFrame:
+    """Each record's allowed fields in their bounds; a model that runs elsewhere gets no personal ones."""
+    texts = _TEXTS if cloud else (*_TEXTS, *_PERSONAL)
+    return records.select(*[egress_text(F.col(c)).alias(c) for c in texts], *[egress_list(F.col(c)).alias(c) for c in _LISTS])
 
-def graph_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One JSON row for each run; a run's graph is capped by its node budget."""
-    n = nodes.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("node_type", "value_norm", "node_id"))).alias("nodes"))
-    e = edges.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("from_node_id", "relation_type", "to_node_id"))).alias("edges"))
+
+def graph_json(nodes: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
+    """One JSON row for each run of at most ``most`` nodes and ``most`` edges, which bounds the arrays; a larger run raises, since a cut graph is no export."""
+
+    def gathered(rows: DataFrame, order: tuple[str, ...], name: str) -> DataFrame:
+        size = rows.groupBy("run_id").agg(F.count("*").alias("__n"))
+        small = F.when(F.col("__n") <= most, F.col("run_id")).otherwise(F.raise_error(F.lit(f"more than {most} {name}")))
+        fits = rows.join(size, "run_id").withColumn("run_id", small)
+        return fits.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct(*order))).alias(name))
+
+    n = gathered(nodes, ("node_type", "value_norm", "node_id"), "nodes")
+    e = gathered(edges, ("from_node_id", "relation_type", "to_node_id"), "edges")
     return n.join(e, "run_id", "full").select("run_id", F.to_json(F.struct("run_id", "nodes", "edges")).alias("json"))
 
 
@@ -57,6 +83,23 @@ def orphans(child: DataFrame, parent: DataFrame, key: str, parent_key: str) -> D
     return child.join(parent.select(F.col(parent_key).alias(key)), key, "left_anti")
 
 
+def backup(tables: dict[str, DataFrame], folder: str) -> None:
+    """A copy of each table below a folder that all executors can write; a copy that exists is never replaced."""
+    for name, rows in tables.items():
+        rows.write.mode("error").parquet(f"{folder}/{name}")
+
+
+def restored(spark: SparkSession, folder: str, keys: dict[str, list[str]]) -> dict[str, DataFrame]:
+    """The tables of a backup, after a check that none repeats its keys."""
+    out = {}
+    for name, key in keys.items():
+        rows = spark.read.parquet(f"{folder}/{name}")
+        if not duplicate_keys(rows, key).isEmpty():
+            raise ValueError(f"backup of {name} repeats its keys")
+        out[name] = rows
+    return out
+
+
 def ascii_tree(edges: list[tuple[str, str, str]], root: str) -> str:
     """A small collected graph, (from, relation, to), as an indented tree; nodes met again are marked."""
     below: dict[str, list[tuple[str, str]]] = {}

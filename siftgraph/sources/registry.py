@@ -47,3 +47,17 @@ def with_policy(observations: DataFrame, policies: DataFrame) -> DataFrame:
 def over_limits(calls: DataFrame, table: DataFrame) -> DataFrame:
     """Recorded attempts that made more requests than their source may."""
     return calls.join(F.broadcast(table.select(F.col("name").alias("provider"), "request_limit")), "provider").where(F.col("upstream_requests") > F.col("attempts") * F.col("request_limit"))
+
+
+def diagnostics(table: DataFrame, disabled: tuple[str, ...] = ()) -> DataFrame:
+    """(capability, name, tier, state) of sources with what they lack (missing_environment, invalid_environment, missing_executables: arrays), without asking the network: the first of disabled, dependency_missing, configuration_invalid, configuration_missing that holds, else ready."""
+    some = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
+    off = F.col("name").isin(*disabled) if disabled else F.lit(False)
+    state = (
+        F.when(off, "disabled")
+        .when(some("missing_executables"), "dependency_missing")
+        .when(some("invalid_environment"), "configuration_invalid")
+        .when(some("missing_environment"), "configuration_missing")
+        .otherwise("ready")
+    )
+    return table.select("capability", "name", "tier", state.alias("state"))

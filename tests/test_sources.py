@@ -51,9 +51,11 @@ def test_archive_filings_names(spark):
 def test_exports(spark, tmp_path):
     o = spark.createDataFrame([("none", "v"), ("derived_only", "v"), ("normalized", "v")], "export_scope string, object_value_norm string")
     kept, counts = x.exportable(o)
-    assert sorted((r[0], r[1]) for r in kept.collect()) == [("derived_only", None), ("normalized", "v")] and tuple(counts.first()) == (1, 1)
-    t = spark.createDataFrame([("mail a@b.com\x00 call +1 202 555 0100",)], "t string")
-    assert t.select(x.egress_text(F.col("t"), True)).first()[0] == "mail [email]  call [phone]"
+    assert [(r[0], r[1]) for r in kept.collect()] == [("normalized", "v")] and tuple(counts.first()) == (1, 1)
+    e = spark.createDataFrame([(1, "s", "none", "v"), (1, "s", "derived_only", "v"), (1, "s", None, "v")], "claim_id int, source string, export_scope string, object string")
+    assert sorted(map(str, (tuple(r) for r in x.exportable_evidence(e).collect()))) == ["(1, 's', 'derived_only', None)", "(1, 's', None, 'v')"]
+    t = spark.createDataFrame([(" mail a\x00b \n", ["x"] * 300 + ["y"]), ("\x01", ["", "z"])], "t string, l array<string>")
+    assert [tuple(r) for r in t.select(x.egress_text(F.col("t")), F.size(x.egress_list(F.col("l")))).collect()] == [("mail ab", 250), (None, 1)]
     (tmp_path / "g.json").write_text(json.dumps({"run": {"id": "r", "root_domain": "a"}, "nodes": [{"id": "1", "node_type": "identifier", "value_norm": "v", "metadata_json": '{"identifier_type": "org"}'}], "edges": []}))
     assert x.graphs(spark, str(tmp_path / "g.json"))[0].first().identifier_type == "org"
     assert x.ascii_tree([("a", "r", "b"), ("b", "r", "a")], "a") == "a\n  r: b\n    r: a (seen)"
