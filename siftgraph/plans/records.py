@@ -656,3 +656,342 @@ def model_evidence(spark, sf_dir):
     none = F.array().cast("array<string>")
     r = c.select(F.concat(F.lit("  mail\x01 "), F.col("c_custkey").cast("string"), F.lit("\n")).alias("domain"), host.alias("subdomains"), *[v.alias(k) for k, v in blank.items()], *[none.alias(k) for k in ("nameservers", "aliases", "tracker_ids", "legal_entities")])
     return out.model_evidence(r, cloud=True).select("domain", "registrant_org", F.size("subdomains").cast("long").alias("hosts"))
+
+
+# --- cases and benchmarks ----------------------------------------------------------------------------------------
+
+_LABEL = '{"domain": "%s", "classification": "%s", "relationship": "%s", "source_refs": [%s]}'
+_CASE = '{"schema_version": %s, "case_id": "%s", "root_domain": "%s", "labels": [%s]}'
+_GOOD = _LABEL % ("a.org", "positive", "owner", '"r"')
+_CASES = {
+    "fine": _CASE % (1, "fine", "a.com", ", ".join((_GOOD, _LABEL % ("www.b.co.uk", "Negative", "other", '"r"')))),
+    "version": _CASE % (2, "version", "a.com", _GOOD),
+    "root": _CASE % (1, "root", "not a host", _GOOD),
+    "no labels": _CASE % (1, "no labels", "a.com", ""),
+    "label domain": _CASE % (1, "label domain", "a.com", _LABEL % ("", "positive", "x", '"r"')),
+    "classification": _CASE % (1, "classification", "a.com", _LABEL % ("a.org", "maybe", "x", '"r"')),
+    "relationship": _CASE % (1, "relationship", "a.com", _LABEL % ("a.org", "positive", " ", '"r"')),
+    "label references": _CASE % (1, "label references", "a.com", _LABEL % ("a.org", "positive", "x", '" "')),
+    "root is labelled": _CASE % (1, "root is labelled", "a.com", _LABEL % ("www.a.com", "positive", "x", '"r"')),
+    "conflicting labels": _CASE % (1, "conflicting labels", "a.com", ", ".join((_GOOD, _LABEL % ("x.a.org", "negative", "x", '"r"')))),
+    "repeated label": _CASE % (1, "repeated label", "a.com", ", ".join((_GOOD, _GOOD))),
+}
+rows("cases", "case_id, payload", *[f"'{k}', '{v}'" for k, v in _CASES.items()])
+
+
+def _cases(spark):
+    return read(spark, "cases").select(F.from_json("payload", f"struct<{','.join(c.strip().replace(' ', ':', 1) for c in _columns(va.CASE))}>").alias("c")).select("c.*")
+
+
+def _columns(ddl: str) -> list[str]:
+    """The columns of a schema text, cut at commas outside brackets."""
+    parts, depth = [""], 0
+    for x in ddl:
+        depth += (x == "<") - (x == ">")
+        if x == "," and not depth:
+            parts.append("")
+        else:
+            parts[-1] += x
+    return parts
+
+
+_APEX = "case when len(string_split(h, '.')) <= 2 then h when regexp_matches(h, '\\.co\\.uk$') then regexp_extract(h, '[^.]+\\.co\\.uk$') else regexp_extract(h, '[^.]+\\.[^.]+$') end"
+
+
+@query(f"""with c as (select case_id, payload::json as j from v_cases), r as (select case_id, j, h as root_h, {_APEX} as root from (select case_id, j, j->>'root_domain' as h from c)),
+l as (select case_id, root, h, {_APEX} as d, lower(trim(x->>'classification')) as kind, x from (select case_id, root, x, x->>'domain' as h from (select case_id, root, unnest(json_extract(j, '$.labels[*]')) as x from r))),
+t as (select case_id, d, count(*) as n, count(distinct kind) as k from l where h <> '' group by 1, 2 having count(*) > 1)
+select case_id as key, 'version' as problem from r where (j->>'schema_version') <> '1' union select case_id, 'root' from r where contains(root_h, ' ') union select case_id, 'no labels' from r where json_array_length(j->'labels') = 0
+union select case_id, 'label domain' from l where h = '' union select case_id, 'classification' from l where kind not in ('positive', 'negative') union select case_id, 'relationship' from l where trim(x->>'relationship') = ''
+union select case_id, 'label references' from l where trim(x->'source_refs'->>0) = '' union select case_id, 'root is labelled' from l where d = root and h <> '' union select case_id, case when k > 1 then 'conflicting labels' else 'repeated label' end from t""", "cases")
+def case_problems(spark, sf_dir):
+    return va.case_problems(_cases(spark))
+
+
+@query("select 'fine' as case_id, 2::bigint as labels")
+def valid_cases(spark, sf_dir):
+    c = _cases(spark)
+    return va.valid(c, va.case_problems(c), "case_id").select("case_id", F.size("labels").cast("long").alias("labels"))
+
+
+rows("manifests", "benchmark_id, payload", *[f"'{k}', '{v}'" for k, v in {
+    "fine": '{"schema_version": 1, "benchmark_id": "fine", "comparisons": [{"case": "c", "baseline": "b", "candidate": "d"}]}', "version": '{"schema_version": 3, "benchmark_id": "version", "comparisons": [{"case": "c", "baseline": "b", "candidate": "d"}]}',
+    "no comparisons": '{"schema_version": 1, "benchmark_id": "no comparisons", "comparisons": []}', "paths": '{"schema_version": 1, "benchmark_id": "paths", "comparisons": [{"case": "c", "baseline": " "}]}',
+}.items()])
+
+
+@query("select benchmark_id as key, benchmark_id as problem from v_manifests where benchmark_id <> 'fine'", "manifests")
+def manifest_problems(spark, sf_dir):
+    kind = "struct<schema_version:int,benchmark_id:string,comparisons:array<struct<case:string,baseline:string,candidate:string>>>"
+    return va.manifest_problems(read(spark, "manifests").select(F.from_json("payload", kind).alias("m")).select("m.*"))
+
+
+rows("entries", "benchmark_id, ord, case_id, root_domain", "'x', 1, 'c1', 'a.com'", "'x', 2, 'c1', 'b.com'", "'x', 3, 'c2', 'www.b.com'", "'y', 1, 'c1', 'a.com'")
+rows("settings", "benchmark_id, ord, side, field, value", "'x', 1, 'baseline', 'max_depth', '1'", "'x', 1, 'candidate', 'max_depth', '1'", "'x', 2, 'baseline', 'max_depth', '2'", "'x', 2, 'candidate', 'max_depth', '2'", "'x', 3, 'baseline', 'max_depth', '3'", "'x', 1, 'baseline', 'cache_mode', 'on'", "'x', 1, 'candidate', 'cache_mode', 'off'", "'y', 1, 'baseline', 'run_mode', 'quick'", "'y', 1, 'candidate', 'run_mode', 'quick'", "'y', 1, 'candidate', 'fast_model', cast(null as string)")
+
+
+@query("""select benchmark_id as key, 'duplicate case_id: ' || case_id as problem from v_entries group by benchmark_id, case_id having count(*) > 1 union all select benchmark_id, 'duplicate root_domain: ' || regexp_replace(root_domain, '^www\\.', '') from v_entries group by benchmark_id, regexp_replace(root_domain, '^www\\.', '') having count(*) > 1
+union all select benchmark_id, 'inconsistent policy: ' || field from (select a.benchmark_id, a.field, a.value from v_settings a join v_settings b using (benchmark_id, ord, field) where a.side = 'baseline' and b.side = 'candidate') group by benchmark_id, field having count(distinct value) > 1""", "entries", "settings")
+def benchmark_problems(spark, sf_dir):
+    return va.benchmark_problems(read(spark, "entries"), read(spark, "settings"))
+
+
+@query("""select benchmark_id, ord, field, case when count(distinct side) filter (value is not null) < 2 then 'unverified' when count(distinct value) = 1 then 'matched' else 'mismatch' end as state from v_settings group by 1, 2, 3""", "settings")
+def policy_match(spark, sf_dir):
+    return va.policy_match(read(spark, "settings"), ["benchmark_id", "ord"])
+
+
+rows("graph_roots", "case_id, root_domain", "'fine', 'www.a.com'", "'version', 'b.com'", "'unknown', 'a.com'")
+
+
+@query("select case_id as key, 'another root' as problem from v_graph_roots where case_id = 'version'", "graph_roots")
+def root_problems(spark, sf_dir):
+    return va.root_problems(read(spark, "graph_roots"), _cases(spark))
+
+
+_EVIDENCE = '{"domain": "a.com", "whois": {"registrant_org": "Acme", "nameservers": ["n"]}, "basic_intel": {"aliases": ["A"]}, "subdomains": ["x"]}'
+_MODEL = '{"schema_version": 1, "case_id": "%s", "domain": "%s", "corpus_class": "%s", "expected_abstain": %s, "expected_pivots": [%s]}'
+_P = '{"id_type": "org", "value": "%s", "acceptable_values": [%s], "source_refs": [%s]}'
+_ONE = _P % ("Acme", '"Acme Inc"', '"r"')
+_MODELS = {
+    "fine": (_MODEL % ("fine", "a.com", "held_out", "false", _ONE), _EVIDENCE),
+    "fine2": (_MODEL % ("fine2", "a.com", "synthetic", "true", ""), _EVIDENCE),
+    "abstention": (_MODEL % ("abstention", "a.com", "held_out", "true", _ONE), _EVIDENCE),
+    "corpus_class": (_MODEL % ("corpus_class", "a.com", "other", "false", _ONE), _EVIDENCE),
+    "evidence domain": (_MODEL % ("evidence domain", "b.com", "held_out", "false", _ONE), _EVIDENCE),
+    "unknown evidence": (_MODEL % ("unknown evidence", "a.com", "held_out", "false", _ONE), _EVIDENCE.replace('"subdomains"', '"hosts"')),
+    "evidence kinds": (_MODEL % ("evidence kinds", "a.com", "held_out", "false", _ONE), _EVIDENCE.replace('["n"]', '"n"')),
+    "pivot references": (_MODEL % ("pivot references", "a.com", "held_out", "false", _P % ("Acme", "", "")), _EVIDENCE),
+    "fine3": (_MODEL % ("fine3", "a.com", "held_out", "false", _P % ("Acme", '"B", "D"', '"r"')), _EVIDENCE),
+    "acceptable values": (_MODEL % ("acceptable values", "a.com", "held_out", "false", _P % ("Acme", '" "', '"r"')), _EVIDENCE),
+    "pivots repeat": (_MODEL % ("pivots repeat", "a.com", "held_out", "false", ", ".join((_ONE, _P % ("ACME  inc", "", '"r"')))), _EVIDENCE),
+}
+rows("model_cases", "case_id, payload, evidence", *[f"'{k}', '{p}', '{e}'" for k, (p, e) in _MODELS.items()])
+
+
+def _model_cases(spark):
+    ddl = f"struct<{','.join(c.strip().replace(' ', ':', 1) for c in _columns(va.MODEL_CASE) if not c.strip().startswith('evidence'))}>"
+    return read(spark, "model_cases").select(F.from_json("payload", ddl).alias("c"), "evidence").select("c.*", "evidence")
+
+
+@query("select case_id as key, case_id as problem from v_model_cases where case_id not like 'fine%' union all select 'acceptable values', 'pivot'", "model_cases")
+def model_case_problems(spark, sf_dir):
+    return va.model_case_problems(_model_cases(spark))
+
+
+rows("policies", "name, tier, declared, raw_retention, normalized_retention, cross_run_cache, export_scope, version", "'fine', 'free', false, 'hash_only', 'project', true, 'normalized', 'v1'", "'raw retention', 'free', true, 'all', 'project', true, 'normalized', 'v1'", "'normalized retention', 'free', true, 'none', 'ever', false, 'normalized', 'v1'", "'export scope', 'free', true, 'none', 'run', false, 'all', 'v1'", "'version', 'free', true, 'none', 'run', false, 'none', ' '", "'caching needs project retention', 'paid', true, 'none', 'run', true, 'none', 'v1'", "'paid source without a policy', 'paid', false, 'none', 'run', false, 'none', 'v1'")
+
+
+@query("select name as key, name as problem from v_policies where name <> 'fine'", "policies")
+def policy_problems(spark, sf_dir):
+    return va.policy_problems(read(spark, "policies"))
+
+
+@query("""select event_id as key, problem from (select event_id, unnest([case when value < 0 or value > 1 then 'units outside 0 to 1' end, case when event_type not in ('view', 'click') then 'kind is unknown' end]) as problem from events) where problem is not null""")
+def value_problems(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("value").alias("units"), F.col("event_type").alias("kind"))
+    return va.value_problems(e, "event_id", ("units",), ("kind",), {"kind": ("view", "click")})
+
+
+rows("graph_runs", "run_id, root_domain", "'r', 'www.a.com'", "'s', 'b.co.uk'")
+rows("graph_nodes", "run_id, node_type, value_norm", "'r', 'domain', 'x.a.com'", "'r', 'domain', 'x.c.com'", "'r', 'domain', 'c.com'", "'r', 'domain', 'bad host'", "'r', 'ip', 'd.com'", "'s', 'domain', 'www.d.co.uk'", "'s', 'domain', 'b.co.uk'")
+
+
+@query("select 'r' as run_id, 'c.com' as domain union all select 's', 'd.co.uk'")
+def predicted_domains(spark, sf_dir):
+    return qu.predicted_domains(read(spark, "graph_runs"), read(spark, "graph_nodes"))
+
+
+@query("select user_id % 5 as case_id, count(*) as calls, sum(event_id % 5)::bigint as upstream_requests, sum(event_id % 3)::bigint as latency_ms, 0::double as units from events group by 1")
+def usage_totals(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    use = e.select((F.col("user_id") % 5).alias("case_id"), F.lit(1).alias("calls"), (F.col("event_id") % 5).alias("upstream_requests"), (F.col("event_id") % 3).alias("latency_ms"), F.lit(None).cast("double").alias("units"))
+    return qu.usage_totals(use, ["case_id"]).withColumn("units", F.col("units").cast("double"))
+
+
+rows("gains", "case_id, new_tp", "0, 2", "1, 0", "2, 1")
+rows("spent", "case_id, side, calls, upstream_requests, latency_ms, units", "0, 'b', 1, 1, 5, 0.5", "0, 'c', 3, 4, 9, 2.5", "1, 'b', 1, 1, 1, 1.0", "1, 'c', 9, 1, 1, 1.0", "2, 'b', 5, 1, 1, 1.0", "2, 'c', 3, 1, 1, 1.0")
+
+
+@query("""select case_id, new_tp, c.calls - b.calls as calls_delta, c.upstream_requests - b.upstream_requests as upstream_requests_delta, c.latency_ms - b.latency_ms as latency_ms_delta, (c.units - b.units)::double as units_delta,
+case when new_tp > 0 and c.calls >= b.calls then (c.calls - b.calls) / new_tp end as calls_per_new_tp, case when new_tp > 0 and c.units >= b.units then (c.units - b.units)::double / new_tp end as units_per_new_tp from v_gains join v_spent b using (case_id) join v_spent c using (case_id) where b.side = 'b' and c.side = 'c'""", "gains", "spent")
+def gain_costs(spark, sf_dir):
+    s = read(spark, "spent").withColumn("units", F.col("units").cast("double"))
+    return qu.costs(read(spark, "gains"), s.where("side = 'b'"), s.where("side = 'c'"), ["case_id"])
+
+
+rows("bench_cases", "case_id, corpus_class, expected_abstain", *[f"{i}, '{'synthetic' if i == 0 else 'held_out'}', {'true' if i % 4 == 3 else 'false'}" for i in range(12)])
+rows("bench_expected", "case_id, id_type, value, grp", *[x for i in range(12) if i % 4 != 3 for x in (f"{i}, 'org', 'Acme {i}', 'g1'", f"{i}, 'org', 'Acme {i} Inc', 'g1'", f"{i}, 'email', 'a{i}@a.com', 'g2'")])
+rows("bench_rules", "case_id, id_type, value, score", *[x for i in range(12) for x in (f"{i}, 'org', 'ACME  {i}', 0.7", f"{i}, 'org', 'Wrong {i}', {0.5 if i % 3 == 0 else 0.3}")])
+rows("bench_model", "case_id, id_type, value, score", *[x for i in range(12) if i % 2 for x in (f"{i}, 'email', 'A{i}@a.com', 0.9", f"{i}, 'email', 'abuse@a.com', 0.9")])
+rows("bench_calls", "case_id, disposition, tokens, cost", *[f"{i}, '{'abstained' if i in (3, 7) else 'invalid' if i == 4 else 'accepted'}', {10 * i}, {'cast(null as double)' if i == 5 else i}" for i in range(11)])
+
+
+@query("""with e as (select case_id, id_type, lower(value) as value, grp from v_bench_expected), b as (select distinct case_id, id_type, lower(regexp_replace(value, ' +', ' ', 'g')) as value from v_bench_rules where score >= 0.4),
+a as (select * from b union select case_id, id_type, lower(value) from v_bench_model where not contains(value, 'abuse')), g as (select count(*) as groups from (select distinct case_id, grp from e)),
+s as (select (select count(*) from (select distinct b.case_id, grp from b join e using (case_id, id_type, value))) as bt, (select count(*) from b anti join e using (case_id, id_type, value)) as bf, (select count(*) from (select distinct a.case_id, grp from a join e using (case_id, id_type, value))) as tt, (select count(*) from a anti join e using (case_id, id_type, value)) as tf),
+k as (select count(*) as cases, count(*) filter (expected_abstain) as ab, count(*) filter (expected_abstain and coalesce(disposition, 'missing') = 'abstained') as ok, count(*) filter (coalesce(disposition, 'missing') in ('invalid', 'error', 'missing')) as bad from v_bench_cases left join v_bench_calls using (case_id))
+select groups, bt as baseline_tp, bf as baseline_fp, bt / (bt + bf) as baseline_precision, bt / groups as baseline_recall, tt as assisted_tp, tf as assisted_fp, tt / (tt + tf) as assisted_precision, tt / groups as assisted_recall, cases, ab as abstention_cases, ok / ab as abstention_accuracy, bad as invalid_or_error_count,
+tt / groups - bt / groups as recall_lift, tt / (tt + tf) - bt / (bt + bf) as precision_delta, cast(null as bigint) as tokens, 7::bigint as n_reasons, false as eligible from g, s, k""", "bench_cases", "bench_expected", "bench_rules", "bench_model", "bench_calls")
+def pivot_benchmark(spark, sf_dir):
+    score = lambda n: read(spark, n).withColumn("score", F.col("score").cast("double"))
+    calls = read(spark, "bench_calls").withColumn("cost", F.col("cost").cast("double"))
+    b = qu.pivot_benchmark(read(spark, "bench_cases"), read(spark, "bench_expected").withColumnRenamed("grp", "group"), score("bench_rules"), score("bench_model"), calls, cloud=True)
+    n = F.size("reasons").cast("long").alias("n_reasons")
+    return b.select("groups", *[f"{p}_{c}" for p in ("baseline", "assisted") for c in ("tp", "fp", "precision", "recall")], "cases", "abstention_cases", "abstention_accuracy", "invalid_or_error_count", "recall_lift", "precision_delta", "tokens", n, "eligible")
+
+
+# --- runs, errors, plans -----------------------------------------------------------------------------------------------
+
+
+@query("""select r.run_id, 'root' as root_domain, 'running' as status, coalesce(d, 0) as domains, coalesce(i, 0) as identifiers, coalesce(e, 0) as edges from (select distinct n_regionkey as run_id from nation union all select 99) r
+left join (select c_nationkey % 5 as run_id, count(*) filter (c_custkey % 2 = 0) as d, count(*) filter (c_custkey % 2 = 1) as i from customer group by 1) n using (run_id) left join (select s_nationkey % 5 as run_id, count(*) as e from supplier group by 1) x using (run_id)""")
+def run_summary(spark, sf_dir):
+    t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
+    runs = t("nation").select(F.col("n_regionkey").alias("run_id")).distinct().union(spark.createDataFrame([(99,)], "run_id long"))
+    runs = runs.withColumn("root_domain", F.lit("root")).withColumn("status", F.lit("running"))
+    nodes = t("customer").select((F.col("c_nationkey") % 5).alias("run_id"), F.when(F.col("c_custkey") % 2 == 0, "domain").otherwise("identifier").alias("node_type"))
+    return us.run_summary(runs, nodes, t("supplier").select((F.col("s_nationkey") % 5).alias("run_id")))
+
+
+@query("""select coalesce(n.run_id, t.run_id) as run_id, coalesce(nodes, 0) as nodes, coalesce(processed, 0) as processed, coalesce(runnable, 0) as runnable from (select c_nationkey as run_id, count(*) as nodes, count(*) filter (c_custkey % 4 = 0) as processed from customer group by 1) n
+full join (select o_custkey % 50 as run_id, count(*) filter (o_orderstatus = 'O' and o_orderkey % 4 < 3) as runnable from orders group by 1) t on n.run_id = t.run_id""")
+def run_progress(spark, sf_dir):
+    from .views import view
+
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_nationkey").alias("run_id"), "c_custkey")
+    return us.progress(c, c.where("c_custkey % 4 = 0"), view(spark, sf_dir, "tasks"))
+
+
+@query("select user_id % 5 as run_id, event_type as source, count(*) as observations from events group by all")
+def observations_by_source(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return us.observations_by_source(e.select((F.col("user_id") % 5).alias("run_id"), F.col("event_type").alias("source")))
+
+
+@query("select concat('p', user_id % 7) as provider, min(ts + interval 2 hours) as expires_at from events where ts + interval 2 hours > (select max(ts) from events) group by 1")
+def next_expiry(spark, sf_dir):
+    from .views import view
+
+    leases = view(spark, sf_dir, "leases")
+    now = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.max("ts")).first()[0]
+    return us.next_expiry(leases, F.lit(now).cast("timestamp_ntz"))
+
+
+@query("select o_custkey as root_domain, arg_max(o_orderkey, (o_orderdate, o_orderkey)) as run_id from orders where o_orderstatus in ('O', 'P') group by 1")
+def resumable_runs(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    status = F.when(F.col("o_orderstatus") == "O", "interrupted").when(F.col("o_orderstatus") == "P", "partial").otherwise("completed")
+    return us.resumable(o.select(F.col("o_custkey").alias("root_domain"), F.col("o_orderkey").alias("run_id"), status.alias("status"), F.col("o_orderdate").alias("created_at")))
+
+
+@query("""select o_orderkey as id, case when o_orderstatus = 'P' then case when o_orderkey % 4 >= 3 then 'failed' else 'pending' end when o_orderstatus = 'O' then 'pending' else 'succeeded' end as status, case when o_orderstatus = 'P' and o_orderkey % 4 >= 3 then 'run stopped after maximum attempts' end as last_error from orders""")
+def requeued_tasks(spark, sf_dir):
+    from .views import view
+
+    t = view(spark, sf_dir, "tasks").withColumn("last_error", F.lit(None).cast("string"))
+    return us.requeued(t).select("id", "status", "last_error")
+
+
+rows("errors", "id, kind, http_status, attempt", "1, 'security', cast(null as int), 1", "2, 'auth', null, 1", "3, 'input', null, 1", "4, 'malformed', null, 2", "5, 'capacity', null, 1", "6, 'rate_limit', null, 3", "7, 'timeout', null, 4", "8, 'other', 403, 1", "9, 'other', 429, 5", "10, 'other', 500, 9", "11, cast(null as string), null, 1")
+
+
+@query("""select id, case when kind in ('auth') or http_status in (401, 403) then 'auth_error' when kind in ('capacity', 'rate_limit') or http_status = 429 then 'rate_limited' when kind in ('malformed', 'timeout') then kind else 'error' end as status,
+coalesce(kind not in ('security', 'auth', 'input', 'malformed', 'capacity') and coalesce(http_status, 0) not in (401, 403), true) as retryable, least(1.0, 0.1 * power(2, attempt - 1))::double as wait from v_errors""", "errors")
+def classified_errors(spark, sf_dir):
+    return us.classified(read(spark, "errors")).select("id", "status", "retryable", us.backoff_s(F.col("attempt")).alias("wait"))
+
+
+rows("answers_in", "id, payload, max_bytes, max_items", """1, '[1,2,3]', 100, 3""", """2, '{"a": [1,2,3,4]}', 100, 3""", """3, '{"a": {"b": 1, "c": 2, "d": 3, "e": 4}}', 10, 3""", """4, '"é"', 3, 0""", "5, 'text', 9, 0")
+
+
+@query("select * from (values (2, 'items'), (3, 'items'), (3, 'bytes'), (4, 'bytes')) t(id, problem)")
+def result_limits(spark, sf_dir):
+    return us.over_result_limits(read(spark, "answers_in"))
+
+
+rows("stamps", "id, at_", "1, '2024-01-01T00:00:00'", "2, '2024-01-01T05:00:00+05:00'", "3, '2024-01-01T00:00:00Z'", "4, 'yesterday'", "5, '2023-12-31T23:59:59Z'", "6, cast(null as string)")
+
+
+@query("select id, coalesce(id in (1, 2, 3), false) as fresh, false as never from v_stamps", "stamps")
+def cache_freshness(spark, sf_dir):
+    now = F.lit("2024-01-02T00:00:00Z").cast("timestamp")
+    return read(spark, "stamps").select("id", us.fresh(F.col("at_"), now, 24).alias("fresh"), us.fresh(F.col("at_"), now, 0).alias("never"))
+
+
+@query("select * from (values ('subdomains', 'subfinder', 1), ('subdomains', 'hackertarget', 2), ('reverse_whois', 'whoxy', 1), ('reverse_whois', 'duckduckgo', 2), ('dns', 'stdlib', 1)) t(capability, name, place)")
+def source_choice(spark, sf_dir):
+    t = reg.sources(spark, ("crtsh",))
+    picks = [(c, [r.name for r in reg.usable(t, c, pin).collect()]) for c, pin in (("subdomains", None), ("reverse_whois", None), ("dns", "stdlib"))]  # a registry of 13
+    return spark.createDataFrame([(c, n, i + 1) for c, names in picks for i, n in enumerate(names)], "capability string, name string, place int")
+
+
+@query("select c_custkey as id, case when c_custkey % 2 = 0 then 'whoxy' else 'crtsh' end as source, c_custkey % 2 = 1 as cache_allowed, case when c_custkey % 2 = 0 then 'none' else 'normalized' end as export_scope, case when c_custkey % 2 = 0 then 'none' else 'hash_only' end as raw_retention from customer")
+def policies_of_observations(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 2 == 0, "whoxy").otherwise("crtsh").alias("source"))
+    p = spark.createDataFrame([("whoxy", False, "none", "none")], "source string, cache_allowed boolean, export_scope string, raw_retention string")
+    return reg.with_policy(c, p)
+
+
+@query("select event_id as id from events where event_id % 10 > (event_id % 2 + 1) * 6")
+def calls_over_limits(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("id"), F.lit("crtsh").alias("provider"), (F.col("event_id") % 2 + 1).alias("attempts"), (F.col("event_id") % 10).alias("upstream_requests"))
+    return reg.over_limits(e, reg.sources(spark)).select("id")
+
+
+rows("config", "name, missing_e, invalid_e, missing_x", "'a', '', '', ''", "'b', 'KEY', '', ''", "'c', 'KEY', 'RATE', ''", "'d', 'KEY', 'RATE', 'tool'", "'off', '', '', 'tool'")
+
+
+@query("select 'dns' as capability, name, 'free' as tier, case name when 'a' then 'ready' when 'b' then 'configuration_missing' when 'c' then 'configuration_invalid' when 'd' then 'dependency_missing' else 'disabled' end as state from v_config", "config")
+def source_diagnostics(spark, sf_dir):
+    c = read(spark, "config").select("name", F.lit("dns").alias("capability"), F.lit("free").alias("tier"), texts("missing_e").alias("missing_environment"), texts("invalid_e").alias("invalid_environment"), texts("missing_x").alias("missing_executables"))
+    return reg.diagnostics(c, ("off",))
+
+
+rows("plan_sources", "name, capability, tier, billable, available, request_limit, ord", "'w1', 'whois', 'free', false, true, 3, 0", "'w2', 'whois', 'free', false, true, 2, 1", "'b', 'basic_info', 'free', false, true, 2, 2", "'r', 'reverse_whois', 'free', false, true, 1, 3", "'x', 'reverse_whois', 'paid', true, true, 1, 4", "'d', 'dns', 'free', false, false, 1, 5")
+
+
+@query("select name, case when not available then 'unavailable' when billable then 'policy_excluded' else 'selected' end as state from v_plan_sources", "plan_sources")
+def plan_states(spark, sf_dir):
+    return preflight.status(read(spark, "plan_sources"), preflight.Settings()).select("name", "state")
+
+
+@query("select * from (values ('whois', ['w1', 'w2'], 2, 3), ('basic_info', ['b'], 1, 2), ('reverse_whois', ['x'], 5, 1), ('tracker_verification', ['b'], 50, 2)) t(step, sources, calls, requests_per_call)")
+def plan_steps(spark, sf_dir):
+    s = preflight.Settings(profile="byok", paid_approved=True)
+    return preflight.steps(read(spark, "plan_sources"), s).drop("billable")
+
+
+@query("select 29000 as calls, (2 * 3 + 1 * 2 + 5 * 1 + 50 * 2) * 500 as requests, 5 * 3 * 500::double as units, true as calls_exceed, true as units_exceed")
+def plan_totals(spark, sf_dir):
+    s = preflight.Settings(profile="byok", paid_approved=True)
+    return preflight.totals(preflight.steps(read(spark, "plan_sources"), s), s)
+
+
+@query("select c_nationkey as node, count(*) as rows from customer group by 1 having count(*) > 1")
+def repeated_keys(spark, sf_dir):
+    return out.duplicate_keys(spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_nationkey").alias("node")), ["node"])
+
+
+@query("select c_custkey from customer where c_custkey % 25 >= 20")
+def missing_parents(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", (F.col("c_custkey") % 25).alias("node"))
+    return out.orphans(c, spark.read.parquet(f"{sf_dir}/nation.parquet").where("n_nationkey < 20"), "node", "n_nationkey").select("c_custkey")
+
+
+rows("texts_", "id, payload", """1, '{"b": " x ", "a": [1, null, {"c": "y"}]}'""", "2, 'plain'")
+
+
+@query("select * from (values (1, 'x\n1\ny'), (2, 'plain')) t(id, t)")
+def flat_strings(spark, sf_dir):
+    return read(spark, "texts_").select("id", ex.flat_strings(F.col("payload")).alias("t"))
+
+
+@query("select user_id as run_id, '{' || '\"run_id\":' || user_id || '}' as json from events group by 1")
+def graph_documents(spark, sf_dir):
+    """Each run's export has its nodes and edges; here only its key is compared."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    n = e.select(F.col("user_id").alias("run_id"), F.lit("domain").alias("node_type"), F.col("event_type").alias("value_norm"), F.col("event_id").alias("node_id"))
+    d = e.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("from_node_id"), F.lit("r").alias("relation_type"), F.col("event_id").alias("to_node_id"))
+    key = F.concat(F.lit('{"run_id":'), F.get_json_object("json", "$.run_id"), F.lit("}"))
+    return out.graph_json(n, d).select("run_id", key.alias("json"))

@@ -42,12 +42,32 @@ def test_archive_filings_names(spark):
     rows = [[f"2020010{i}000000", "u", "200" if i != 3 else "404", "text/html", f"d{i}"] for i in range(1, 8)]
     a = c.archive_rows(spark.createDataFrame([("a.com", json.dumps([head, *rows]))], "domain string, payload string"))
     assert a.count() == 6 and sorted(r.digest for r in c.snapshots(a, 3).collect()) == ["d1", "d2", "d7"]
-    f = {"filings": {"recent": {"form": ["8-K", "10-K", "8-K/A"], "items": ["2.01,9.01", "2.01", "1.01"], "filingDate": ["a", "b", "c"], "accessionNumber": ["1", "2", "3"]}}}
+    f = {"filings": {"recent": {"form": ["8-K", "10-K", "8-K/A"], "items": ["2.01,9.01", "2.01", "1.01"], "filingDate": ["a", "b", "c"], "accessionNumber": ["1", "2", "3"], "primaryDocument": ["a.htm", "b.htm", "c.htm"]}}}
     assert [r.accessionNumber for r in c.filings(spark.createDataFrame([("7", json.dumps(f))], "cik string, payload string")).collect()] == ["1"]
     reg = spark.createDataFrame([("1", True, ["Acme, Inc."]), ("2", True, ["Twin"]), ("3", True, ["TWIN"]), ("4", False, ["Gone"])], "id string, active boolean, names array<string>")
     assert [tuple(r) for r in c.exact_names(spark.createDataFrame([("acme inc",), ("twin",), ("gone",)], "name string"), reg).collect()] == [("acme inc", "1")]
 
 
+def test_filings_are_cut_before_they_are_filtered(spark):
+    """Only the first 25 filings are looked at: a purchase told in the 26th isn't found."""
+    n = 30
+    cols = {"form": ["8-K" if i in (24, 25) else "10-Q" for i in range(n)], "items": ["2.01"] * n, "filingDate": ["d"] * n, "accessionNumber": [str(i) for i in range(n)], "primaryDocument": ["p"] * n}
+    t = spark.createDataFrame([("7", json.dumps({"filings": {"recent": cols}})), ("8", None)], "cik string, payload string")
+    assert [r.accessionNumber for r in c.filings(t).collect()] == ["24"]
+
+
+def test_backup(spark, tmp_path):
+    import pytest
+
+    t = spark.range(5).toDF("id")
+    x.backup({"t": t, "twice": t.union(t)}, str(tmp_path / "b"))
+    assert x.restored(spark, str(tmp_path / "b"), {"t": ["id"]})["t"].count() == 5
+    with pytest.raises(ValueError):
+        x.restored(spark, str(tmp_path / "b"), {"twice": ["id"]})
+    with pytest.raises(Exception):
+        x.backup({"t": t}, str(tmp_path / "b"))
+
+
 def test_exports(spark, tmp_path):
     o = spark.createDataFrame([("none", "v"), ("derived_only", "v"), ("normalized", "v")], "export_scope string, object_value_norm string")
     kept, counts = x.exportable(o)
