@@ -115,10 +115,14 @@ def legal_links(source: Column, base: Column, most: int = 2) -> Column:
     return F.slice(F.array_distinct(own), 1, most)
 
 
+def compared(name: str) -> str:
+    """A name as it is compared: compatibility forms, case folded, other than word characters as single spaces."""
+    return " ".join(re.findall(r"\w+", unicodedata.normalize("NFKC", name).casefold()))
+
+
 @F.pandas_udf(StringType())
 def plain_name(name: pd.Series) -> pd.Series:
-    """A name as it is compared: compatibility forms, case folded, other than word characters as single spaces."""
-    return name.map(lambda s: " ".join(re.sub(r"\W+", " ", unicodedata.normalize("NFKC", s).casefold()).split()), na_action="ignore")
+    return name.map(compared, na_action="ignore")
 
 
 @F.pandas_udf(StringType())

@@ -87,21 +87,28 @@ def independence(evidence: DataFrame) -> DataFrame:
 def source_value(claims_: DataFrame, evidence: DataFrame) -> DataFrame:
     """What each family contributes, from supporting evidence: sole and corroborated support is counted only where no source is unclassified."""
     rows = evidence.where("polarity = 'supports'").select("claim_id", "source", family(F.col("source")).alias("source_family"))
-    per = rows.groupBy("claim_id", "source_family").agg(F.collect_set("source").alias("sources"))
-    whole = rows.groupBy("claim_id").agg(F.count_distinct("source_family").alias("n"), F.bool_or(F.col("source_family") == "unclassified").alias("odd"))
-    x = per.join(whole, "claim_id").join(claims_.select("claim_id", "confidence_class", "object_type", "object_value_norm"), "claim_id")
-    sole, verified = (F.col("n") == 1) & ~F.col("odd"), F.col("confidence_class") == "verified"
-    domain = F.when((F.col("object_type") == "domain") & (F.col("object_value_norm") != ""), F.col("object_value_norm"))
-    return x.groupBy("source_family").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("sources")))).alias("sources"),
+    # A claim's families are few (the catalogue's), so they are one small array; sources and domains are made distinct before they are counted.
+    per = rows.groupBy("claim_id").agg(F.collect_set("source_family").alias("f"))
+    own = claims_.select("claim_id", "confidence_class", "object_type", "object_value_norm")
+    odd, n = F.array_contains("f", "unclassified"), F.size("f")
+    x = per.join(own, "claim_id").select("*", ((n == 1) & ~odd).alias("sole"), ((n >= 2) & ~odd).alias("more"), F.explode("f").alias("source_family"))
+    verified = F.col("confidence_class") == "verified"
+    counts = x.groupBy("source_family").agg(
         F.count("*").alias("supporting_claims"),
         F.count_if(verified).alias("verified_claims_supported"),
-        F.count_if(sole).alias("sole_family_claims"),
-        F.count_if(sole & verified).alias("sole_family_verified_claims"),
-        F.count_distinct(domain).alias("supported_domains"),
-        F.count_distinct(F.when(sole, domain)).alias("sole_family_supported_domains"),
-        F.count_if((F.col("n") >= 2) & ~F.col("odd")).alias("corroborated_claims"),
+        F.count_if("sole").alias("sole_family_claims"),
+        F.count_if(F.col("sole") & verified).alias("sole_family_verified_claims"),
+        F.count_if("more").alias("corroborated_claims"),
     )
+    reached = x.where("object_type = 'domain' and object_value_norm <> ''").groupBy("source_family", "object_value_norm").agg(F.bool_or("sole").alias("sole"))
+    reached = reached.groupBy("source_family").agg(F.count("*").alias("d"), F.count_if("sole").alias("s"))
+    told = rows.join(own.select("claim_id"), "claim_id", "left_semi").select("source_family", "source").distinct()
+    told = told.groupBy("source_family").agg(F.array_sort(F.collect_set("source")).alias("sources"))
+    zero = F.lit(0)
+    return counts.join(told, "source_family").join(reached, "source_family", "left").select(
+        "source_family", "sources", "supporting_claims", "verified_claims_supported", "sole_family_claims", "sole_family_verified_claims",
+        F.coalesce("d", zero).alias("supported_domains"), F.coalesce("s", zero).alias("sole_family_supported_domains"), "corroborated_claims",
+    )
 
 
 def claim_edges(claims_: DataFrame, evidence: DataFrame) -> DataFrame:

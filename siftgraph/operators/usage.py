@@ -26,12 +26,22 @@ def rate_windows(calls: DataFrame, width: str = "1 minute", ts: str = "started_a
     return calls.groupBy("provider", w.alias("w")).agg(F.count("*").alias("calls")).select("provider", F.col("w.start").alias("window_start"), "calls")
 
 
-def peak_leases(leases: DataFrame) -> DataFrame:
-    """The most leases held at once by each provider: a sweep over starts and ends, ends first. Sums by instant before the window."""
-    ends = leases.select("provider", F.explode(F.array(F.struct(F.col("created_at").alias("at"), F.lit(1).alias("d")), F.struct(F.col("expires_at").alias("at"), F.lit(-1).alias("d")))).alias("e")).select("provider", "e.*")
-    steps = ends.groupBy("provider", "at", "d").agg(F.sum("d").alias("s"))
-    held = F.sum("s").over(Window.partitionBy("provider").orderBy("at", "d").rowsBetween(Window.unboundedPreceding, 0))
-    return steps.withColumn("held", held).groupBy("provider").agg(F.max("held").alias("peak"))
+def peak_leases(leases: DataFrame, bucket: str = "day") -> DataFrame:
+    """The most leases held at once by each provider: a sweep over starts and ends, ends first.
+
+    Changes are summed by instant, then by bucket of time; the buckets' running sums say what is held when one
+    begins, so the sweep within a bucket is a task of its own, however long a provider's history is.
+    """
+    change = lambda c, d: F.struct(F.col(c).alias("at"), F.lit(d).alias("d"))
+    ends = leases.select("provider", F.explode(F.array(change("created_at", 1), change("expires_at", -1))).alias("e")).select("provider", "e.*")
+    steps = ends.groupBy("provider", "at", "d").agg(F.sum("d").alias("s")).withColumn("b", F.date_trunc(bucket, "at"))
+    totals = steps.groupBy("provider", "b").agg(F.sum("s").alias("t"))
+    before = Window.partitionBy("provider").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("provider", "b", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("provider", "b").orderBy("at", "d").rowsBetween(Window.unboundedPreceding, 0)
+    held = steps.withColumn("held", F.sum("s").over(within)).groupBy("provider", "b").agg(F.max("held").alias("held"))
+    # A bucket whose first change is an end is held least at its start, so its start is looked at by the bucket before.
+    return held.join(totals, ["provider", "b"]).groupBy("provider").agg(F.max(F.col("base") + F.col("held")).alias("peak"))
 
 
 def fifo_heads(waiters: DataFrame) -> DataFrame:

@@ -21,6 +21,8 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def query(sql: str | None = None, *views: str):
+    """Registers a query with its SQL, over the named views of the driver's tables."""
+
     def keep(f):
         QUERIES[f.__name__] = f
         if sql is not None:
@@ -149,14 +151,23 @@ def retention_preview(spark, sf_dir):
     return us.retention(runs, F.lit("1996-01-01").cast("timestamp_ntz")).select("id")
 
 
-@query()
+_IN_ORDER = "r as (select *, row_number() over (partition by provider order by started_at, id) as n from v_calls)"
+
+
+@query(f"""select * from (with recursive {_IN_ORDER}, s as (select provider, 0::bigint as n, 0::double as used, false as ok from (select distinct provider from r)
+union all select s.provider, r.n, case when used + units <= 500 + 1e-9 then used + units else used end, used + units <= 500 + 1e-9 from s join r on r.provider = s.provider and r.n = s.n + 1)
+select provider, started_at, id, units from s join r using (provider, n) where ok)""", "calls")
 def budget_admission(spark, sf_dir):
     return us.admitted(view(spark, sf_dir, "calls"), "provider", "units", ["started_at", "id"], 500.0)
 
 
-@query()
+@query(f"""select * from (with recursive {_IN_ORDER}, s as (select provider, 0::bigint as n, 0 as streak, timestamp '1900-01-01' as until, false as opened, 0 as failures from (select distinct provider from r)
+union all select provider, n, case when opened then 0 else t end, case when opened then started_at + interval 60 seconds else until end, opened, t from
+(select *, not skip and t > 0 and (t >= 3 or status = 'auth') as opened from (select *, case when skip then streak when status in ('success', 'empty') then 0 else streak + 1 end as t from
+(select s.provider, r.n, r.status, r.started_at, streak, until, r.started_at < until as skip from s join r on r.provider = s.provider and r.n = s.n + 1))))
+select provider, started_at as opened_at, failures from s join r using (provider, n) where opened)""", "calls")
 def circuit_openings(spark, sf_dir):
-    return us.circuits(view(spark, sf_dir, "calls"))
+    return us.circuits(view(spark, sf_dir, "calls")).withColumn("opened_at", F.col("opened_at").cast("timestamp_ntz"))
 
 
 _CLAIM = """x as (select *, greatest(0.0, least(score, 1.0))::double as s, case when relation_type = 'domain_has_ip' then 'observed' when starts_with(relation_type, 'acquisition_') then 'completed' else 'candidate' end as status from v_relations),
@@ -274,9 +285,10 @@ def pivot_allocation(spark, sf_dir):
     return pv.allocate(first, 5, rounded=False).select("domain", "id_type", "value", "evidence_gap", F.col("slot").cast("long").alias("slot"))
 
 
-@query("select domain, max(score)::double as best from v_pivots group by 1 having max(score) < 0.999", "pivots")
+@query("select domain, max(score)::double as best from (select domain, score * (p % 4 + 1) / 5 as score from (select *, ord // 50 as p from v_pivots)) group by 1 having max(score) < 0.75", "pivots")
 def escalation(spark, sf_dir):
-    return pv.escalated(view(spark, sf_dir, "pivots").withColumn("score", F.col("score").cast("double")), 0.999)
+    p = view(spark, sf_dir, "pivots").withColumn("p", F.expr("ord div 50"))
+    return pv.escalated(p.withColumn("score", (F.col("score") * (F.col("p") % 4 + 1) / 5).cast("double")), 0.75)
 
 
 @query("(select domain from v_predicted_b except select domain from v_predicted_a)", "predicted_a", "predicted_b")
@@ -284,12 +296,6 @@ def added_domains(spark, sf_dir):
     return view(spark, sf_dir, "predicted_b").select("domain").exceptAll(view(spark, sf_dir, "predicted_a").select("domain")).distinct()
 
 
-@query("select case_id, count(distinct concat('g', cast(p_size % 5 as varchar))) as groups from (select p_partkey % 3 as case_id, p_size from part) group by 1")
-def pivot_groups(spark, sf_dir):
-    expected = table(spark, sf_dir, "part").select((F.col("p_partkey") % 3).alias("case_id"), F.lit("org").alias("id_type"), F.col("p_name").alias("value"), F.concat(F.lit("g"), (F.col("p_size") % 5).cast("string")).alias("group"))
-    return qu.pivot_scores(expected.select("case_id", "id_type", "value"), expected).select("case_id", "groups")
-
-
 @query("select id from v_tasks where status = 'pending' and created_at <= timestamp '1997-01-01' or status = 'in_progress' and created_at + interval 1 hour < timestamp '1997-01-01' and attempts < max_attempts", "tasks")
 def runnable_tasks(spark, sf_dir):
     t = view(spark, sf_dir, "tasks").withColumn("available_at", F.col("created_at")).withColumn("lease_until", F.col("created_at") + F.expr("interval 1 hour"))
