@@ -108,9 +108,9 @@ def tokens(text: str) -> list[tuple[int, int, str]]:
 
 
 def shape(core: str) -> str:
-    core = core[:80] + "~" * (len(core) > 80)
-    s = _LETTERS.sub("a", core)
-    return _DIGITS.sub(lambda m: "9" * len(m[0]) if len(m[0]) <= 4 else "<" + str(len(m[0])) + ">", s)
+    """Letters as one ``a``, digits by their number; a long shape as a hash of all of it."""
+    s = _DIGITS.sub(lambda m: "9" * len(m[0]) if len(m[0]) <= 4 else "<" + str(len(m[0])) + ">", _LETTERS.sub("a", core))
+    return s if len(s) <= 80 else "#" + hashlib.blake2b(s.encode(), digest_size=8).hexdigest()
 
 
 class Graph:

@@ -31,10 +31,10 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .chat import parsed, train, transcripts
+    from .chat import parsed_pieces, train, transcripts
 
     talks = _read(spark, sf_dir, "conversations")
-    return parsed(transcripts(talks), train(talks), ("conv_id", "piece", "truth"))
+    return parsed_pieces(transcripts(talks), train(talks))
 
 
 def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

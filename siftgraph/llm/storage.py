@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``. Only where it is unset (local tests) a folder of this machine."""
+    """The cluster's ``spark.checkpoint.dir``. A local session, as in tests, may do without one and gets a folder of this machine; on a cluster its absence is an error, since executors don't see each other's folders."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir isn't set: executors need a folder that they share")
         place = "file://" + tempfile.mkdtemp(prefix="siftgraph-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")

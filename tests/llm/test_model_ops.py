@@ -189,7 +189,7 @@ def test_transcripts(spark):
             rows.append((c, t, "user" if t % 2 == 0 else "assistant", talk(4) + "?" if t % 2 == 0 else talk(40) + ".\n" + talk(30) + ".", 1))
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, n_turns int")
     model = chat.train(table.where("conv_id < 40"))
-    got = chat.parsed(chat.transcripts(table.where("conv_id >= 40")), model, ("conv_id", "piece", "truth")).collect()
+    got = chat.parsed_pieces(chat.transcripts(table.where("conv_id >= 40")), model).collect()
     right = np.mean([a == b for x in got for a, b in zip(x.roles.split(","), x.truth.split(","))])
     assert right > 0.95 and len(got) == 20
     long = talk(40) + ".\n" + talk(30) + "."
@@ -198,7 +198,29 @@ def test_transcripts(spark):
     empty = spark.createDataFrame([(1, None), (2, "")], "id int, transcript string")
     assert [(x.n_lines, x.n_turns) for x in chat.parsed(empty, model).collect()] == [(0, 0), (0, 0)]
     odd = spark.createDataFrame([(None, None, None, None, 1), (1, 0, "user", None, 1), (1, 0, "user", None, 1)], table.schema)
-    assert chat.parsed(chat.transcripts(odd), model, ("conv_id",)).count() == 2
+    assert chat.parsed_pieces(chat.transcripts(odd), model).count() == 2
+    assert chat.parsed_pieces(chat.transcripts(table.limit(0)), model).count() == 0 and chat.train(table.limit(0)) is not None
+
+
+def test_pieces_are_parsed_as_one_transcript(spark):
+    r = np.random.default_rng(5)
+    talk = lambda k: " ".join(r.choice(["So", "what", "is", "this", "thing", "about"], k)).capitalize()
+    rows = [(c, t, ("user", "assistant", "system", "odd")[int(r.integers(0, 2 if c else 4))], "\n".join(talk(int(r.integers(0, 9))) for _ in range(int(r.integers(1, 4)))), 1) for c in range(6) for t in range(50)]
+    rows += [(7, None, "user", "x " * 100_000, 1), (None, 3, "user", "Who?", 1), (None, 4, "assistant", "Nobody.", 1)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, rendered int")
+    model = chat.train(table)
+    pieces = chat.transcripts(table, piece=4).cache()
+    texts, told = {}, {}
+    for x in sorted(pieces.collect(), key=lambda x: (x.part, x.seq)):
+        texts.setdefault(x.conv_id, []).append(x.transcript)
+    assert min(len(texts[c]) for c in range(6)) >= 9
+    for x in sorted(chat.parsed_pieces(pieces, model).collect(), key=lambda x: (x.part, x.seq)):
+        told.setdefault(x.conv_id, []).append(x)
+    for c, parts in texts.items():
+        whole = model.parse("\n".join(parts))
+        assert [y for x in told[c] if x.roles for y in x.roles.split(",")] == [r for r, _ in whole]
+        tidy = lambda s: re.sub(r"\s+", " ", s)  # noqa: E731  blank lines at a cut may differ
+        assert tidy("".join(x.rendered for x in told[c])) == tidy(chat.rendered(whole))
 
 
 def viterbi_by_brute_force(model, lines):

@@ -29,3 +29,17 @@ def test_stages_on_a_small_table(spark, tmp_path):
     assert left["personal_data"][63].text.endswith(" mail [EMAIL]") and left["personal_data"][63].n_chars == len(left["personal_data"][63].text)
     assert set(left["byte_bpe"]) == set(left["personal_data"])
     assert {x.doc_id for x in cp.run(spark, str(tmp_path)).collect()} == set(left["byte_bpe"])
+
+
+def test_stages_on_empty_and_odd_tables(spark, tmp_path):
+    """No rows; null ids, languages and texts; repeated rows; further columns named like results."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n_words int, class_id string, spans string, accepted int"
+    rows = [(None, "one two three four five six", None, None, None), (None, None, None, None, None), (1, "x " * 60_000, "en", "s", 0), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (3, "seven eight nine", "en", "s", 0), (3, "seven eight nine", "en", "s", 0)]
+    labels = "doc_id long, quality int, toxic int, lang string, text int"
+    for name, own in (("empty", []), ("odd", rows)):
+        place = tmp_path / name
+        spark.createDataFrame([(*r, 1, "c", "s", 0) for r in own], schema).write.parquet(str(place / "documents.parquet"))
+        spark.createDataFrame([(1, 1, 0, "x", 1), (None, 1, None, "x", 1), (3, None, None, "x", 1)] if own else [], labels).write.parquet(str(place / "labels.parquet"))
+        spark.createDataFrame([(None, None), (1, "")] if own else [], "item_id long, text string").write.parquet(str(place / "benchmark.parquet"))
+        got = cp.run(spark, str(place)).collect()
+        assert len(got) == (0 if not own else len({r.doc_id for r in got})) and {r.doc_id for r in got} <= {None, 1, 3}

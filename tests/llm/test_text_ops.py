@@ -262,6 +262,30 @@ def test_skip_edges_join_forms_and_shapes_and_reach_far():
     assert (field.beliefs(far).argmax(axis=1) == 3).all()
 
 
+def test_messages_give_exact_marginals_on_a_tree():
+    from itertools import product
+
+    r = np.random.default_rng(4)
+    g = pii.Graph()
+    g.doc, g.features = [0] * 5, [[f"f{i}"] for i in range(5)]
+    g.edges = [(0, 1, 0), (1, 2, 1), (1, 3, 2), (3, 4, 0)]
+    n = len(pii.LABELS)
+    pair = r.normal(size=(3, n, n))
+    pair[1:] = (pair[1:] + pair[1:].transpose(0, 2, 1)) / 2
+    field = pii.SkipChain({f"f{i}": r.normal(size=n) for i in range(5)}, pair)
+    want = np.zeros((5, n))
+    for y in product(range(n), repeat=5):
+        p = np.exp(sum(field.rows[f"f{i}"][y[i]] for i in range(5)) + sum(pair[k, y[a], y[b]] for a, b, k in g.edges))
+        want[np.arange(5), y] += p
+    got = np.exp(field.beliefs(g) - field.beliefs(g).max(axis=1, keepdims=True))
+    assert np.abs(got / got.sum(axis=1, keepdims=True) - want / want.sum(axis=1, keepdims=True)).max() < 1e-3
+
+
+def test_shapes_of_long_tokens_differ_in_their_ends():
+    a, b = "1a" * 60 + "2", "1a" * 60 + "b22"
+    assert pii.shape(a) != pii.shape(b) and pii.shape(a) == pii.shape(a.replace("1", "3")) and len(pii.shape(a)) < 20
+
+
 def test_licenses_as_files_hold_them(spark):
     from pathlib import Path
 
