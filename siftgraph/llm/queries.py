@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses
+from . import decontaminate, licenses, shards
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -83,4 +83,4 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = Non
 
 
 QUERIES = {f.__name__: f for f in (op1_licenses, license_variants, op2_near_duplicates, op3_chat, op4_neighbours, op5_lm_scores, op6_sharding, op7_quality, op8_pii, op9_decontamination, op10_byte_bpe)}
-ORACLE_SQL = {"op1_licenses": licenses.oracle_sql(), "license_variants": licenses.variants_sql(), "op9_decontamination": decontaminate.oracle_sql()}
+ORACLE_SQL = {"op1_licenses": licenses.oracle_sql(), "license_variants": licenses.variants_sql(), "op6_sharding": shards.oracle_sql(), "op9_decontamination": decontaminate.oracle_sql()}

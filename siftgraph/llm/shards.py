@@ -96,3 +96,19 @@ def sharded(docs: DataFrame, shards: int = 24, seed: int = 42, id_col: str = "do
     numbered = ranged.join(F.broadcast(before), "part").withColumn("row_number", F.col("before") + F.col("within").bitwiseAND(F.lit((1 << 33) - 1)))
     out = numbered.withColumn("p", permute(F.col("row_number"), max(1, n), seed))
     return out.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("rows").alias("law"), F.pmod("p", F.lit(shards)).cast("int").alias("shard"), F.floor(F.col("p") / shards).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "row_number")
+
+
+def oracle_sql(shards: int = 24, seed: int = 42) -> str:
+    """``sharded`` in DuckDB: checksums by a table, the permutation as a recursion over rounds that walks on while a number lies outside."""
+    keys = ", ".join(f"({i}, {m}::bigint, {c}::bigint)" for i, (m, c) in enumerate(round_keys(seed), 1))
+    table = "list_transform(range(256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end))"
+    octets = "list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::bigint)"
+    return f"""select * from (with recursive tab as (select {table} as t),
+d as (select doc_id, strlen(coalesce(text, '')) + 8 as size, xor(list_reduce([4294967295] || {octets}, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) as text_crc32 from documents, tab),
+r as (select *, row_number() over (order by doc_id nulls first, size, text_crc32) - 1 as n from d),
+z as (select count(*) as n, ceil(sqrt(count(*)))::bigint as a from documents),
+k(i, m, c) as (values {keys}),
+w as (select r.n, r.n // a as l, r.n % a as r, 0 as step from r, z
+union all select w.n, r, (l + (t * t + c) % {PRIME}) % a, i from (select w.*, z.a, k.i, k.c, (w.r * k.m + k.c) % {PRIME} as t from w, z, k where k.i = w.step % {STEPS} + 1 and (w.step < {STEPS} or w.l * z.a + w.r >= z.n)) w),
+p as (select w.n, l * a + r as p from w, z where step = {STEPS} and l * a + r < z.n)
+select doc_id, size, text_crc32, 'rows' as law, (p % {shards})::int as shard, p // {shards} as slot, null::int as grown_shard, n as row_number from r join p using (n))"""
