@@ -163,7 +163,7 @@ def counted(taught: DataFrame, head: int = HEAD, plain: int = PLAIN, buckets: in
 
     def count(batches):
         for batch in batches:
-            for _, _, t in slices(batch.column(0), 8 << 20):
+            for _, _, t in slices(batch.column(0), 4 << 20):
                 tok, n = np.unique(_stream(t)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(tok.view(np.int64)), pa.array(n.astype(np.int64))], names=["tok", "n"])
 
@@ -200,7 +200,7 @@ def fitted(taught: DataFrame, types: Types, width: int = WIDTH, learn: int = LEA
         own, n, seen = Lbl(begin.value.copy(), v, width), 0, np.full(len(begin.value), 1e-6, dtype=np.float32)
         unigram, rng = shared.value.unigram, np.random.default_rng(9)
         for batch in batches:
-            for _, _, t in slices(batch.column(0), 8 << 20):
+            for _, _, t in slices(batch.column(0)):
                 _, bounds, _, ids = shared.value.numbers(t)
                 w1, w2 = _contexts(ids, bounds)
                 for i in range(0, len(ids), BATCH):
