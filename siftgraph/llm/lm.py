@@ -321,3 +321,17 @@ def scores(
         (F.col("base") + F.coalesce("b", zero) - F.col("n_tokens") * math.log10(types.total + types.types + 1)).alias("base_score"),
         (F.col("score") + F.coalesce("s", zero)).alias("score"),
     )
+
+
+def base_sql() -> str:
+    """The columns of ``scores`` that need no model, in DuckDB; an end is the empty text, which no token is."""
+    from .shards import CRC_TABLE, crc_sql
+
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""with tab as (select {CRC_TABLE} as t),
+d as (select row_number() over () as k, doc_id, {crc_sql("coalesce(doc_id::varchar, '')")} % 7 = 2 as held_out, regexp_extract_all({low}, '[^\\x20\\x09-\\x0D]+') as w from documents, tab),
+x as (select k, held_out, unnest(list_append(w, '')) as tok from d),
+c as (select tok, count(*) as c from x where not held_out group by 1),
+n as (select coalesce(sum(c), 0)::bigint as n, count(*) as v from c),
+s as (select k, count(*) as n_tokens, count(c) as n_known, sum(log10((coalesce(c, 0) + 1) / (n + v + 1))) as b from x left join c using (tok), n group by 1)
+select doc_id, held_out, n_tokens, n_known, n as train_tokens, round(b, 4) as base_score from d join s using (k), n"""

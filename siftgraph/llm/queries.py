@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, shards
+from . import decontaminate, licenses, lm, shards
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -49,6 +49,12 @@ def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(_read(spark, sf_dir, "documents"))
 
 
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``op5_lm_scores`` that SQL can give."""
+    rows = op5_lm_scores(spark, sf_dir)
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .shards import sharded
 
@@ -82,5 +88,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = Non
     return digests(_read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_licenses, license_variants, op2_near_duplicates, op3_chat, op4_neighbours, op5_lm_scores, op6_sharding, op7_quality, op8_pii, op9_decontamination, op10_byte_bpe)}
-ORACLE_SQL = {"op1_licenses": licenses.oracle_sql(), "license_variants": licenses.variants_sql(), "op6_sharding": shards.oracle_sql(), "op9_decontamination": decontaminate.oracle_sql()}
+QUERIES = {f.__name__: f for f in (op1_licenses, license_variants, op2_near_duplicates, op3_chat, op4_neighbours, op5_lm_scores, lm_base_scores, op6_sharding, op7_quality, op8_pii, op9_decontamination, op10_byte_bpe)}
+ORACLE_SQL = {"op1_licenses": licenses.oracle_sql(), "license_variants": licenses.variants_sql(), "lm_base_scores": lm.base_sql(), "op6_sharding": shards.oracle_sql(), "op9_decontamination": decontaminate.oracle_sql()}

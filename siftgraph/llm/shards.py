@@ -98,13 +98,20 @@ def sharded(docs: DataFrame, shards: int = 24, seed: int = 42, id_col: str = "do
     return out.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("rows").alias("law"), F.pmod("p", F.lit(shards)).cast("int").alias("shard"), F.floor(F.col("p") / shards).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "row_number")
 
 
+#: DuckDB: a checksum's table as a list, and the checksum of a text by it (``t``).
+CRC_TABLE = "list_transform(range(256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end))"
+
+
+def crc_sql(text: str) -> str:
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::bigint)"
+    return f"xor(list_reduce([4294967295] || {octets}, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)"
+
+
 def oracle_sql(shards: int = 24, seed: int = 42) -> str:
     """``sharded`` in DuckDB: checksums by a table, the permutation as a recursion over rounds that walks on while a number lies outside."""
     keys = ", ".join(f"({i}, {m}::bigint, {c}::bigint)" for i, (m, c) in enumerate(round_keys(seed), 1))
-    table = "list_transform(range(256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end))"
-    octets = "list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::bigint)"
-    return f"""select * from (with recursive tab as (select {table} as t),
-d as (select doc_id, strlen(coalesce(text, '')) + 8 as size, xor(list_reduce([4294967295] || {octets}, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) as text_crc32 from documents, tab),
+    return f"""select * from (with recursive tab as (select {CRC_TABLE} as t),
+d as (select doc_id, strlen(coalesce(text, '')) + 8 as size, {crc_sql("coalesce(text, '')")} as text_crc32 from documents, tab),
 r as (select *, row_number() over (order by doc_id nulls first, size, text_crc32) - 1 as n from d),
 z as (select count(*) as n, ceil(sqrt(count(*)))::bigint as a from documents),
 k(i, m, c) as (values {keys}),
