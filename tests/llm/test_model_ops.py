@@ -269,6 +269,55 @@ def test_quality_by_shards_gives_the_same(spark, docs):
     assert told[0] == told[1]
 
 
+def kneser_ney_by_brute_force(texts):
+    """log10 probability of a text's tokens under interpolated modified Kneser-Ney trigrams of the given texts."""
+    cut = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+|[^\x09-\x0d\x20]", (t or "").translate(LOW))
+    three = Counter(g for t in texts for w in [["<s>", "<s>", *cut(t)]] for g in zip(w, w[1:], w[2:]))
+    two = Counter(g[1:] for g in three)
+    one = Counter(g[1:] for g in two)
+
+    def level(counts):
+        n = [sum(c == i for c in counts.values()) for i in range(5)]
+        y = n[1] / max(n[1] + 2 * n[2], 1)
+        d = [min(i - 0.1, max(0.1, i - (i + 1) * y * n[i + 1] / n[i] if n[i] else 0.5)) for i in (1, 2, 3)]
+        total, left = Counter(), Counter()
+        for g, c in counts.items():
+            total[g[:-1]] += c
+            left[g[:-1]] += d[min(c, 3) - 1]
+        return {g: (c - d[min(c, 3) - 1]) / total[g[:-1]] for g, c in counts.items()}, {h: x / total[h] for h, x in left.items()}
+
+    (s3, l3), (s2, l2), (s1, l1) = map(level, (three, two, one))
+
+    def p(g):
+        low = s1.get(g[2:], 0) + l1[()] / (len(one) + 1)
+        mid = s2.get(g[1:], 0) + l2.get(g[1:2], 1) * low
+        return s3.get(g, 0) + l3.get(g[:2], 1) * mid
+
+    def score(t):
+        w = ["<s>", "<s>", *cut(t)]
+        return len(w) - 2, sum(math.log10(p(g)) for g in zip(w, w[1:], w[2:]))
+
+    return score
+
+
+def test_quality_perplexity_and_thresholds_by_brute_force(spark, docs):
+    rows = [r for r in docs.collect() if r.doc_id is not None]
+    of = {}
+    for lang in ("en", "de"):
+        of[lang] = kneser_ney_by_brute_force([r.text for r in rows if r.doc_id < 120 and r.lang == lang])
+    trusted = docs.where("doc_id < 120").select("lang", "text")
+    got = q.scored(docs.where("lang in ('en', 'de') and doc_id is not null"), q.train(trusted), {"en", "de"}, ("doc_id", "lang"))
+    want = Counter((r.doc_id, *(round(x, 2) for x in of[r.lang](r.text))) for r in rows if r.lang in of)
+    assert Counter((r.doc_id, r.n_tokens, round(r.logp, 2)) for r in got.collect()) == want
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(160)], "doc_id long, quality int, toxic int")
+    out = q.judged(docs, labels, quantile=0.5, slack=1.0).collect()
+    dice = {r.doc_id: r.d for r in docs.selectExpr("doc_id", f"pmod(xxhash64(string(doc_id), 7), {1 << 20}) / {float(1 << 20)} as d").collect()}
+    for lang in ("en", "de"):
+        other = sorted(r.log10_perplexity for r in out if r.lang == lang and r.n_tokens and r.doc_id is not None and r.doc_id < 160 and dice[r.doc_id] >= 0.5)
+        assert {r.threshold for r in out if r.lang == lang} == {other[math.ceil(len(other) / 2) - 1]}
+        assert all(r.accepted == (r.n_tokens > 0 and r.log10_perplexity <= r.threshold) for r in out if r.lang == lang)
+
+
 def test_quality_trusts_no_toxic_text(spark, monkeypatch):
     rows = [(i, "vile words here" if i % 2 else "fair words here", "en") for i in range(80)]
     seen = []
