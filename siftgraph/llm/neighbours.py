@@ -26,9 +26,10 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from .storage import written
 from .text import mix
@@ -132,83 +133,120 @@ def calibrated(trees: list[Tree], x: np.ndarray, k: int, recall: float, queries:
 
 
 def _usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    v = F.col(vec_col).cast("array<double>")
-    ok = F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+    """(vec_id, v) that take part; single-precision vectors stay so on their way, which loses nothing."""
+    kind = vectors.schema[vec_col].dataType
+    narrow = isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType)
+    v = F.col(vec_col).cast("array<float>" if narrow else "array<double>")
+    sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+    ok = F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & sound
     good = vectors.where(ok).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
     size = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     return good.where(F.size("v") == (size.n if size else 0))
 
 
-def neighbours(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vec_col: str = "embedding", trees: int = TREES, leaf: int = LEAF, recall: float = RECALL, sample: int = SAMPLE, block: int = BLOCK, seed: int = 11) -> DataFrame:
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A list column as rows in double precision."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1)
+
+
+def _batch(**columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
+
+
+def neighbours(
+    vectors: DataFrame,
+    k: int = 10,
+    every: int = 100,
+    id_col: str = "vec_id",
+    vec_col: str = "embedding",
+    trees: int = TREES,
+    leaf: int = LEAF,
+    recall: float = RECALL,
+    sample: int = SAMPLE,
+    block: int = BLOCK,
+    seed: int = 11,
+) -> DataFrame:
     """query_id, rank, vec_id, score of the ``k`` nearest found for each row whose id is divisible by ``every``."""
     spark = vectors.sparkSession
     rows = written(_usable(vectors, id_col, vec_col), "vectors")
+    kind = rows.schema["v"].dataType.simpleString()
     # The smallest ids of each vector: ranks are limited before the shuffle.
     few = rows.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("r") <= k + 1)
-    points = written(few.groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")).select(F.col("ids")[0].alias("point"), "ids", "v"), "points")
+    points = few.groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
+    points = written(points.select(F.col("ids")[0].alias("point"), "ids", "v"), "points")
     asked = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v").distinct()
     asked = written(asked.join(points.select("v", "point"), "v").select("query_id", "point", "v"), "asked")
     fit = points.select("v", "point").orderBy(F.xxhash64("point"), "point").limit(sample).select("v").toArrow()
     if not fit.num_rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    x = fit["v"].combine_chunks().flatten().to_numpy().reshape(fit.num_rows, -1)
+    x = _matrix(fit["v"])
     trees_ = [Tree(x, leaf, seed + i) for i in range(trees)]
     share = calibrated(trees_, x, k, recall)
     forest = spark.sparkContext.broadcast(trees_)
 
     def tally(batches):
         for p in batches:
-            x = np.array(p["v"].tolist(), dtype=np.float64)
+            x = _matrix(p.column(0))
             for t, tree in enumerate(forest.value):
                 n = np.bincount(tree.leaf_of(x), minlength=tree.leaves)
-                yield pd.DataFrame({"tree": t, "leaf": np.flatnonzero(n), "n": n[n > 0]})
+                at = np.flatnonzero(n)
+                yield _batch(tree=np.full(len(at), t, dtype=np.int32), leaf=at, n=n[at])
 
     # One number for each leaf of the fitted trees: bounded by the sample.
-    sizes = points.select("v").mapInPandas(tally, "tree int, leaf long, n long").groupBy("tree", "leaf").agg(F.sum("n").alias("n")).toPandas()
+    sizes = points.select("v").mapInArrow(tally, "tree int, leaf long, n long").groupBy("tree", "leaf").agg(F.sum("n").alias("n")).toArrow()
     counts = [np.zeros(t.leaves, dtype=np.int64) for t in trees_]
-    for t, part in sizes.groupby("tree"):
-        counts[t][part["leaf"]] = part["n"]
+    of, at, n = (sizes[c].to_numpy() for c in ("tree", "leaf", "n"))
+    for t in range(trees):
+        counts[t][at[of == t]] = n[of == t]
     blocks = [-(-np.add.reduceat(c, np.arange(0, len(c), SHELF)) // block) for c in counts]
     known = spark.sparkContext.broadcast((counts, [np.maximum(b, 1) for b in blocks], int(share * counts[0].sum())))
 
     def place(batches):
         for p in batches:
-            x, ids = np.array(p["v"].tolist(), dtype=np.float64), p["point"].to_numpy()
+            x, ids = _matrix(p.column(1)), p.column(0).to_numpy()
+            dice = (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(1)).astype(np.int64)
             for t, tree in enumerate(forest.value):
                 g = tree.leaf_of(x)
-                yield pd.DataFrame({"tree": t, "shelf": g // SHELF, "block": mix(ids.astype(np.int64).view(np.uint64)).astype(np.int64) % known.value[1][t][g // SHELF], "leaf": g, "point": ids, "v": p["v"]})
+                shelf = g // SHELF
+                tree_ = np.full(len(g), t, dtype=np.int32)
+                yield _batch(tree=tree_, shelf=shelf, block=dice % known.value[1][t][shelf], leaf=g, point=p.column(0), v=p.column(1))
 
     def seek(batches):
         counts, blocks, reach = known.value
         for p in batches:
-            x = np.array(p["v"].tolist(), dtype=np.float64)
-            for i in range(0, len(p), 64):
+            x, ids = _matrix(p.column(1)), p.column(0)
+            for i in range(0, len(x), 64):
                 rows = []
                 for j, got in enumerate(walk(forest.value, counts, x[i : i + 64], reach), i):
                     shelves: dict[tuple[int, int], list[int]] = {}
                     for t, g in got:
                         shelves.setdefault((t, g // SHELF), []).append(g)
-                    rows += [(t, s, b, g, p["point"].iloc[j], p["v"].iloc[j]) for (t, s), g in shelves.items() for b in range(blocks[t][s])]
-                yield pd.DataFrame(rows, columns=["tree", "shelf", "block", "leaves", "query", "q"])
-
-    def rank(_, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query": np.empty(0, np.int64), "point": np.empty(0, np.int64), "score": np.empty(0)})
-        if not len(a) or not len(b):
-            return empty
-        order = np.argsort(a["leaf"].to_numpy(), kind="stable")
-        g, ids, x = a["leaf"].to_numpy()[order], a["point"].to_numpy()[order], np.array(a["v"].tolist(), dtype=np.float64)[order]
-        out = []
-        for query, q, leaves in zip(b["query"], b["q"], b["leaves"]):
-            at = np.flatnonzero(np.isin(g, leaves))
-            d = np.sqrt(((x[at] - q) ** 2).sum(axis=1))
-            best = np.lexsort((ids[at], d))[: k + 1]
-            out.append((np.full(len(best), query), ids[at][best], d[best]))
-        return pd.DataFrame(dict(zip(empty.columns, map(np.concatenate, zip(*out)))))
+                    rows += [(t, s, b, sorted(g), j) for (t, s), g in shelves.items() for b in range(blocks[t][s])]
+                tree, shelf, part, leaves, own = zip(*rows)
+                own = pa.array(own, pa.int64())
+                yield _batch(tree=pa.array(tree, pa.int32()), shelf=pa.array(shelf, pa.int64()), block=pa.array(part, pa.int64()), leaves=pa.array(leaves, pa.list_(pa.int64())), query=ids.take(own), q=p.column(1).take(own))
+
+    def rank(a: pa.Table, b: pa.Table) -> pa.Table:
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        if a.num_rows and b.num_rows:
+            g = a["leaf"].to_numpy()
+            order = np.argsort(g, kind="stable")
+            g, ids, x = g[order], a["point"].to_numpy()[order], _matrix(a["v"])[order]
+            for query, q, leaves in zip(b["query"].to_pylist(), _matrix(b["q"]), b["leaves"].to_pylist()):
+                lo, hi = np.searchsorted(g, leaves, "left"), np.searchsorted(g, leaves, "right")
+                at = np.concatenate([np.arange(i, j) for i, j in zip(lo, hi)])
+                d = np.sqrt(((x[at] - q) ** 2).sum(axis=1))
+                best = np.lexsort((ids[at], d))[: k + 1]
+                out.append((np.full(len(best), query), ids[at][best], d[best]))
+        return pa.table(dict(zip(("query", "point", "score"), map(np.concatenate, zip(*out)))))
 
     keys = ["tree", "shelf", "block"]
-    stock = points.select("point", "v").mapInPandas(place, "tree int, shelf long, block long, leaf long, point long, v array<double>")
-    asks = asked.select("point", "v").distinct().mapInPandas(seek, "tree int, shelf long, block long, leaves array<long>, query long, q array<double>")
-    found = stock.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInPandas(rank, "query long, point long, score double")
+    stock = points.select("point", "v").mapInArrow(place, f"tree int, shelf long, block long, leaf long, point long, v {kind}")
+    asks = asked.select("point", "v").distinct().mapInArrow(seek, f"tree int, shelf long, block long, leaves array<long>, query long, q {kind}")
+    found = stock.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInArrow(rank, "query long, point long, score double")
     found = found.groupBy("query", "point").agg(F.min("score").alias("score"))
     near = found.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("score", "point"))).where(F.col("r") <= k + 1)
     near = near.join(points.select("point", "ids"), "point").select(F.col("query").alias("point"), "score", F.explode("ids").alias("vec_id"))
@@ -217,4 +255,5 @@ def neighbours(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str =
     lists = near.groupBy("point").agg(F.array_sort(F.collect_list(F.struct("score", "vec_id"))).alias("list"))
     own = asked.select("query_id", "point").join(lists, "point")
     best = F.slice(F.filter("list", lambda s: s["vec_id"] != F.col("query_id")), 1, k)
-    return own.select("query_id", F.posexplode(best).alias("rank", "s")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("s.vec_id").alias("vec_id"), F.col("s.score").alias("score"))
+    told = own.select("query_id", F.posexplode(best).alias("rank", "s"))
+    return told.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("s.vec_id").alias("vec_id"), F.col("s.score").alias("score"))
