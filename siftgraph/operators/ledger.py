@@ -9,6 +9,11 @@ from .evidence import append, family, first_of, stable_hash
 
 LINK_KEY = ["claim_id", "observation_id", "polarity"]
 NODE_KEY = ["run_id", "node_type", "value_norm"]
+#: What makes an edge, a lineage step, a pivot's choice and a processed domain one; their other columns come from the first.
+EDGE_KEY = ["run_id", "from_node_id", "to_node_id", "relation_type", "depth", "source"]
+LINEAGE_KEY = ["run_id", "child_node_id", "parent_node_id"]
+PIVOT_KEY = ["run_id", "domain_node_id", "identifier_value_norm", "identifier_type"]
+PROCESSED_KEY = ["run_id", "domain_node_id"]
 
 
 def link_problem() -> Column:
@@ -60,6 +65,16 @@ def commit_wave(rows: DataFrame, path: str, wave: int) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def rows_of(runs: DataFrame, table: DataFrame) -> DataFrame:
+    """The rows of a run-scoped table that go with runs to be deleted: a semi join."""
+    return table.join(runs.select("run_id").distinct(), "run_id", "left_semi")
+
+
+def without_runs(runs: DataFrame, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Every run-scoped table without the rows of those runs; a table written by run drops their partitions instead."""
+    return {name: rows.join(runs.select("run_id").distinct(), "run_id", "left_anti") for name, rows in tables.items()}
+
+
 def append_calls(calls: DataFrame, stored: DataFrame | None = None, key: str = "id") -> DataFrame:
     """Telemetry rows to append: each call once, none that is stored already."""
     new = calls.dropDuplicates([key])

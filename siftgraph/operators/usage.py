@@ -44,8 +44,34 @@ def peak_leases(leases: DataFrame, bucket: str = "day") -> DataFrame:
     return held.join(totals, ["provider", "b"]).groupBy("provider").agg(F.max(F.col("base") + F.col("held")).alias("peak"))
 
 
-def fifo_heads(waiters: DataFrame) -> DataFrame:
-    return waiters.groupBy("provider").agg(F.min(F.struct("created_at", "id")).alias("h")).select("provider", "h.id", "h.created_at")
+def fifo_heads(waiters: DataFrame, since: Column | None = None) -> DataFrame:
+    """(provider, id, created_at) of each source's first waiter; those who came before ``since`` have given up."""
+    waiting = waiters if since is None else waiters.where(F.col("created_at") >= since)
+    return waiting.groupBy("provider").agg(F.min(F.struct("created_at", "id")).alias("h")).select("provider", "h.id", "h.created_at")
+
+
+def leases_granted(asked: DataFrame, limit: int) -> DataFrame:
+    """Asked leases (provider, id, created_at, expires_at) in order, each granted if fewer than ``limit`` granted ones of its source still run.
+
+    What is granted depends on all before it; a source's rows stream through one task that holds ``limit`` instants.
+    """
+    cols = ["provider", "id", "created_at", "expires_at"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held = None, []
+        for p in frames:
+            ok = []
+            for who, start, end in zip(p["provider"], p["created_at"], p["expires_at"]):
+                if who != now:
+                    now, held = who, []
+                held = [e for e in held if e > start]
+                ok.append(len(held) < limit)
+                if ok[-1]:
+                    held.append(end)
+            yield p[ok]
+
+    rows = asked.select(*cols)
+    return in_order(rows, "provider", ["created_at", "id"]).mapInPandas(run, rows.schema)
 
 
 def latest(rows: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:

@@ -995,3 +995,73 @@ def graph_documents(spark, sf_dir):
     d = e.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("from_node_id"), F.lit("r").alias("relation_type"), F.col("event_id").alias("to_node_id"))
     key = F.concat(F.lit('{"run_id":'), F.get_json_object("json", "$.run_id"), F.lit("}"))
     return out.graph_json(n, d).select("run_id", key.alias("json"))
+
+
+rows("made_edges", "run_id, from_node_id, to_node_id, relation_type, depth, source, confidence, seq", "'r', 'a', 'b', 'links', 1, 's', 0.5, 2", "'r', 'a', 'b', 'links', 1, 's', 0.9, 1", "'r', 'a', 'b', 'links', 2, 's', 0.7, 3", "'r', 'a', 'b', 'links', 1, 't', 0.8, 4", "'r', 'b', 'a', 'links', 1, 's', 0.1, 5")
+rows("stored_edges", "run_id, from_node_id, to_node_id, relation_type, depth, source", "'r', 'b', 'a', 'links', 1, 's'")
+
+
+@query("select from_node_id, to_node_id, depth, source, arg_min(confidence, seq)::double as confidence from v_made_edges where seq < 5 group by 1, 2, 3, 4", "made_edges")
+def first_edges(spark, sf_dir):
+    e = read(spark, "made_edges").withColumn("confidence", F.col("confidence").cast("double"))
+    return ev.append(e, le.EDGE_KEY, read(spark, "stored_edges")).select("from_node_id", "to_node_id", "depth", "source", "confidence")
+
+
+@query("select c_nationkey as run_id, c_mktsegment as child_node_id, min(c_custkey) as depth from customer group by 1, 2")
+def first_lineage(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    rows_ = c.select(F.col("c_nationkey").alias("run_id"), F.col("c_mktsegment").alias("child_node_id"), F.lit("p").alias("parent_node_id"), F.col("c_custkey").alias("depth"), F.col("c_custkey").alias("seq"))
+    return ev.append(rows_, le.LINEAGE_KEY).select("run_id", "child_node_id", "depth")
+
+
+@query("""select sha256(concat_ws(chr(31), source, '', subject_type, subject_value_norm, predicate, object_type, object_value_norm, '', observed_at)) as dedup_key, observation_id from v_facts where observation_id <> 'o2' and observation_id <> 'o4'""", "facts")
+def first_observations(spark, sf_dir):
+    """Each fact comes twice, one breaks a rule, one is stored already."""
+    f = _facts(spark).withColumn("source_record_id", F.lit(None).cast("string")).withColumn("raw_hash", F.lit(None).cast("string")).drop("dedup_key")
+    again = f.withColumn("seq", F.col("seq") + 100).withColumn("observation_id", F.lit("late"))
+    bad = F.when(F.col("observation_id") == "o2", 1.5).otherwise(F.col("confidence"))
+    good, _ = ev.observations(f.withColumn("confidence", bad).unionByName(again.where("predicate <> 'has_mx'")))
+    stored = good.where("observation_id = 'o4'").select("dedup_key")
+    return ev.append(good, ["dedup_key"], stored).select("dedup_key", "observation_id")
+
+
+_OLD = "select o_orderkey from orders where o_orderdate < timestamp '1996-01-01' and o_orderstatus <> 'P'"
+
+
+@query(f"select l_orderkey as run_id, l_linenumber from lineitem where l_orderkey in ({_OLD})")
+def retention_rows(spark, sf_dir):
+    t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
+    runs = t("orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").alias("started_at"), F.when(F.col("o_orderstatus") == "P", "running").otherwise("completed").alias("status"))
+    gone = us.retention(runs, F.lit("1996-01-01").cast("timestamp_ntz"))
+    return le.rows_of(gone, t("lineitem").select(F.col("l_orderkey").alias("run_id"), "l_linenumber"))
+
+
+@query(f"select l_orderkey as run_id, count(*) as n from lineitem where l_orderkey not in ({_OLD}) group by 1")
+def retained_rows(spark, sf_dir):
+    t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
+    gone = t("orders").where("o_orderdate < timestamp_ntz '1996-01-01' and o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("run_id"))
+    left = le.without_runs(gone, {"lines": t("lineitem").select(F.col("l_orderkey").alias("run_id"))})["lines"]
+    return left.groupBy("run_id").agg(F.count("*").alias("n"))
+
+
+@query("select concat('p', user_id % 7) as provider, arg_min(event_id, (ts, event_id)) as id from events where ts >= timestamp '2024-01-05' group by 1")
+def patient_heads(spark, sf_dir):
+    from .views import view
+
+    return us.fifo_heads(view(spark, sf_dir, "leases"), F.lit("2024-01-05").cast("timestamp_ntz")).select("provider", "id")
+
+
+rows("lease_asks", "provider, id, a, b", "'p', 1, '00:00', '01:00'", "'p', 2, '00:10', '00:20'", "'p', 3, '00:15', '02:00'", "'p', 4, '00:20', '00:40'", "'p', 5, '00:30', '00:50'", "'p', 6, '01:00', '01:10'", "'q', 7, '00:00', '09:00'")
+
+
+@query("select provider, id from v_lease_asks where id in (1, 2, 4, 6, 7)", "lease_asks")
+def granted_leases(spark, sf_dir):
+    at = lambda c: F.concat(F.lit("2024-01-01 "), F.col(c)).cast("timestamp")
+    asks = read(spark, "lease_asks").select("provider", "id", at("a").alias("created_at"), at("b").alias("expires_at"))
+    return us.leases_granted(asks, 2).select("provider", "id")
+
+
+@query("select user_id as request_key, min(event_id) as id from events group by 1")
+def once_requests(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("request_key"), F.col("event_id").alias("id"), F.col("event_id").alias("seq"))
+    return ev.append(e, ["request_key"]).select("request_key", "id")

@@ -10,7 +10,7 @@ from siftgraph.operators import usage as us
 from siftgraph.plans import records
 
 DATA = "/root/testdata/sf0.001"
-TABLES = ("customer", "nation", "supplier", "orders", "events", "documents")
+TABLES = ("customer", "nation", "supplier", "orders", "lineitem", "events", "documents")
 
 
 def plain(v):
