@@ -132,7 +132,7 @@ def slices(column: pa.Array | pa.ChunkedArray, most: int = 2 << 20) -> Iterator[
 
 
 class Lookup:
-    """A hash table from non-zero uint64 keys to positions, built once, probed with whole arrays. Only the keys are pickled; a worker builds the table anew."""
+    """A hash table from non-zero uint64 keys to positions, built at the first probe, probed with whole arrays. Only the keys are pickled, so a driver that never probes holds no more than these."""
 
     def __getstate__(self) -> np.ndarray:
         return self.keys
@@ -142,6 +142,9 @@ class Lookup:
 
     def __init__(self, keys: np.ndarray):
         self.keys = np.asarray(keys, dtype=U64)
+        self.slots: np.ndarray | None = None
+
+    def _build(self) -> None:
         bits = max(4, int(2 * max(1, len(self.keys)) - 1).bit_length())
         self.shift = U64(64 - bits)
         self.slots = np.full(1 << bits, -1, dtype=np.int32)
@@ -162,6 +165,8 @@ class Lookup:
         out = np.full(len(keys), -1, dtype=np.int64)
         if not len(self.keys) or not len(keys):
             return out
+        if self.slots is None:
+            self._build()
         todo, at = np.arange(len(keys)), self._home(keys)
         while len(todo):
             got = self.slots[at]
