@@ -3,8 +3,8 @@
 Canonical form: A-Z folded, typographic quotes, dashes and spaces as white
 space; lines that are a copyright notice, "All rights reserved" or a licence's
 bare title are dropped; words are what stands between other ASCII characters
-than letters and digits; equivalent spellings are replaced word by word through
-one map, then equivalent phrases. The SHA-256 of that form is joined with the
+than letters and digits; equivalent spellings are replaced word by word, then
+equivalent phrases. The SHA-256 of that form is joined with the
 digests of the known licences, a fixed list (its size is that of the list, so
 it is broadcast). A line that begins with "copyright holder", "copyright
 notice" and the like is no notice, however a licence is wrapped.
@@ -119,18 +119,21 @@ _NOTICE = _LEAD + r"(?:copyright(?:[ \t:(<\[{]|©)|\(c\)|©)[^\n]*"
 _RIGHTS = _LEAD + r"all rights reserved[.]?[ \t]*(\n|\z)"
 _NAMES = r"(?:mit|expat|x11|isc|zlib|zlib/libpng|bsd|simplified bsd|new bsd|modified bsd|revised bsd|bsd [0-9][ -]clause|[0-9][ -]clause bsd|bsd zero[ -]clause)"
 _TITLE = _LEAD + r"(?:the )?" + _NAMES + r" licen[cs]e(?: \([a-z0-9 -]+\))?[.:]?[ \t]*(\n|\z)"
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_WORD, _BETWEEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def canonical(text: Column) -> Column:
     t = F.translate(F.coalesce(text, F.lit("")), _UPPER + _MARKS, _LOWER + " " * len(_MARKS))
+    # Few texts hold what a rule is about, and looking for it costs less than the rule.
     t = F.when(t.contains("copyright"), F.regexp_replace(t, _PLAIN, "copyright_$1")).otherwise(t)
-    t = F.when(t.rlike("copyright|\\(c\\)|©"), F.regexp_replace(t, _NOTICE, "\n")).otherwise(t)
+    t = F.when(t.contains("copyright") | t.contains("(c)") | t.contains("©"), F.regexp_replace(t, _NOTICE, "\n")).otherwise(t)
     t = F.when(t.contains("all rights reserved"), F.regexp_replace(t, _RIGHTS, "\n")).otherwise(t)
-    t = F.when(t.rlike("licen[cs]e"), F.regexp_replace(t, _TITLE, "\n")).otherwise(t)
-    same = F.create_map(*[F.lit(x) for pair in EQUIVALENT.items() for x in pair])
-    words = F.transform(F.regexp_extract_all(t, F.lit(_WORD), F.lit(0)), lambda x: F.coalesce(F.try_element_at(same, x), x))
-    t = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    t = F.when(t.contains("license") | t.contains("licence"), F.regexp_replace(t, _TITLE, "\n")).otherwise(t)
+    # Words stand between spaces of their own, so that replacing one never hides the next.
+    t = F.concat(F.lit(" "), F.regexp_replace(t, _BETWEEN, "  "), F.lit(" "))
+    for word, same in EQUIVALENT.items():
+        t = F.replace(t, F.lit(f" {word} "), F.lit(f" {same} "))
+    t = F.replace(t, F.lit("  "), F.lit(" "))
     for a, b in PHRASES:
         t = F.replace(t, F.lit(f" {a} "), F.lit(f" {b} "))
     return F.trim(t)
