@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, infill, licenses, lm, shards
+from . import decontaminate, infill, licenses, lm, shards, spelling
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -88,6 +88,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = Non
     return digests(_read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.grouped(_read(spark, sf_dir, "documents"), slip=97)
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digests(_read(spark, sf_dir, "documents"))
 
@@ -98,5 +102,5 @@ def op13_prefix_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = N
     return digests(_read(spark, sf_dir, "documents"), vocabulary or public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_licenses, license_variants, op2_near_duplicates, op3_chat, op4_neighbours, op5_lm_scores, lm_base_scores, op6_sharding, op7_quality, op8_pii, op9_decontamination, op10_byte_bpe, op12_fill_in_middle, op13_prefix_bpe)}
-ORACLE_SQL = {"op1_licenses": licenses.oracle_sql(), "license_variants": licenses.variants_sql(), "lm_base_scores": lm.base_sql(), "op6_sharding": shards.oracle_sql(), "op9_decontamination": decontaminate.oracle_sql(), "op12_fill_in_middle": infill.oracle_sql()}
+QUERIES = {f.__name__: f for f in (op1_licenses, license_variants, op2_near_duplicates, op3_chat, op4_neighbours, op5_lm_scores, lm_base_scores, op6_sharding, op7_quality, op8_pii, op9_decontamination, op10_byte_bpe, op11_spelling, op12_fill_in_middle, op13_prefix_bpe)}
+ORACLE_SQL = {"op1_licenses": licenses.oracle_sql(), "license_variants": licenses.variants_sql(), "lm_base_scores": lm.base_sql(), "op6_sharding": shards.oracle_sql(), "op9_decontamination": decontaminate.oracle_sql(), "op11_spelling": spelling.oracle_sql(), "op12_fill_in_middle": infill.oracle_sql()}
