@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .addresses import bound, public_address
+
 # Second-level public suffixes that count as one suffix.
 TWO_LABEL_SUFFIXES = (
     "co.uk", "org.uk", "gov.uk", "ac.uk", "co.jp", "or.jp", "ne.jp", "com.au", "net.au", "org.au", "co.nz", "com.br", "com.cn", "com.mx", "co.in", "co.za", "com.sg", "com.hk", "com.tr", "co.kr", "com.tw",
@@ -109,29 +111,21 @@ def valid_pivot(kind: Column, value: Column, score: Column) -> Column:
     return ok & ~((kind == "ns") & contains_any(low, GENERIC_NAME_SERVERS)) & ~((kind == "email") & (contains_any(low, GENERIC_MAIL) | registrar_mail(low)))
 
 
-# Names and endings of hosts inside a network, and address ranges that aren't public.
+# Names and endings of hosts inside a network.
 INNER_HOSTS = ("localhost", "127.0.0.1", "::1", "0.0.0.0", "metadata.google.internal", "metadata.goog", "instance-data.ec2.internal", "169.254.169.254")
 INNER_ENDINGS = (".local", ".localhost", ".internal", ".lan", ".home", ".localdomain")
-INNER_IPV6 = r"^(::|fe[89a-f]|f[cd]|ff|100:|2001:(0?db8|0{0,3}[0-9a-f]{0,2}):|64:ff9b:1:|3fff:)"
+#: White space at the ends of a host, as Python's ``strip`` sees it.
+_ENDS = r"^[\s\x1c-\x1f\x85\p{Z}]+|[\s\x1c-\x1f\x85\p{Z}]+$"
 
 
-def public_ipv4(quad: Column) -> Column:
-    """Whether four numbers up to 255 name a public address; null for other text."""
-    part = lambda i: F.try_element_at(F.split(quad, r"\."), F.lit(i)).cast("int")
-    a, b, c = part(1), part(2), part(3)
-    inner = a.isin(0, 10, 127) | (a >= 224) | ((a == 100) & b.between(64, 127)) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31))
-    inner = inner | ((a == 192) & ((b == 168) | (b == 0) & c.isin(0, 2))) | ((a == 198) & (b.isin(18, 19) | (b == 51) & (c == 100)))
-    inner = inner | ((a == 203) & (b == 0) & (c == 113))
-    every = F.forall(F.transform(F.split(quad, r"\."), lambda x: x.cast("int")), lambda x: x <= 255)
-    return F.when(quad.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), every & ~inner)
+def scan_target(host: Column) -> Column:
+    """Whether a host may be asked about: no inner name or ending, and a literal address only if it is public. Brackets around an address are taken off."""
+    h = F.regexp_replace(F.lower(F.regexp_replace(host, _ENDS, "")), r"\.+$", "")
 
+    def open_(bare: Column) -> Column:
+        refused = bare.isin(*INNER_HOSTS)
+        for ending in INNER_ENDINGS:
+            refused = refused | bare.endswith(ending)
+        return (bare != "") & ~refused & F.coalesce(public_address(bare), F.lit(True))
 
-def scan_target(host: Column) -> Column:
-    """Whether a host may be asked about: no inner name or ending, and a literal address (IPv4, IPv6) only if it is public."""
-    h = F.regexp_replace(F.lower(_strip(host)), r"\.+$", "")
-    bare = F.regexp_replace(h, r"^\[|\]$", "")
-    inner = bare.isin(*INNER_HOSTS)
-    for ending in INNER_ENDINGS:
-        inner = inner | h.endswith(ending)
-    open_ = F.coalesce(public_ipv4(bare), ~bare.rlike(r"^[0-9a-f.]*:[0-9a-f.:]*$") | ~bare.rlike(INNER_IPV6))
-    return F.coalesce((h != "") & ~inner & open_, F.lit(False))
+    return F.coalesce(bound(F.regexp_replace(h, r"^\[(.*)\]$", "$1"), open_), F.lit(False))
