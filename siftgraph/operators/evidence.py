@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-OBSERVATION_KEY = ("source", "source_record_id", "subject_type", "subject_value_norm", "predicate", "object_type", "object_value_norm", "raw_hash", "observed_at")
+# The parts of the keys, in order. The raw record stands as its hash, else as the canonical JSON of the normalized value.
+OBSERVATION_KEY = ("source", "source_record_id", "subject_type", "subject_value_norm", "predicate", "object_type", "object_value_norm", "raw", "observed_at")
 CLAIM_KEY = ("claim_type", "subject_type", "subject_value_norm", "object_type", "object_value_norm", "status", "policy_version", "valid_from", "valid_to")
 POLICY = "relationship-v1"
 # Relations that a resolver or listing states directly.
@@ -30,11 +31,12 @@ def first_of(rows: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
 
 
 def observations(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(observations with their ``dedup_key``, rows that break a rule with the ``reason``)."""
+    """(observations with their ``dedup_key``, rows that break a rule with the ``reason``). ``raw_hash`` and ``normalized`` (canonical JSON) may be absent."""
     blank = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
     reason = F.when(~F.coalesce(F.col("confidence").between(0.0, 1.0), F.lit(False)), "confidence").when(blank("subject_type") | blank("subject_value_norm") | blank("predicate") | blank("source"), "required")
     marked = facts.withColumn("reason", reason)
-    good = marked.where("reason is null").drop("reason").withColumn("dedup_key", stable_hash(*OBSERVATION_KEY))
+    raw = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in ("raw_hash", "normalized") if c in facts.columns], F.lit("{}"))
+    good = marked.where("reason is null").drop("reason").withColumn("dedup_key", stable_hash(*[raw if k == "raw" else k for k in OBSERVATION_KEY]))
     return good, marked.where("reason is not null")
 
 
@@ -124,10 +126,17 @@ def claim_nodes(claims_: DataFrame) -> DataFrame:
     return kept.select(F.col("subject_type").alias("node_type"), F.col("subject_value_norm").alias("value")).union(kept.select("object_type", "object_value_norm")).distinct()
 
 
-def observations_from(records: DataFrame, kind: str) -> DataFrame:
-    """(subject, predicate, object, confidence) rows of one kind of record, from its columns."""
+def observations_from(records: DataFrame, kind: str, raw: list[str] | None = None, capability: str | None = None) -> DataFrame:
+    """(subject, predicate, object, confidence) rows of one kind of record, from its columns.
+
+    With ``raw``, the columns that make up the record as it was captured, each row carries the record's
+    ``raw_hash`` (SHA-256 of canonical JSON); with ``capability`` the ``normalized`` value as canonical JSON.
+    """
+    from ..functions.canonical import canonical_row, quoted, raw_hash
     from ..functions.domains import tracker_confidence
 
+    if raw is not None:
+        records = records.withColumn("raw_hash", raw_hash(canonical_row(records, raw)))
     subject = F.col("domain")
     fact = lambda p, t, v, c, r=None: F.struct(F.lit(p).alias("predicate"), F.lit(t).alias("object_type"), v.alias("object_value_norm"), (c if isinstance(c, Column) else F.lit(c)).cast("double").alias("confidence"), (r if r is not None else F.lit(None)).cast("string").alias("source_record_id"))
     one = lambda p, t, c, conf, r=None: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.array(fact(p, t, F.col(c), conf, r))).otherwise(F.array().cast(_FACTS))
@@ -145,8 +154,11 @@ def observations_from(records: DataFrame, kind: str) -> DataFrame:
         parts = [one("has_archived_snapshot", "url", "archive_url", 1.0), one("had_page_title", "text", "title", 0.6), many("historically_used_tracker", "tracker", "tracker_ids", capped), one("historically_claimed_copyright_org", "organization", "copyright_org", 0.6)]
     else:
         raise ValueError(f"unknown record kind: {kind}")
-    keep = [c for c in ("source", "observed_at", "seq") if c in records.columns]
-    return records.select(F.lit("domain").alias("subject_type"), subject.alias("subject_value_norm"), *keep, F.explode(F.concat(*parts)).alias("f")).select("subject_type", "subject_value_norm", *keep, "f.*")
+    keep = [c for c in ("source", "observed_at", "seq", "raw_hash") if c in records.columns]
+    rows = records.select(F.lit("domain").alias("subject_type"), subject.alias("subject_value_norm"), *keep, F.explode(F.concat(*parts)).alias("f")).select("subject_type", "subject_value_norm", *keep, "f.*")
+    if capability is None:
+        return rows
+    return rows.withColumn("normalized", F.concat(F.lit('{"capability":'), quoted(F.lit(capability)), F.lit(',"value":'), quoted(F.col("object_value_norm")), F.lit("}")))
 
 
 _FACTS = "array<struct<predicate:string,object_type:string,object_value_norm:string,confidence:double,source_record_id:string>>"

@@ -2,25 +2,19 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+
+from ..functions.exact import half_even
 
 # How specific an identifier's type is.
 SPECIFICITY = {"email": 1.0, "phone": 0.85, "tracker": 2.5, "ns": 0.25, "org": 0.9, "name": 0.35}
 
 
-@F.pandas_udf(DoubleType())
-def half_even(x: pd.Series) -> pd.Series:
-    """Rounding of the exact binary value to six places; no built-in function does that."""
-    return x.map(lambda v: round(v, 6), na_action="ignore")
-
-
 def utility(kind: Column, score: Column, checks: int = 3, rounded: bool = False) -> Column:
     weight = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in SPECIFICITY.items() for x in kv]), kind), F.lit(0.2))
     value = F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)) * weight / calls(kind, checks)
-    return half_even(value) if rounded else value
+    return half_even(value, 6) if rounded else value
 
 
 def calls(kind: Column, checks: int = 3) -> Column:

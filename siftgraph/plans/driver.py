@@ -89,7 +89,7 @@ def owner_clusters(spark, sf_dir):
 
 @query(f"""with {_PAGES}, f as (select host, 'has_page_title' as predicate, 'text' as object_type, {_TITLE} as v, cast(0.5 as double) as confidence, page_id from q
 union all select host, 'claims_copyright_org', 'organization', {_OWNER}, 0.65, page_id from q)
-select host as subject_value_norm, predicate, object_type, v as object_value_norm, confidence, sha256(concat_ws(chr(31), 'http-html', '', 'domain', host, predicate, object_type, v, '', cast(page_id as varchar))) as dedup_key from f where v <> ''""")
+select host as subject_value_norm, predicate, object_type, v as object_value_norm, confidence, sha256(concat_ws(chr(31), 'http-html', '', 'domain', host, predicate, object_type, v, '{{}}', cast(page_id as varchar))) as dedup_key from f where v <> ''""")
 def page_observations(spark, sf_dir):
     r = _pages(spark, sf_dir).select(F.col("host").alias("domain"), F.lit("http-html").alias("source"), F.col("page_id").cast("string").alias("observed_at"), pg.title(F.col("html")).alias("title"), pg.copyright_owner(F.col("html")).alias("copyright_org"), *[F.lit("").alias(c) for c in ("description", "redirect_domain", "final_url")], *[F.array().cast("array<string>").alias(c) for c in ("aliases", "tracker_ids", "legal_entities")])
     facts = ev.observations_from(r, "basic").withColumn("raw_hash", F.lit(None).cast("string"))
@@ -285,6 +285,17 @@ def pivot_allocation(spark, sf_dir):
     return pv.allocate(first, 5, rounded=False).select("domain", "id_type", "value", "evidence_gap", F.col("slot").cast("long").alias("slot"))
 
 
+@query("""select domain, id_type, value, utility, slot from (select *, row_number() over (partition by domain order by case when g = 1 then case evidence_gap when 'asset_discovery' then 0 else 1 end else 2 end, utility desc, score desc, id_type, value) as slot from
+(select *, row_number() over (partition by domain, evidence_gap order by utility desc, score desc, id_type, value) as g from
+(select domain, id_type, value, score, case when id_type = 'org' then 'corporate_control' else 'asset_discovery' end as evidence_gap,
+format('{:.6f}', score * case id_type when 'email' then 1.0 when 'phone' then 0.85 when 'tracker' then 2.5 else 0.9 end::double / case id_type when 'tracker' then 4 else 1 end)::double as utility
+from (select domain, id_type, value, arg_min(score::double, ord) as score from v_tied_pivots group by 1, 2, 3)))) where slot <= 20""", "tied_pivots")
+def rounded_allocation(spark, sf_dir):
+    """Scores in 128ths, half of whose utilities lie just between two of six places; the order is that of the rounded ones."""
+    first = pv.first_occurrences(view(spark, sf_dir, "tied_pivots").withColumn("score", F.col("score").cast("double")))
+    return pv.allocate(first, 20).select("domain", "id_type", "value", "utility", F.col("slot").cast("long").alias("slot"))
+
+
 @query("select domain, max(score)::double as best from (select domain, score * (p % 4 + 1) / 5 as score from (select *, ord // 50 as p from v_pivots)) group by 1 having max(score) < 0.75", "pivots")
 def escalation(spark, sf_dir):
     p = view(spark, sf_dir, "pivots").withColumn("p", F.expr("ord div 50"))

@@ -1014,7 +1014,7 @@ def first_lineage(spark, sf_dir):
     return ev.append(rows_, le.LINEAGE_KEY).select("run_id", "child_node_id", "depth")
 
 
-@query("""select sha256(concat_ws(chr(31), source, '', subject_type, subject_value_norm, predicate, object_type, object_value_norm, '', observed_at)) as dedup_key, observation_id from v_facts where observation_id <> 'o2' and observation_id <> 'o4'""", "facts")
+@query("""select sha256(concat_ws(chr(31), source, '', subject_type, subject_value_norm, predicate, object_type, object_value_norm, '{}', observed_at)) as dedup_key, observation_id from v_facts where observation_id <> 'o2' and observation_id <> 'o4'""", "facts")
 def first_observations(spark, sf_dir):
     """Each fact comes twice, one breaks a rule, one is stored already."""
     f = _facts(spark).withColumn("source_record_id", F.lit(None).cast("string")).withColumn("raw_hash", F.lit(None).cast("string")).drop("dedup_key")
