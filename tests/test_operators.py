@@ -68,7 +68,7 @@ def test_allocation(spark):
     assert [r.value for r in pv.allocate(pv.first_occurrences(p), 2).orderBy("slot").collect()] == ["first@example.com", "example holdings"]
     u = spark.createDataFrame([("tracker", 0.8), ("email", 0.8)], "k string, s double").select(pv.utility(F.col("k"), F.col("s"), 4).alias("u"), pv.calls(F.col("k"), 4).alias("c")).collect()
     assert u[0].c == 5 and u[0].u < u[1].u
-    x = spark.createDataFrame([(0.0738125,), (0.3264375,)], "x double").select(pv.half_even("x")).collect()
+    x = spark.createDataFrame([(0.0738125,), (0.3264375,)], "x double").select(pv.half_even(F.col("x"), 6)).collect()
     assert [r[0] for r in x] == [0.073813, 0.326437]
 
 
