@@ -33,7 +33,7 @@ from pyspark.sql.types import (
 )
 
 from .addresses import bound
-from .exact import product
+from .exact import halves, product
 
 #: Characters that stand for themselves, and those with an escape of their own.
 PLAIN = r"\A[ !#-\[\]-~]*\z"
@@ -72,11 +72,11 @@ def _shortest(x: Column) -> Column:
 
     def above(middle: Column, power: Column) -> Column:
         """Whether x lies above the decimal 0.``middle`` (18 digits) times 10 to ``power``: 1, -1 or 0; null where that can't be told."""
-        scaled = F.lit(None)
-        for k in range(22, -1, -1):  # x times 10^k is compared with a whole number, without an error
-            part = bound(product(x, float(10**k)), lambda m: F.signum(((m["p"].cast("long") - middle).cast("double") + m["e"])))
-            scaled = F.when(power == 18 - k, part).otherwise(scaled)
-        return F.when(power == 19, F.signum((x.cast("long") - middle * 10).cast("double"))).otherwise(scaled)
+        # x times a power of ten is compared with a whole number, without an error.
+        k = F.lit(18) - power
+        ten = F.struct(*[F.get(F.lit([f(10.0**i) for i in range(23)]), k).alias(n) for n, f in (("t", float), ("hi", lambda t: halves(t)[0]), ("lo", lambda t: halves(t)[1]))])
+        scaled = bound(bound(ten, lambda t: product(x, t["t"], t["hi"], t["lo"])), lambda m: F.signum((m["p"].cast("long") - middle).cast("double") + m["e"]))
+        return F.when(power == 19, F.signum((x.cast("long") - middle * 10).cast("double"))).when(k.between(0, 22), scaled)
 
     def shorter(d: Column) -> Column:
         n = F.length(d["digits"])

@@ -11,14 +11,20 @@ from .addresses import bound
 _SPLIT = 134217729.0
 
 
-def product(x: Column, t: float) -> Column:
-    """x times t without an error: a struct of the rounded product ``p`` and the rest ``e`` (both doubles). x is a variable, as it occurs often; beyond about 1e290 the halves overflow."""
-    t_hi = t * _SPLIT - (t * _SPLIT - t)
-    t_lo = t - t_hi
-    p, c = x * F.lit(t), x * F.lit(_SPLIT)
+def halves(t: float) -> tuple[float, float]:
+    """A double as the sum of two of 26 bits."""
+    hi = t * _SPLIT - (t * _SPLIT - t)
+    return hi, t - hi
+
+
+def product(x: Column, t: float | Column, t_hi: Column | None = None, t_lo: Column | None = None) -> Column:
+    """x times t without an error: a struct of the rounded product ``p`` and the rest ``e`` (both doubles). x is a variable, as it occurs often; t is a number, or a variable with its halves. Beyond about 1e290 the halves overflow."""
+    if not isinstance(t, Column):
+        t, t_hi, t_lo = map(F.lit, (t, *halves(t)))
+    p, c = x * t, x * F.lit(_SPLIT)
     x_hi = c - (c - x)
     x_lo = x - x_hi
-    e = ((x_hi * F.lit(t_hi) - p) + x_hi * F.lit(t_lo) + x_lo * F.lit(t_hi)) + x_lo * F.lit(t_lo)
+    e = ((x_hi * t_hi - p) + x_hi * t_lo + x_lo * t_hi) + x_lo * t_lo
     return F.struct(p.alias("p"), e.alias("e"))
 
 

@@ -44,8 +44,13 @@ from pyspark.sql.types import StructType
 SCHEMA = "source string, day date, domain string, captured_at timestamp, payload string, problem string, file string, line long"
 ARROW = pa.schema([("source", pa.string()), ("day", pa.date32()), ("domain", pa.string()), ("captured_at", pa.timestamp("us", tz="UTC")), ("payload", pa.string()), ("problem", pa.string()), ("file", pa.string()), ("line", pa.int64())])
 BATCH = 2_000
-#: Longest line that is held: a payload's limit with room for escapes.
-ROOM = 6
+
+
+def longest_line(most: int) -> int:
+    """The longest line that is held: a payload's limit with room for escapes, a megabyte at least."""
+    return max(6 * most, 1 << 20)
+
+
 
 
 @dataclass(frozen=True)
@@ -129,7 +134,7 @@ def grouped(files: list[Captured], split: int) -> list[Files]:
 
 def captured(line: bytes, most: int) -> tuple[str | None, datetime | None, str | None, str | None]:
     """(domain, captured_at, payload, problem) of a line."""
-    if len(line) > ROOM * most:
+    if len(line) > longest_line(most):
         return None, None, None, "line too long"
     try:
         row = json.loads(line)
@@ -158,7 +163,7 @@ def rows(files: tuple[Captured, ...], root: str, most: int) -> Iterator[pa.Recor
     size = 0
     for f in files:
         with system.open_input_stream(f.path) as raw:
-            for n, line in enumerate(_lines(raw, ROOM * most)):
+            for n, line in enumerate(_lines(raw, longest_line(most))):
                 if line.strip():
                     batch.append((f.source, f.day, *captured(line, most), f.path, n))
                     size += len(line)

@@ -43,7 +43,7 @@ def test_filters_prune_folders(spark, folder):
 def test_bad_lines_are_told(spark, tmp_path):
     at = tmp_path / "source=x" / "day=2024-05-06"
     at.mkdir(parents=True)
-    lines = ["not json", "[1]", '{"payload": "a"}', '{"domain": "a.com", "payload": "' + "y" * 200 + '"}', '{"domain": "b.com", "captured_at": "soon"}', '{"domain": "c.com", "payload": {"k": [1, "é"]}}', "", '{"domain": "d.com", "payload": null}', '{"domain": "e.com", "payload": "' + "z" * 5000 + '"}', '{"domain": "f.com"}']
+    lines = ["not json", "[1]", '{"payload": "a"}', '{"domain": "a.com", "payload": "' + "y" * 200 + '"}', '{"domain": "b.com", "captured_at": "soon"}', '{"domain": "c.com", "payload": {"k": [1, "é"]}}', "", '{"domain": "d.com", "payload": null}', '{"domain": "e.com", "payload": "' + "z" * 1_200_000 + '"}', '{"domain": "f.com"}']
     (at / "part-0.json").write_text("\n".join(lines))
     (at / "_SUCCESS").write_text("")
     got = {r["line"]: (r["domain"], r["payload"], r["problem"]) for r in c.read(spark, f"file://{tmp_path}", maxBytes=100).collect()}
