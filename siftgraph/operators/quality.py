@@ -56,6 +56,62 @@ def pooled(comparisons: DataFrame, by: list[str] | None = None) -> DataFrame:
     return out.withColumn("eligible", F.col("eligible") & (F.col("degraded_cases") == 0))
 
 
+def outcomes(predicted: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
+    """The sets behind ``evaluated`` as rows: (keys, domain, outcome), each predicted or labelled positive domain of a case in one of four sets."""
+    x = predicted.select(*keys, "domain", F.lit(True).alias("p")).distinct().join(labels, [*keys, "domain"], "full")
+    hit, good = F.coalesce("p", F.lit(False)), F.col("positive")
+    outcome = F.when(hit & good, "true_positive").when(hit & ~good, "known_false_positive").when(hit, "unlabeled_prediction").when(good, "false_negative")
+    return x.select(*keys, "domain", outcome.alias("outcome")).where("outcome is not null")
+
+
+def changes(baseline: DataFrame, candidate: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
+    """The sets behind ``compared`` as rows: (keys, domain, change); a domain that came or went is in the set of all such and in that of its label."""
+    side = lambda df, n: df.select(*keys, "domain", F.lit(True).alias(n)).distinct()
+    x = side(baseline, "b").join(side(candidate, "c"), [*keys, "domain"], "full").join(labels, [*keys, "domain"], "left")
+    came, went, good = F.col("b").isNull(), F.col("c").isNull(), F.col("positive")
+    sets = [
+        (came, "added_prediction"), (went, "removed_prediction"), (came & good, "new_true_positive"), (went & good, "lost_true_positive"),
+        (came & ~good, "new_known_false_positive"), (went & ~good, "resolved_known_false_positive"), (came & good.isNull(), "added_unlabeled"),
+    ]
+    of = F.array_compact(F.array(*[F.when(cond, name) for cond, name in sets]))
+    return x.where(came | went).select(*keys, "domain", F.explode(of).alias("change"))
+
+
+#: Changes that a pooled benchmark lists by root and domain.
+SCOPED = ("new_true_positive", "lost_true_positive", "new_known_false_positive", "resolved_known_false_positive", "added_unlabeled")
+
+
+def scoped(changed: DataFrame, roots: DataFrame, keys: list[str]) -> DataFrame:
+    """(change, name) over all cases: ``root/domain``, as a case's domains are told apart from another's. ``roots``: keys, root_domain."""
+    return changed.where(F.col("change").isin(*SCOPED)).join(roots, keys).select("change", F.concat_ws("/", "root_domain", "domain").alias("name")).distinct()
+
+
+def listed(members: DataFrame, keys: list[str], of: str) -> DataFrame:
+    """Members as sorted lists, a row for each case and set: for exports, where one case's domains fit a row."""
+    return members.groupBy(*keys, of).agg(F.array_sort(F.collect_list("domain")).alias("domains"))
+
+
+def gate_reasons(comparisons: DataFrame, missing: Column | None = None, scope: str = "case") -> DataFrame:
+    """``comparisons`` with ``reasons``: why planners may not learn from each row, empty where they may. ``missing``: names of policy fields that a side lacks; pooled rows (``scope`` ``corpus``) may hold ``degraded``, the names of degraded cases."""
+    joined = lambda head, names: F.when(F.size(names) > 0, F.concat(F.lit(head), F.array_join(F.array_sort(names), ", ")))
+    few = lambda n, least, what: F.when(F.col(n) < least, F.concat(F.lit(f"requires at least {least} {what} domains; {scope} has "), F.col(n).cast("string")))
+    told = [few("labels", MIN_LABELS, "labeled"), few("positives", MIN_POSITIVE, "positive"), F.when(F.col("added_unlabeled") > 0, "candidate-only predictions remain unlabeled")]
+    if missing is not None:
+        told.append(joined("matched policy fields missing: ", missing))
+    if "degraded" in comparisons.columns:
+        told.append(joined("case-level degradation: ", F.col("degraded")))
+    return comparisons.withColumn("reasons", F.array_compact(F.array(*told)))
+
+
+def pooled_costs(costs_: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Usage deltas of all cases and what each net new true positive cost; null where none was gained on balance."""
+    sums = [F.sum(f"{c}_delta").alias(f"{c}_delta") for c in USAGE]
+    out = costs_.groupBy(*(by or [])).agg(F.count("*").alias("cases"), (F.sum("new_tp") - F.sum("lost_tp")).alias("net_new_tp"), *sums)
+    for c in ("calls", "units"):
+        out = out.withColumn(f"{c}_per_net_new_tp", F.when(F.col("net_new_tp") > 0, F.col(f"{c}_delta").cast("double") / F.col("net_new_tp")))
+    return out
+
+
 def pivot_scores(predicted: DataFrame, expected: DataFrame) -> DataFrame:
     """Per case: groups of accepted values hit (tp) and missed (fn), predictions outside all groups (fp). ``expected`` has a row for each accepted value with its ``group``."""
     keys = ["case_id", "id_type", "value"]

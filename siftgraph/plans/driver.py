@@ -275,6 +275,52 @@ def benchmark_pool(spark, sf_dir):
     return qu.pooled(comparison(spark, sf_dir)).select("cases", "degraded_cases", "candidate_tp", "candidate_fp", "positives", "candidate_precision", "baseline_recall")
 
 
+_JOINED = """l as (select case_id, domain, positive from v_labelled), o as (select case_id, domain, b, c, positive from (select case_id, domain, bool_or(b) as b, bool_or(c) as c from
+(select case_id, domain, true as b, false as c from v_predicted_a union all select case_id, domain, false, true from v_predicted_b) group by 1, 2) left join l using (case_id, domain)),
+ch as (select case_id, domain, unnest([case when not b then 'added_prediction' end, case when not c then 'removed_prediction' end, case when not b and positive then 'new_true_positive' end, case when not c and positive then 'lost_true_positive' end,
+case when not b and not positive then 'new_known_false_positive' end, case when not c and not positive then 'resolved_known_false_positive' end, case when not b and positive is null then 'added_unlabeled' end]) as change from o)"""
+
+
+@query("""select * from (select coalesce(l.case_id, p.case_id) as case_id, coalesce(l.domain, p.domain) as domain, case when p.domain is not null and positive then 'true_positive' when p.domain is not null and positive is null then 'unlabeled_prediction'
+when p.domain is not null then 'known_false_positive' when positive then 'false_negative' end as outcome from v_predicted_a p full join v_labelled l on p.case_id = l.case_id and p.domain = l.domain) where outcome is not null""", "predicted_a", "labelled")
+def evaluation_sets(spark, sf_dir):
+    return qu.outcomes(view(spark, sf_dir, "predicted_a"), view(spark, sf_dir, "labelled"), ["case_id"])
+
+
+def _changes(spark, sf_dir: str) -> DataFrame:
+    return qu.changes(view(spark, sf_dir, "predicted_a"), view(spark, sf_dir, "predicted_b"), view(spark, sf_dir, "labelled"), ["case_id"])
+
+
+@query(f"select * from (with {_JOINED} select case_id, domain, change from ch where change is not null)", "predicted_a", "predicted_b", "labelled")
+def comparison_sets(spark, sf_dir):
+    return _changes(spark, sf_dir)
+
+
+@query(f"select * from (with {_JOINED} select distinct change, concat('root', case_id, '.com/', domain) as name from ch where change is not null and not ends_with(change, '_prediction'))", "predicted_a", "predicted_b", "labelled")
+def benchmark_sets(spark, sf_dir):
+    """What the pooled benchmark lists over all cases, by root and domain."""
+    changed = _changes(spark, sf_dir)
+    roots = view(spark, sf_dir, "labelled").select("case_id", F.concat(F.lit("root"), "case_id", F.lit(".com")).alias("root_domain")).distinct()
+    return qu.scoped(changed, roots, ["case_id"])
+
+
+@query(f"""select * from (with {_COMPARED} select case_id, concat_ws('; ', case when labels < 20 then concat('requires at least 20 labeled domains; case has ', labels) end, case when positives < 10 then concat('requires at least 10 positive domains; case has ', positives) end,
+case when added_unlabeled > 0 then 'candidate-only predictions remain unlabeled' end, case case_id % 3 when 1 then 'matched policy fields missing: profile' when 2 then 'matched policy fields missing: max_depth, profile' end) as reasons from z)""", "predicted_a", "predicted_b", "labelled")
+def learning_gates(spark, sf_dir):
+    """Why planners may not learn from a case, with policy fields missing from two of three."""
+    missing = F.slice(F.array(F.lit("profile"), F.lit("max_depth")), F.lit(1), (F.col("case_id") % 3).cast("int"))
+    return qu.gate_reasons(comparison(spark, sf_dir), missing).select("case_id", F.array_join("reasons", "; ").alias("reasons"))
+
+
+@query(f"""select * from (with {_COMPARED}, u as (select case_id, sum(case when candidate then calls else -calls end) as calls_delta, sum(case when candidate then upstream_requests else -upstream_requests end) as upstream_requests_delta, sum(case when candidate then latency_ms else -latency_ms end) as latency_ms_delta,
+sum(case when candidate then units else -units end) as units_delta from v_usage group by 1), p as (select count(*) as cases, (sum(new_tp) - sum(lost_tp))::bigint as net_new_tp, sum(coalesce(calls_delta, 0))::bigint as calls_delta, sum(coalesce(upstream_requests_delta, 0))::bigint as upstream_requests_delta,
+sum(coalesce(latency_ms_delta, 0))::bigint as latency_ms_delta, sum(coalesce(units_delta, 0))::bigint as units_delta from z left join u using (case_id)) select *, case when net_new_tp > 0 then calls_delta / net_new_tp end as calls_per_net_new_tp, case when net_new_tp > 0 then units_delta / net_new_tp end as units_per_net_new_tp from p)""", "predicted_a", "predicted_b", "labelled", "usage")
+def benchmark_costs(spark, sf_dir):
+    """What the candidate used beyond the baseline over all cases, and for each net new true positive."""
+    usage = view(spark, sf_dir, "usage")
+    return qu.pooled_costs(qu.costs(comparison(spark, sf_dir), usage.where("not candidate"), usage.where("candidate"), ["case_id"]))
+
+
 @query("""select domain, id_type, value, evidence_gap, slot from (select *, row_number() over (partition by domain order by case when g = 1 then case evidence_gap when 'asset_discovery' then 0 else 1 end else 2 end, u desc, score desc, id_type, value) as slot from
 (select *, row_number() over (partition by domain, evidence_gap order by u desc, score desc, id_type, value) as g from
 (select domain, id_type, value, score, case when id_type in ('org', 'name') then 'corporate_control' else 'asset_discovery' end as evidence_gap,

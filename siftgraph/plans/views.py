@@ -31,6 +31,7 @@ SQL = {
     "labelled": """select doc_id % 5 as case_id, concat('d', cast(doc_id as string)) as domain, quality = 1 as positive from labels""",
     "predicted_a": """select doc_id % 5 as case_id, concat('d', cast(doc_id as string)) as domain from documents where n_chars > 1500""",
     "predicted_b": """select doc_id % 5 as case_id, concat('d', cast(doc_id as string)) as domain from documents where n_chars > 700 and lang <> 'fr'""",
+    "usage": """select user_id % 5 as case_id, event_id % 2 = 0 as candidate, 1 as calls, event_id % 5 as upstream_requests, cast(floor(value * 10) as bigint) as latency_ms, event_id % 3 as units from events""",
     "pivots": """select p_brand as domain, case p_partkey % 7 when 0 then 'email' when 1 then 'phone' when 2 then 'tracker' when 3 then 'ns' when 4 then 'org' when 5 then 'name' else 'other' end as id_type, p_name as value, p_size / 50.0 as score, p_partkey as ord from part""",
     "tied_pivots": """select p_brand as domain, case p_partkey % 4 when 0 then 'email' when 1 then 'phone' when 2 then 'tracker' else 'org' end as id_type, p_name as value, p_partkey % 129 / 128e0 as score, p_partkey as ord from part""",
     "captures": """select concat('u', cast(user_id as string)) as domain, ts as captured_at, event_id as digest from events where event_type <> 'error'""",

@@ -130,7 +130,7 @@ def test_bad_graphs_are_set_aside(spark, tmp_path):
     assert [(x["from_node_id"], x["confidence"]) for x in e.collect()] == [("n1", 0.5)]
     told = {(x["file"][-6:], x["part"], x["place"]): x["reason"] for x in bad.collect()}
     assert {k: v for k, v in told.items() if k[0] != "a.json"} == {("b.json", "graph", None): "not a graph", ("c.json", "graph", None): "not a graph", ("d.json", "graph", None): "no run"}
-    assert {k[1:]: v for k, v in told.items() if k[0] == "a.json"} >= {("nodes", 1): "not an object", ("nodes", 2): "not an object", ("nodes", 3): "no node_type", ("edges", 1): "not an object", ("edges", 2): "not an object"}
+    assert {k[1:]: v for k, v in told.items() if k[0] == "a.json"}.items() >= {("nodes", 1): "not an object", ("nodes", 2): "not an object", ("nodes", 3): "no node_type", ("edges", 1): "not an object", ("edges", 2): "not an object"}.items()
     assert n.count() + bad.where("part = 'nodes'").count() == 5
 
 
