@@ -1,0 +1,236 @@
+"""Queries over payloads that are written from given tables: each row of a table becomes an answer as a source gives it, keyed so that each rule is reached, and the SQL recomputes the records from the columns.
+
+They take the place of the queries of the same names in ``records``, whose few rows were written by hand.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import domains as dom
+from ..functions import pages as pg
+from ..functions import security as sec
+from ..operators import discovery as di
+from ..operators import ledger as le
+from ..sources import captures as cap
+from .views import over
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+#: Views that both engines read.
+GIVEN: dict[str, str] = {}
+
+
+def given(name: str, text: str) -> None:
+    GIVEN[name] = text
+
+
+def read(spark, sf_dir: str, name: str) -> DataFrame:
+    return over(spark, sf_dir, GIVEN[name])
+
+
+def query(sql: str, *names: str):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        body = f"select * from ({sql})" if sql.startswith("with ") else sql
+        ORACLE_SQL[f.__name__] = "with " + ", ".join(f"v_{n} as ({GIVEN[n]})" for n in names) + "\n" + body
+        return f
+
+    return keep
+
+
+def _object(*fields: tuple[str, str]) -> str:
+    """SQL of a JSON object whose values are SQL texts of JSON."""
+    return "concat('{', " + ", ', ', ".join(f"'\"{k}\": ', {v}" for k, v in fields) + ", '}')"
+
+
+def _list(*items: str) -> str:
+    return "concat('[', " + ", ', ', ".join(items) + ", ']')"
+
+
+def _text(x: str) -> str:
+    """SQL of a JSON string from a text without characters to escape."""
+    return f"concat('\"', {x}, '\"')"
+
+
+def _key(prefix: str, column: str, ending: str = "") -> str:
+    return f"concat('{prefix}', cast({column} as string), '{ending}')"
+
+
+# --- registrations ----------------------------------------------------------------------------------
+
+given("bases", f"select {_key('c', 'o_custkey', '.com')} as domain, cast(o_orderkey as int) as ord, {_key('b', 'o_orderkey')} as base, case when o_orderkey % 3 = 0 then concat('{{', o_orderpriority, '}}') end as payload from orders")
+
+
+@query("""select domain, arg_min(base, ord) as base, arg_min(payload, ord) as payload from (select *, row_number() over (partition by domain order by ord) as r from v_bases) where r <= 3 and payload is not null group by 1""", "bases")
+def registration_bases(spark, sf_dir):
+    """Each customer's orders are the bases tried, a third of which answer."""
+    return cap.answered_bases(read(spark, sf_dir, "bases"))
+
+
+given("hosts", f"select concat(case c_custkey % 4 when 0 then 'a.' when 1 then 'b.c.' else '' end, {_key('n', 'c_nationkey')}, case c_custkey % 5 when 0 then '.uk' when 1 then '.co.uk' when 2 then '.xx' when 3 then '.couk' else '.com' end) as domain, min(c_custkey) as k from customer group by 1")
+given("services", "select case r_regionkey when 0 then 'uk' when 1 then 'co.uk' when 2 then 'com' when 3 then 'n7.com' else 'unused' end as suffix, concat('https://', lower(r_name)) as base from region")
+
+
+@query("select domain, arg_max(base, len(suffix)) as base from v_hosts, v_services where domain = suffix or ends_with(domain, '.' || suffix) group by 1", "hosts", "services")
+def service_suffixes(spark, sf_dir):
+    return cap.service_for(read(spark, sf_dir, "hosts").select("domain"), read(spark, sf_dir, "services"))
+
+
+# Customers are registrants; some withhold a field, some entities are a registrar's, some payloads are cut.
+given("registry", f"""select {_key('c', 'c_custkey', '.com')} as domain, c_custkey as k, c_name as name, c_mktsegment as org, case when c_custkey % 17 = 3 then null when c_custkey % 17 = 4 then substring(j, 1, length(j) - 1) else j end as payload from (
+select *, {_object(("entities", _list(_object(("roles", "'[\"registrar\"]'"), ("vcardArray", "'[\"vcard\", [[\"fn\", {}, \"text\", \"Registrar\"]]]'")), _object(("roles", "'[\"billing\", \"registrant\"]'"), ("vcardArray", _list("'\"vcard\"'", _list("'[\"fn\", {}, \"text\", \"\"]'", _list("'\"FN\", {}, \"text\"'", _text("case when c_custkey % 5 = 1 then 'Data Protected' else concat('  ', c_name, '   Ltd ') end")), _list("'\"org\", {}, \"text\"'", _text("case when c_custkey % 7 = 2 then 'REDACTED FOR PRIVACY' else c_mktsegment end")), _list("'\"email\", {}, \"uri\"'", _text("concat('m', cast(c_custkey as string), '@a.com')"))))))))
+    , ("events", _list(_object(("eventAction", "'\"registration\"'"), ("eventDate", _text("cast(2000 + c_custkey % 20 as string)"))), _object(("eventAction", "'\"registration\"'"), ("eventDate", "'\"late\"'")), _object(("eventAction", "case when c_custkey % 2 = 0 then '\"expiration\"' else '\"transfer\"' end"), ("eventDate", _text("cast(2030 + c_nationkey as string)")))))
+    , ("nameservers", _list(_object(("ldhName", _text("concat('NS2.N', cast(c_nationkey as string), '.com.')"))), _object(("ldhName", _text("concat('ns1.n', cast(c_nationkey as string), '.com')"))), _object(("ldhName", _text("concat('ns2.n', cast(c_nationkey as string), '.com')"))))))} as j from customer) t""")
+
+
+@query("""select domain, case when bad or k % 5 = 1 then '' else name || ' Ltd' end as registrant_name, case when bad or k % 7 = 2 then '' else org end as registrant_org, case when bad then '' else 'm' || k || '@a.com' end as registrant_email, '' as registrant_phone,
+case when bad then '' else (2000 + k % 20)::varchar end as creation_date, case when bad or k % 2 = 1 then '' else (2030 + c_nationkey)::varchar end as expiration_date,
+case when bad then []::varchar[] else ['ns1.n' || c_nationkey || '.com', 'ns2.n' || c_nationkey || '.com'] end as nameservers from (select *, k % 17 in (3, 4) as bad from v_registry join customer on c_custkey = k)""", "registry")
+def registry_records(spark, sf_dir):
+    return cap.registration_records(read(spark, sf_dir, "registry").select("domain", "payload"))
+
+
+# Of each customer up to five answers by orders; the first named one ends the search.
+given("answers", f"""select {_key('c', 'o_custkey')} as domain, cast(o_orderkey as int) as priority, case when o_orderkey % 11 = 1 then o_orderpriority else '' end as registrant_name, case when o_orderkey % 7 = 2 then {_key('org', 'o_orderkey')} end as registrant_org,
+case when o_orderkey % 13 = 3 then {_key('m', 'o_orderkey', '@a.com')} else '' end as registrant_email, '' as registrant_phone, case o_orderkey % 3 when 0 then '' when 1 then {_key('ns', 'o_orderkey % 5')} else concat('ns9,', {_key('ns', 'o_orderkey % 4')}) end as ns from orders""")
+
+
+def _answers(spark, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "answers")
+    return rows.withColumn("nameservers", F.filter(F.split("ns", ","), lambda x: x != "")).drop("ns")
+
+
+@query("""with u as (select *, coalesce(max((coalesce(registrant_name, '') || coalesce(registrant_org, '') || coalesce(registrant_email, '') || coalesce(registrant_phone, '') <> '')::int) over (partition by domain order by priority rows between unbounded preceding and 1 preceding), 0) as done from v_answers)
+select domain, coalesce(arg_min(nullif(registrant_name, ''), priority) filter (registrant_name <> ''), '') as registrant_name, coalesce(arg_min(registrant_org, priority) filter (registrant_org <> ''), '') as registrant_org,
+coalesce(arg_min(registrant_email, priority) filter (registrant_email <> ''), '') as registrant_email, coalesce(arg_min(registrant_phone, priority) filter (registrant_phone <> ''), '') as registrant_phone,
+list_sort(list_filter(list_distinct(flatten(list(string_split(ns, ',')))), lambda x: x <> '')) as nameservers from u where done = 0 group by 1""", "answers")
+def registration_cascade(spark, sf_dir):
+    return cap.registration_cascade(_answers(spark, sf_dir))
+
+
+@query("""with a as (select * from v_answers qualify row_number() over (partition by domain order by priority) = 1), b as (select * from v_answers qualify row_number() over (partition by domain order by priority desc) = 1)
+select a.domain, coalesce(nullif(a.registrant_name, ''), b.registrant_name, '') as registrant_name, coalesce(nullif(a.registrant_org, ''), b.registrant_org, '') as registrant_org, coalesce(nullif(a.registrant_email, ''), b.registrant_email, '') as registrant_email,
+coalesce(nullif(a.registrant_phone, ''), b.registrant_phone, '') as registrant_phone, list_sort(list_filter(list_distinct(string_split(a.ns, ',') || string_split(coalesce(b.ns, ''), ',')), lambda x: x <> '')) as nameservers from a left join b using (domain)""", "answers")
+def merged_registrations(spark, sf_dir):
+    """Each customer's first answer, filled from the last."""
+    a = _answers(spark, sf_dir)
+    ends = a.groupBy("domain").agg(F.min("priority").alias("lo"), F.max("priority").alias("hi"))
+    x = a.join(ends, "domain")
+    keep = [c for c in a.columns if c != "priority"]
+    return cap.merged_registration(x.where("priority = lo").select(*keep), x.where("priority = hi").select(*keep))
+
+
+given("legacy", f"""select {_key('s', 's_suppkey', '.com')} as domain, s_suppkey as k, s_nationkey as n, case s_suppkey % 3 when 0 then {_object(("name", _list("'\"\"'", _text("concat(' ', s_name, ' ')"))), ("org", _text(_key('Org ', 's_nationkey'))), ("emails", _list(_text(_key('a', 's_suppkey', '@a.com')), "'\"b@a.com\"'")), ("name_servers", _list(_text(_key('NS2.N', 's_nationkey', '.COM.')), _text(_key('ns1.n', 's_nationkey', '.com')), _text(_key('ns1.n', 's_nationkey', '.com')))), ("creation_date", _list(_text("cast(2000 + s_suppkey % 9 as string)"), "'\"2002\"'")))}
+when 1 then {_object(("email", _text(_key('x', 's_suppkey', '@b.com'))), ("nserver", _text(_key('NS.b', 's_nationkey', '.com'))), ("phone", _text("concat('+', cast(s_suppkey as string))")))} else '{{}}' end as payload from supplier""")
+
+
+@query("""select domain, case k % 3 when 2 then 'whois_empty' else 'python-whois' end as source, case k % 3 when 0 then s_name else '' end as registrant_name, case k % 3 when 0 then 'Org ' || n else '' end as registrant_org,
+case k % 3 when 0 then 'a' || k || '@a.com' when 1 then 'x' || k || '@b.com' else '' end as registrant_email, case k % 3 when 1 then '+' || k else '' end as registrant_phone, case k % 3 when 0 then (2000 + k % 9)::varchar else '' end as creation_date,
+case k % 3 when 0 then ['ns1.n' || n || '.com', 'ns2.n' || n || '.com'] when 1 then ['ns.b' || n || '.com'] else [] end as nameservers from v_legacy join supplier on s_suppkey = k""", "legacy")
+def legacy_registrations(spark, sf_dir):
+    return cap.legacy_registrations(read(spark, sf_dir, "legacy").select("domain", "payload")).drop("raw", "expiration_date")
+
+
+given("dns", f"""select {_key('c', 'o_custkey', '.com')} as domain, case o_orderkey % 6 when 0 then 'A' when 1 then 'AAAA' when 2 then 'MX' when 3 then 'NS' when 4 then 'CNAME' else 'TXT' end as rtype,
+case o_orderkey % 6 when 0 then concat('10.0.0.', cast(o_orderkey % 7 as string)) when 1 then concat('2A00::', cast(o_orderkey % 5 as string)) when 2 then concat(cast(o_orderkey % 3 * 10 as string), ' MX', cast(o_orderkey % 4 as string), '.a.com.') when 3 then concat(' ns', cast(o_orderkey % 4 as string), '.A.com. ') when 4 then 'C.b.com.' else concat('V=Spf1 ', o_orderstatus, ' .') end as value from orders""")
+
+
+@query("""with v as (select domain, rtype, case rtype when 'TXT' then value else lower(regexp_replace(rtrim(trim(value), '.'), '^[0-9]+ ', '')) end as v from v_dns)
+select domain, """ + ", ".join(f"coalesce(list_sort(list(distinct v) filter (rtype = '{k}')), []) as {k.lower()}_records" for k in ("A", "AAAA", "MX", "NS", "CNAME", "TXT")) + " from v group by 1", "dns")
+def dns_records(spark, sf_dir):
+    """Each customer's orders as the answers of a resolver."""
+    return cap.dns_records(read(spark, sf_dir, "dns"))
+
+
+# --- identifiers ------------------------------------------------------------------------------------
+
+given("trackers", """select p_partkey as id, concat(case p_partkey % 5 when 0 then 'UA-' when 1 then 'GTM-' when 2 then 'ca-pub-' when 3 then 'G-' else 'zz-' end, case p_partkey % 7 when 0 then '11111' when 1 then 'TEST' when 2 then 'aaab' when 3 then 'XXXXX' else '' end, cast(p_partkey as string), case when p_partkey % 2 = 0 then '-1' else '' end) as v from part""")
+
+
+@query("""select id, not regexp_matches(p, 'XXXXX|TEST|DEMO|SAMPLE') and len(list_distinct(string_split(p, ''))) > 2 as plausible,
+case when starts_with(upper(v), 'CA-PUB-') then 0.95 when starts_with(upper(v), 'UA-') then 0.92 when starts_with(upper(v), 'GTM-') then 0.90 when starts_with(upper(v), 'G-') then 0.85 else 0.70 end::double as confidence
+from (select *, replace(regexp_replace(upper(v), '^[^-]*-', ''), '-', '') as p from v_trackers)""", "trackers")
+def tracker_values(spark, sf_dir):
+    v = F.col("v")
+    return read(spark, sf_dir, "trackers").select("id", dom.plausible_tracker(v).alias("plausible"), dom.tracker_confidence(v).alias("confidence"))
+
+
+given("idents", """select c_custkey as id, case c_custkey % 6 when 0 then 'email' when 1 then 'phone' when 2 then 'ns' when 3 then 'tracker' when 4 then 'org' else 'name' end as kind,
+case c_custkey % 6 when 0 then concat(' ', c_name, '@B.com ') when 1 then case when c_custkey % 4 = 1 then 'none' else concat('+1 (202) 555-', cast(c_custkey as string)) end when 2 then case when c_custkey % 4 = 0 then 'not a host' else concat('NS', cast(c_custkey as string), '.A.com.') end
+when 3 then concat('ua-', cast(c_custkey as string), '-2') when 4 then concat('  ', c_mktsegment, '   INC ') else '' end as v from customer""")
+
+
+@query("""select id, nullif(case kind when 'email' then lower(trim(v)) when 'phone' then regexp_replace(v, '[^0-9+]', '', 'g') when 'tracker' then upper(trim(v)) when 'ns' then case when contains(v, ' ') then null else rtrim(lower(v), '.') end else lower(trim(regexp_replace(v, ' +', ' ', 'g'))) end, '') as v from v_idents""", "idents")
+def identifier_forms(spark, sf_dir):
+    return read(spark, sf_dir, "idents").select("id", dom.normalized_identifier(F.col("kind"), F.col("v")).alias("v"))
+
+
+# --- listings and searches --------------------------------------------------------------------------
+
+given("listings", f"""select {_key('s', 's_suppkey', '.com')} as domain, s_suppkey as k, case s_suppkey % 5 when 1 then 'error: API limit reached' when 2 then 'error check your query' when 3 then ' ' else concat('*.', d, chr(10), 'WWW.', d, ',1.2.3.4', chr(10), 'mail', cast(s_nationkey as string), '.', d, chr(10), 'x.b.com', chr(10), 'www.', d, chr(10), 'a.', d, chr(10), d) end as payload from (select *, {_key('s', 's_suppkey', '.com')} as d from supplier) t""")
+
+
+@query("""select domain, host, row_number() over (partition by domain order by len(host), host) as place from (select distinct domain, lower(string_split(h, ',')[1]) as host from (select domain, unnest(string_split(payload, chr(10))) as h from v_listings where not starts_with(payload, 'error')))
+where (host = domain or ends_with(host, '.' || domain)) and not contains(host, '*') qualify place <= 2""", "listings")
+def listed_hosts(spark, sf_dir):
+    return cap.listed_hosts(read(spark, sf_dir, "listings").select("domain", "payload"), 2)
+
+
+@query("select domain, case k % 5 when 1 then 'rate_limited' when 2 then 'error' when 3 then 'empty' else 'ok' end as state from v_listings", "listings")
+def listing_states(spark, sf_dir):
+    return read(spark, sf_dir, "listings").select("domain", cap.listing_state(F.col("payload")).alias("state"))
+
+
+given("findings", f"""select {_key('c', 'c_custkey', '.com')} as domain, concat('{{"host": "x.', d, '", "source": "s2"}}', chr(10), '{{"host": "X.', d, '", "source": "s', cast(c_custkey % 3 as string), '"}}', chr(10), '{{"host": "', d, '"}}', chr(10), '{{"host": "not', d, '"}}', chr(10), 'no json', chr(10), '{{"host": "b', cast(c_nationkey as string), '.', d, '"}}', chr(10), '{{"host": "c.', d, '"}}') as payload from (select *, {_key('c', 'c_custkey', '.com')} as d from customer) t""")
+
+
+@query("""select domain, host, list_sort(list(distinct source)) as sources from (select domain, lower(j->>'host') as host, coalesce(j->>'source', 'unknown') as source from (select domain, unnest(string_split(payload, chr(10))) as j from v_findings) where json_valid(j))
+where ends_with(host, '.' || domain) group by 1, 2 qualify row_number() over (partition by domain order by host) <= 2""", "findings")
+def found_hosts(spark, sf_dir):
+    return cap.found_hosts(read(spark, sf_dir, "findings"), 2)
+
+
+given("results", f"""select {_key('i', 'o_custkey')} as identifier, cast(o_orderkey % 14 as int) as ord, min(concat('see www.google.com and b', cast(o_orderkey % 5 as string), '.org, ', case when o_orderkey % 3 = 0 then 'reddit.com index.html' else concat('C', cast(o_orderkey % 7 as string), '.net') end, ' www.d', cast(o_custkey % 9 as string), '.com')) as text from orders group by 1, 2""")
+
+
+@query("""with f as (select identifier, d, min(ord * 1000 + p) as m from (select identifier, ord, unnest(h) as d, generate_subscripts(h, 1) as p from (select identifier, ord, regexp_extract_all(lower(text), '([a-z0-9-]+\\.)+[a-z]{2,}') as h from (select * from v_results qualify row_number() over (partition by identifier order by ord) <= 10)))
+where d not in ('www.google.com', 'reddit.com', 'index.html') group by 1, 2) select identifier, regexp_replace(d, '^www\\.', '') as domain, row_number() over (partition by identifier order by m) as place from f qualify place <= 3""", "results")
+def search_hits(spark, sf_dir):
+    return cap.search_hits(read(spark, sf_dir, "results"), 3)
+
+
+given("searches", """select c_custkey as k, case c_custkey % 8 when 0 then 'email' when 1 then 'org' when 2 then 'name' when 3 then 'ns' when 4 then 'phone' when 5 then 'tracker' when 6 then 'other' else 'org' end as id_type, case when c_custkey % 8 = 7 then ' ' else concat(' ', c_name, ' ') end as value from customer""")
+
+
+@query("""select k, case when trim(value) = '' then null when id_type = 'other' then trim(value) else '"' || trim(value) || '"' || case id_type when 'org' then ' domain' when 'name' then ' domain' when 'ns' then ' nameserver' when 'phone' then ' whois' else '' end end as q from v_searches""", "searches")
+def search_queries(spark, sf_dir):
+    return read(spark, sf_dir, "searches").select("k", cap.search_query(F.col("id_type"), F.col("value")).alias("q"))
+
+
+# --- paid lookups -----------------------------------------------------------------------------------
+
+#: Answers that break the contract, each in its own way.
+BROKEN = ('{"status": "1", "search_result": []}', '{"status": 2}', '{"status": 1, "search_result": {}}', '{"status": 1, "search_result": [1]}', '{"status": 1, "total_results": 0, "search_result": [{"domain_name": "a.com"}]}', '{"status": 1, "current_page": 2, "search_result": []}', '{"status": 1, "api_query": "other", "search_result": []}', "broken")
+_FOUND = _object(("status", "'1'"), ("api_query", "'\"reverse_whois\"'"), ("total_results", "'4'"), ("current_page", "'1'"), ("search_result", _list(*[_object(("domain_name", _text(x))) for x in (_key("B", "c_custkey", ".com"), _key("a", "c_nationkey", ".com"), _key("b", "c_custkey", ".com"), "''")])))
+given("paid", f"""select {_key('i', 'c_custkey')} as identifier, c_custkey as k, c_nationkey as n, case c_custkey % 6 when 1 then '{{"status": 0, "status_reason": "No Records found"}}' when 2 then '{{"status": 0, "status_reason": "Bad API key"}}' when 3 then '{{"status": 0, "status_reason": "Too many requests"}}' when 4 then '{{"status": 0}}'
+when 5 then case c_custkey % {len(BROKEN)} {' '.join(f"when {i} then '{b}'" for i, b in enumerate(BROKEN))} end else {_FOUND} end as payload from customer""")
+
+
+@query("select identifier, case k % 6 when 0 then 'ok' when 1 then 'empty' when 2 then 'auth_error' when 3 then 'rate_limited' when 4 then 'error' else 'malformed' end as state from v_paid", "paid")
+def paid_states(spark, sf_dir):
+    return cap.paid_lookups(read(spark, sf_dir, "paid").select("identifier", "payload"), 5)[0]
+
+
+@query("select identifier, concat('b', k, '.com') as domain, 1::int as place from v_paid where k % 6 = 0 union all select identifier, concat('a', n, '.com'), 2 from v_paid where k % 6 = 0", "paid")
+def paid_domains(spark, sf_dir):
+    return cap.paid_lookups(read(spark, sf_dir, "paid").select("identifier", "payload"), 5)[1]
+
+
+given("balances", f"""select {_key('s', 's_suppkey')} as account, s_suppkey as k, case s_suppkey % 3 when 0 then concat('{{"status": 1, "reverse_whois_balance": ', cast(s_suppkey as string), '}}') when 1 then '{{"status": 1, "reverse_whois_balance": -1}}' else '{{"status": 0, "status_reason": "out of credit"}}' end as payload from supplier""")
+
+
+@query("select account, case k % 3 when 0 then 'ok' when 1 then 'malformed' else 'rate_limited' end as state, case when k % 3 = 0 then k end as remaining from v_balances", "balances")
+def paid_balances(spark, sf_dir):
+    return cap.paid_balances(read(spark, sf_dir, "balances").select("account", "payload"))

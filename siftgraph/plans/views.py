@@ -42,11 +42,14 @@ SQL = {
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view over the tables it names, each read under a name of its own."""
+    return over(spark, sf_dir, SQL[name])
+
+
+def over(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """SQL over the tables it names, each read under a name of its own."""
     import re
     import zlib
 
-    text = SQL[name]
     tag = f"{zlib.crc32(sf_dir.encode()):08x}"
     for t in ("events", "orders", "lineitem", "nation", "customer", "labels", "documents", "part", "region", "supplier"):
         if re.search(rf"\b(from|join) {t}\b", text):
