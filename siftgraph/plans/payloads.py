@@ -34,7 +34,7 @@ def query(sql: str, *names: str):
     def keep(f):
         QUERIES[f.__name__] = f
         body = f"select * from ({sql})" if sql.startswith("with ") else sql
-        ORACLE_SQL[f.__name__] = "with " + ", ".join(f"v_{n} as ({GIVEN[n]})" for n in names) + "\n" + body
+        ORACLE_SQL[f.__name__] = "with " + ", ".join(f"v_{n} as ({GIVEN[n]})" for n in names) + "\n" + body if names else body
         return f
 
     return keep
@@ -196,7 +196,7 @@ given("results", f"""select {_key('i', 'o_custkey')} as identifier, cast(o_order
 
 
 @query("""with f as (select identifier, d, min(ord * 1000 + p) as m from (select identifier, ord, unnest(h) as d, generate_subscripts(h, 1) as p from (select identifier, ord, regexp_extract_all(lower(text), '([a-z0-9-]+\\.)+[a-z]{2,}') as h from (select * from v_results qualify row_number() over (partition by identifier order by ord) <= 10)))
-where d not in ('www.google.com', 'reddit.com', 'index.html') group by 1, 2) select identifier, regexp_replace(d, '^www\\.', '') as domain, row_number() over (partition by identifier order by m) as place from f qualify place <= 3""", "results")
+where d not in ('www.google.com', 'reddit.com', 'index.html') group by 1, 2) select identifier, d as domain, row_number() over (partition by identifier order by m) as place from f qualify place <= 3""", "results")
 def search_hits(spark, sf_dir):
     return cap.search_hits(read(spark, sf_dir, "results"), 3)
 
@@ -234,3 +234,214 @@ given("balances", f"""select {_key('s', 's_suppkey')} as account, s_suppkey as k
 @query("select account, case k % 3 when 0 then 'ok' when 1 then 'malformed' else 'rate_limited' end as state, case when k % 3 = 0 then k end as remaining from v_balances", "balances")
 def paid_balances(spark, sf_dir):
     return cap.paid_balances(read(spark, sf_dir, "balances").select("account", "payload"))
+
+
+# --- archives, reports and registers ----------------------------------------------------------------
+
+_DAY = "concat(cast(2000 + s_suppkey % 20 as string), '0101000000')"
+_ROW = lambda at, url, mime, status, digest: _list(*[_text(x) for x in (at, url, mime, status, digest)])
+given("archives", f"""select {_key('s', 's_suppkey', '.com')} as domain, s_suppkey as k, s_nationkey as n, case s_suppkey % 10 when 7 then '[["timestamp","original"],["20200101000000","u"]]' when 8 then '[]' when 9 then 'broken' else
+{_list("'[\"timestamp\",\"original\",\"mimetype\",\"statuscode\",\"digest\"]'", _ROW(_DAY, _key('https://www.s', 's_suppkey', '.com/'), "'text/html'", "'200'", _key('d', 's_nationkey')), _ROW("'20210101000000'", _key('http://S', 's_suppkey', '.com/x'), "'TEXT/HTML; x'", "'200'", "'d2'"), _ROW("'20210201000000'", "'http://a.com/'", "'text/html'", "case when s_suppkey % 2 = 0 then '404' else '301' end", "'d3'"), _ROW("'20210301000000'", "'http://a.com/'", "'image/png'", "'200'", "'d4'"), "'[\"short\"]'", _ROW("'2022'", _key('http://sub.s', 's_suppkey', '.com/'), "'text/html'", "'200'", "'d5'"))} end as payload from supplier""")
+
+
+@query("""with g as (select * from v_archives where k % 10 < 7) select domain, (2000 + k % 20) || '0101000000' as timestamp, 'https://www.s' || k || '.com/' as original, 'text/html' as mimetype, '200' as statuscode, 'd' || n as digest, make_timestamp(2000 + k % 20, 1, 1, 0, 0, 0) as captured_at from g
+union all select domain, '20210101000000', 'http://S' || k || '.com/x', 'TEXT/HTML; x', '200', 'd2', timestamp '2021-01-01' from g union all select domain, '2022', 'http://sub.s' || k || '.com/', 'text/html', '200', 'd5', null from g""", "archives")
+def archive_rows(spark, sf_dir):
+    rows = cap.archive_rows(read(spark, sf_dir, "archives").select("domain", "payload"))
+    return rows.withColumn("captured_at", F.col("captured_at").cast("timestamp_ntz"))
+
+
+@query("""with g as (select * from v_archives where k % 10 < 7), r as (select domain, k, (2000 + k % 20) || '0101000000' as t, make_timestamp(2000 + k % 20, 1, 1, 0, 0, 0) as ts, 'https://www.s' || k || '.com/' as o, 'd' || n as digest from g union all select domain, k, '20210101000000', timestamp '2021-01-01', 'http://S' || k || '.com/x', 'd2' from g)
+select domain, ts as captured_at, o as original_url, 'https://web.archive.org/web/' || t || 'id_/' || o as archive_url, digest, 'Old & ' || domain as title, ['UA-' || (10000 + length(o)) || '-1'] as tracker_ids, '' as copyright_org from r""", "archives")
+def snapshot_records(spark, sf_dir):
+    """Records of the archived pages of each supplier's own hosts."""
+    found = cap.archive_rows(read(spark, sf_dir, "archives").select("domain", "payload"))
+    found = found.withColumn("html", F.concat(F.lit("<title>Old &amp; "), "domain", F.lit("</title> UA-"), (F.length("original") + 10000).cast("string"), F.lit("-1")))
+    return cap.snapshot_records(found).withColumn("captured_at", F.col("captured_at").cast("timestamp_ntz"))
+
+
+#: Of each supplier's eight filings: form, items and whether the accession number is there, by its place.
+_PLACES = range(8)
+_PICK = lambda i, m, *texts: "case (s_suppkey + " + str(i) + f") % {m} " + " ".join(f"when {k} then '{t}'" for k, t in enumerate(texts)) + " end"
+_FILED = {
+    "form": [_PICK(i, 3, "8-K", "10-K", "8-K/A") for i in _PLACES],
+    "items": [_PICK(i, 4, "2.01, 9.01", "1.01", "2.01", "12.01") for i in _PLACES],
+    "accessionNumber": [f"case when (s_suppkey + {i}) % 5 = 0 then '' else concat('n', cast(s_suppkey as string), '-{i}') end" for i in _PLACES],
+    "filingDate": ["'2020-01-01'" for _ in _PLACES],
+    "primaryDocument": [f"'d{i}.htm'" for i in _PLACES],
+}
+given("submissions", "select cast(s_suppkey as string) as cik, s_suppkey as k, " + _object(("filings", _object(("recent", _object(*[(c, _list(*map(_text, v))) for c, v in _FILED.items()]))))) + " as payload from supplier")
+
+
+@query("""select cik, i as pos, case (k + i) % 3 when 0 then '8-K' else '8-K/A' end as form, concat('n', k, '-', i) as accession, row_number() over (partition by cik order by i) as place from (select cik, k, unnest(range(0, 8)) as i from v_submissions)
+where (k + i) % 3 <> 1 and (k + i) % 4 in (0, 2) and (k + i) % 5 <> 0 qualify place <= 3""", "submissions")
+def filings(spark, sf_dir):
+    f = cap.filings(read(spark, sf_dir, "submissions").select("cik", "payload"), most=3)
+    return f.select("cik", F.col("pos").cast("long").alias("pos"), "form", F.col("accessionNumber").alias("accession"), "place")
+
+
+given("reports", f"""select cast(s_suppkey as string) as cik, s_suppkey as k, place, {_key('n', 'place')} as accession, case place when 1 then concat('<p>Item one. On May 1 the Company completed the acquisition of Foo', cast(s_nationkey as string), ' Bar, Inc. for cash. The Company has acquired Own', cast(s_suppkey as string), ' Corp. for shares.</p>')
+when 2 then concat('We acquired FOO', cast(s_nationkey as string), ' BAR, INC. in May.') when 3 then 'The company may acquire Baz LLC soon.' else concat('We agreed to acquire all of Qux', cast(s_suppkey as string), ' LLC. ', case when s_suppkey % 2 = 0 then 'It completed the Acquisition in June.' else 'It will close.' end) end as html from supplier, (values (1), (2), (3), (4)) p(place)""")
+given("filers", "select cast(s_suppkey as string) as cik, concat('Own', cast(s_suppkey as string), ' Corp') as title from supplier")
+
+
+@query("""select cik, 'Foo' || s_nationkey || ' Bar, Inc' as org, 'n1' as source_record_id, 'On May 1 the Company completed the acquisition of Foo' || s_nationkey || ' Bar, Inc. for cash.' as supporting_text from v_reports join supplier on s_suppkey = k where place = 1
+union all select cik, 'Qux' || k || ' LLC', 'n4', 'We agreed to acquire all of Qux' || k || ' LLC. completed the Acquisition' from v_reports where place = 4 and k % 2 = 0""", "reports")
+def filed_purchases(spark, sf_dir):
+    """Four reports of each supplier: a purchase, told again, by the filer itself, one that may come, one agreed and closed in half of the cases; with what supports each."""
+    r = read(spark, sf_dir, "reports").withColumnRenamed("accession", "accessionNumber").drop("k")
+    return cap.purchases_in_filings(r, read(spark, sf_dir, "filers"))
+
+
+_NAMED = _object(("legalName", _object(("name", _text(_key("Acme ", "s_suppkey", ", Inc.'".replace("'", "")))))), ("otherNames", _list(_object(("name", _text(_key("Twin-", "s_nationkey")))))), ("transliteratedOtherNames", "'[]'"), ("status", _text("case when s_suppkey % 5 = 0 then 'INACTIVE' else 'ACTIVE' end")))
+given("register", "select s_suppkey as k, s_nationkey as n, " + _object(("id", _text(_key("L", "s_suppkey"))), ("attributes", _object(("entity", _NAMED), ("registration", _object(("status", _text("case when s_suppkey % 7 = 0 then 'LAPSED' else 'ISSUED' end"))))))) + " as payload from supplier")
+given("names", f"select {_key('ACME-', 's_suppkey', '  inc')} as name from supplier union all select {_key('twin ', 'n_nationkey')} from nation union all select 'nobody' from region")
+
+
+@query("""with e as (select *, 'L' || k as id from v_register where k % 5 <> 0 and k % 7 <> 0), t as (select n, min(id) as id, count(*) as c from e group by 1)
+select 'ACME-' || k || '  inc' as name, id from e union all select 'twin ' || n, id from t where c = 1""", "register")
+def exact_names(spark, sf_dir):
+    """Suppliers' names in the register, each unique, and names that all suppliers of a nation share."""
+    return cap.exact_names(read(spark, sf_dir, "names"), cap.register_entities(read(spark, sf_dir, "register").select("payload")))
+
+
+_ENTITY = lambda id_, name: _object(("id", _text(id_)), ("attributes", _object(("entity", _object(("legalName", _object(("name", _text(name)))))))))
+given("relations", f"""select {_key('L', 'c_custkey')} as lei, c_custkey as k, c_nationkey as n, relation, case when c_custkey % 6 = 5 then '{{}}' when relation = 'direct_accounting_parent' then {_object(("data", _ENTITY(_key("P", "c_nationkey"), _key("Top ", "c_nationkey"))))}
+else {_object(("data", _list(_ENTITY(_key("C", "c_custkey + 1"), "'One'"), _ENTITY(_key("C", "c_custkey + 2"), "'Two'"), _ENTITY(_key("C", "c_custkey + 1"), "'Again'"), _ENTITY("''", "'None'"))))} end as payload from customer, (values ('direct_accounting_parent'), ('direct_accounting_child')) r(relation)""")
+
+
+@query("""select lei, relation, 'P' || n as target, 'Top ' || n as org, lei || ':direct_accounting_parent:P' || n as source_record_id from v_relations where k % 6 <> 5 and relation = 'direct_accounting_parent'
+union all select lei, relation, 'C' || (k + 1), 'One', lei || ':direct_accounting_child:C' || (k + 1) from v_relations where k % 6 <> 5 and relation = 'direct_accounting_child'""", "relations")
+def hierarchy(spark, sf_dir):
+    """Each customer's parent and children in the register, two relations at most."""
+    return cap.hierarchy(read(spark, sf_dir, "relations").select("lei", "relation", "payload"), 2)
+
+
+_CLAIM = lambda v: _object(("mainsnak", _object(("datavalue", _object(("value", v))))))
+_TO = lambda x: _CLAIM(_object(("id", _text(x))))
+given("wiki", f"""select {_key('Q', 's_suppkey')} as id, s_suppkey as k, {_object(("labels", _object(("en", _object(("value", _text("s_name"))))))
+    , ("claims", _object(("P355", _list(_TO(_key("Q", "s_suppkey + 1")), _TO(_key("Q", "s_suppkey + 2")), _TO(_key("Q", "s_suppkey + 1")))), ("P127", _list(_TO(_key("X", "s_nationkey")), _TO(_key("Q", "s_suppkey + 1")))), ("P856", "case when s_suppkey % 3 = 0 then " + _list(_CLAIM("'\"not a url\"'"), _CLAIM(_text(_key("https://www.w", "s_suppkey", ".co.uk/x")))) + " else '[]' end"))))} as payload from supplier""")
+
+
+@query("""with s as (select s_suppkey as k, s_name as name, s_nationkey as n from supplier), r as (select k, name, 'subsidiary' as relation, k + 1 as t from s union all select k, name, 'subsidiary', k + 2 from s)
+select r.name as org, relation, coalesce(s.name, 'Q' || t) as target, case when s.k % 3 = 0 then 'w' || s.k || '.co.uk' else '' end as domain from r left join s on s.k = t union all select name, 'owned_by', 'X' || n, '' from s""")
+def related_entities(spark, sf_dir):
+    """Each supplier as an entity with two subsidiaries, one of them named twice, and an owner without an entry."""
+    return cap.related(*cap.entities_of(read(spark, sf_dir, "wiki").select("id", "payload")))
+
+
+# --- pages ------------------------------------------------------------------------------------------
+
+given("shops", f"""select {_key('my-shop', 'p_partkey', '.com')} as domain, p_partkey as k, p_name as name, case when p_partkey % 9 = 8 then cast(null as string) else concat('<title>', p_name, ' &amp;  Co &lt;shop&gt;</title><meta name="description" content="All &quot;', p_brand, '&quot;"> UA-', cast(10000 + p_partkey as string), '-1 ua GTM-ABCD', cast(p_partkey as string), ' UA-00000-1 G-XXXXX123 &copy; 2019-2021 Acme', cast(p_partkey % 50 as string), ' Widgets, All Rights Reserved') end as html,
+case p_partkey % 3 when 0 then concat('https://www.other', cast(p_partkey as string), '.co.uk/x') when 1 then concat('http://my-shop', cast(p_partkey as string), '.com/') else '' end as final_url, case when p_partkey % 4 = 0 then concat('<p>This website is operated by Acme', cast(p_partkey as string), ' &amp; Sons Ltd. Legal name: ACME', cast(p_partkey as string), ' &amp; SONS LTD, or</p>') end as legal_html from part""")
+
+# A tracker of two digits alone is a placeholder.
+_SHOP = "s as (select v.*, p_brand as brand, k % 9 = 8 as gone, len(list_distinct(string_split(concat(10000 + k, '1'), ''))) > 2 as own from v_shops v join part on p_partkey = k)"
+
+
+@query(f"""with {_SHOP} select domain, case when gone then '' else name || ' & Co <shop>' end as title, case when gone then '' else 'All "' || brand || '"' end as description, ['My Shop' || k] as aliases, case when gone then [] when own then ['GTM-ABCD' || k, 'UA-' || (10000 + k) || '-1'] else ['GTM-ABCD' || k] end as tracker_ids,
+case when gone then '' else 'Acme' || (k % 50) || ' Widgets' end as copyright_org, final_url, case when k % 3 = 0 then 'other' || k || '.co.uk' else '' end as redirect_domain, case when k % 4 = 0 then ['Acme' || k || ' & Sons Ltd'] else [] end as legal_entities from s""", "shops")
+def page_records(spark, sf_dir):
+    return pg.page_records(read(spark, sf_dir, "shops").select("domain", "html", "final_url", "legal_html"))
+
+
+@query(f"""with {_SHOP} select domain, 'org' as id_type, 'My Shop' || k as value, 0.45::double as score from s union all select domain, 'org', 'acme' || (k % 50) || ' widgets', 0.7 from s where not gone union all select domain, 'org', 'acme' || k || ' & sons ltd', 0.85 from s where k % 4 = 0
+union all select domain, 'tracker', 'UA-' || (10000 + k) || '-1', 0.92 from s where not gone and own union all select domain, 'tracker', 'GTM-ABCD' || k, 0.9 from s where not gone""", "shops")
+def page_pivots(spark, sf_dir):
+    from ..operators import extract as ex
+
+    return ex.page_pivots(pg.page_records(read(spark, sf_dir, "shops").select("domain", "html", "final_url", "legal_html"))).select("domain", "id_type", "value", "score")
+
+
+given("anchors", """select c_custkey as k, concat('https://', case when c_custkey % 2 = 0 then 'www.' else '' end, 'c', cast(c_custkey as string), '.co.uk/x/y') as base, concat('<a href="/Privacy-Policy?id=', cast(c_nationkey as string), '#top">p</a><a href="https://b.com/legal">o</a>', case when c_custkey % 3 = 0 then '' else concat('<a href="https://shop.c', cast(c_custkey as string), '.co.uk/imprint?x=1">i</a>') end, ' <a href="terms.html">t</a><a href="mailto:x">m</a><a href="../about/">a</a>') as html from customer""")
+
+
+@query("""select k, list_sort([regexp_replace(base, '/x/y$', '') || '/Privacy-Policy?id=' || c_nationkey, case when k % 3 = 0 then regexp_replace(base, '/y$', '') || '/terms.html' else 'https://shop.c' || k || '.co.uk/imprint?x=1' end]) as links from v_anchors join customer on c_custkey = k""", "anchors")
+def legal_links(spark, sf_dir):
+    return read(spark, sf_dir, "anchors").select("k", F.array_sort(pg.legal_links(F.col("html"), F.col("base"))).alias("links"))
+
+
+# --- expansion --------------------------------------------------------------------------------------
+
+given("chosen", f"""select {_key('c', 'c_custkey', '.com')} as domain, id_type, case id_type when 'email' then {_key('m', 'c_custkey', '@a.com')} when 'tracker' then {_key('UA-', 'c_custkey + 20000', '-1')} when 'org' then {_key('acme', 'c_nationkey')} else {_key('+1', 'c_custkey')} end as value, cast(0.6 + c_custkey % 4 * 0.1 as double) as score, cast(c_custkey % 2 as int) as depth, c_custkey as k from customer, (values ('email'), ('tracker'), ('org'), ('phone')) t(id_type)""")
+given("candidates", f"""select id_type, case id_type when 'email' then {_key('m', 'c_custkey', '@a.com')} when 'tracker' then {_key('UA-', 'c_custkey + 20000', '-1')} else {_key('acme', 'c_custkey % 25')} end as value, ord, case ord when 1 then {_key('www.d', 'c_custkey', '.com')} when 2 then {_key('d', 'c_custkey', '.com')} when 3 then {_key('c', 'c_custkey', '.com')} when 4 then 'google.com' when 5 then 'printer.lan' else {_key('late', 'c_custkey', '.com')} end as candidate from customer, (values ('email'), ('tracker'), ('org')) t(id_type), (values (1), (2), (3), (4), (5), (6)) o(ord)""")
+given("tracked", f"select {_key('d', 'c_custkey', '.com')} as domain, concat('x UA-', cast(case when c_custkey % 3 = 0 then c_custkey + 20000 else c_custkey + 20001 end as string), '-1 y') as html from customer")
+
+
+@query("""select domain, 'd' || k || '.com' as child, 'related_domain_via_identifier' as relation_type, score as confidence, 1 as depth, id_type, id_type = 'tracker' as verified from v_chosen where k % 2 = 0 and (id_type = 'email' or id_type = 'tracker' and k % 3 = 0 and len(list_distinct(string_split(concat(k + 20000, '1'), ''))) > 2)""", "chosen")
+def reverse_expansion(spark, sf_dir):
+    """Each customer's mail, tracker, organization and phone: half of them lie at the depth cap, organizations aren't searched, phones find nothing, two of three trackers aren't on the page."""
+    found = di.reverse_links(read(spark, sf_dir, "chosen").drop("k"), read(spark, sf_dir, "candidates"), read(spark, sf_dir, "tracked"), depth_cap=1, per_identifier=5)
+    return found.drop("source", "enqueue", "value")
+
+
+given("owners", f"""select case n_nationkey % 3 when 0 then 'gleif' when 1 then 'wikidata' else 'sec-edgar' end as source, {_key('acme', 'n_nationkey')} as name, case n_nationkey % 2 when 0 then 'owns' else 'acquired' end as relation, n_name as org, case n_nationkey % 4 when 0 then '' when 1 then {_key('www.o', 'n_nationkey', '.co.uk')} when 2 then {_key('x.o', 'n_nationkey', '.com')} else 'google.com' end as domain, {_key('q', 'n_nationkey')} as record, n_nationkey as n from nation""")
+
+
+@query("""with f as (select value, min(depth) as depth, arg_min(domain, (depth, domain)) as domain from v_chosen where id_type = 'org' group by 1)
+select f.domain, case n % 4 when 1 then 'o' || n || '.co.uk' else 'o' || n || '.com' end as child, 'acquisition_' || relation as relation_type, source, 0.9::double as confidence, depth + 1 as depth, false as enqueue from f join v_owners on name = value where n % 4 in (1, 2) and n % 3 <> 2""", "chosen", "owners")
+def corporate_expansion(spark, sf_dir):
+    """Organizations that the customers of a nation share, each followed once, at the depth cap; those of one source were followed before."""
+    owners = read(spark, sf_dir, "owners").drop("n")
+    return di.corporate_links(read(spark, sf_dir, "chosen").drop("k"), owners, owners.where("source = 'sec-edgar'").select("source", "name"), depth_cap=0)[0]
+
+
+@query("""select 'organization' as subject_type, name as subject_value_norm, relation as predicate, case when domain = '' then 'organization' else 'domain' end as object_type, case n % 4 when 0 then org when 1 then 'o' || n || '.co.uk' else 'o' || n || '.com' end as object_value_norm, source, record as source_record_id,
+case when domain <> '' then 0.9 when source in ('gleif', 'sec-edgar') then 0.95 else 0.8 end::double as confidence from v_owners where n % 4 <> 3""", "owners")
+def corporate_facts(spark, sf_dir):
+    return di.corporate_facts(read(spark, sf_dir, "owners").drop("n"))
+
+
+# --- ledger -----------------------------------------------------------------------------------------
+
+given("links", "select l_orderkey as claim_id, concat('o', cast(l_partkey % 50 as string)) as observation_id, case l_linenumber % 5 when 4 then 'maybe' when 3 then 'contradicts' else 'supports' end as polarity, cast(l_discount * 12 as double) as weight, case when l_suppkey % 9 = 0 then ' ' else l_returnflag end as reason, '2024-01-01' as created_at, l_orderkey * 10 + l_linenumber as seq from lineitem")
+
+
+@query("""select claim_id, observation_id, polarity, arg_min(weight, (seq, weight, reason))::double as weight, arg_min(reason, (seq, weight, reason)) as reason from v_links l where polarity in ('supports', 'contradicts') and weight between 0 and 1 and trim(reason) <> '' and not (claim_id % 5 = 0 and polarity = 'supports') group by 1, 2, 3""", "links")
+def new_evidence_links(spark, sf_dir):
+    """Every line as a link of evidence; the supporting ones of a fifth of the claims are stored already."""
+    links = read(spark, sf_dir, "links")
+    stored = links.where("claim_id % 5 = 0 and polarity = 'supports'").select("claim_id", "observation_id", "polarity").distinct()
+    return le.evidence_links(links, stored)[0].drop("created_at", "seq")
+
+
+@query("select seq, case when polarity = 'maybe' then 'polarity' when weight > 1 then 'weight' else 'reason' end as problem from v_links where polarity = 'maybe' or weight > 1 or trim(reason) = ''", "links")
+def refused_evidence_links(spark, sf_dir):
+    return le.evidence_links(read(spark, sf_dir, "links"))[1].select("seq", "problem")
+
+
+given("creations", "select concat('r', cast(o_custkey % 20 as string)) as run_id, case o_orderkey % 2 when 0 then 'domain' else 'ip' end as node_type, concat('v', cast(o_custkey % 90 as string)) as value_norm, o_orderkey as seq, 'by' as k, o_orderpriority as v from orders")
+
+
+@query("select run_id, node_type, value_norm, sha256(concat_ws(chr(31), run_id, node_type, value_norm)) as node_id, sha256(value_norm) as value_hash, arg_min('{\"' || k || '\":\"' || v || '\"}', seq) as metadata from v_creations group by 1, 2, 3", "creations")
+def created_nodes(spark, sf_dir):
+    made = read(spark, sf_dir, "creations").withColumn("metadata", F.create_map("k", "v")).drop("k", "v")
+    return le.nodes(made).withColumn("metadata", F.to_json("metadata"))
+
+
+given("cache", f"select {_key('c', 'c_custkey')} as domain, c_name as children, concat('2024-01-', lpad(cast(c_custkey % 28 + 1 as string), 2, '0')) as stamp from customer")
+given("refreshed", f"select {_key('c', 'o_custkey + o_orderkey % 2 * 100000')} as domain, o_orderpriority as children, concat('2024-01-', lpad(cast(o_orderkey % 28 + 1 as string), 2, '0'), ' ', cast(o_orderkey as string)) as stamp from orders")
+
+
+@query("select domain, arg_max(children, stamp) as children, max(stamp) as stamp from (select * from v_cache union all select * from v_refreshed) group by 1", "cache", "refreshed")
+def refreshed_cache(spark, sf_dir):
+    return le.upserted(read(spark, sf_dir, "cache"), read(spark, sf_dir, "refreshed"), ["domain"], "stamp")
+
+
+# --- what may be asked ------------------------------------------------------------------------------
+
+given("urls", """select k, case kind when 0 then concat('https://a', t, '.com/x') when 1 then concat('HTTP://a', t, '.com:80', cast(k % 100 as string), '/') when 2 then concat('ftp://a', t, '.com') when 3 then 'https:///x' when 4 then concat('https://u', t, ':p@a.com/') when 5 then concat('https://a.com:', cast(k % 2 * 99999 as string), '/') when 6 then concat('https://10.0.', cast(k % 256 as string), '.1/')
+when 7 then concat('https://[::ffff:10.0.0.', cast(k % 256 as string), ']/') when 8 then concat('https://[2606:4700::', lower(hex(k % 65536)), ']/') when 9 then concat('https://a.com/', repeat('x', cast(4000 + k % 200 as int))) else concat('https://a', t, '.internal/') end as u, kind from (select c_custkey as k, cast(c_custkey as string) as t, c_custkey % 11 as kind from customer) c""")
+
+
+@query("select k, case when kind = 2 then 'scheme' when kind = 3 then 'host' when kind = 4 then 'credentials' when kind = 5 then 'port' when kind in (6, 7, 10) then 'target' when kind = 9 and 14 + 4000 + k % 200 > 4096 then 'length' end as refusal from v_urls", "urls")
+def url_refusals(spark, sf_dir):
+    return read(spark, sf_dir, "urls").select("k", sec.url_refusal(F.col("u")).alias("refusal"))
+
+
+given("models", """select c_custkey as k, c_custkey % 7 as kind, case c_custkey % 7 when 0 then ' ' when 1 then concat('qwen', t) when 2 then concat('Ollama/x', t) when 3 then concat('gpt-', t) when 4 then concat('Claude-', t) when 5 then concat('OpenAI/y', t) else concat('own/z', t) end as m from (select *, cast(c_custkey as string) as t from customer) c""")
+
+
+@query("select k, case kind when 0 then 'ollama/qwen2.5:7b-instruct' when 1 then 'ollama/' || m when 4 then 'anthropic/' || m when 6 then 'ollama/' || m else m end as id, kind in (2, 3, 4, 5) as cloud from v_models", "models")
+def model_names(spark, sf_dir):
+    return read(spark, sf_dir, "models").select("k", sec.model_id(F.col("m")).alias("id"), sec.is_cloud(F.col("m")).alias("cloud"))

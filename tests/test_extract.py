@@ -27,6 +27,17 @@ def test_purchases(spark):
     assert rows[0].p[0].support.startswith("On May 1") and rows[0].p[1].support.startswith("The company agreed to acquire all of Baz LLC.")
 
 
+def test_support_is_a_window_of_the_sentence():
+    pad = "x" * 300
+    (name, support), = ex.purchases(f"Intro. {pad} the Company completed the acquisition of Foo Bar, Inc. for cash and notes. More.")
+    assert name == "Foo Bar, Inc" and support == f"{'x' * 167} the Company completed the acquisition of Foo Bar, Inc. for cash and notes."
+    (_, support), = ex.purchases(f"The Company acquired Foo LLC for {pad}")
+    assert support == f"The Company acquired Foo LLC for {'x' * 175}"
+    text = f"{pad} We agreed to acquire Baz LLC for shares. Then it completed the Acquisition described in Item 1.01 in May. End."
+    (_, support), = ex.purchases(text)
+    assert support == f"{'x' * 119} We agreed to acquire Baz LLC for shares. completed the Acquisition described in Item 1.01 in May."
+
+
 def test_model_outputs(spark):
     good = {"abstain": False, "abstention_reason": None, "pivots": [{"id_type": "org", "value": "x", "score": 0.8, "reason": "r"}]}
     bad = [good | {"extra": 1}, good | {"abstain": True}, good | {"pivots": []}, good | {"pivots": [good["pivots"][0] | {"score": 2}]}, good | {"pivots": [good["pivots"][0] | {"id_type": "zip"}]}, good | {"abstain": "false"}, "no json"]
