@@ -445,3 +445,160 @@ given("models", """select c_custkey as k, c_custkey % 7 as kind, case c_custkey
 @query("select k, case kind when 0 then 'ollama/qwen2.5:7b-instruct' when 1 then 'ollama/' || m when 4 then 'anthropic/' || m when 6 then 'ollama/' || m else m end as id, kind in (2, 3, 4, 5) as cloud from v_models", "models")
 def model_names(spark, sf_dir):
     return read(spark, sf_dir, "models").select("k", sec.model_id(F.col("m")).alias("id"), sec.is_cloud(F.col("m")).alias("cloud"))
+
+
+# --- observations -----------------------------------------------------------------------------------
+
+given("facts", f"""select 'r' as run_id, {_key('o', 'o_orderkey')} as observation_id, o_orderkey as k, o_custkey as c, 'domain' as subject_type, {_key('c', 'o_custkey', '.com')} as subject_value_norm, case o_orderkey % 7 when 0 then 'resolves_to' when 1 then 'has_mx' when 2 then 'redirects_to_domain' when 3 then 'has_registrant_email' when 4 then 'has_subdomain' when 5 then 'redirects_to_domain' else 'publishes_txt' end as predicate, 'x' as object_type,
+case o_orderkey % 7 when 0 then case when o_orderkey % 2 = 0 then concat('1.2.3.', cast(o_orderkey % 200 as string)) else concat('2a00::', cast(o_orderkey % 99 as string)) end when 1 then {_key('mx', 'o_orderkey % 5', '.a.com')} when 2 then {_key('www.b', 'o_orderkey', '.co.uk')} when 3 then {_key('M', 'o_custkey', '@a.com')} when 4 then {_key('h', 'o_orderkey % 3', '.')} when 5 then 'printer.lan' else 'v' end as object_value_norm,
+case o_orderkey % 3 when 0 then 'stdlib' when 1 then 'http-html' else 'crtsh' end as source, cast(o_orderdate as string) as observed_at, cast(o_orderkey % 9 * 0.125 as double) as confidence, case when o_orderkey % 7 in (0, 1) then 'dns' else 'whois' end as capability from orders""")
+
+
+def _facts(spark, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "facts")
+
+
+@query("""select subject_value_norm as domain, case k % 7 when 0 then 'ip' when 1 then 'mx' else 'domain' end as node_type, case when k % 7 = 2 then 'b' || k || '.co.uk' else object_value_norm end as value, case k % 7 when 0 then 'domain_has_ip' when 1 then 'domain_has_mx' else 'domain_redirects_to' end as relation_type, source, confidence,
+case when k % 7 = 0 then case when k % 2 = 0 then 'v4' else 'v6' end end as ip_version from v_facts where k % 7 < 3""", "facts")
+def infrastructure(spark, sf_dir):
+    """Orders as facts of the customers' domains; redirects to an inner host count for nothing."""
+    return di.infrastructure(_facts(spark, sf_dir))
+
+
+@query("""select p.domain, id_type, value, observation_id, coalesce(source, 'relationship_engine') as source, coalesce(confidence, score) as weight, row_number() over (partition by p.domain, id_type, value order by confidence desc, observed_at, observation_id) = 1 as "primary"
+from v_chosen p left join v_facts f on f.subject_value_norm = p.domain and lower(f.object_value_norm) = lower(p.value)""", "chosen", "facts")
+def pivot_evidence(spark, sf_dir):
+    return di.pivot_evidence(read(spark, sf_dir, "chosen").drop("k"), _facts(spark, sf_dir))
+
+
+given("wanted", f"select 'r' as run_id, {_key('c', 'c_custkey', '.com')} as subject_value_norm, case c_custkey % 3 when 0 then {_key('m', 'c_custkey', '@A.com')} when 1 then 'V' else 'Printer.LAN' end as object_value_norm from customer")
+
+
+@query("""select w.subject_value_norm as subject, w.object_value_norm as asked, observation_id, row_number() over (partition by w.subject_value_norm, w.object_value_norm order by confidence desc, observed_at, observation_id) as place from v_wanted w join v_facts f on f.run_id = w.run_id and f.subject_value_norm = w.subject_value_norm and lower(f.object_value_norm) = lower(w.object_value_norm)""", "wanted", "facts")
+def observations_of_objects(spark, sf_dir):
+    return le.observations_for(read(spark, sf_dir, "wanted"), _facts(spark, sf_dir)).select(F.col("subject_value_norm").alias("subject"), "asked", "observation_id", "place")
+
+
+given("told", f"select o_custkey as claim_id, {_key('o', 'o_orderkey')} as observation_id, case when o_orderkey % 4 = 0 then 'contradicts' else 'supports' end as polarity, cast(o_orderdate as string) as created_at from orders")
+
+
+@query("""select claim_id, observation_id, polarity, source, case source when 'stdlib' then 'authoritative-dns' when 'http-html' then 'current-origin-web' else 'certificate-transparency' end as source_family, row_number() over (partition by claim_id order by polarity, created_at, observation_id)::int as place from v_told join v_facts using (observation_id) where claim_id % 2 = 0""", "told", "facts")
+def evidence_of_claims(spark, sf_dir):
+    """The customers' orders as evidence of claims, every second of which is asked for."""
+    links = read(spark, sf_dir, "told")
+    claims = links.select("claim_id").distinct().where("claim_id % 2 = 0")
+    return le.evidence_of_claims(claims, links, _facts(spark, sf_dir)).select("claim_id", "observation_id", "polarity", "source", "source_family", "place")
+
+
+given("subs", f"select {_key('c', 'c_custkey', '.com')} as domain, case c_custkey % 4 when 0 then {_key('H0.c', 'c_custkey', '.com.')} when 1 then {_key('c', 'c_custkey', '.com')} when 2 then {_key('nowhere.c', 'c_custkey', '.com')} else 'not a host' end as host, c_custkey as k from customer")
+given("seen", f"select concat(observation_id, 's') as observation_id, c, subject_value_norm, 'has_subdomain' as predicate, concat('h0.', subject_value_norm) as object_value_norm, source, confidence, observed_at, k as seq from ({GIVEN['facts']}) f where k % 7 = 4")
+
+
+@query("""select subject_value_norm as domain, object_value_norm as host, observation_id, source, row_number() over (partition by subject_value_norm order by seq) = 1 as "primary" from v_seen where c % 4 = 0""", "seen")
+def subdomain_evidence(spark, sf_dir):
+    """One host of each customer, spelled otherwise, absent, the domain itself, or none, with the facts that name it."""
+    return di.subdomain_evidence(read(spark, sf_dir, "subs").drop("k"), read(spark, sf_dir, "seen"))
+
+
+given("cached", f"""select {_key('c', 'c_custkey', '.com')} as domain, c_custkey as k, case c_custkey % 6 when 0 then {_key('b', 'c_custkey', '.com')} when 1 then {_key('www.d', 'c_custkey', '.com')} when 2 then {_key('e', 'c_custkey', '.com')} when 3 then 'localhost' when 4 then ' ' else '::ffff:10.0.0.1' end as child, cast(c_custkey % 8 * 0.125 as double) as confidence, case c_custkey % 6 when 0 then 'email' when 2 then 'org' else '' end as id_type, case c_custkey % 6 when 0 then 'ann@a.com' when 2 then 'acme' else '' end as id_value,
+case c_custkey % 6 when 0 then 'whoxy' when 2 then 'gleif' else '' end as source, case when c_custkey % 6 = 2 then 'acquisition_owns' else '' end as relation_type from customer""")
+
+
+@query("""select domain, child, case when relation_type <> '' then relation_type when id_value <> '' then 'related_domain_via_identifier' else 'related_domain' end as relation_type, case source when '' then 'legacy_cache' else source end as source, confidence, k % 2 + 1 as depth, k % 2 + 1 <= 1 as enqueue,
+case when relation_type = '' and id_value <> '' then id_value end as via, case when relation_type = '' and id_value <> '' then id_type end as id_type from v_cached where k % 6 < 3 and k % 5 <> 0""", "cached")
+def cache_replay(spark, sf_dir):
+    """Cached children of the customers' domains, four of five of which are at the front, half of them at the depth cap."""
+    cached = read(spark, sf_dir, "cached")
+    front = cached.where("k % 5 <> 0").select("domain", (F.col("k") % 2).cast("int").alias("depth"))
+    return di.replayed(front, cached.drop("k"), depth_cap=1).withColumn("depth", F.col("depth").cast("long"))
+
+
+# --- pivots and models ------------------------------------------------------------------------------
+
+given("whois", f"""select {_key('c', 'c_custkey', '.com')} as domain, c_custkey as k, case when c_custkey % 4 = 3 then 'Tech Contact: Ann' else {_object(("a", "concat('\"Registrant Organization: ', c_mktsegment, '  Inc', cast(c_custkey as string), '\"')"), ("b", _list("concat('\"mail a', cast(c_custkey as string), '@acme.com\"')", "'\"abuse@acme.com\"'", "7")), ("c", "concat('\"Name Server: ns', cast(c_custkey as string), '.acme.com\"')"))} end as raw,
+'' as registrant_name, '' as registrant_org, case when c_custkey % 2 = 0 then {_key('Boss', 'c_custkey', '@acme.com')} else '' end as registrant_email, case when c_custkey % 3 = 0 then concat('+1.202', cast(c_custkey + 1000000 as string)) else '' end as registrant_phone from customer""")
+
+
+@query("""with w as (select *, k % 4 = 3 as plain from v_whois) select domain, 'email' as id_type, 'boss' || k || '@acme.com' as value, 0.8::double as score from w where k % 2 = 0 union all select domain, 'email', 'a' || k || '@acme.com', 0.8 from w where not plain union all select domain, 'phone', '+1202' || (k + 1000000), 0.6 from w where k % 3 = 0
+union all select domain, 'ns', 'ns' || k || '.acme.com', 0.65 from w where not plain union all select domain, 'name', 'ns' || k || '.acme.com', 0.65 from w where not plain union all select domain, 'org', lower(c_mktsegment) || ' inc' || k, 0.75 from w join customer on c_custkey = k where not plain union all select domain, 'name', 'ann', 0.65 from w where plain""", "whois")
+def registration_pivots(spark, sf_dir):
+    from ..operators import extract as ex
+
+    w = read(spark, sf_dir, "whois").drop("k").withColumn("nameservers", F.array(F.lit("ns9.acme.com")))
+    return ex.registration_pivots(w).select("domain", "id_type", "value", "score")
+
+
+_PIVOT = lambda score: _object(("id_type", "'\"org\"'"), ("value", _text("c_name")), ("score", score), ("reason", "'\"r\"'"))
+_OUTPUT = lambda abstain, why, pivots, *more: _object(("abstain", abstain), ("abstention_reason", why), ("pivots", pivots), *more)
+_OUTPUTS = {
+    "accepted": _OUTPUT("'false'", "'null'", _list(_PIVOT("cast(round(c_custkey % 100 / 100e0, 2) as string)"))),
+    "abstained": _OUTPUT("'true'", "'\"nothing\"'", "'[]'"),
+    "invalid": _OUTPUT("'true'", "'\"x\"'", _list(_PIVOT("'0.5'"))),
+    "invalid 2": _OUTPUT("'false'", "'null'", "'[]'"),
+    "invalid 3": _OUTPUT("'false'", "'null'", _list(_PIVOT("'2'"))),
+    "invalid 4": _OUTPUT("'false'", "'null'", "'[]'", ("z", "'1'")),
+    "invalid 5": "'no json'",
+    "invalid 6": _OUTPUT("'\"false\"'", "'null'", _list(_PIVOT("'0.5'"))),
+}
+given("outputs", f"select {_key('c', 'c_custkey', '.com')} as domain, c_custkey as k, case c_custkey % {len(_OUTPUTS)} " + " ".join(f"when {i} then {text}" for i, text in enumerate(_OUTPUTS.values())) + " end as content from customer")
+
+
+@query(f"select domain, case k % {len(_OUTPUTS)} when 0 then 'accepted' when 1 then 'abstained' else 'invalid' end as disposition from v_outputs", "outputs")
+def model_outputs(spark, sf_dir):
+    from ..operators import models as mo
+
+    return mo.validated(read(spark, sf_dir, "outputs").drop("k")).select("domain", "disposition")
+
+
+@query(f"select domain, case when k % 100 >= 75 then 'fast' else 'primary' end as route from v_outputs where k % {len(_OUTPUTS)} = 0", "outputs")
+def routed_outputs(spark, sf_dir):
+    """The fast model's outputs and, from a table of its own, the primary model's for the same domains: accepted ones of at least 0.75 are kept, the others come from the primary."""
+    from ..operators import models as mo
+
+    o = read(spark, sf_dir, "outputs").drop("k")
+    primary = o.withColumn("content", F.regexp_replace("content", '"reason": "r"', '"reason": "primary"'))
+    return mo.routed(mo.validated(o), mo.validated(primary)).select("domain", "route")
+
+
+# --- hosts and texts --------------------------------------------------------------------------------
+
+given("heard", f"select c_custkey as k, case c_custkey % 7 when 0 then 'google.com' when 1 then {_key('www', 'c_custkey', '.google.com')} when 2 then {_key('a', 'c_custkey', '.com')} when 3 then {_key('index', 'c_custkey', '.html')} when 4 then 'localhost' when 5 then {_key('sub', 'c_custkey', '.godaddy.com')} else {_key('xgoogle', 'c_custkey', '.ORG.')} end as d from customer")
+
+
+@query("select k, k % 7 not in (2, 6) as noise from v_heard", "heard")
+def noise_domains(spark, sf_dir):
+    return read(spark, sf_dir, "heard").select("k", dom.noise_domain(F.col("d")).alias("noise"))
+
+
+given("markup", "select p_partkey as k, p_name as name, concat('<script>x < ', cast(p_partkey as string), '</script><p>', p_name, ' &amp; ', p_brand, '</p><style>p {}</style> &#169;  <b>C', cast(p_size as string), '</b>') as html from part")
+
+
+@query("select k, name || ' & ' || p_brand || ' © C' || p_size as t from v_markup join part on p_partkey = k", "markup")
+def plain_texts(spark, sf_dir):
+    return read(spark, sf_dir, "markup").select("k", pg.plain_text(F.col("html")).alias("t"))
+
+
+given("asked_trackers", f"select {_key('my-shop', 'p_partkey', '.com')} as domain, p_partkey as k, case p_partkey % 3 when 0 then {_key('ua-', 'p_partkey + 10000', '-1')} when 1 then {_key('UA-', 'p_partkey + 10001', '-1')} else 'G-XXXXX123' end as tracker_id from part")
+
+
+@query(f"with {_SHOP} select a.domain, upper(tracker_id) as tracker_id from v_asked_trackers a join s using (k) where k % 3 = 0 and own and not gone", "asked_trackers", "shops")
+def verified_trackers(spark, sf_dir):
+    return pg.verified_trackers(read(spark, sf_dir, "asked_trackers").drop("k"), read(spark, sf_dir, "shops").select("domain", "html"))
+
+
+given("mails", f"select c_custkey as k, case c_custkey % 10 when 5 then 'ns' when 6 then 'ns' when 7 then 'zip' when 8 then 'org' when 9 then 'org' else 'email' end as kind, case c_custkey % 10 when 0 then 'a@markmonitor.com' when 1 then {_key('a@x', 'c_custkey', '.markmonitor.com')} when 2 then {_key('abuse@a', 'c_custkey', '.com')} when 3 then {_key('ann', 'c_custkey', '@a.com')} when 4 then 'a@notmarkmonitor.org' when 5 then {_key('ns', 'c_custkey', '.cloudflare.com')} when 6 then {_key('ns', 'c_custkey', '.a.com')} when 8 then ' ' else c_name end as value, cast(case when c_custkey % 4 = 1 then 1.5 else 0.5 end as double) as score from customer")
+
+
+@query("select k, k % 10 < 2 as registrar, k % 4 <> 1 and k % 10 in (3, 4, 6, 9) as good from v_mails", "mails")
+def pivot_values(spark, sf_dir):
+    m = read(spark, sf_dir, "mails")
+    own = F.coalesce((F.col("kind") == "email") & dom.registrar_mail(F.col("value")), F.lit(False))
+    return m.select("k", own.alias("registrar"), dom.valid_pivot(F.col("kind"), F.col("value"), F.col("score")).alias("good"))
+
+
+given("targets", f"select c_custkey as k, case c_custkey % 9 when 0 then {_key('a', 'c_custkey', '.com')} when 1 then 'LOCALHOST' when 2 then {_key('x', 'c_custkey', '.internal')} when 3 then 'METADATA.google.internal' when 4 then concat('8.8.', cast(c_custkey % 256 as string), '.8') when 5 then concat('10.1.', cast(c_custkey % 256 as string), '.3') when 6 then {_key('printer', 'c_custkey', '.lan.')} when 7 then ' ' else {_key('internal', 'c_custkey', '.example')} end as h from customer")
+
+
+@query("select k, k % 9 in (0, 4, 8) as allowed from v_targets", "targets")
+def scan_targets(spark, sf_dir):
+    return read(spark, sf_dir, "targets").select("k", dom.scan_target(F.col("h")).alias("allowed"))
