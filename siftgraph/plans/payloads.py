@@ -602,3 +602,161 @@ given("targets", f"select c_custkey as k, case c_custkey % 9 when 0 then {_key('
 @query("select k, k % 9 in (0, 4, 8) as allowed from v_targets", "targets")
 def scan_targets(spark, sf_dir):
     return read(spark, sf_dir, "targets").select("k", dom.scan_target(F.col("h")).alias("allowed"))
+
+
+# --- runs, errors, cases ----------------------------------------------------------------------------
+
+_KINDS = ("security", "auth", "input", "malformed", "capacity", "rate_limit", "timeout", "other")
+given("errors", "select event_id as id, case when event_id % 11 = 10 then cast(null as string) else case event_id % 8 " + " ".join(f"when {i} then '{k}'" for i, k in enumerate(_KINDS)) + " end end as kind, case when event_id % 8 = 7 then case event_id % 5 when 0 then 403 when 1 then 429 when 2 then 401 else 500 end end as http_status, event_id % 9 + 1 as attempt from events")
+
+
+@query("""select id, case when kind in ('auth') or http_status in (401, 403) then 'auth_error' when kind in ('capacity', 'rate_limit') or http_status = 429 then 'rate_limited' when kind in ('malformed', 'timeout') then kind else 'error' end as status,
+coalesce(kind not in ('security', 'auth', 'input', 'malformed', 'capacity'), true) and coalesce(http_status, 0) not in (401, 403) as retryable, least(1.0, 0.1 * power(2, attempt - 1))::double as wait from v_errors""", "errors")
+def classified_errors(spark, sf_dir):
+    from ..operators import usage as us
+
+    return us.classified(read(spark, sf_dir, "errors")).select("id", "status", "retryable", us.backoff_s(F.col("attempt")).alias("wait"))
+
+
+given("sized", "select p_partkey as id, p_size as s, case p_partkey % 5 when 0 then concat('[', repeat('1,', cast(p_size as int)), '1]') when 1 then concat('{\"a\": [', repeat('1,', cast(p_size as int)), '1]}') when 2 then concat('{\"a\": {\"b\": \"', repeat('é', cast(p_size as int)), '\", \"c\": 2, \"d\": 3, \"e\": 4}}') when 3 then concat('\"', repeat('é', cast(p_size as int)), '\"') else p_name end as payload, cast(60 as bigint) as max_bytes, cast(20 as bigint) as max_items from part")
+
+
+@query("""select id, problem from (select id, unnest([case when strlen(payload) > 60 then 'bytes' end, case when id % 5 in (0, 1) and s + 1 > 20 then 'items' end]) as problem from v_sized) where problem is not null""", "sized")
+def result_limits(spark, sf_dir):
+    from ..operators import usage as us
+
+    return us.over_result_limits(read(spark, sf_dir, "sized").drop("s"))
+
+
+given("stamps", "select c_custkey as id, case c_custkey % 6 when 0 then concat('2024-01-01T', h, ':00:00') when 1 then concat('2024-01-01T', h, ':00:00+05:00') when 2 then concat('2024-01-01T', h, ':30:00Z') when 3 then 'yesterday' when 4 then concat('2023-12-31T', h, ':59:59Z') end as at_ from (select *, lpad(cast(c_custkey % 24 as string), 2, '0') as h from customer) c")
+
+
+@query("select id, coalesce(case id % 6 when 0 then id % 24 >= 6 when 1 then id % 24 - 5 >= 6 when 2 then id % 24 >= 6 when 4 then false end, false) as fresh, false as never from v_stamps", "stamps")
+def cache_freshness(spark, sf_dir):
+    """Answers stored at hours of two days, with zones, without, or without a time, as seen at six in the morning a day later."""
+    from ..operators import usage as us
+
+    now = F.lit("2024-01-02T06:00:00Z").cast("timestamp")
+    return read(spark, sf_dir, "stamps").select("id", us.fresh(F.col("at_"), now, 24).alias("fresh"), us.fresh(F.col("at_"), now, 0).alias("never"))
+
+
+given("made_edges", "select concat('r', cast(l_suppkey % 3 as string)) as run_id, concat('a', cast(l_partkey % 40 as string)) as from_node_id, concat('b', cast(l_suppkey as string)) as to_node_id, 'links' as relation_type, cast(l_linenumber % 2 as int) as depth, l_returnflag as source, cast(l_discount as double) as confidence, l_orderkey * 10 + l_linenumber as seq from lineitem")
+
+
+@query("select run_id, from_node_id, to_node_id, depth, source, arg_min(confidence, (seq, confidence)) as confidence from v_made_edges where not (source = 'A' and depth = 1) group by 1, 2, 3, 4, 5", "made_edges")
+def first_edges(spark, sf_dir):
+    """Every line as an edge; those of one source and depth are stored already."""
+    from ..operators import evidence as ev
+
+    e = read(spark, sf_dir, "made_edges")
+    stored = e.where("source = 'A' and depth = 1").select(*le.EDGE_KEY).distinct()
+    return ev.append(e, le.EDGE_KEY, stored).select("run_id", "from_node_id", "to_node_id", "depth", "source", "confidence")
+
+
+@query("""select observation_id, sha256(concat_ws(chr(31), source, '', subject_type, subject_value_norm, predicate, object_type, object_value_norm, '{}', observed_at)) as dedup_key from (select *, row_number() over (partition by source, subject_value_norm, predicate, object_value_norm, observed_at order by k) as r from v_facts where k % 8 <> 5) where r = 1 and not (k % 7 = 4)""", "facts")
+def first_observations(spark, sf_dir):
+    """Orders as facts, each twice, an eighth of them with a confidence above 1, those of one predicate stored already."""
+    from ..operators import evidence as ev
+
+    f = _facts(spark, sf_dir).withColumn("seq", F.col("k")).withColumn("source_record_id", F.lit(None).cast("string"))
+    f = f.withColumn("confidence", F.when(F.col("k") % 8 == 5, 1.5).otherwise(F.col("confidence")))
+    again = f.withColumn("seq", F.col("seq") + 1_000_000_000).withColumn("observation_id", F.lit("late"))
+    good, _ = ev.observations(f.unionByName(again))
+    stored = good.where("k % 7 = 4").select("dedup_key").distinct()
+    return ev.append(good, ["dedup_key"], stored).select("observation_id", "dedup_key")
+
+
+given("priced", "select o_orderkey as k, case o_orderkey % 4 when 0 then 'gpt-5-mini' when 1 then 'nobody' when 2 then 'gpt-5-mini' else 'gpt-5.6-luna' end as model, cast(o_custkey % 900 as int) as tokens_in, cast(o_orderkey % 70 as int) as tokens_out, case when o_orderkey % 5 = 0 then '2026-04-02' when o_orderkey % 5 = 1 then '2026-04-03' else '2026-07-01' end as reviewed from orders")
+
+
+@query("""select k, case when reviewed < '2026-04-03' then 'stale prices' when model = 'nobody' then 'unknown model' end as refusal, case when reviewed < '2026-04-03' or model = 'nobody' then null else case model when 'gpt-5-mini' then (tokens_in * 25 + tokens_out * 200 + 99) // 100 else (tokens_in * 20 + tokens_out * 120 + 99) // 100 end end::bigint as cost from v_priced""", "priced")
+def priced_calls(spark, sf_dir):
+    from ..operators import models as mo
+
+    p = mo.priced(read(spark, sf_dir, "priced"), F.col("reviewed").cast("date"), F.lit("2026-07-02").cast("date"))
+    return p.select("k", "refusal", "cost")
+
+
+given("graph_runs", "select concat('r', cast(n_nationkey as string)) as run_id, concat('www.root', cast(n_nationkey as string), case when n_nationkey % 2 = 0 then '.com' else '.co.uk' end) as root_domain from nation")
+given("graph_nodes", f"select concat('r', cast(c_nationkey as string)) as run_id, c_nationkey as n, c_custkey as k, case when c_custkey % 7 = 6 then 'ip' else 'domain' end as node_type, case c_custkey % 5 when 0 then {_key('x.c', 'c_custkey % 40', '.com')} when 1 then {_key('c', 'c_custkey % 40', '.com')} when 2 then 'bad host' when 3 then concat('a.root', cast(c_nationkey as string), case when c_nationkey % 2 = 0 then '.com' else '.co.uk' end) else {_key('www.d', 'c_custkey % 30', '.co.uk')} end as value_norm from customer")
+
+
+@query("select distinct run_id, case when k % 5 < 2 then concat('c', k % 40, '.com') else concat('d', k % 30, '.co.uk') end as domain from v_graph_nodes where k % 7 <> 6 and k % 5 in (0, 1, 4)", "graph_nodes")
+def predicted_domains(spark, sf_dir):
+    from ..operators import quality as qu
+
+    return qu.predicted_domains(read(spark, sf_dir, "graph_runs"), read(spark, sf_dir, "graph_nodes").drop("n", "k"))
+
+
+# The web of nations, suppliers and regions; some links aren't followed.
+given("web", "select concat('r', cast(r_regionkey as string)) as domain, concat('n', cast(n_nationkey as string)) as child, n_nationkey % 4 <> 3 as enqueue from region join nation on n_regionkey = r_regionkey union all select concat('n', cast(s_nationkey as string)), concat('s', cast(s_suppkey as string)), s_suppkey % 5 <> 4 from supplier union all select concat('s', cast(s_suppkey as string)), concat('n', cast((s_nationkey + 1) % 25 as string)), true from supplier")
+
+
+def _explored(spark, sf_dir: str):
+    web = read(spark, sf_dir, "web")
+
+    def step(front: DataFrame) -> DataFrame:
+        return web.join(front, "domain").select("domain", "child", F.lit("links").alias("relation_type"), F.lit("s").alias("source"), F.lit(1.0).alias("confidence"), (F.col("depth") + 1).alias("depth"), "enqueue")
+
+    return di.explore(spark.createDataFrame([("r0",)], "domain string"), step, 2)
+
+
+_WAVES = """w1 as (select distinct child as domain from v_web where domain = 'r0' and enqueue), w2 as (select distinct child as domain from v_web where domain in (select domain from w1) and enqueue and child <> 'r0' and child not in (select domain from w1))"""
+
+
+@query(f"with {_WAVES} select 'r0' as domain, 0 as depth union all select domain, 1 from w1 union all select domain, 2 from w2", "web")
+def explored_domains(spark, sf_dir):
+    return _explored(spark, sf_dir)[0]
+
+
+@query(f"with {_WAVES} select domain, child, depth from (select domain, child, 1 as depth from v_web where domain = 'r0' union all select domain, child, 2 from v_web where domain in (select domain from w1) union all select domain, child, 3 from v_web where domain in (select domain from w2))", "web")
+def explored_links(spark, sf_dir):
+    return _explored(spark, sf_dir)[1].select("domain", "child", "depth")
+
+
+given("declared", """select s_suppkey as k, concat('p', cast(s_suppkey as string)) as name, case when s_suppkey % 8 = 7 then 'paid' else 'free' end as tier, s_suppkey % 8 <> 7 as declared, case when s_suppkey % 8 = 1 then 'all' else 'hash_only' end as raw_retention, case when s_suppkey % 8 = 2 then 'ever' when s_suppkey % 8 = 5 then 'run' else 'project' end as normalized_retention, s_suppkey % 8 = 5 as cross_run_cache, case when s_suppkey % 8 = 3 then 'all' else 'normalized' end as export_scope, case when s_suppkey % 8 = 4 then ' ' else 'v1' end as version from supplier""")
+
+
+@query("select name as key, case k % 8 when 1 then 'raw retention' when 2 then 'normalized retention' when 3 then 'export scope' when 4 then 'version' when 5 then 'caching needs project retention' when 7 then 'paid source without a policy' end as problem from v_declared where k % 8 in (1, 2, 3, 4, 5, 7)", "declared")
+def policy_problems(spark, sf_dir):
+    from ..operators import validation as va
+
+    return va.policy_problems(read(spark, sf_dir, "declared").drop("k"))
+
+
+given("config", "select s_suppkey as k, concat('p', cast(s_suppkey as string)) as name, 'dns' as capability, 'free' as tier, s_suppkey % 2 = 1 as no_key, s_suppkey % 3 = 1 as bad_key, s_suppkey % 5 = 1 as no_tool from supplier")
+
+
+@query("select capability, name, tier, case when name in ('p0', 'p11') then 'disabled' when no_tool then 'dependency_missing' when bad_key then 'configuration_invalid' when no_key then 'configuration_missing' else 'ready' end as state from v_config", "config")
+def source_diagnostics(spark, sf_dir):
+    from ..sources import registry as reg
+
+    some = lambda c, name: F.when(F.col(c), F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))
+    c = read(spark, sf_dir, "config").select("name", "capability", "tier", some("no_key", "KEY").alias("missing_environment"), some("bad_key", "RATE").alias("invalid_environment"), some("no_tool", "tool").alias("missing_executables"))
+    return reg.diagnostics(c, ("p0", "p11"))
+
+
+@query("select c_custkey as id, case when c_custkey % 3 = 0 then 100 else 60 end::bigint as kept, case when c_custkey % 3 = 0 then null else 40 end::bigint as cut from customer")
+def trimmed_contexts(spark, sf_dir):
+    """Each customer's context of a hundred hosts, a third of which are short enough as they are."""
+    from ..operators import models as mo
+
+    c = over(spark, sf_dir, "select c_custkey as id from customer")
+    short = F.col("id") % 3 == 0
+    host = F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.concat(F.lit("h"), F.lpad(i.cast("string"), 2, "0"), F.when(short, "").otherwise(".example.com")))
+    t = c.select("id", mo.trimmed(F.to_json(F.struct(F.col("id").alias("domain"), host.alias("subdomains"))), 1320).alias("t"))
+    return t.select("id", F.size(F.from_json(F.get_json_object("t", "$.subdomains"), "array<string>")).cast("long").alias("kept"), F.get_json_object("t", "$.subdomains_truncated").cast("long").alias("cut"))
+
+
+@query("""select user_id as run_id, count(*) as nodes, list_sort(list(event_id))[1] as first_node, count(*) as edges, max(event_id) as last_edge from events group by 1""")
+def graph_documents(spark, sf_dir):
+    """Each run's export, read back: its nodes and edges."""
+    from ..sources import exports as out
+
+    e = over(spark, sf_dir, "select user_id, event_type, event_id from events")
+    n = e.select(F.col("user_id").alias("run_id"), F.lit("domain").alias("node_type"), F.lit("v").alias("value_norm"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("node_id"))
+    d = e.select(F.col("user_id").alias("run_id"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("from_node_id"), F.lit("r").alias("relation_type"), F.col("event_type").alias("to_node_id"))
+    g = F.from_json("json", "run_id long, nodes array<struct<node_id:string>>, edges array<struct<from_node_id:string>>")
+    at = lambda c, i: F.element_at(c, i).cast("long")
+    back = out.graph_json(n, d).select(g.alias("g"))
+    return back.select("g.run_id", F.size("g.nodes").cast("long").alias("nodes"), at(F.col("g.nodes.node_id"), 1).alias("first_node"), F.size("g.edges").cast("long").alias("edges"), at(F.col("g.edges.from_node_id"), -1).alias("last_edge"))
