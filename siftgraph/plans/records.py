@@ -1,4 +1,4 @@
-"""Queries of operators over captured payloads, model outputs, runs and cases: small tables of rows that reach each rule.
+"""Queries of operators over runs, cases, benchmarks and plans. Those over small tables of rows, written here to reach each rule, are the ones that ``payloads`` has not replaced yet.
 
 Each table is one SQL text that Spark and DuckDB read alike.
 """
@@ -8,9 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import domains as dom
-from ..functions import pages as pg
-from ..functions import security as sec
 from ..operators import discovery as di
 from ..operators import evidence as ev
 from ..operators import extract as ex
@@ -19,7 +16,6 @@ from ..operators import models as mo
 from ..operators import quality as qu
 from ..operators import usage as us
 from ..operators import validation as va
-from ..sources import captures as cap
 from ..sources import exports as out
 from ..sources import registry as reg
 from . import preflight, schemas
@@ -50,349 +46,24 @@ def query(sql: str, *names: str):
     return keep
 
 
-def texts(column: str):
-    """A comma-separated text as an array."""
-    return F.filter(F.split(column, ","), lambda x: x != "")
-
-
-_STRIP = lambda x: f"trim(regexp_replace({x}, '\\.+$', ''))"
-_SPACES = lambda x: f"trim(regexp_replace({x}, '\\s+', ' ', 'g'), ' ')"
-
 # --- registration ---------------------------------------------------------------------------------
 
-rows("bases", "domain, ord, base, payload", "'a.com', 1, 'b1', cast(null as string)", "'a.com', 2, 'b2', '{}'", "'a.com', 3, 'b3', '{}'", "'b.com', 1, 'b1', null", "'b.com', 2, 'b2', null", "'b.com', 3, 'b3', null", "'b.com', 4, 'b4', '{}'", "'c.com', 9, 'b9', 'x'")
-
-
-@query("""select domain, arg_min(base, ord) as base, arg_min(payload, ord) as payload from (select *, row_number() over (partition by domain order by ord) as r from v_bases) where r <= 3 and payload is not null group by 1""", "bases")
-def registration_bases(spark, sf_dir):
-    return cap.answered_bases(read(spark, "bases"))
-
-
 rows("hosts", "domain", "'x.co.uk'", "'a.b.uk'", "'n.com'", "'none.zz'")
-rows("services", "suffix, base", "'uk', 'https://u'", "'co.uk', 'https://c'", "'com', 'https://m'")
-
-
-@query("select domain, arg_max(base, len(suffix)) as base from v_hosts, v_services where domain = suffix or ends_with(domain, '.' || suffix) group by 1", "hosts", "services")
-def service_suffixes(spark, sf_dir):
-    return cap.service_for(read(spark, "hosts"), read(spark, "services"))
-
-
-_CARD = '{"entities": [{"roles": ["registrar"], "vcardArray": ["vcard", [["fn", {}, "text", "Reg"]]]}, {"roles": ["registrant"], "vcardArray": ["vcard", [["fn", {}, "text", ""], ["FN", {}, "text", "%s"], ["org", {}, "text", "%s"], ["email", {}, "text", "%s"]]]}], "events": [{"eventAction": "registration", "eventDate": "2001"}, {"eventAction": "registration", "eventDate": "2002"}], "nameservers": [{"ldhName": "NS2.A.com."}, {"ldhName": "ns1.a.com"}]}'
-rows("registry", "domain, payload", f"'a.com', '{_CARD % ('Ann  Owner', 'REDACTED FOR PRIVACY', 'a@a.com')}'", f"'b.com', '{_CARD % ('Data Protected', 'Acme Inc', 'Not Disclosed')}'", "'c.com', 'broken'", "'d.com', cast(null as string)")
-
-
-@query(f"""with e as (select domain, payload, json_extract(payload, '$.entities[1].vcardArray[1]') as card from (select domain, case when json_valid(payload) then payload end as payload from v_registry)),
-f as (select domain, payload, [{_SPACES("coalesce(card->1->>3, '')")}, {_SPACES("coalesce(card->2->>3, '')")}, {_SPACES("coalesce(card->3->>3, '')")}] as x from e),
-g as (select domain, payload, list_transform(x, lambda v: case when regexp_matches(lower(v), 'redacted|data protected|not disclosed|withheld|privacy|gdpr|not available from registry') then '' else v end) as x from f)
-select domain, x[1] as registrant_name, x[2] as registrant_org, x[3] as registrant_email, '' as registrant_phone, coalesce(payload->'events'->0->>'eventDate', '') as creation_date, '' as expiration_date,
-case when payload is null then []::varchar[] else list_sort([rtrim(lower(payload->'nameservers'->0->>'ldhName'), '.'), rtrim(lower(payload->'nameservers'->1->>'ldhName'), '.')]) end as nameservers from g""", "registry")
-def registry_records(spark, sf_dir):
-    return cap.registration_records(read(spark, "registry"))
-
-
-rows("answers", "domain, priority, registrant_name, registrant_org, registrant_email, registrant_phone, ns", "'a', 1, '', '', '', '', 'n1'", "'a', 2, '', 'Org', null, '', 'n2'", "'a', 3, 'Late', 'Late', '', '', 'n3'", "'b', 1, '', cast(null as string), '', '', 'n1'", "'b', 2, '', '', '', '', 'n0,n1'", "'c', 1, 'Own', '', '', '9', ''")
-
-
-def _answers(spark):
-    return read(spark, "answers").withColumn("nameservers", texts("ns")).drop("ns")
-
-
-@query("""with u as (select *, coalesce(max((coalesce(registrant_name, '') || coalesce(registrant_org, '') || coalesce(registrant_email, '') || coalesce(registrant_phone, '') <> '')::int) over (partition by domain order by priority rows between unbounded preceding and 1 preceding), 0) as done from v_answers)
-select domain, coalesce(arg_min(nullif(registrant_name, ''), priority) filter (registrant_name <> ''), '') as registrant_name, coalesce(arg_min(registrant_org, priority) filter (registrant_org <> ''), '') as registrant_org,
-coalesce(arg_min(registrant_email, priority) filter (registrant_email <> ''), '') as registrant_email, coalesce(arg_min(registrant_phone, priority) filter (registrant_phone <> ''), '') as registrant_phone,
-list_sort(list_filter(list_distinct(flatten(list(string_split(ns, ',')))), lambda x: x <> '')) as nameservers from u where done = 0 group by 1""", "answers")
-def registration_cascade(spark, sf_dir):
-    return cap.registration_cascade(_answers(spark))
-
-
-@query("""select a.domain, coalesce(nullif(a.registrant_name, ''), b.registrant_name, '') as registrant_name, coalesce(nullif(a.registrant_org, ''), b.registrant_org, '') as registrant_org, coalesce(nullif(a.registrant_email, ''), b.registrant_email, '') as registrant_email,
-coalesce(nullif(a.registrant_phone, ''), b.registrant_phone, '') as registrant_phone, list_sort(list_filter(list_distinct(string_split(a.ns, ',') || string_split(coalesce(b.ns, ''), ',')), lambda x: x <> '')) as nameservers
-from v_answers a left join (select * from v_answers where priority = 3) b using (domain) where a.priority = 1""", "answers")
-def merged_registrations(spark, sf_dir):
-    a = _answers(spark)
-    return cap.merged_registration(a.where("priority = 1").drop("priority"), a.where("priority = 3").drop("priority"))
-
-
-rows("legacy", "domain, payload", """'a.com', '{"name": ["", " Ann "], "org": "Acme", "emails": ["a@a.com", "b@a.com"], "name_servers": ["NS2.A.COM.", "ns1.a.com", "ns1.a.com"], "creation_date": ["2001", "2002"]}'""", """'b.com', '{"email": "x@b.com", "nserver": "NS.b.com", "phone": "+1"}'""", "'c.com', '{}'")
-
-
-@query("""select 'a.com' as domain, 'python-whois' as source, 'Ann' as registrant_name, 'Acme' as registrant_org, 'a@a.com' as registrant_email, '' as registrant_phone, '2001' as creation_date, ['ns1.a.com', 'ns2.a.com'] as nameservers
-union all select 'b.com', 'python-whois', '', '', payload->>'email', payload->>'phone', '', [lower(payload->>'nserver')] from v_legacy where domain = 'b.com' union all select 'c.com', 'whois_empty', '', '', '', '', '', []""", "legacy")
-def legacy_registrations(spark, sf_dir):
-    return cap.legacy_registrations(read(spark, "legacy")).drop("raw", "expiration_date")
-
-
 rows("dns", "domain, rtype, value", "'a.com', 'A', '1.2.3.4'", "'a.com', 'A', '1.2.3.4'", "'a.com', 'MX', '10 MX.a.com.'", "'a.com', 'TXT', 'V=Spf1 .'", "'a.com', 'NS', 'ns.A.com. '", "'b.com', 'AAAA', '2A00::1'", "'b.com', 'CNAME', 'C.b.com.'")
 
 
-@query("""with v as (select domain, rtype, case rtype when 'TXT' then value else lower(regexp_replace(rtrim(trim(value), '.'), '^[0-9]+ ', '')) end as v from v_dns)
-select domain, """ + ", ".join(f"coalesce(list_sort(list(distinct v) filter (rtype = '{k}')), []) as {k.lower()}_records" for k in ("A", "AAAA", "MX", "NS", "CNAME", "TXT")) + " from v group by 1", "dns")
-def dns_records(spark, sf_dir):
-    return cap.dns_records(read(spark, "dns"))
-
-
 # --- pages ------------------------------------------------------------------------------------------
 
 _HTML = """'<title>A &amp;  B &lt;shop&gt;</title><meta name="description" content="All &quot;here&quot;"> UA-12345-1 ua GTM-ABCD12 ca-pub-1234567890123 UA-00000-1 G-XXXXX123 &copy; 2019-2021 Acme Widgets, All Rights Reserved'"""
 rows("pages", "domain, html, final_url, legal_html", f"""'my-shop.com', {_HTML}, 'https://www.other.co.uk/x', '<p>This website is operated by Acme &amp; Sons Ltd. Legal name: ACME &AMP; SONS LTD, or</p>'""".replace("&AMP;", "&amp;"), "'b2b.org', '<TITLE lang=x>T</TITLE>', 'http://b2b.org/', null", "'c.net', cast(null as string), '', null")
 
 
-@query("""select * from (values ('my-shop.com', 'A & B <shop>', 'All "here"', ['My Shop'], ['GTM-ABCD12', 'UA-12345-1', 'ca-pub-1234567890123'], 'Acme Widgets', 'https://www.other.co.uk/x', 'other.co.uk', ['Acme & Sons Ltd']),
-('b2b.org', 'T', '', ['B2B'], [], '', 'http://b2b.org/', '', []), ('c.net', '', '', ['C'], [], '', '', '', [])) t(domain, title, description, aliases, tracker_ids, copyright_org, final_url, redirect_domain, legal_entities)""")
-def page_records(spark, sf_dir):
-    return pg.page_records(read(spark, "pages"))
-
-
-rows("asked_trackers", "domain, tracker_id", "'my-shop.com', 'ua-12345-1'", "'my-shop.com', 'UA-12345-2'", "'b2b.org', 'UA-12345-1'", "'my-shop.com', 'G-XXXXX123'")
-
-
-@query("select domain, upper(tracker_id) as tracker_id from v_asked_trackers a where exists (select 1 from v_pages p where p.domain = a.domain and contains(p.html, upper(tracker_id)) and not contains(tracker_id, 'XXXXX'))", "asked_trackers", "pages")
-def verified_trackers(spark, sf_dir):
-    return pg.verified_trackers(read(spark, "asked_trackers"), read(spark, "pages"))
-
-
-rows("anchors", "base, html", """'https://a.com/x/y', '<a href="/Privacy-Policy#top">p</a><a href="terms.html">t</a><a href="https://b.com/legal">o</a><a href="../about/">a</a>'""", """'https://www.c.co.uk/', '<a href="https://shop.c.co.uk/imprint?x=1">i</a> <a href="mailto:x">m</a>'""")
-
-
-@query("""select 'https://a.com/x/y' as base, ['https://a.com/Privacy-Policy', 'https://a.com/x/terms.html'] as links union all select 'https://www.c.co.uk/', ['https://shop.c.co.uk/imprint?x=1']""")
-def legal_links(spark, sf_dir):
-    return read(spark, "anchors").select("base", pg.legal_links(F.col("html"), F.col("base")).alias("links"))
-
-
-rows("markup", "id, html", """1, '<script>x < 1</script><p>A &amp; B</p><style>p {}</style> &#169; <b>C</b>'""", "2, 'plain'", "3, ''")
-
-
-@query(f"""select id, {_SPACES("replace(replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '&amp;', '&'), '&#169;', '©')")} as t from v_markup""", "markup")
-def plain_texts(spark, sf_dir):
-    return read(spark, "markup").select("id", pg.plain_text(F.col("html")).alias("t"))
-
-
-rows("values_", "id, v", "1, 'UA-12345-1'", "2, 'UA-00000-1'", "3, 'UA-11111-2'", "4, 'G-TEST12345'", "5, 'GTM-AB12'", "6, 'ca-pub-123'", "7, 'G-ABC1234'", "8, 'zz'")
-
-
-@query("""select id, not regexp_matches(p, 'XXXXX|TEST|DEMO|SAMPLE') and len(list_distinct(string_split(p, ''))) > 2 as plausible,
-case when starts_with(upper(v), 'CA-PUB-') then 0.95 when starts_with(upper(v), 'UA-') then 0.92 when starts_with(upper(v), 'GTM-') then 0.90 when starts_with(upper(v), 'G-') then 0.85 else 0.70 end::double as confidence
-from (select *, replace(regexp_replace(upper(v), '^[^-]*-', ''), '-', '') as p from v_values_)""", "values_")
-def tracker_values(spark, sf_dir):
-    v = F.col("v")
-    return read(spark, "values_").select("id", dom.plausible_tracker(v).alias("plausible"), dom.tracker_confidence(v).alias("confidence"))
-
-
-rows("idents", "id, kind, v", "1, 'email', ' A@B.com '", "2, 'phone', '+1 (202) 555-01'", "3, 'ns', 'NS1.A.com.'", "4, 'tracker', 'ua-1-2'", "5, 'org', '  Acme   INC '", "6, 'phone', 'none'", "7, 'ns', 'not a host'", "8, 'name', ''")
-
-
-@query("""select id, nullif(case kind when 'email' then lower(trim(v)) when 'phone' then regexp_replace(v, '[^0-9+]', '', 'g') when 'tracker' then upper(trim(v)) when 'ns' then case when contains(v, ' ') then null else rtrim(lower(v), '.') end else lower(trim(regexp_replace(v, ' +', ' ', 'g'))) end, '') as v from v_idents""", "idents")
-def identifier_forms(spark, sf_dir):
-    return read(spark, "idents").select("id", dom.normalized_identifier(F.col("kind"), F.col("v")).alias("v"))
-
-
-rows("found", "d", "'google.com'", "'www.google.com'", "'a.com'", "'index.html'", "'localhost'", "'sub.godaddy.com'", "'x.co.uk'", "'A.ORG.'")
-
-
-@query("select d, d in ('google.com', 'www.google.com', 'index.html', 'localhost', 'sub.godaddy.com') as noise from v_found", "found")
-def noise_domains(spark, sf_dir):
-    return read(spark, "found").select("d", dom.noise_domain(F.col("d")).alias("noise"))
-
-
-rows("mails", "kind, value, score", "'email', 'a@markmonitor.com', 0.5", "'email', 'a@x.markmonitor.com', 0.5", "'email', 'abuse@a.com', 0.5", "'email', 'ann@a.com', 0.5", "'ns', 'ns1.cloudflare.com', 0.5", "'ns', 'ns1.a.com', 0.5", "'org', ' ', 0.5", "'zip', 'a', 0.5", "'org', 'a', 1.5", "'org', 'a', 0.0")
-
-
-@query("select kind, value, kind = 'email' and regexp_matches(value, '@([a-z]+\\.)*markmonitor\\.com$') as registrar, value in ('ann@a.com', 'ns1.a.com') or (value = 'a' and kind = 'org' and score <= 1) as good from v_mails", "mails")
-def pivot_values(spark, sf_dir):
-    m = read(spark, "mails").withColumn("score", F.col("score").cast("double"))
-    own = F.coalesce((F.col("kind") == "email") & dom.registrar_mail(F.col("value")), F.lit(False))
-    return m.select("kind", "value", own.alias("registrar"), dom.valid_pivot(F.col("kind"), F.col("value"), F.col("score")).alias("good"))
-
-
-_TARGETS = {"a.com": True, "localhost": False, "x.internal": False, "METADATA.google.internal": False, "8.8.8.8": True, "10.1.2.3": False, "172.16.0.1": False, "172.32.0.1": True, "192.0.2.9": False, "224.0.0.1": False, "2a00:1450::1": True, "::1": False, "fe80::1": False, "fc00::2": False, "2001:db8::1": False, "printer.lan": False, "": False, "example.invalid": True}
-rows("targets", "h", *[f"'{h}'" for h in _TARGETS])
-
-
-@query("select h, h in (" + ", ".join(f"'{h}'" for h, ok in _TARGETS.items() if ok) + ") as allowed from v_targets", "targets")
-def scan_targets(spark, sf_dir):
-    return read(spark, "targets").select("h", dom.scan_target(F.col("h")).alias("allowed"))
-
-
-_URLS = {"https://a.com/x": None, "http://a.com:8080": None, "ftp://a.com": "scheme", "https:///x": "host", "https://u:p@a.com/": "credentials", "https://a.com:0/": "port", "https://a.com:99999/": "port", "https://a.com:x/": "port", "https://10.0.0.1/": "target", "https://[::1]/": "target", "HTTPS://A.com": None}
-rows("urls", "u", *[f"'{u}'" for u in _URLS], "concat('https://a.com/', repeat('x', 4096))")
-
-
-@query("select u, case " + " ".join(f"when u = '{u}' then '{w}'" for u, w in _URLS.items() if w) + " when len(u) > 4096 then 'length' end as refusal from v_urls", "urls")
-def url_refusals(spark, sf_dir):
-    return read(spark, "urls").select("u", sec.url_refusal(F.col("u")).alias("refusal"))
-
-
-rows("models", "m, id, cloud", "'', 'ollama/qwen2.5:7b-instruct', false", "'qwen3', 'ollama/qwen3', false", "'Ollama/x', 'Ollama/x', true", "'gpt-5-mini', 'gpt-5-mini', true", "'claude-x', 'anthropic/claude-x', true", "'openai/y', 'openai/y', true", "'own/z', 'ollama/own/z', false")
-
-
-@query("select m, id, cloud from v_models", "models")
-def model_names(spark, sf_dir):
-    return read(spark, "models").select("m", sec.model_id(F.col("m")).alias("id"), sec.is_cloud(F.col("m")).alias("cloud"))
-
-
 # --- listings and searches --------------------------------------------------------------------------
 
-rows("listings", "domain, payload", "'a.com', concat('*.a.com', chr(10), 'WWW.a.com,1.2.3.4', chr(10), 'mail.a.com', chr(10), 'x.b.com', chr(10), 'www.a.com', chr(10), 'a.a.com')", "'b.com', 'error: API limit reached'", "'c.com', 'error check your query'", "'d.com', ' '")
-
-
-@query("""select domain, host, row_number() over (partition by domain order by len(host), host) as place from (select distinct domain, lower(string_split(h, ',')[1]) as host from (select domain, unnest(string_split(payload, chr(10))) as h from v_listings where not starts_with(payload, 'error')))
-where ends_with(host, '.' || domain) and not contains(host, '*') qualify place <= 2""", "listings")
-def listed_hosts(spark, sf_dir):
-    return cap.listed_hosts(read(spark, "listings"), 2)
-
-
-@query("select domain, case when trim(payload) = '' then 'empty' when not starts_with(payload, 'error') then 'ok' when contains(lower(payload), 'limit') then 'rate_limited' else 'error' end as state from v_listings", "listings")
-def listing_states(spark, sf_dir):
-    return read(spark, "listings").select("domain", cap.listing_state(F.col("payload")).alias("state"))
-
-
-rows("findings", "domain, payload", """'a.com', concat('{"host": "x.a.com", "source": "s2"}', chr(10), '{"host": "X.a.com", "source": "s1"}', chr(10), '{"host": "a.com"}', chr(10), '{"host": "nota.com"}', chr(10), 'no json', chr(10), '{"host": "b.a.com"}', chr(10), '{"host": "c.a.com"}')""")
-
-
-@query("""select domain, host, list_sort(list(distinct source)) as sources from (select domain, lower(j->>'host') as host, coalesce(j->>'source', 'unknown') as source from (select domain, unnest(string_split(payload, chr(10))) as j from v_findings) where json_valid(j))
-where ends_with(host, '.' || domain) group by 1, 2 qualify row_number() over (partition by domain order by host) <= 2""", "findings")
-def found_hosts(spark, sf_dir):
-    return cap.found_hosts(read(spark, "findings"), 2)
-
-
-rows("results", "identifier, ord, text", "'i', 1, 'see www.google.com and b.org, c.net'", "'i', 0, 'a.net index.html B.org'", "'i', 2, 'www.d.com'", "'j', 0, 'reddit.com'", *[f"'k', {i}, 'k{i}.com'" for i in range(12)])
-
-
-@query("""with f as (select identifier, d, min(ord * 1000 + p) as m from (select identifier, ord, unnest(h) as d, generate_subscripts(h, 1) as p from (select identifier, ord, regexp_extract_all(lower(text), '([a-z0-9-]+\\.)+[a-z]{2,}') as h from v_results where ord < 10))
-where d not in ('www.google.com', 'reddit.com', 'index.html') group by 1, 2) select identifier, d as domain, row_number() over (partition by identifier order by m) as place from f qualify place <= 3""", "results")
-def search_hits(spark, sf_dir):
-    return cap.search_hits(read(spark, "results"), 3)
-
-
-rows("searches", "id_type, value", "'email', 'a@b.com'", "'org', ' Acme '", "'name', 'Ann'", "'ns', 'ns1'", "'phone', '+1'", "'tracker', 'UA-1'", "'other', 'x'", "'org', ' '")
-
-
-@query("""select id_type, value, case when trim(value) = '' then null when id_type = 'other' then value else '"' || trim(value) || '"' || case id_type when 'org' then ' domain' when 'name' then ' domain' when 'ns' then ' nameserver' when 'phone' then ' whois' else '' end end as q from v_searches""", "searches")
-def search_queries(spark, sf_dir):
-    return read(spark, "searches").select("id_type", "value", cap.search_query(F.col("id_type"), F.col("value")).alias("q"))
-
-
-_PAID = {
-    "ok": '{"status": 1, "api_query": "reverse_whois", "total_results": 4, "current_page": 1, "search_result": [{"domain_name": "B.com"}, {"domain_name": "a.com"}, {"domain_name": "b.com"}, {"domain_name": ""}]}',
-    "empty": '{"status": 0, "status_reason": "No Records found"}',
-    "auth_error": '{"status": 0, "status_reason": "Bad API key"}',
-    "rate_limited": '{"status": 0, "status_reason": "Too many requests"}',
-    "error": '{"status": 0}',
-}
-_BAD = ('{"status": "1", "search_result": []}', '{"status": 2}', '{"status": 1, "search_result": {}}', '{"status": 1, "search_result": [1]}', '{"status": 1, "total_results": 0, "search_result": [{"domain_name": "a.com"}]}', '{"status": 1, "current_page": 2, "search_result": []}', '{"status": 1, "api_query": "other", "search_result": []}', "broken")
-rows("paid", "identifier, payload", *[f"'{k}', '{v}'" for k, v in _PAID.items()], *[f"'malformed{i}', '{v}'" for i, v in enumerate(_BAD)])
-
-
-@query("select identifier, regexp_replace(identifier, '[0-9]', '', 'g') as state from v_paid", "paid")
-def paid_states(spark, sf_dir):
-    return cap.paid_lookups(read(spark, "paid"), 5)[0]
-
-
-@query("select identifier, lower(payload->'search_result'->0->>'domain_name') as domain, 1::int as place from v_paid where identifier = 'ok' union all select identifier, payload->'search_result'->1->>'domain_name', 2 from v_paid where identifier = 'ok'", "paid")
-def paid_domains(spark, sf_dir):
-    return cap.paid_lookups(read(spark, "paid"), 5)[1]
-
-
-rows("balances", "account, payload", """'ok', '{"status": 1, "reverse_whois_balance": 12}'""", """'malformed', '{"status": 1, "reverse_whois_balance": -1}'""", """'rate_limited', '{"status": 0, "status_reason": "out of credit"}'""")
-
-
-@query("select account, account as state, case when account = 'ok' then (payload->>'reverse_whois_balance')::bigint end as remaining from v_balances", "balances")
-def paid_balances(spark, sf_dir):
-    return cap.paid_balances(read(spark, "balances"))
-
-
-_HEAD = '["timestamp","original","mimetype","statuscode","digest"]'
-rows("archives", "domain, payload", f"""'a.com', '[{_HEAD},["20200101000000","https://www.a.com/","text/html","200","d1"],["20210101000000","http://a.com/","TEXT/HTML; x","200","d2"],["20210201000000","http://a.com/","text/html","404","d3"],["20210301000000","http://a.com/","image/png","200","d4"],["short"],["20220101000000","http://sub.a.com/","text/html","200","d5"]]'""", """'b.com', '[["timestamp","original"],["20200101000000","u"]]'""", "'c.com', '[]'", "'d.com', 'broken'")
-
-
-@query("""select domain, r->>0 as timestamp, r->>1 as original, r->>2 as mimetype, r->>3 as statuscode, r->>4 as digest, strptime(r->>0, '%Y%m%d%H%M%S') as captured_at from (select domain, unnest(json_extract(payload, '$[*]')[2:]) as r from v_archives where json_valid(payload) and contains(payload, 'digest'))
-where json_array_length(r) = 5 and (r->>3) = '200' and starts_with(lower(r->>2), 'text/html')""", "archives")
-def archive_rows(spark, sf_dir):
-    return cap.archive_rows(read(spark, "archives")).withColumn("captured_at", F.col("captured_at").cast("timestamp_ntz"))
-
-
-@query("""select 'a.com' as domain, strptime(t, '%Y%m%d%H%M%S') as captured_at, o as original_url, 'https://web.archive.org/web/' || t || 'id_/' || o as archive_url, d as digest, 'Old & new' as title, ['UA-12345-1'] as tracker_ids, '' as copyright_org
-from (values ('20200101000000', 'https://www.a.com/', 'd1'), ('20210101000000', 'http://a.com/', 'd2')) t(t, o, d)""")
-def snapshot_records(spark, sf_dir):
-    found = cap.archive_rows(read(spark, "archives")).withColumn("html", F.lit("<title>Old &amp; new</title> UA-12345-1"))
-    return cap.snapshot_records(found).withColumn("captured_at", F.col("captured_at").cast("timestamp_ntz"))
-
-
 # --- organizations ------------------------------------------------------------------------------------
 
-_N = 30
-_COLS = {"form": ["8-K" if i in (1, 4, 6, 27) else "8-K/A" if i == 2 else "10-K" for i in range(_N)], "items": ["2.01, 9.01" if i != 4 else "1.01" for i in range(_N)], "filingDate": [f"2020-01-{i + 1:02d}" for i in range(_N)], "accessionNumber": ["" if i == 6 else f"n{i}" for i in range(_N)], "primaryDocument": [f"d{i}.htm" for i in range(_N)]}
-rows("submissions", "cik, payload", "'7', '{\"filings\": {\"recent\": " + __import__("json").dumps(_COLS) + "}}'", "'8', '{}'")
-
-
-@query("""select cik, i - 1 as pos, x->'form'->>(i - 1)::int as form, x->'accessionNumber'->>(i - 1)::int as accession, row_number() over (partition by cik order by i) as place from (select cik, payload->'filings'->'recent' as x, unnest(range(1, 26)) as i from v_submissions where contains(payload, 'recent'))
-where (x->'form'->>(i - 1)::int) in ('8-K', '8-K/A') and contains((x->'items'->>(i - 1)::int), '2.01') and (x->'accessionNumber'->>(i - 1)::int) <> ''""", "submissions")
-def filings(spark, sf_dir):
-    f = cap.filings(read(spark, "submissions"))
-    return f.select("cik", F.col("pos").cast("long").alias("pos"), "form", F.col("accessionNumber").alias("accession"), "place")
-
-
-rows("reports", "cik, place, accession, html", """'7', 1, 'n1', '<p>On May 1 the Company completed the acquisition of Foo Bar, Inc. for cash. The Company has acquired Own Corp. for shares.</p>'""", "'7', 2, 'n2', 'We acquired FOO BAR, INC. in May.'", "'7', 3, 'n3', 'The company may acquire Baz LLC soon.'")
-rows("filers", "cik, title", "'7', 'Own Corp'")
-
-
-@query("select '7' as cik, 'Foo Bar, Inc' as org, 'n1' as source_record_id")
-def filed_purchases(spark, sf_dir):
-    r = read(spark, "reports").withColumnRenamed("accession", "accessionNumber")
-    return cap.purchases_in_filings(r, read(spark, "filers")).drop("supporting_text")
-
-
-_ENTITY = '{"id": "%s", "attributes": {"entity": {"legalName": {"name": "%s"}, "otherNames": [{"name": "%s"}], "transliteratedOtherNames": [], "status": "%s"}, "registration": {"status": "%s"}}}'
-rows("register", "payload", *["'" + _ENTITY % x + "'" for x in (("L1", "Acme, Inc.", "Acme Trading", "ACTIVE", "ISSUED"), ("L2", "Twin", "", "ACTIVE", "ISSUED"), ("L3", "TWIN", "x", "ACTIVE", "ISSUED"), ("L4", "Gone", "", "INACTIVE", "ISSUED"), ("L5", "Ｗｉｄｅ Ｃｏ", "", "ACTIVE", "ISSUED"))])
-rows("names", "name", "'acme inc'", "'ACME-TRADING'", "'twin'", "'gone'", "'wide co'", "'nobody'")
-
-
-@query("""with e as (select payload->>'id' as id, unnest([payload->'attributes'->'entity'->'legalName'->>'name', payload->'attributes'->'entity'->'otherNames'->0->>'name']) as n from v_register where (payload->'attributes'->'entity'->>'status') = 'ACTIVE'),
-k as (select distinct id, trim(regexp_replace(lower(translate(n, 'ＷｉｄｅＣｏ　', 'WideCo ')), '[^a-z0-9]+', ' ', 'g')) as key from e)
-select name, min(id) as id from v_names join k on key = trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) group by 1 having count(distinct id) = 1""", "register", "names")
-def exact_names(spark, sf_dir):
-    return cap.exact_names(read(spark, "names"), cap.register_entities(read(spark, "register")))
-
-
-_TO = lambda *xs: "[" + ", ".join('{"id": "%s", "attributes": {"entity": {"legalName": {"name": "%s"}}}}' % x for x in xs) + "]"  # noqa: E731, UP031
-rows("relations", "lei, relation, payload", f"""'L1', 'direct_accounting_child', '{{"data": {_TO(("C1", "One"), ("C2", "Two"), ("C1", "Again"), ("", "None"))}}}'""", f"""'L1', 'direct_accounting_parent', '{{"data": {_TO(("P1", "Top"))[1:-1]}}}'""", "'L2', 'direct_accounting_parent', '{}'")
-
-
-@query("""select * from (values ('L1', 'direct_accounting_parent', 'P1', 'Top'), ('L1', 'direct_accounting_child', 'C1', 'One')) t(lei, relation, target, org)""")
-def hierarchy(spark, sf_dir):
-    return cap.hierarchy(read(spark, "relations"), 2).drop("source_record_id")
-
-
-_CLAIM = lambda v: '{"mainsnak": {"datavalue": {"value": %s}}}' % v  # noqa: E731, UP031
-_ENT = lambda label, **c: '{"labels": {"en": {"value": "%s"}}, "claims": {%s}}' % (label, ", ".join(f'"{p}": [{", ".join(map(_CLAIM, vs))}]' for p, vs in c.items()))  # noqa: E731, UP031
-rows("wiki", "id, payload", "'Q1', '" + _ENT("Acme", P355=['{"id": "Q2"}', '{"id": "Q3"}', '{"id": "Q2"}'], P127=['{"id": "Q4"}', '{"id": "Q2"}']) + "'", "'Q2', '" + _ENT("Two", P856=['"not a url"', '"https://www.two.co.uk/x"']) + "'", "'Q3', '" + _ENT("Three") + "'")
-
-
-@query("select * from (values ('Acme', 'subsidiary', 'Two', 'two.co.uk'), ('Acme', 'subsidiary', 'Three', ''), ('Acme', 'owned_by', 'Q4', '')) t(org, relation, target, domain)")
-def related_entities(spark, sf_dir):
-    return cap.related(*cap.entities_of(read(spark, "wiki")))
-
-
 # --- ledger ---------------------------------------------------------------------------------------------
 
-rows("links", "claim_id, observation_id, polarity, weight, reason, created_at, seq", "1, 'o1', 'supports', 0.5, 'first', '2024-01-02', 1", "1, 'o1', 'supports', 0.9, 'again', '2024-01-01', 2", "1, 'o1', 'contradicts', 0.1, 'other', '2024-01-01', 3", "1, 'o2', 'supports', 0.2, 'more', '2024-01-01', 4", "2, 'o3', 'maybe', 0.5, 'x', '2024-01-01', 5", "2, 'o3', 'supports', 1.5, 'x', '2024-01-01', 6", "2, 'o3', 'supports', 0.5, ' ', '2024-01-01', 7", "3, 'o2', 'supports', 1.0, 'x', '2024-01-01', 8")
-rows("stored_links", "claim_id, observation_id, polarity", "3, 'o2', 'supports'")
-
-
-def _links(spark):
-    return read(spark, "links").withColumn("weight", F.col("weight").cast("double"))
-
-
-@query("""select claim_id, observation_id, polarity, arg_min(weight, seq)::double as weight, arg_min(reason, seq) as reason from v_links l where polarity in ('supports', 'contradicts') and weight between 0 and 1 and trim(reason) <> '' and claim_id <> 3 group by 1, 2, 3""", "links")
-def new_evidence_links(spark, sf_dir):
-    return le.evidence_links(_links(spark), read(spark, "stored_links"))[0].drop("created_at", "seq")
-
-
-@query("select seq, case when polarity not in ('supports', 'contradicts') then 'polarity' when weight > 1 then 'weight' when trim(reason) = '' then 'reason' end as problem from v_links where polarity = 'maybe' or weight > 1 or trim(reason) = ''", "links")
-def refused_evidence_links(spark, sf_dir):
-    return le.evidence_links(_links(spark))[1].select("seq", "problem")
-
-
 rows("facts", "run_id, observation_id, subject_type, subject_value_norm, predicate, object_type, object_value_norm, source, observed_at, confidence, capability, seq, dedup_key", "'r', 'o1', 'domain', 'a.com', 'resolves_to', 'ip', '1.2.3.4', 'stdlib', '2024-01-01', 0.8, 'dns', 1, 'k1'", "'r', 'o2', 'domain', 'a.com', 'has_mx', 'mx', 'mx.a.com', 'stdlib', '2024-01-01', 0.8, 'dns', 2, 'k2'", "'r', 'o3', 'domain', 'a.com', 'resolves_to', 'ip', '2a00::1', 'stdlib', '2024-01-02', 0.8, 'dns', 3, 'k3'", "'r', 'o4', 'domain', 'a.com', 'publishes_txt', 'text', 'v', 'stdlib', '2024-01-01', 0.8, 'dns', 4, 'k4'", "'r', 'o5', 'domain', 'a.com', 'redirects_to_domain', 'domain', 'www.b.co.uk', 'http-html', '2024-01-01', 0.9, 'page', 5, 'k5'", "'r', 'o6', 'domain', 'a.com', 'redirects_to_domain', 'domain', 'localhost', 'http-html', '2024-01-01', 0.9, 'page', 6, 'k6'", "'r', 'o7', 'domain', 'a.com', 'has_registrant_email', 'email', 'Ann@a.com', 'rdap-iana', '2024-01-02', 0.7, 'whois', 7, 'k7'", "'r', 'o8', 'domain', 'a.com', 'has_registrant_email', 'email', 'ann@a.com', 'python-whois', '2024-01-01', 0.7, 'whois', 8, 'k8'", "'r', 'o9', 'domain', 'a.com', 'has_subdomain', 'domain', 'x.a.com', 'crtsh', '2024-01-01', 0.9, 'subdomains', 9, 'k9'", "'r', 'p1', 'domain', 'a.com', 'has_subdomain', 'domain', 'x.a.com', 'subfinder:y', '2024-01-01', 0.9, 'subdomains', 10, 'k10'", "'r', 'p2', 'domain', 'a.com', 'has_nameserver', 'nameserver', 'ns.a.com', 'rdap-iana', '2024-01-01', 0.7, 'whois', 11, 'k11'")
 
 
@@ -400,24 +71,6 @@ def _facts(spark):
     return read(spark, "facts").withColumn("confidence", F.col("confidence").cast("double"))
 
 
-rows("claim_rows", "claim_id", "1", "3")
-
-
-@query("""select claim_id, observation_id, polarity, source, case source when 'stdlib' then 'authoritative-dns' end as source_family, row_number() over (partition by claim_id order by polarity, created_at, observation_id, seq)::int as place
-from (select l.*, source from v_links l join v_facts using (observation_id) where claim_id in (1, 3) and l.seq <> 2)""", "links", "facts")
-def evidence_of_claims(spark, sf_dir):
-    links = _links(spark).where("seq <> 2")
-    return le.evidence_of_claims(read(spark, "claim_rows"), links, _facts(spark)).select("claim_id", "observation_id", "polarity", "source", "source_family", "place")
-
-
-rows("wanted", "run_id, subject_value_norm, object_value_norm", "'r', 'a.com', 'ANN@A.com'", "'r', 'a.com', '1.2.3.4'", "'r', 'b.com', '1.2.3.4'")
-
-
-@query("""select w.object_value_norm as asked, observation_id, row_number() over (partition by w.object_value_norm order by confidence desc, observed_at) as place from v_wanted w join v_facts f on f.run_id = w.run_id and f.subject_value_norm = w.subject_value_norm and lower(f.object_value_norm) = lower(w.object_value_norm)""", "wanted", "facts")
-def observations_of_objects(spark, sf_dir):
-    return le.observations_for(read(spark, "wanted"), _facts(spark)).select("asked", "observation_id", "place")
-
-
 rows("creations", "run_id, node_type, value_norm, seq, k, v", "'r', 'domain', 'a.com', 1, 'by', 'root'", "'r', 'domain', 'a.com', 5, 'by', 'cache'", "'r', 'ip', '1.2.3.4', 2, 'ip_version', 'v4'", "'s', 'domain', 'a.com', 3, 'by', 'link'")
 rows("updates", "value_norm, seq, k, v", "'a.com', 1, 'by', 'late'", "'a.com', 2, 'x', 'old'", "'a.com', 3, 'x', 'new'", "'zz', 4, 'x', 'y'")
 
@@ -426,11 +79,6 @@ def _nodes(spark):
     return le.nodes(read(spark, "creations").withColumn("metadata", F.create_map("k", "v")).drop("k", "v"))
 
 
-@query("select run_id, node_type, value_norm, sha256(concat_ws(chr(31), run_id, node_type, value_norm)) as node_id, sha256(value_norm) as value_hash, arg_min('{\"' || k || '\":\"' || v || '\"}', seq) as metadata from v_creations group by 1, 2, 3", "creations")
-def created_nodes(spark, sf_dir):
-    return _nodes(spark).withColumn("metadata", F.to_json("metadata"))
-
-
 @query("""select run_id, value_norm, case when run_id = 'r' and value_norm = 'a.com' then '{"by":"late","x":"new"}' else '{"' || k || '":"' || v || '"}' end as metadata from v_creations where seq < 5""", "creations")
 def merged_metadata(spark, sf_dir):
     n = _nodes(spark)
@@ -439,15 +87,6 @@ def merged_metadata(spark, sf_dir):
     return le.with_metadata(n, u.select("node_id", "seq", "metadata")).select("run_id", "value_norm", F.to_json("metadata").alias("metadata"))
 
 
-rows("cache", "domain, children, stamp", "'a', 'x', '2024-01-01'", "'b', 'y', '2024-01-05'", "'c', 'z', '2024-01-01'")
-rows("refreshed", "domain, children, stamp", "'a', 'x2', '2024-01-02'", "'a', 'x3', '2024-01-03'", "'b', 'old', '2024-01-01'", "'d', 'new', '2024-01-01'")
-
-
-@query("select domain, arg_max(children, stamp) as children, max(stamp) as stamp from (select * from v_cache union all select * from v_refreshed) group by 1", "cache", "refreshed")
-def refreshed_cache(spark, sf_dir):
-    return le.upserted(read(spark, "cache"), read(spark, "refreshed"), ["domain"], "stamp")
-
-
 @query("select event_id as id, event_type from events where event_id % 5 <> 0")
 def appended_calls(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("id"), "event_type")
@@ -457,10 +96,9 @@ def appended_calls(spark, sf_dir):
 @query("select c_custkey as id, (c_custkey % 3)::int as wave from customer where c_custkey % 3 < 2")
 def committed_waves(spark, sf_dir):
     """Two waves, the second written twice."""
-    import uuid
+    from .streams import place
 
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    path = f"{place or 'file:///tmp/siftgraph'}/waves-{uuid.uuid4().hex}"
+    path = place(spark, "waves")
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"))
     le.commit_wave(c.where("id % 3 = 0"), path, 0)
     le.commit_wave(c.where("id % 3 = 2"), path, 1)
@@ -491,61 +129,6 @@ def upgraded_calls(spark, sf_dir):
 # --- discovery --------------------------------------------------------------------------------------------
 
 
-@query("""select subject_value_norm as domain, case predicate when 'resolves_to' then 'ip' when 'has_mx' then 'mx' else 'domain' end as node_type, case when predicate = 'redirects_to_domain' then 'b.co.uk' else object_value_norm end as value,
-case predicate when 'resolves_to' then 'domain_has_ip' when 'has_mx' then 'domain_has_mx' else 'domain_redirects_to' end as relation_type, source, confidence::double as confidence, case when predicate = 'resolves_to' then case when contains(object_value_norm, ':') then 'v6' else 'v4' end end as ip_version
-from v_facts where observation_id in ('o1', 'o2', 'o3', 'o5')""", "facts")
-def infrastructure(spark, sf_dir):
-    return di.infrastructure(_facts(spark))
-
-
-rows("chosen", "domain, id_type, value, score, depth", "'a.com', 'email', 'ann@a.com', 0.8, 0", "'a.com', 'org', 'acme', 0.7, 0", "'a.com', 'tracker', 'UA-12345-1', 0.9, 0", "'b.com', 'phone', '+1', 0.6, 1", "'b.com', 'org', 'acme', 0.75, 1", "'c.com', 'name', 'ann', 0.6, 0")
-
-
-def _chosen(spark):
-    return read(spark, "chosen").withColumn("score", F.col("score").cast("double"))
-
-
-@query("""select c.domain, id_type, value, observation_id, coalesce(source, 'relationship_engine') as source, coalesce(confidence, score)::double as weight, row_number() over (partition by c.domain, id_type, value order by confidence desc, observed_at) = 1 as "primary"
-from v_chosen c left join v_facts f on f.subject_value_norm = c.domain and lower(f.object_value_norm) = lower(c.value)""", "chosen", "facts")
-def pivot_evidence(spark, sf_dir):
-    return di.pivot_evidence(_chosen(spark), _facts(spark))
-
-
-rows("candidates", "id_type, value, ord, candidate", "'email', 'ann@a.com', 1, 'www.b.com'", "'email', 'ann@a.com', 2, 'b.com'", "'email', 'ann@a.com', 3, 'a.com'", "'email', 'ann@a.com', 4, 'google.com'", "'email', 'ann@a.com', 5, 'printer.lan'", "'tracker', 'UA-12345-1', 1, 'my-shop.com'", "'tracker', 'UA-12345-1', 2, 'b2b.org'", "'org', 'acme', 1, 'acme.com'", "'phone', '+1', 1, 'd.com'")
-
-
-@query("""select * from (values ('a.com', 'b.com', 'related_domain_via_identifier', 0.8::double, 1, 'email', false), ('a.com', 'my-shop.com', 'related_domain_via_identifier', 0.9, 1, 'tracker', true)) t(domain, child, relation_type, confidence, depth, id_type, verified)""")
-def reverse_expansion(spark, sf_dir):
-    """Phone pivots lie at the depth cap, organizations aren't searched, one tracker candidate isn't verified."""
-    found = di.reverse_links(_chosen(spark), read(spark, "candidates"), read(spark, "pages"), depth_cap=1, per_identifier=5)
-    return found.drop("source", "enqueue", "value")
-
-
-rows("owners", "source, name, relation, org, domain, record", "'wikidata', 'acme', 'subsidiary', 'Two', 'www.two.co.uk', 'q2'", "'wikidata', 'acme', 'owned_by', 'Top', '', 'q3'", "'gleif', 'acme', 'direct_accounting_child', 'One', '', 'l1'", "'wikidata', 'acme', 'owns', 'Self', 'a.com', 'q4'", "'wikidata', 'other', 'owns', 'X', 'xylem.com', 'q5'", "'sec-edgar', 'acme', 'acquired', 'Foo', 'foo.com', 'n1'")
-rows("followed", "source, name", "'sec-edgar', 'acme'")
-
-
-@query("select 'a.com' as domain, 'two.co.uk' as child, 'acquisition_subsidiary' as relation_type, source, 0.9::double as confidence, 1 as depth, false as enqueue from v_owners where record = 'q2'", "owners")
-def corporate_expansion(spark, sf_dir):
-    return di.corporate_links(_chosen(spark), read(spark, "owners"), read(spark, "followed"), depth_cap=0)[0]
-
-
-@query("""select 'organization' as subject_type, name as subject_value_norm, relation as predicate, case when domain = '' then 'organization' else 'domain' end as object_type, case domain when '' then org when 'www.two.co.uk' then 'two.co.uk' else domain end as object_value_norm, source, record as source_record_id,
-case when domain <> '' then 0.9 when source = 'gleif' then 0.95 else 0.8 end::double as confidence from v_owners""", "owners")
-def corporate_facts(spark, sf_dir):
-    return di.corporate_facts(read(spark, "owners"))
-
-
-rows("cached", "domain, child, confidence, id_type, id_value, source, relation_type", "'a.com', 'b.com', 0.8, 'email', 'ann@a.com', 'whoxy', ''", "'a.com', 'c.com', 0.5, '', '', '', ''", "'a.com', 'd.com', 0.9, 'org', 'acme', 'gleif', 'acquisition_owns'", "'a.com', 'localhost', 0.9, '', '', '', ''", "'a.com', ' ', 0.9, '', '', '', ''", "'z.com', 'y.com', 0.9, '', '', '', ''")
-
-
-@query("""select domain, child, case when relation_type <> '' then relation_type when id_value <> '' then 'related_domain_via_identifier' else 'related_domain' end as relation_type, case source when '' then 'legacy_cache' else source end as source, confidence::double as confidence, 3 as depth, false as enqueue,
-case when relation_type = '' and id_value <> '' then id_value end as via, case when relation_type = '' and id_value <> '' then id_type end as id_type from v_cached where child in ('b.com', 'c.com', 'd.com')""", "cached")
-def cache_replay(spark, sf_dir):
-    front = spark.createDataFrame([("a.com", 2)], "domain string, depth int")
-    return di.replayed(front, read(spark, "cached").withColumn("confidence", F.col("confidence").cast("double")), depth_cap=2)
-
-
 rows("in_use", "name, active, cache_allowed", "'a', true, true", "'b', true, false", "'c', false, false")
 
 
@@ -554,94 +137,11 @@ def cache_eligibility(spark, sf_dir):
     return di.cache_allowed(read(spark, "in_use"))
 
 
-rows("subs", "domain, host", "'a.com', 'X.a.com.'", "'a.com', 'a.com'", "'a.com', 'nowhere.a.com'", "'a.com', 'not a host'")
-
-
-@query("""select 'a.com' as domain, object_value_norm as host, observation_id, source, seq = 9 as "primary" from v_facts where predicate = 'has_subdomain'""", "facts")
-def subdomain_evidence(spark, sf_dir):
-    return di.subdomain_evidence(read(spark, "subs"), _facts(spark))
-
-
-rows("web", "domain, child, enqueue", "'a', 'b', true", "'a', 'c', true", "'a', 'x', false", "'b', 'a', true", "'b', 'd', true", "'c', 'd', true", "'d', 'e', true", "'x', 'y', true")
-
-
-def _explored(spark):
-    web = read(spark, "web")
-
-    def step(front):
-        return web.join(front, "domain").select("domain", "child", F.lit("links").alias("relation_type"), F.lit("s").alias("source"), F.lit(1.0).alias("confidence"), (F.col("depth") + 1).alias("depth"), "enqueue")
-
-    return di.explore(spark.createDataFrame([("a",)], "domain string"), step, 2)
-
-
-_WAVES = """w1 as (select distinct child as domain from v_web where domain = 'a' and enqueue), w2 as (select distinct child as domain from v_web where domain in (select domain from w1) and enqueue and child <> 'a' and child not in (select domain from w1))"""
-
-
-@query(f"with {_WAVES} select 'a' as domain, 0 as depth union all select domain, 1 from w1 union all select domain, 2 from w2", "web")
-def explored_domains(spark, sf_dir):
-    return _explored(spark)[0]
-
-
-@query(f"with {_WAVES} select domain, child, depth from (select domain, child, 1 as depth from v_web where domain = 'a' union all select domain, child, 2 from v_web where domain in (select domain from w1) union all select domain, child, 3 from v_web where domain in (select domain from w2))", "web")
-def explored_links(spark, sf_dir):
-    return _explored(spark)[1].select("domain", "child", "depth")
-
-
 # --- candidates and model outputs -----------------------------------------------------------------------------
 
 rows("whois", "domain, raw, registrant_name, registrant_org, registrant_email, registrant_phone, ns", """'acme.com', '{"a": "Registrant Organization: Acme  Inc", "b": ["mail a@acme.com", "abuse@acme.com", 7], "c": "Name Server: ns1.acme.com"}', '', '', 'Boss@acme.com', '+1.2025550100', 'ns9.acme.com'""", "'b.com', 'Tech Contact: Ann', '', '', '', '', ''")
 
 
-@query("""select * from (values ('acme.com', 'email', 'boss@acme.com', 0.8::double), ('acme.com', 'email', 'a@acme.com', 0.8), ('acme.com', 'phone', '+12025550100', 0.6), ('acme.com', 'ns', 'ns1.acme.com', 0.65), ('acme.com', 'org', 'acme inc', 0.75), ('acme.com', 'name', 'ns1.acme.com', 0.65), ('b.com', 'name', 'ann', 0.65)) t(domain, id_type, value, score)""")
-def registration_pivots(spark, sf_dir):
-    w = read(spark, "whois").withColumn("nameservers", texts("ns"))
-    return ex.registration_pivots(w).select("domain", "id_type", "value", "score")
-
-
-@query("""select * from (values ('my-shop.com', 'org', 'My Shop', 0.45::double), ('my-shop.com', 'org', 'acme widgets', 0.7), ('my-shop.com', 'org', 'acme & sons ltd', 0.85), ('my-shop.com', 'tracker', 'CA-PUB-1234567890123', 0.95), ('my-shop.com', 'tracker', 'UA-12345-1', 0.92), ('my-shop.com', 'tracker', 'GTM-ABCD12', 0.9),
-('b2b.org', 'org', 'B2B', 0.45), ('c.net', 'org', 'C', 0.45)) t(domain, id_type, value, score)""")
-def page_pivots(spark, sf_dir):
-    return ex.page_pivots(pg.page_records(read(spark, "pages"))).select("domain", "id_type", "value", "score")
-
-
-_PIVOT = '{"id_type": "org", "value": "x", "score": %s, "reason": "r"}'
-_OUT = '{"abstain": %s, "abstention_reason": %s, "pivots": [%s]}'
-_OUTPUTS = {
-    "fast": ("accepted", _OUT % ("false", "null", _PIVOT % 0.8)), "weak": ("accepted", _OUT % ("false", "null", _PIVOT % 0.5)), "abstain": ("abstained", _OUT % ("true", '"nothing"', "")), "both": ("invalid", _OUT % ("true", '"x"', _PIVOT % 0.5)),
-    "none": ("invalid", _OUT % ("false", "null", "")), "range": ("invalid", _OUT % ("false", "null", _PIVOT % 2)), "extra": ("invalid", '{"abstain": false, "abstention_reason": null, "pivots": [], "z": 1}'), "text": ("invalid", "no json"), "typed": ("invalid", _OUT % ('"false"', "null", _PIVOT % 0.5)),
-}
-rows("outputs", "domain, disposition, content", *[f"'{k}', '{d}', '{c}'" for k, (d, c) in _OUTPUTS.items()])
-
-
-@query("select domain, disposition from v_outputs", "outputs")
-def model_outputs(spark, sf_dir):
-    return mo.validated(read(spark, "outputs").drop("disposition")).select("domain", "disposition")
-
-
-@query("select domain, case when domain = 'fast' then 'fast' else 'primary' end as route from v_outputs where disposition = 'accepted'", "outputs")
-def routed_outputs(spark, sf_dir):
-    o = mo.validated(read(spark, "outputs").drop("disposition"))
-    return mo.routed(o, o).select("domain", "route")
-
-
-rows("priced", "model, tokens_in, tokens_out, reviewed", "'gpt-5-mini', 3, 1, '2026-07-01'", "'gpt-5-mini', 3, 1, '2026-01-01'", "'nobody', 1, 1, '2026-07-01'", "'gpt-5.6-luna', 0, 1, '2026-07-01'")
-
-
-@query("""select model, tokens_in, case when reviewed < '2026-04-03' then 'stale prices' when model = 'nobody' then 'unknown model' end as refusal, case when reviewed < '2026-04-03' or model = 'nobody' then null else ceil(case model when 'gpt-5-mini' then tokens_in * 0.25 + tokens_out * 2 else tokens_in * 0.2 + tokens_out * 1.2 end) end::bigint as cost from v_priced""", "priced")
-def priced_calls(spark, sf_dir):
-    p = mo.priced(read(spark, "priced"), F.col("reviewed").cast("date"), F.lit("2026-07-02").cast("date"))
-    return p.select("model", "tokens_in", "refusal", "cost")
-
-
-@query("select c_custkey as id, 60::bigint as kept, 40::bigint as cut from customer where c_custkey <= 5")
-def trimmed_contexts(spark, sf_dir):
-    import json
-
-    text = json.dumps({"domain": "a", "subdomains": [f"h{i:02d}.example.com" for i in range(100)]})
-    t = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey <= 5").select(F.col("c_custkey").alias("id"), mo.trimmed(F.lit(text), 1300).alias("t"))
-    return t.select("id", F.size(F.from_json(F.get_json_object("t", "$.subdomains"), "array<string>")).cast("long").alias("kept"), F.get_json_object("t", "$.subdomains_truncated").cast("long").alias("cut"))
-
-
 @query("select count(*) as calls, sum(value)::double as units, 0::bigint as missing from events")
 def budget_use(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("value").alias("units"), F.lit(None).cast("long").alias("missing"))
@@ -779,29 +279,12 @@ def model_case_problems(spark, sf_dir):
     return va.model_case_problems(_model_cases(spark))
 
 
-rows("policies", "name, tier, declared, raw_retention, normalized_retention, cross_run_cache, export_scope, version", "'fine', 'free', false, 'hash_only', 'project', true, 'normalized', 'v1'", "'raw retention', 'free', true, 'all', 'project', true, 'normalized', 'v1'", "'normalized retention', 'free', true, 'none', 'ever', false, 'normalized', 'v1'", "'export scope', 'free', true, 'none', 'run', false, 'all', 'v1'", "'version', 'free', true, 'none', 'run', false, 'none', ' '", "'caching needs project retention', 'paid', true, 'none', 'run', true, 'none', 'v1'", "'paid source without a policy', 'paid', false, 'none', 'run', false, 'none', 'v1'")
-
-
-@query("select name as key, name as problem from v_policies where name <> 'fine'", "policies")
-def policy_problems(spark, sf_dir):
-    return va.policy_problems(read(spark, "policies"))
-
-
 @query("""select event_id as key, problem from (select event_id, unnest([case when value < 0 or value > 1 then 'units outside 0 to 1' end, case when event_type not in ('view', 'click') then 'kind is unknown' end]) as problem from events) where problem is not null""")
 def value_problems(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("value").alias("units"), F.col("event_type").alias("kind"))
     return va.value_problems(e, "event_id", ("units",), ("kind",), {"kind": ("view", "click")})
 
 
-rows("graph_runs", "run_id, root_domain", "'r', 'www.a.com'", "'s', 'b.co.uk'")
-rows("graph_nodes", "run_id, node_type, value_norm", "'r', 'domain', 'x.a.com'", "'r', 'domain', 'x.c.com'", "'r', 'domain', 'c.com'", "'r', 'domain', 'bad host'", "'r', 'ip', 'd.com'", "'s', 'domain', 'www.d.co.uk'", "'s', 'domain', 'b.co.uk'")
-
-
-@query("select 'r' as run_id, 'c.com' as domain union all select 's', 'd.co.uk'")
-def predicted_domains(spark, sf_dir):
-    return qu.predicted_domains(read(spark, "graph_runs"), read(spark, "graph_nodes"))
-
-
 @query("select user_id % 5 as case_id, count(*) as calls, sum(event_id % 5)::bigint as upstream_requests, sum(event_id % 3)::bigint as latency_ms, 0::double as units from events group by 1")
 def usage_totals(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -893,37 +376,10 @@ def requeued_tasks(spark, sf_dir):
     return us.requeued(t).select("id", "status", "last_error")
 
 
-rows("errors", "id, kind, http_status, attempt", "1, 'security', cast(null as int), 1", "2, 'auth', null, 1", "3, 'input', null, 1", "4, 'malformed', null, 2", "5, 'capacity', null, 1", "6, 'rate_limit', null, 3", "7, 'timeout', null, 4", "8, 'other', 403, 1", "9, 'other', 429, 5", "10, 'other', 500, 9", "11, cast(null as string), null, 1")
-
-
-@query("""select id, case when kind in ('auth') or http_status in (401, 403) then 'auth_error' when kind in ('capacity', 'rate_limit') or http_status = 429 then 'rate_limited' when kind in ('malformed', 'timeout') then kind else 'error' end as status,
-coalesce(kind not in ('security', 'auth', 'input', 'malformed', 'capacity') and coalesce(http_status, 0) not in (401, 403), true) as retryable, least(1.0, 0.1 * power(2, attempt - 1))::double as wait from v_errors""", "errors")
-def classified_errors(spark, sf_dir):
-    return us.classified(read(spark, "errors")).select("id", "status", "retryable", us.backoff_s(F.col("attempt")).alias("wait"))
-
-
-rows("answers_in", "id, payload, max_bytes, max_items", """1, '[1,2,3]', 100, 3""", """2, '{"a": [1,2,3,4]}', 100, 3""", """3, '{"a": {"b": 1, "c": 2, "d": 3, "e": 4}}', 10, 3""", """4, '"é"', 3, 0""", "5, 'text', 9, 0")
-
-
-@query("select * from (values (2, 'items'), (3, 'items'), (3, 'bytes'), (4, 'bytes')) t(id, problem)")
-def result_limits(spark, sf_dir):
-    return us.over_result_limits(read(spark, "answers_in"))
-
-
-rows("stamps", "id, at_", "1, '2024-01-01T00:00:00'", "2, '2024-01-01T05:00:00+05:00'", "3, '2024-01-01T00:00:00Z'", "4, 'yesterday'", "5, '2023-12-31T23:59:59Z'", "6, cast(null as string)")
-
-
-@query("select id, coalesce(id in (1, 2, 3), false) as fresh, false as never from v_stamps", "stamps")
-def cache_freshness(spark, sf_dir):
-    now = F.lit("2024-01-02T00:00:00Z").cast("timestamp")
-    return read(spark, "stamps").select("id", us.fresh(F.col("at_"), now, 24).alias("fresh"), us.fresh(F.col("at_"), now, 0).alias("never"))
-
-
 @query("select * from (values ('subdomains', 'subfinder', 1), ('subdomains', 'hackertarget', 2), ('reverse_whois', 'whoxy', 1), ('reverse_whois', 'duckduckgo', 2), ('dns', 'stdlib', 1)) t(capability, name, place)")
 def source_choice(spark, sf_dir):
-    t = reg.sources(spark, ("crtsh",))
-    picks = [(c, [r.name for r in reg.usable(t, c, pin).collect()]) for c, pin in (("subdomains", None), ("reverse_whois", None), ("dns", "stdlib"))]  # a registry of 13
-    return spark.createDataFrame([(c, n, i + 1) for c, names in picks for i, n in enumerate(names)], "capability string, name string, place int")
+    picks = reg.choices(reg.sources(spark, ("crtsh",)), {"dns": "stdlib"})
+    return picks.where(F.col("capability").isin("subdomains", "reverse_whois", "dns")).select("capability", "name", "place")
 
 
 @query("select c_custkey as id, case when c_custkey % 2 = 0 then 'whoxy' else 'crtsh' end as source, c_custkey % 2 = 1 as cache_allowed, case when c_custkey % 2 = 0 then 'none' else 'normalized' end as export_scope, case when c_custkey % 2 = 0 then 'none' else 'hash_only' end as raw_retention from customer")
@@ -939,15 +395,6 @@ def calls_over_limits(spark, sf_dir):
     return reg.over_limits(e, reg.sources(spark)).select("id")
 
 
-rows("config", "name, missing_e, invalid_e, missing_x", "'a', '', '', ''", "'b', 'KEY', '', ''", "'c', 'KEY', 'RATE', ''", "'d', 'KEY', 'RATE', 'tool'", "'off', '', '', 'tool'")
-
-
-@query("select 'dns' as capability, name, 'free' as tier, case name when 'a' then 'ready' when 'b' then 'configuration_missing' when 'c' then 'configuration_invalid' when 'd' then 'dependency_missing' else 'disabled' end as state from v_config", "config")
-def source_diagnostics(spark, sf_dir):
-    c = read(spark, "config").select("name", F.lit("dns").alias("capability"), F.lit("free").alias("tier"), texts("missing_e").alias("missing_environment"), texts("invalid_e").alias("invalid_environment"), texts("missing_x").alias("missing_executables"))
-    return reg.diagnostics(c, ("off",))
-
-
 rows("plan_sources", "name, capability, tier, billable, available, request_limit, ord", "'w1', 'whois', 'free', false, true, 3, 0", "'w2', 'whois', 'free', false, true, 2, 1", "'b', 'basic_info', 'free', false, true, 2, 2", "'r', 'reverse_whois', 'free', false, true, 1, 3", "'x', 'reverse_whois', 'paid', true, true, 1, 4", "'d', 'dns', 'free', false, false, 1, 5")
 
 
@@ -987,26 +434,6 @@ def flat_strings(spark, sf_dir):
     return read(spark, "texts_").select("id", ex.flat_strings(F.col("payload")).alias("t"))
 
 
-@query("select user_id as run_id, '{' || '\"run_id\":' || user_id || '}' as json from events group by 1")
-def graph_documents(spark, sf_dir):
-    """Each run's export has its nodes and edges; here only its key is compared."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    n = e.select(F.col("user_id").alias("run_id"), F.lit("domain").alias("node_type"), F.col("event_type").alias("value_norm"), F.col("event_id").alias("node_id"))
-    d = e.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("from_node_id"), F.lit("r").alias("relation_type"), F.col("event_id").alias("to_node_id"))
-    key = F.concat(F.lit('{"run_id":'), F.get_json_object("json", "$.run_id"), F.lit("}"))
-    return out.graph_json(n, d).select("run_id", key.alias("json"))
-
-
-rows("made_edges", "run_id, from_node_id, to_node_id, relation_type, depth, source, confidence, seq", "'r', 'a', 'b', 'links', 1, 's', 0.5, 2", "'r', 'a', 'b', 'links', 1, 's', 0.9, 1", "'r', 'a', 'b', 'links', 2, 's', 0.7, 3", "'r', 'a', 'b', 'links', 1, 't', 0.8, 4", "'r', 'b', 'a', 'links', 1, 's', 0.1, 5")
-rows("stored_edges", "run_id, from_node_id, to_node_id, relation_type, depth, source", "'r', 'b', 'a', 'links', 1, 's'")
-
-
-@query("select from_node_id, to_node_id, depth, source, arg_min(confidence, seq)::double as confidence from v_made_edges where seq < 5 group by 1, 2, 3, 4", "made_edges")
-def first_edges(spark, sf_dir):
-    e = read(spark, "made_edges").withColumn("confidence", F.col("confidence").cast("double"))
-    return ev.append(e, le.EDGE_KEY, read(spark, "stored_edges")).select("from_node_id", "to_node_id", "depth", "source", "confidence")
-
-
 @query("select c_nationkey as run_id, c_mktsegment as child_node_id, min(c_custkey) as depth from customer group by 1, 2")
 def first_lineage(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
@@ -1014,17 +441,6 @@ def first_lineage(spark, sf_dir):
     return ev.append(rows_, le.LINEAGE_KEY).select("run_id", "child_node_id", "depth")
 
 
-@query("""select sha256(concat_ws(chr(31), source, '', subject_type, subject_value_norm, predicate, object_type, object_value_norm, '{}', observed_at)) as dedup_key, observation_id from v_facts where observation_id <> 'o2' and observation_id <> 'o4'""", "facts")
-def first_observations(spark, sf_dir):
-    """Each fact comes twice, one breaks a rule, one is stored already."""
-    f = _facts(spark).withColumn("source_record_id", F.lit(None).cast("string")).withColumn("raw_hash", F.lit(None).cast("string")).drop("dedup_key")
-    again = f.withColumn("seq", F.col("seq") + 100).withColumn("observation_id", F.lit("late"))
-    bad = F.when(F.col("observation_id") == "o2", 1.5).otherwise(F.col("confidence"))
-    good, _ = ev.observations(f.withColumn("confidence", bad).unionByName(again.where("predicate <> 'has_mx'")))
-    stored = good.where("observation_id = 'o4'").select("dedup_key")
-    return ev.append(good, ["dedup_key"], stored).select("dedup_key", "observation_id")
-
-
 _OLD = "select o_orderkey from orders where o_orderdate < timestamp '1996-01-01' and o_orderstatus <> 'P'"
 
 

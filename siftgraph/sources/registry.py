@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Capability, name, lineage family, tier, calls at once, calls a minute, requests an attempt, items a result.
@@ -37,6 +37,15 @@ def usable(table: DataFrame, capability: str, pinned: str | None = None) -> Data
     return own.where(F.col("name") == pinned) if pinned else own.orderBy(F.when(F.col("tier") == "paid", 0).otherwise(1), "ord")
 
 
+def choices(table: DataFrame, pinned: dict[str, str] | None = None) -> DataFrame:
+    """``usable`` for every capability at once, with the ``place`` of each source; of a pinned capability its source alone."""
+    ok = F.col("available")
+    for capability, name in (pinned or {}).items():
+        ok = ok & ((F.col("capability") != capability) | (F.col("name") == name))
+    place = F.row_number().over(Window.partitionBy("capability").orderBy(F.when(F.col("tier") == "paid", 0).otherwise(1), "ord"))
+    return table.where(ok).withColumn("place", place)
+
+
 def with_policy(observations: DataFrame, policies: DataFrame) -> DataFrame:
     """Observations with the data policy of their source (``source, cache_allowed, export_scope, raw_retention``), a table as small as the registry; others keep the default."""
     p = F.broadcast(policies)

@@ -1,4 +1,4 @@
-"""Every query over records against its SQL, on the smallest tables; and budgets, circuits and expansion in detail."""
+"""Every query over records, payloads, hashes and stored folders against its SQL, on the smallest tables; and budgets, circuits and expansion in detail."""
 
 import math
 import os
@@ -7,10 +7,11 @@ import pytest
 
 from siftgraph.operators import discovery as di
 from siftgraph.operators import usage as us
-from siftgraph.plans import records
+from siftgraph.plans import hashes, network, payloads, records, stored
 
 DATA = "/root/testdata/sf0.001"
-TABLES = ("customer", "nation", "supplier", "orders", "lineitem", "events", "documents")
+TABLES = ("region", "customer", "nation", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")
+QUERIES = {name: (module, f) for module in (records, payloads, hashes, network, stored) for name, f in module.QUERIES.items()}
 
 
 def plain(v):
@@ -24,15 +25,16 @@ def plain(v):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="the tables aren't here")
-@pytest.mark.parametrize("name", sorted(records.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
-    got = records.QUERIES[name](spark, DATA)
+    module, query = QUERIES[name]
+    got = query(spark, DATA)
     cols = sorted(got.columns)
-    rel = con.execute(records.ORACLE_SQL[name])
+    rel = con.execute(module.ORACLE_SQL[name])
     names = [d[0] for d in rel.description]
     assert sorted(names) == cols
     want = sorted(repr(tuple(plain(r[names.index(c)]) for c in cols)) for r in rel.fetchall())
