@@ -28,6 +28,25 @@ def clusters_of(pairs: DataFrame, min_domains: int = 2) -> DataFrame:
     return found.where(F.size("domains") >= min_domains)
 
 
+def cluster_sizes(pairs: DataFrame, min_domains: int = 2, preview: int = 10) -> DataFrame:
+    """(identifier, id_type, n_domains, preview) of clusters from (identifier, id_type, domain) rows: how many domains share an identifier, and the first few by name.
+
+    An identifier that a third of all domains share costs a row for each task in counting, and ``preview`` rows for
+    each task in the preview (the limit is applied before the shuffle); its domains never meet in one row.
+    """
+    key = ["identifier", "id_type"]
+    once = pairs.select(*key, "domain").distinct()
+    sizes = once.groupBy(*key).agg(F.count("*").alias("n_domains")).where(F.col("n_domains") >= min_domains)
+    first = once.withColumn("__r", F.row_number().over(Window.partitionBy(*key).orderBy("domain"))).where(F.col("__r") <= preview)
+    shown = first.groupBy(*key).agg(F.array_sort(F.collect_list("domain")).alias("preview"))
+    return sizes.join(shown, key)
+
+
+def cluster_members(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The (identifier, id_type, domain) rows of the clusters in ``sizes``, each once: what a list in one row would hold."""
+    return pairs.select("identifier", "id_type", "domain").distinct().join(sizes.select("identifier", "id_type"), ["identifier", "id_type"], "left_semi")
+
+
 def expand(links: DataFrame, roots: DataFrame, max_depth: int, node_cap: int | None = None) -> DataFrame:
     """(domain, depth) reached from the roots over (from_domain, to_domain) links, breadth first.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from decimal import Decimal
 
 import pandas as pd
@@ -93,3 +94,36 @@ def usage(calls: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
 
 def budget_use(reservations: DataFrame, sums: list[str]) -> DataFrame:
     return reservations.agg(F.count("*").alias("calls"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums])
+
+
+#: What a request is refused by, in the order of the tests; the last two hold for models that run elsewhere.
+CEILINGS = ("calls", "input_tokens", "output_tokens", "cloud_tokens", "cloud_cost")
+
+
+def reserved(requests: DataFrame, key: str, order: list[str], ceilings: dict[str, int]) -> DataFrame:
+    """``requests`` (key, order, input_tokens, output_tokens, cloud, cost) in order, each with ``refusal``: the first ceiling that it would exceed, null where it is reserved. A refused one uses nothing.
+
+    All ceilings hold at once, so what is reserved depends on all before it: a key's rows stream through one task,
+    of which five sums are held.
+    """
+    from .usage import in_order
+
+    most = [ceilings[c] for c in CEILINGS]
+    columns = [key, *order, "input_tokens", "output_tokens", "cloud", "cost"]
+    rows = requests.select(*columns)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, used = None, [0] * len(most)
+        for p in frames:
+            refusals = []
+            for k, given, made, cloud, cost in zip(*[p[c].tolist() for c in (key, "input_tokens", "output_tokens", "cloud", "cost")]):
+                if k != now:
+                    now, used = k, [0] * len(most)
+                asks = [1, given, made, *((given + made, cost) if cloud else (0, 0))]
+                over = next((c for c, u, a, m in zip(CEILINGS, used, asks, most) if u + a > m and (cloud or not c.startswith("cloud"))), None)
+                if over is None:
+                    used = [u + a for u, a in zip(used, asks)]
+                refusals.append(over)
+            yield p.assign(refusal=pd.Series(refusals, index=p.index, dtype=object))
+
+    return in_order(rows, key, order).mapInPandas(run, rows.schema.simpleString().removeprefix("struct<").removesuffix(">") + ",refusal:string")

@@ -161,6 +161,33 @@ def budget_admission(spark, sf_dir):
     return us.admitted(view(spark, sf_dir, "calls"), "provider", "units", ["started_at", "id"], 500.0)
 
 
+@query("""select * from (with recursive r as (select o_custkey as run, o_orderdate as at_, o_orderkey as id, o_orderkey % 700 as i, o_orderkey % 300 as o, o_orderkey % 2 = 0 as cloud, o_orderkey % 90 as cost, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as n from orders),
+s as (select run, 0::bigint as n, 0::bigint as id, null::varchar as refusal, 0::bigint as c, 0::bigint as ti, 0::bigint as tk, 0::bigint as tc, 0::bigint as tm from (select distinct run from r)
+union all select run, n, id, refusal, case when refusal is null then c + 1 else c end, case when refusal is null then ti + i else ti end, case when refusal is null then tk + o else tk end, case when refusal is null and cloud then tc + i + o else tc end, case when refusal is null and cloud then tm + cost else tm end from
+(select r.run, r.n, r.id, i, o, cloud, cost, c, ti, tk, tc, tm, case when c + 1 > 8 then 'calls' when ti + i > 2000 then 'input_tokens' when tk + o > 900 then 'output_tokens' when cloud and tc + i + o > 1500 then 'cloud_tokens' when cloud and tm + cost > 150 then 'cloud_cost' end as refusal from s join r on r.run = s.run and r.n = s.n + 1))
+select run, id, refusal from s where n > 0)""")
+def model_reservations(spark, sf_dir):
+    """Each customer's orders as requests to models, some of which run elsewhere, under five ceilings at once."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    r = o.select(F.col("o_custkey").alias("run"), F.col("o_orderdate").alias("at"), k.alias("id"), (k % 700).alias("input_tokens"), (k % 300).alias("output_tokens"), (k % 2 == 0).alias("cloud"), (k % 90).alias("cost"))
+    return mo.reserved(r, "run", ["at", "id"], {"calls": 8, "input_tokens": 2000, "output_tokens": 900, "cloud_tokens": 1500, "cloud_cost": 150}).select("run", "id", "refusal")
+
+
+@query("""select * from (with p as (select distinct object_value_norm as identifier, object_type as id_type, subject_value_norm as domain from v_relations) select identifier, id_type, count(*) as n_domains, list_sort(list(domain))[:5] as preview from p group by 1, 2 having count(*) >= 3)""", "relations")
+def cluster_previews(spark, sf_dir):
+    """Objects that at least three subjects share: how many, and the first five."""
+    pairs = view(spark, sf_dir, "relations").select(F.col("object_value_norm").alias("identifier"), F.col("object_type").alias("id_type"), F.col("subject_value_norm").alias("domain"))
+    return gr.cluster_sizes(pairs, 3, 5)
+
+
+@query("""select * from (with p as (select distinct object_value_norm as identifier, object_type as id_type, subject_value_norm as domain from v_relations), c as (select identifier, id_type from p group by 1, 2 having count(*) >= 80) select identifier, id_type, domain from p join c using (identifier, id_type))""", "relations")
+def cluster_members(spark, sf_dir):
+    """The members of the large clusters, as rows."""
+    pairs = view(spark, sf_dir, "relations").select(F.col("object_value_norm").alias("identifier"), F.col("object_type").alias("id_type"), F.col("subject_value_norm").alias("domain"))
+    return gr.cluster_members(pairs, gr.cluster_sizes(pairs, 80, 1))
+
+
 @query(f"""select * from (with recursive {_IN_ORDER}, s as (select provider, 0::bigint as n, 0 as streak, timestamp '1900-01-01' as until, false as opened, 0 as failures from (select distinct provider from r)
 union all select provider, n, case when opened then 0 else t end, case when opened then started_at + interval 60 seconds else until end, opened, t from
 (select *, not skip and t > 0 and (t >= 3 or status = 'auth') as opened from (select *, case when skip then streak when status in ('success', 'empty') then 0 else streak + 1 end as t from
