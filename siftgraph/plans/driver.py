@@ -339,6 +339,15 @@ def learning_gates(spark, sf_dir):
     return qu.gate_reasons(comparison(spark, sf_dir), missing).select("case_id", F.array_join("reasons", "; ").alias("reasons"))
 
 
+@query(f"""select * from (with {_COMPARED}, u as (select case_id, sum(case when candidate then calls else -calls end)::bigint as calls_delta, sum(case when candidate then units else -units end)::bigint as units_delta from v_usage group by 1)
+select case_id, new_tp, calls_delta, units_delta, case when new_tp > 0 and calls_delta >= 0 then calls_delta / new_tp end as calls_per_new_tp, case when new_tp > 0 and units_delta >= 0 then units_delta / new_tp end as units_per_new_tp from z left join u using (case_id))""", "predicted_a", "predicted_b", "labelled", "usage")
+def gain_costs(spark, sf_dir):
+    """What each new true positive of a case cost."""
+    usage = view(spark, sf_dir, "usage")
+    costs = qu.costs(comparison(spark, sf_dir), usage.where("not candidate"), usage.where("candidate"), ["case_id"])
+    return costs.select("case_id", "new_tp", *[F.col(c).cast("long").alias(c) for c in ("calls_delta", "units_delta")], "calls_per_new_tp", "units_per_new_tp")
+
+
 @query(f"""select * from (with {_COMPARED}, u as (select case_id, sum(case when candidate then calls else -calls end) as calls_delta, sum(case when candidate then upstream_requests else -upstream_requests end) as upstream_requests_delta, sum(case when candidate then latency_ms else -latency_ms end) as latency_ms_delta,
 sum(case when candidate then units else -units end) as units_delta from v_usage group by 1), p as (select count(*) as cases, (sum(new_tp) - sum(lost_tp))::bigint as net_new_tp, sum(coalesce(calls_delta, 0))::bigint as calls_delta, sum(coalesce(upstream_requests_delta, 0))::bigint as upstream_requests_delta,
 sum(coalesce(latency_ms_delta, 0))::bigint as latency_ms_delta, sum(coalesce(units_delta, 0))::bigint as units_delta from z left join u using (case_id)) select *, case when net_new_tp > 0 then calls_delta / net_new_tp end as calls_per_net_new_tp, case when net_new_tp > 0 then units_delta / net_new_tp end as units_per_net_new_tp from p)""", "predicted_a", "predicted_b", "labelled", "usage")

@@ -760,3 +760,159 @@ def graph_documents(spark, sf_dir):
     at = lambda c, i: F.element_at(c, i).cast("long")
     back = out.graph_json(n, d).select(g.alias("g"))
     return back.select("g.run_id", F.size("g.nodes").cast("long").alias("nodes"), at(F.col("g.nodes.node_id"), 1).alias("first_node"), F.size("g.edges").cast("long").alias("edges"), at(F.col("g.edges.from_node_id"), -1).alias("last_edge"))
+
+
+# --- cases and benchmarks ---------------------------------------------------------------------------
+
+_LABEL = lambda domain, kind="'positive'", relationship="'owner'", ref="'r'": _object(("domain", _text(domain)), ("classification", _text(kind)), ("relationship", _text(relationship)), ("source_refs", _list(_text(ref))))
+_ROOT, _OTHER = _key("root", "c_custkey", ".com"), _key("a", "c_custkey", ".org")
+_GOOD = _LABEL(_OTHER)
+#: The labels of a case that breaks one rule, or none.
+_LABELS = {
+    "fine": _list(_GOOD, _LABEL(_key("www.b", "c_custkey", ".co.uk"), "'Negative'")), "version": _list(_GOOD), "root": _list(_GOOD), "no labels": "'[]'", "label domain": _list(_LABEL("''")), "classification": _list(_LABEL(_OTHER, "'maybe'")),
+    "relationship": _list(_LABEL(_OTHER, relationship="' '")), "label references": _list(_LABEL(_OTHER, ref="' '")), "root is labelled": _list(_LABEL(_key("www.root", "c_custkey", ".com"))), "conflicting labels": _list(_GOOD, _LABEL(_key("x.a", "c_custkey", ".org"), "'negative'")), "repeated label": _list(_GOOD, _GOOD),
+}
+_RULE = "case k % 11 " + " ".join(f"when {i} then '{name}'" for i, name in enumerate(_LABELS)) + " end"
+given("cases", f"select c_custkey as k, {_key('case', 'c_custkey')} as case_id, " + _object(("schema_version", "case when c_custkey % 11 = 1 then '2' else '1' end"), ("case_id", _text(_key("case", "c_custkey"))), ("root_domain", _text(f"case when c_custkey % 11 = 2 then 'not a host' else {_ROOT} end")), ("labels", "case c_custkey % 11 " + " ".join(f"when {i} then {x}" for i, x in enumerate(_LABELS.values())) + " end")) + " as payload from customer")
+
+
+def _cases(spark, sf_dir: str) -> DataFrame:
+    from ..operators import validation as va
+
+    return read(spark, sf_dir, "cases").select(F.from_json("payload", va.CASE).alias("c")).select("c.*")
+
+
+@query(f"select case_id as key, {_RULE} as problem from v_cases where k % 11 <> 0", "cases")
+def case_problems(spark, sf_dir):
+    """Each customer as an evaluation case that keeps the rules or breaks one of ten."""
+    from ..operators import validation as va
+
+    return va.case_problems(_cases(spark, sf_dir))
+
+
+@query("select case_id, 2::bigint as labels from v_cases where k % 11 = 0", "cases")
+def valid_cases(spark, sf_dir):
+    from ..operators import validation as va
+
+    c = _cases(spark, sf_dir)
+    return va.valid(c, va.case_problems(c), "case_id").select("case_id", F.size("labels").cast("long").alias("labels"))
+
+
+given("graph_roots", f"select c_custkey as k, case c_custkey % 3 when 2 then {_key('unknown', 'c_custkey')} else {_key('case', 'c_custkey')} end as case_id, case c_custkey % 3 when 0 then {_key('www.root', 'c_custkey', '.com')} else {_key('else', 'c_custkey', '.com')} end as root_domain from customer where c_custkey % 11 <> 2")
+
+
+@query("select case_id as key, 'another root' as problem from v_graph_roots where k % 3 = 1", "graph_roots")
+def root_problems(spark, sf_dir):
+    """Graphs of the cases, a third of which have another root."""
+    from ..operators import validation as va
+
+    return va.root_problems(read(spark, sf_dir, "graph_roots").drop("k"), _cases(spark, sf_dir))
+
+
+given("manifests", f"""select s_suppkey as k, {_key('b', 's_suppkey')} as benchmark_id, {_object(("schema_version", "case when s_suppkey % 4 = 1 then '3' else '1' end"), ("benchmark_id", _text(_key('b', 's_suppkey'))), ("comparisons", "case s_suppkey % 4 when 2 then '[]' when 3 then " + _list(_object(("case", "'\"c\"'"), ("baseline", "'\" \"'"))) + " else " + _list(_object(("case", "'\"c\"'"), ("baseline", "'\"b\"'"), ("candidate", _text("s_name")))) + " end"))} as payload from supplier""")
+
+
+@query("select benchmark_id as key, case k % 4 when 1 then 'version' when 2 then 'no comparisons' else 'paths' end as problem from v_manifests where k % 4 <> 0", "manifests")
+def manifest_problems(spark, sf_dir):
+    from ..operators import validation as va
+
+    kind = "struct<schema_version:int,benchmark_id:string,comparisons:array<struct<case:string,baseline:string,candidate:string>>>"
+    return va.manifest_problems(read(spark, sf_dir, "manifests").select(F.from_json("payload", kind).alias("m")).select("m.*"))
+
+
+given("entries", f"select {_key('b', 'o_orderkey % 40')} as benchmark_id, o_orderkey as ord, {_key('c', 'o_custkey')} as case_id, concat(case when o_orderkey % 2 = 0 then 'www.' else '' end, {_key('r', 'o_custkey % 700')}, '.com') as root_domain from orders")
+given("settings", f"select {_key('b', 'o_orderkey % 40')} as benchmark_id, o_orderkey as ord, side, case o_orderkey % 3 when 0 then 'max_depth' when 1 then 'cache_mode' else 'run_mode' end as field, case when side = 'candidate' and o_orderkey % 7 = 3 then null when side = 'candidate' and o_orderkey % 11 = 5 then 'other' when o_orderkey % 5 = 0 then o_orderstatus else 'same' end as value from orders, (values ('baseline'), ('candidate')) t(side)")
+
+
+@query("""select benchmark_id as key, 'duplicate case_id: ' || case_id as problem from v_entries group by benchmark_id, case_id having count(*) > 1 union all select benchmark_id, 'duplicate root_domain: ' || regexp_replace(root_domain, '^www\\.', '') from v_entries group by benchmark_id, regexp_replace(root_domain, '^www\\.', '') having count(*) > 1
+union all select benchmark_id, 'inconsistent policy: ' || field from (select a.benchmark_id, a.field, a.value from v_settings a join v_settings b using (benchmark_id, ord, field) where a.side = 'baseline' and b.side = 'candidate' and a.value is not null and b.value is not null) group by benchmark_id, field having count(distinct value) > 1""", "entries", "settings")
+def benchmark_problems(spark, sf_dir):
+    """Orders as entries of forty benchmarks."""
+    from ..operators import validation as va
+
+    return va.benchmark_problems(read(spark, sf_dir, "entries"), read(spark, sf_dir, "settings"))
+
+
+@query("""select benchmark_id, ord, field, case when count(distinct side) filter (value is not null) < 2 then 'unverified' when count(distinct value) = 1 then 'matched' else 'mismatch' end as state from v_settings group by 1, 2, 3""", "settings")
+def policy_match(spark, sf_dir):
+    from ..operators import validation as va
+
+    return va.policy_match(read(spark, sf_dir, "settings"), ["benchmark_id", "ord"])
+
+
+given("in_use", "select s_suppkey % 2 = 0 as active, s_suppkey % 7 <> 1 as cache_allowed from supplier")
+
+
+@query("select bool_and(cache_allowed) as allowed from v_in_use where active", "in_use")
+def cache_eligibility(spark, sf_dir):
+    return di.cache_allowed(read(spark, sf_dir, "in_use"))
+
+
+given("nested", f"""select p_partkey as k, p_name as name, p_brand as brand, case when p_partkey % 3 = 2 then p_name else {_object(("b", _text("concat(' ', p_name, ' ')")), ("a", _list("cast(p_size as string)", "'null'", _object(("c", _text("p_brand"))))))} end as payload from part""")
+
+
+@query("select k, case when k % 3 = 2 then name else name || chr(10) || p_size || chr(10) || brand end as t from v_nested join part on p_partkey = k", "nested")
+def flat_strings(spark, sf_dir):
+    from ..operators import extract as ex
+
+    return read(spark, sf_dir, "nested").select("k", ex.flat_strings(F.col("payload")).alias("t"))
+
+
+# --- metadata and serialized rows -------------------------------------------------------------------
+
+given("made", "select concat('r', cast(n_regionkey as string)) as run_id, 'domain' as node_type, concat('v', cast(n_nationkey as string)) as value_norm, n_nationkey as seq, 'by' as k, n_name as v from nation")
+given("updates", "select concat('v', cast(c_nationkey as string)) as value_norm, c_custkey as seq, case c_custkey % 3 when 0 then 'by' when 1 then 'x' else 'y' end as k, concat(c_mktsegment, cast(c_custkey as string)) as v from customer where c_nationkey % 4 <> 0 union all select 'nowhere', s_suppkey, 'x', s_name from supplier")
+
+
+@query("""with l as (select value_norm, k, arg_max(v, seq) as v from v_updates group by 1, 2), m as (select run_id, m.value_norm, coalesce(b.v, m.v) as b, x.v as x, y.v as y from v_made m left join l b on b.value_norm = m.value_norm and b.k = 'by' left join l x on x.value_norm = m.value_norm and x.k = 'x' left join l y on y.value_norm = m.value_norm and y.k = 'y')
+select run_id, value_norm, b as "by", x, y from m""", "made", "updates")
+def merged_metadata(spark, sf_dir):
+    """Nations as nodes whose metadata their customers update, the last value of a key standing; some updates name no node."""
+    n = le.nodes(read(spark, sf_dir, "made").withColumn("metadata", F.create_map("k", "v")).drop("k", "v"))
+    u = read(spark, sf_dir, "updates").join(n.select("value_norm", "node_id"), "value_norm", "left")
+    u = u.withColumn("node_id", F.coalesce("node_id", F.lit("none"))).withColumn("metadata", F.create_map("k", "v"))
+    out = le.with_metadata(n, u.select("node_id", "seq", "metadata"))
+    return out.select("run_id", "value_norm", *[F.try_element_at("metadata", F.lit(k)).alias(k) for k in ("by", "x", "y")])
+
+
+@query("select observation_id, object_value_norm, 'normalized' as export_scope, true as cache_allowed, confidence from v_facts", "facts")
+def serialized_observations(spark, sf_dir):
+    """Orders as observations, written as JSON and read back."""
+    f = _facts(spark, sf_dir).withColumn("source_record_id", F.col("observation_id")).withColumn("dedup_key", F.col("observation_id"))
+    good, _ = le.from_json(f.select(le.to_json(f).alias("json")))
+    return good.select(F.col("source_record_id").alias("observation_id"), "object_value_norm", "export_scope", "cache_allowed", "confidence")
+
+
+# --- plans ------------------------------------------------------------------------------------------
+
+_CAPABILITIES = ("whois", "basic_info", "reverse_whois", "dns", "subdomains", "historical_web", "acquisitions")
+given("plan_sources", f"select {_key('p', 's_suppkey')} as name, case s_suppkey % 7 " + " ".join(f"when {i} then '{c}'" for i, c in enumerate(_CAPABILITIES)) + " end as capability, case when s_suppkey % 5 = 0 then 'paid' else 'free' end as tier, s_suppkey % 5 = 0 as billable, s_suppkey % 11 <> 3 as available, cast(s_suppkey % 4 + 1 as int) as request_limit, cast(s_suppkey as int) as ord from supplier")
+_STEPS = """u as (select * from v_plan_sources where available), a as (select capability, list(name order by billable desc, ord) as names, list(request_limit order by billable desc, ord) as limits, bool_or(billable) as billable, arg_min(billable, (not billable, ord)) as first_billable, count(*) as n from u group by 1),
+r(capability, step, every, per) as (values ('whois', 'whois', true, 1), ('basic_info', 'basic_info', false, 1), ('dns', 'dns', false, 1), ('subdomains', 'subdomains', true, 1), ('reverse_whois', 'reverse_whois', false, 5), ('acquisitions', 'acquisitions', true, 5), ('basic_info', 'tracker_verification', false, 50)),
+p as (select step, case when every then names else names[:1] end as sources, case when every then n * per else per end::bigint as calls, case when every then list_max(limits) else limits[1] end::bigint as requests_per_call, case when every then billable else first_billable end as billable
+from r join a using (capability) where step <> 'tracker_verification' or exists (select 1 from a where capability = 'reverse_whois'))"""
+
+
+def _plan(spark, sf_dir: str):
+    from . import preflight
+
+    return preflight, read(spark, sf_dir, "plan_sources"), preflight.Settings(profile="byok", paid_approved=True)
+
+
+@query("select name, case when not available then 'unavailable' when billable then 'policy_excluded' else 'selected' end as state from v_plan_sources", "plan_sources")
+def plan_states(spark, sf_dir):
+    """The suppliers as a registry of sources, under a profile that pays for none."""
+    preflight, sources, _ = _plan(spark, sf_dir)
+    return preflight.status(sources, preflight.Settings()).select("name", "state")
+
+
+@query(f"with {_STEPS} select * from p", "plan_sources")
+def plan_steps(spark, sf_dir):
+    preflight, sources, s = _plan(spark, sf_dir)
+    return preflight.steps(sources, s)
+
+
+@query(f"with {_STEPS} select (sum(calls) * 500)::bigint as calls, (sum(calls * requests_per_call) * 500)::bigint as requests, (coalesce(sum(calls * 3) filter (billable), 0) * 500)::double as units, sum(calls) * 500 > 500 as calls_exceed, coalesce(sum(calls * 3) filter (billable), 0) * 500 > 0 as units_exceed from p", "plan_sources")
+def plan_totals(spark, sf_dir):
+    preflight, sources, s = _plan(spark, sf_dir)
+    return preflight.totals(preflight.steps(sources, s), s)

@@ -8,9 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import discovery as di
 from ..operators import evidence as ev
-from ..operators import extract as ex
 from ..operators import ledger as le
 from ..operators import models as mo
 from ..operators import quality as qu
@@ -18,7 +16,7 @@ from ..operators import usage as us
 from ..operators import validation as va
 from ..sources import exports as out
 from ..sources import registry as reg
-from . import preflight, schemas
+from . import schemas
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -46,46 +44,8 @@ def query(sql: str, *names: str):
     return keep
 
 
-# --- registration ---------------------------------------------------------------------------------
-
-rows("hosts", "domain", "'x.co.uk'", "'a.b.uk'", "'n.com'", "'none.zz'")
-rows("dns", "domain, rtype, value", "'a.com', 'A', '1.2.3.4'", "'a.com', 'A', '1.2.3.4'", "'a.com', 'MX', '10 MX.a.com.'", "'a.com', 'TXT', 'V=Spf1 .'", "'a.com', 'NS', 'ns.A.com. '", "'b.com', 'AAAA', '2A00::1'", "'b.com', 'CNAME', 'C.b.com.'")
-
-
-# --- pages ------------------------------------------------------------------------------------------
-
-_HTML = """'<title>A &amp;  B &lt;shop&gt;</title><meta name="description" content="All &quot;here&quot;"> UA-12345-1 ua GTM-ABCD12 ca-pub-1234567890123 UA-00000-1 G-XXXXX123 &copy; 2019-2021 Acme Widgets, All Rights Reserved'"""
-rows("pages", "domain, html, final_url, legal_html", f"""'my-shop.com', {_HTML}, 'https://www.other.co.uk/x', '<p>This website is operated by Acme &amp; Sons Ltd. Legal name: ACME &AMP; SONS LTD, or</p>'""".replace("&AMP;", "&amp;"), "'b2b.org', '<TITLE lang=x>T</TITLE>', 'http://b2b.org/', null", "'c.net', cast(null as string), '', null")
-
-
-# --- listings and searches --------------------------------------------------------------------------
-
-# --- organizations ------------------------------------------------------------------------------------
-
 # --- ledger ---------------------------------------------------------------------------------------------
 
-rows("facts", "run_id, observation_id, subject_type, subject_value_norm, predicate, object_type, object_value_norm, source, observed_at, confidence, capability, seq, dedup_key", "'r', 'o1', 'domain', 'a.com', 'resolves_to', 'ip', '1.2.3.4', 'stdlib', '2024-01-01', 0.8, 'dns', 1, 'k1'", "'r', 'o2', 'domain', 'a.com', 'has_mx', 'mx', 'mx.a.com', 'stdlib', '2024-01-01', 0.8, 'dns', 2, 'k2'", "'r', 'o3', 'domain', 'a.com', 'resolves_to', 'ip', '2a00::1', 'stdlib', '2024-01-02', 0.8, 'dns', 3, 'k3'", "'r', 'o4', 'domain', 'a.com', 'publishes_txt', 'text', 'v', 'stdlib', '2024-01-01', 0.8, 'dns', 4, 'k4'", "'r', 'o5', 'domain', 'a.com', 'redirects_to_domain', 'domain', 'www.b.co.uk', 'http-html', '2024-01-01', 0.9, 'page', 5, 'k5'", "'r', 'o6', 'domain', 'a.com', 'redirects_to_domain', 'domain', 'localhost', 'http-html', '2024-01-01', 0.9, 'page', 6, 'k6'", "'r', 'o7', 'domain', 'a.com', 'has_registrant_email', 'email', 'Ann@a.com', 'rdap-iana', '2024-01-02', 0.7, 'whois', 7, 'k7'", "'r', 'o8', 'domain', 'a.com', 'has_registrant_email', 'email', 'ann@a.com', 'python-whois', '2024-01-01', 0.7, 'whois', 8, 'k8'", "'r', 'o9', 'domain', 'a.com', 'has_subdomain', 'domain', 'x.a.com', 'crtsh', '2024-01-01', 0.9, 'subdomains', 9, 'k9'", "'r', 'p1', 'domain', 'a.com', 'has_subdomain', 'domain', 'x.a.com', 'subfinder:y', '2024-01-01', 0.9, 'subdomains', 10, 'k10'", "'r', 'p2', 'domain', 'a.com', 'has_nameserver', 'nameserver', 'ns.a.com', 'rdap-iana', '2024-01-01', 0.7, 'whois', 11, 'k11'")
-
-
-def _facts(spark):
-    return read(spark, "facts").withColumn("confidence", F.col("confidence").cast("double"))
-
-
-rows("creations", "run_id, node_type, value_norm, seq, k, v", "'r', 'domain', 'a.com', 1, 'by', 'root'", "'r', 'domain', 'a.com', 5, 'by', 'cache'", "'r', 'ip', '1.2.3.4', 2, 'ip_version', 'v4'", "'s', 'domain', 'a.com', 3, 'by', 'link'")
-rows("updates", "value_norm, seq, k, v", "'a.com', 1, 'by', 'late'", "'a.com', 2, 'x', 'old'", "'a.com', 3, 'x', 'new'", "'zz', 4, 'x', 'y'")
-
-
-def _nodes(spark):
-    return le.nodes(read(spark, "creations").withColumn("metadata", F.create_map("k", "v")).drop("k", "v"))
-
-
-@query("""select run_id, value_norm, case when run_id = 'r' and value_norm = 'a.com' then '{"by":"late","x":"new"}' else '{"' || k || '":"' || v || '"}' end as metadata from v_creations where seq < 5""", "creations")
-def merged_metadata(spark, sf_dir):
-    n = _nodes(spark)
-    own = n.where("run_id = 'r'").select("value_norm", "node_id")
-    u = read(spark, "updates").join(own, "value_norm", "left").withColumn("node_id", F.coalesce("node_id", F.lit("none"))).withColumn("metadata", F.create_map("k", "v"))
-    return le.with_metadata(n, u.select("node_id", "seq", "metadata")).select("run_id", "value_norm", F.to_json("metadata").alias("metadata"))
-
 
 @query("select event_id as id, event_type from events where event_id % 5 <> 0")
 def appended_calls(spark, sf_dir):
@@ -105,13 +65,6 @@ def committed_waves(spark, sf_dir):
     return le.commit_wave(c.where("id % 3 = 1"), path, 1)
 
 
-@query("select observation_id, object_value_norm, 'normalized' as export_scope, true as cache_allowed from v_facts", "facts")
-def serialized_observations(spark, sf_dir):
-    f = _facts(spark).withColumnRenamed("observation_id", "source_record_id")
-    good, _ = le.from_json(f.select(le.to_json(f).alias("json")))
-    return good.select(F.col("source_record_id").alias("observation_id"), "object_value_norm", "export_scope", "cache_allowed")
-
-
 rows("versions", "version, checksum", *[f"{v}, '{schemas.checksum(v) if v == 1 else 'x'}'" for v in (1, 2, 9)])
 
 
@@ -126,21 +79,8 @@ def upgraded_calls(spark, sf_dir):
     return schemas.upgraded(e, "calls").select("id", "run_id", "pages")
 
 
-# --- discovery --------------------------------------------------------------------------------------------
-
-
-rows("in_use", "name, active, cache_allowed", "'a', true, true", "'b', true, false", "'c', false, false")
-
-
-@query("select bool_and(cache_allowed) as allowed from v_in_use where active", "in_use")
-def cache_eligibility(spark, sf_dir):
-    return di.cache_allowed(read(spark, "in_use"))
-
-
 # --- candidates and model outputs -----------------------------------------------------------------------------
 
-rows("whois", "domain, raw, registrant_name, registrant_org, registrant_email, registrant_phone, ns", """'acme.com', '{"a": "Registrant Organization: Acme  Inc", "b": ["mail a@acme.com", "abuse@acme.com", 7], "c": "Name Server: ns1.acme.com"}', '', '', 'Boss@acme.com', '+1.2025550100', 'ns9.acme.com'""", "'b.com', 'Tech Contact: Ann', '', '', '', '', ''")
-
 
 @query("select count(*) as calls, sum(value)::double as units, 0::bigint as missing from events")
 def budget_use(spark, sf_dir):
@@ -160,28 +100,6 @@ def model_evidence(spark, sf_dir):
 
 # --- cases and benchmarks ----------------------------------------------------------------------------------------
 
-_LABEL = '{"domain": "%s", "classification": "%s", "relationship": "%s", "source_refs": [%s]}'
-_CASE = '{"schema_version": %s, "case_id": "%s", "root_domain": "%s", "labels": [%s]}'
-_GOOD = _LABEL % ("a.org", "positive", "owner", '"r"')
-_CASES = {
-    "fine": _CASE % (1, "fine", "a.com", ", ".join((_GOOD, _LABEL % ("www.b.co.uk", "Negative", "other", '"r"')))),
-    "version": _CASE % (2, "version", "a.com", _GOOD),
-    "root": _CASE % (1, "root", "not a host", _GOOD),
-    "no labels": _CASE % (1, "no labels", "a.com", ""),
-    "label domain": _CASE % (1, "label domain", "a.com", _LABEL % ("", "positive", "x", '"r"')),
-    "classification": _CASE % (1, "classification", "a.com", _LABEL % ("a.org", "maybe", "x", '"r"')),
-    "relationship": _CASE % (1, "relationship", "a.com", _LABEL % ("a.org", "positive", " ", '"r"')),
-    "label references": _CASE % (1, "label references", "a.com", _LABEL % ("a.org", "positive", "x", '" "')),
-    "root is labelled": _CASE % (1, "root is labelled", "a.com", _LABEL % ("www.a.com", "positive", "x", '"r"')),
-    "conflicting labels": _CASE % (1, "conflicting labels", "a.com", ", ".join((_GOOD, _LABEL % ("x.a.org", "negative", "x", '"r"')))),
-    "repeated label": _CASE % (1, "repeated label", "a.com", ", ".join((_GOOD, _GOOD))),
-}
-rows("cases", "case_id, payload", *[f"'{k}', '{v}'" for k, v in _CASES.items()])
-
-
-def _cases(spark):
-    return read(spark, "cases").select(F.from_json("payload", f"struct<{','.join(c.strip().replace(' ', ':', 1) for c in _columns(va.CASE))}>").alias("c")).select("c.*")
-
 
 def _columns(ddl: str) -> list[str]:
     """The columns of a schema text, cut at commas outside brackets."""
@@ -195,60 +113,6 @@ def _columns(ddl: str) -> list[str]:
     return parts
 
 
-_APEX = "case when len(string_split(h, '.')) <= 2 then h when regexp_matches(h, '\\.co\\.uk$') then regexp_extract(h, '[^.]+\\.co\\.uk$') else regexp_extract(h, '[^.]+\\.[^.]+$') end"
-
-
-@query(f"""with c as (select case_id, payload::json as j from v_cases), r as (select case_id, j, h as root_h, {_APEX} as root from (select case_id, j, j->>'root_domain' as h from c)),
-l as (select case_id, root, h, {_APEX} as d, lower(trim(x->>'classification')) as kind, x from (select case_id, root, x, x->>'domain' as h from (select case_id, root, unnest(json_extract(j, '$.labels[*]')) as x from r))),
-t as (select case_id, d, count(*) as n, count(distinct kind) as k from l where h <> '' group by 1, 2 having count(*) > 1)
-select case_id as key, 'version' as problem from r where (j->>'schema_version') <> '1' union select case_id, 'root' from r where contains(root_h, ' ') union select case_id, 'no labels' from r where json_array_length(j->'labels') = 0
-union select case_id, 'label domain' from l where h = '' union select case_id, 'classification' from l where kind not in ('positive', 'negative') union select case_id, 'relationship' from l where trim(x->>'relationship') = ''
-union select case_id, 'label references' from l where trim(x->'source_refs'->>0) = '' union select case_id, 'root is labelled' from l where d = root and h <> '' union select case_id, case when k > 1 then 'conflicting labels' else 'repeated label' end from t""", "cases")
-def case_problems(spark, sf_dir):
-    return va.case_problems(_cases(spark))
-
-
-@query("select 'fine' as case_id, 2::bigint as labels")
-def valid_cases(spark, sf_dir):
-    c = _cases(spark)
-    return va.valid(c, va.case_problems(c), "case_id").select("case_id", F.size("labels").cast("long").alias("labels"))
-
-
-rows("manifests", "benchmark_id, payload", *[f"'{k}', '{v}'" for k, v in {
-    "fine": '{"schema_version": 1, "benchmark_id": "fine", "comparisons": [{"case": "c", "baseline": "b", "candidate": "d"}]}', "version": '{"schema_version": 3, "benchmark_id": "version", "comparisons": [{"case": "c", "baseline": "b", "candidate": "d"}]}',
-    "no comparisons": '{"schema_version": 1, "benchmark_id": "no comparisons", "comparisons": []}', "paths": '{"schema_version": 1, "benchmark_id": "paths", "comparisons": [{"case": "c", "baseline": " "}]}',
-}.items()])
-
-
-@query("select benchmark_id as key, benchmark_id as problem from v_manifests where benchmark_id <> 'fine'", "manifests")
-def manifest_problems(spark, sf_dir):
-    kind = "struct<schema_version:int,benchmark_id:string,comparisons:array<struct<case:string,baseline:string,candidate:string>>>"
-    return va.manifest_problems(read(spark, "manifests").select(F.from_json("payload", kind).alias("m")).select("m.*"))
-
-
-rows("entries", "benchmark_id, ord, case_id, root_domain", "'x', 1, 'c1', 'a.com'", "'x', 2, 'c1', 'b.com'", "'x', 3, 'c2', 'www.b.com'", "'y', 1, 'c1', 'a.com'")
-rows("settings", "benchmark_id, ord, side, field, value", "'x', 1, 'baseline', 'max_depth', '1'", "'x', 1, 'candidate', 'max_depth', '1'", "'x', 2, 'baseline', 'max_depth', '2'", "'x', 2, 'candidate', 'max_depth', '2'", "'x', 3, 'baseline', 'max_depth', '3'", "'x', 1, 'baseline', 'cache_mode', 'on'", "'x', 1, 'candidate', 'cache_mode', 'off'", "'y', 1, 'baseline', 'run_mode', 'quick'", "'y', 1, 'candidate', 'run_mode', 'quick'", "'y', 1, 'candidate', 'fast_model', cast(null as string)")
-
-
-@query("""select benchmark_id as key, 'duplicate case_id: ' || case_id as problem from v_entries group by benchmark_id, case_id having count(*) > 1 union all select benchmark_id, 'duplicate root_domain: ' || regexp_replace(root_domain, '^www\\.', '') from v_entries group by benchmark_id, regexp_replace(root_domain, '^www\\.', '') having count(*) > 1
-union all select benchmark_id, 'inconsistent policy: ' || field from (select a.benchmark_id, a.field, a.value from v_settings a join v_settings b using (benchmark_id, ord, field) where a.side = 'baseline' and b.side = 'candidate') group by benchmark_id, field having count(distinct value) > 1""", "entries", "settings")
-def benchmark_problems(spark, sf_dir):
-    return va.benchmark_problems(read(spark, "entries"), read(spark, "settings"))
-
-
-@query("""select benchmark_id, ord, field, case when count(distinct side) filter (value is not null) < 2 then 'unverified' when count(distinct value) = 1 then 'matched' else 'mismatch' end as state from v_settings group by 1, 2, 3""", "settings")
-def policy_match(spark, sf_dir):
-    return va.policy_match(read(spark, "settings"), ["benchmark_id", "ord"])
-
-
-rows("graph_roots", "case_id, root_domain", "'fine', 'www.a.com'", "'version', 'b.com'", "'unknown', 'a.com'")
-
-
-@query("select case_id as key, 'another root' as problem from v_graph_roots where case_id = 'version'", "graph_roots")
-def root_problems(spark, sf_dir):
-    return va.root_problems(read(spark, "graph_roots"), _cases(spark))
-
-
 _EVIDENCE = '{"domain": "a.com", "whois": {"registrant_org": "Acme", "nameservers": ["n"]}, "basic_intel": {"aliases": ["A"]}, "subdomains": ["x"]}'
 _MODEL = '{"schema_version": 1, "case_id": "%s", "domain": "%s", "corpus_class": "%s", "expected_abstain": %s, "expected_pivots": [%s]}'
 _P = '{"id_type": "org", "value": "%s", "acceptable_values": [%s], "source_refs": [%s]}'
@@ -292,17 +156,6 @@ def usage_totals(spark, sf_dir):
     return qu.usage_totals(use, ["case_id"]).withColumn("units", F.col("units").cast("double"))
 
 
-rows("gains", "case_id, new_tp", "0, 2", "1, 0", "2, 1")
-rows("spent", "case_id, side, calls, upstream_requests, latency_ms, units", "0, 'b', 1, 1, 5, 0.5", "0, 'c', 3, 4, 9, 2.5", "1, 'b', 1, 1, 1, 1.0", "1, 'c', 9, 1, 1, 1.0", "2, 'b', 5, 1, 1, 1.0", "2, 'c', 3, 1, 1, 1.0")
-
-
-@query("""select case_id, new_tp, c.calls - b.calls as calls_delta, c.upstream_requests - b.upstream_requests as upstream_requests_delta, c.latency_ms - b.latency_ms as latency_ms_delta, (c.units - b.units)::double as units_delta,
-case when new_tp > 0 and c.calls >= b.calls then (c.calls - b.calls) / new_tp end as calls_per_new_tp, case when new_tp > 0 and c.units >= b.units then (c.units - b.units)::double / new_tp end as units_per_new_tp from v_gains join v_spent b using (case_id) join v_spent c using (case_id) where b.side = 'b' and c.side = 'c'""", "gains", "spent")
-def gain_costs(spark, sf_dir):
-    s = read(spark, "spent").withColumn("units", F.col("units").cast("double"))
-    return qu.costs(read(spark, "gains"), s.where("side = 'b'"), s.where("side = 'c'"), ["case_id"])
-
-
 rows("bench_cases", "case_id, corpus_class, expected_abstain", *[f"{i}, '{'synthetic' if i == 0 else 'held_out'}', {'true' if i % 4 == 3 else 'false'}" for i in range(12)])
 rows("bench_expected", "case_id, id_type, value, grp", *[x for i in range(12) if i % 4 != 3 for x in (f"{i}, 'org', 'Acme {i}', 'g1'", f"{i}, 'org', 'Acme {i} Inc', 'g1'", f"{i}, 'email', 'a{i}@a.com', 'g2'")])
 rows("bench_rules", "case_id, id_type, value, score", *[x for i in range(12) for x in (f"{i}, 'org', 'ACME  {i}', 0.7", f"{i}, 'org', 'Wrong {i}', {0.5 if i % 3 == 0 else 0.3}")])
@@ -395,26 +248,6 @@ def calls_over_limits(spark, sf_dir):
     return reg.over_limits(e, reg.sources(spark)).select("id")
 
 
-rows("plan_sources", "name, capability, tier, billable, available, request_limit, ord", "'w1', 'whois', 'free', false, true, 3, 0", "'w2', 'whois', 'free', false, true, 2, 1", "'b', 'basic_info', 'free', false, true, 2, 2", "'r', 'reverse_whois', 'free', false, true, 1, 3", "'x', 'reverse_whois', 'paid', true, true, 1, 4", "'d', 'dns', 'free', false, false, 1, 5")
-
-
-@query("select name, case when not available then 'unavailable' when billable then 'policy_excluded' else 'selected' end as state from v_plan_sources", "plan_sources")
-def plan_states(spark, sf_dir):
-    return preflight.status(read(spark, "plan_sources"), preflight.Settings()).select("name", "state")
-
-
-@query("select * from (values ('whois', ['w1', 'w2'], 2, 3), ('basic_info', ['b'], 1, 2), ('reverse_whois', ['x'], 5, 1), ('tracker_verification', ['b'], 50, 2)) t(step, sources, calls, requests_per_call)")
-def plan_steps(spark, sf_dir):
-    s = preflight.Settings(profile="byok", paid_approved=True)
-    return preflight.steps(read(spark, "plan_sources"), s).drop("billable")
-
-
-@query("select 29000 as calls, (2 * 3 + 1 * 2 + 5 * 1 + 50 * 2) * 500 as requests, 5 * 3 * 500::double as units, true as calls_exceed, true as units_exceed")
-def plan_totals(spark, sf_dir):
-    s = preflight.Settings(profile="byok", paid_approved=True)
-    return preflight.totals(preflight.steps(read(spark, "plan_sources"), s), s)
-
-
 @query("select c_nationkey as node, count(*) as rows from customer group by 1 having count(*) > 1")
 def repeated_keys(spark, sf_dir):
     return out.duplicate_keys(spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_nationkey").alias("node")), ["node"])
@@ -426,14 +259,6 @@ def missing_parents(spark, sf_dir):
     return out.orphans(c, spark.read.parquet(f"{sf_dir}/nation.parquet").where("n_nationkey < 20"), "node", "n_nationkey").select("c_custkey")
 
 
-rows("texts_", "id, payload", """1, '{"b": " x ", "a": [1, null, {"c": "y"}]}'""", "2, 'plain'")
-
-
-@query("select * from (values (1, 'x\n1\ny'), (2, 'plain')) t(id, t)")
-def flat_strings(spark, sf_dir):
-    return read(spark, "texts_").select("id", ex.flat_strings(F.col("payload")).alias("t"))
-
-
 @query("select c_nationkey as run_id, c_mktsegment as child_node_id, min(c_custkey) as depth from customer group by 1, 2")
 def first_lineage(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
@@ -467,16 +292,6 @@ def patient_heads(spark, sf_dir):
     return us.fifo_heads(view(spark, sf_dir, "leases"), F.lit("2024-01-05").cast("timestamp_ntz")).select("provider", "id")
 
 
-rows("lease_asks", "provider, id, a, b", "'p', 1, '00:00', '01:00'", "'p', 2, '00:10', '00:20'", "'p', 3, '00:15', '02:00'", "'p', 4, '00:20', '00:40'", "'p', 5, '00:30', '00:50'", "'p', 6, '01:00', '01:10'", "'q', 7, '00:00', '09:00'")
-
-
-@query("select provider, id from v_lease_asks where id in (1, 2, 4, 6, 7)", "lease_asks")
-def granted_leases(spark, sf_dir):
-    at = lambda c: F.concat(F.lit("2024-01-01 "), F.col(c)).cast("timestamp")
-    asks = read(spark, "lease_asks").select("provider", "id", at("a").alias("created_at"), at("b").alias("expires_at"))
-    return us.leases_granted(asks, 2).select("provider", "id")
-
-
 @query("select user_id as request_key, min(event_id) as id from events group by 1")
 def once_requests(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("request_key"), F.col("event_id").alias("id"), F.col("event_id").alias("seq"))

@@ -156,6 +156,6 @@ def test_the_first_of_repeated_calls_stays(spark, tmp_path):
     assert sinks.stored(spark, f"file://{tmp_path}/none", df.schema).count() == 0
 
 
-@pytest.mark.parametrize("name", ["streamed_calls", "granted_asked_leases"])
+@pytest.mark.parametrize("name", ["streamed_calls", "granted_leases"])
 def test_queries_over_a_table(spark, name):
     assert plans.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
