@@ -37,10 +37,10 @@ def place(spark: SparkSession, what: str) -> str:
     return f"{shared.rstrip('/')}/siftgraph/{what}-{uuid.uuid4().hex}"
 
 
-def replay(events: DataFrame, fold: folds.Fold, key: str, what: str, slices: int = 3) -> DataFrame:
+def replay(events: DataFrame, fold: folds.Fold, key: str, what: str, slices: int = 3, shards: int | None = None) -> DataFrame:
     at = place(events.sparkSession, what)
     stream = folds.replayed(events, at, slices, LATE, key)
-    return folds.run_to_end(folds.folded(stream, fold, key, LATE), at)
+    return folds.run_to_end(folds.folded(stream, fold, key, LATE, shards), at)
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +106,8 @@ select task_id, t as at, 'in_progress' as status, attempts, 'claim' as cause fro
 select task_id, t + case kind when 0 then 10 when 1 then 20 else 30 end * 60000000, case when kind = 0 then 'succeeded' when attempts >= 3 then 'failed' else 'pending' end, attempts, case kind when 0 then 'done' when 1 then 'error' else 'lease_lost' end from a""")
 def streamed_tasks(spark, sf_dir):
     """Every change of the orders' tasks under leases of half an hour and three attempts, as a stream with timers."""
-    return replay(task_events(spark, sf_dir), folds.Tasks(3), "task_id", "tasks", 2)
+    shards = max(64, table(spark, sf_dir, "orders").count() // folds.SHARD)
+    return replay(task_events(spark, sf_dir), folds.Tasks(3), "task_id", "tasks", 2, shards)
 
 
 @query("select event_id as id, event_type as status, ts as started_at from events")

@@ -1,4 +1,5 @@
 import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -159,3 +160,14 @@ def test_the_first_of_repeated_calls_stays(spark, tmp_path):
 @pytest.mark.parametrize("name", ["streamed_calls", "granted_leases"])
 def test_queries_over_a_table(spark, name):
     assert plans.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_many_tasks_share_shards(spark, tmp_path):
+    rows = [(k, START + timedelta(minutes=k % 50), 1, "claim", micros(START + timedelta(minutes=k % 50 + 10))) for k in range(300)]
+    rows += [(k, START + timedelta(minutes=k % 50 + 5), 2, "done", None) for k in range(0, 300, 3)]
+    df = spark.createDataFrame(rows, "task_id long, at timestamp, id long, what string, lease_until long")
+    stream = folds.replayed(df, str(tmp_path), 2, "1 hour", "task_id")
+    out = folds.folded(stream, folds.Tasks(2), "task_id", "1 hour", shards=4)
+    got = folds.run_to_end(out, str(tmp_path))
+    want = [(k, c) for k in range(300) for c in ("claim", "lease_lost" if k % 3 else "done")]
+    assert sorted((x["task_id"], x["cause"]) for x in got.collect()) == sorted(want)
