@@ -171,3 +171,12 @@ def test_many_tasks_share_shards(spark, tmp_path):
     got = folds.run_to_end(out, str(tmp_path))
     want = [(k, c) for k in range(300) for c in ("claim", "lease_lost" if k % 3 else "done")]
     assert sorted((x["task_id"], x["cause"]) for x in got.collect()) == sorted(want)
+
+
+def test_a_long_line_costs_a_few_steps_an_event():
+    n, f, rows = 40_000, folds.Waiters(10**9), []
+    events = [(k, k, None) for k in range(n)] + [(n + k, n + k, n - 1 - k) for k in range(n)]  # all wait, then the last leaves first
+    began = time.monotonic()
+    state, left = f.over(f.start(), events, 3 * n, rows)
+    assert time.monotonic() - began < 15  # each event went through the whole line before
+    assert rows == [(0, 0)] and not left and state == ([], [], None)
