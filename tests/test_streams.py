@@ -180,3 +180,15 @@ def test_a_long_line_costs_a_few_steps_an_event():
     state, left = f.over(f.start(), events, 3 * n, rows)
     assert time.monotonic() - began < 15  # each event went through the whole line before
     assert rows == [(0, 0)] and not left and state == ([], [], None)
+
+
+def test_micro_batches_of_bounded_size(spark, tmp_path):
+    rows = sorted(lease_rows(400), key=lambda x: x[1])
+    stream = folds.replayed(spark.createDataFrame(rows, SCHEMA), str(tmp_path), 2, "1 hour", "provider", rows=50)
+    files = sorted((tmp_path / "in").glob("*.parquet"), key=lambda f: f.stat().st_mtime_ns)
+    parts = [spark.read.parquet(str(f)) for f in files]
+    spans = [p.agg(F.min("at"), F.max("at"), F.count("*")).first() for p in parts]
+    assert len(spans) >= 8 and max(x[2] for x in spans) <= 150 and sum(x[2] for x in spans) == 401
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    got = folds.run_to_end(folds.folded(stream, folds.Leases(3), "provider", "1 hour"), str(tmp_path))
+    assert {(x["provider"], x["id"]) for x in got.collect()} == granted(rows, 3)
