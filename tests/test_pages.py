@@ -18,3 +18,8 @@ def test_page_titles_keep_open_references(spark, tmp_path):
     assert {r.page_id: r.title for r in got} == WANT
     first = spark.createDataFrame([("<title>a &lt b &amp</title>",)], "h string").select(pg.title(F.col("h"))).first()[0]
     assert first == "a < b &"  # the operator resolves what a browser does
+
+
+def test_page_observations_keep_open_references(spark, tmp_path):
+    got = driver.QUERIES["page_observations"](spark, page_dir(spark, tmp_path)).collect()
+    assert {r.object_value_norm for r in got} == set(WANT.values())
