@@ -41,3 +41,8 @@ def test_page_records_of_large_keys(spark, tmp_path):
     assert got.tracker_ids == ["GTM-ABCD1234567", "UA-1244567-1"]
     cut = spark.createDataFrame([("GTM-ABCD1234567",)], "h string").select(pg.trackers(F.col("h"))).first()[0]
     assert cut == ["GTM-ABCD123456"]  # the operator's own bound
+
+
+def test_page_pivots_of_large_keys(spark, tmp_path):
+    got = payloads.QUERIES["page_pivots"](spark, part_dir(spark, tmp_path)).collect()
+    assert {r.value for r in got if r.id_type == "tracker"} == {"GTM-ABCD1234567", "UA-1244567-1"}
