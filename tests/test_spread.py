@@ -16,6 +16,11 @@ def tables(spark, tmp_path_factory):
     return str(at)
 
 
+@pytest.mark.parametrize("name", ["legal_links"])
+def test_rows_of_a_small_file_are_spread(spark, tables, name):
+    assert QUERIES[name](spark, tables).rdd.getNumPartitions() >= 3
+
+
 @pytest.mark.parametrize("name", ["search_hits"])
 def test_rows_are_spread_before_they_are_joined(spark, tables, name, capsys):
     QUERIES[name](spark, tables).explain()
