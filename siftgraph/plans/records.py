@@ -17,6 +17,7 @@ from ..operators import validation as va
 from ..sources import exports as out
 from ..sources import registry as reg
 from . import schemas
+from .views import spread
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -90,7 +91,7 @@ def budget_use(spark, sf_dir):
 
 @query("select concat('mail ', c_custkey) as domain, cast(null as varchar) as registrant_org, case when c_custkey % 2 = 0 then 249 else 3 end::bigint as hosts from customer")
 def model_evidence(spark, sf_dir):
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    c = spread(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey"))
     host = F.transform(F.sequence(F.lit(1), F.when(F.col("c_custkey") % 2 == 0, 300).otherwise(4)), lambda i: F.when(i == 2, "").otherwise(F.concat(F.lit("h"), i.cast("string"))))
     blank = {k: F.lit("") for k in ("registrant_org", "creation_date", "expiration_date", "title", "description", "copyright_org", "redirect_domain")}
     none = F.array().cast("array<string>")

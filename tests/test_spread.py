@@ -16,7 +16,7 @@ def tables(spark, tmp_path_factory):
     return str(at)
 
 
-@pytest.mark.parametrize("name", ["legal_links"])
+@pytest.mark.parametrize("name", ["legal_links", "model_evidence"])
 def test_rows_of_a_small_file_are_spread(spark, tables, name):
     assert QUERIES[name](spark, tables).rdd.getNumPartitions() >= 3
 
