@@ -21,7 +21,7 @@ def test_rows_of_a_small_file_are_spread(spark, tables, name):
     assert QUERIES[name](spark, tables).rdd.getNumPartitions() >= 3
 
 
-@pytest.mark.parametrize("name", ["search_hits"])
+@pytest.mark.parametrize("name", ["reverse_expansion", "search_hits"])
 def test_rows_are_spread_before_they_are_joined(spark, tables, name, capsys):
     QUERIES[name](spark, tables).explain()
     assert "RoundRobinPartitioning(3)" in capsys.readouterr().out
