@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import addresses as ad
 from ..functions import domains as dom
-from .views import table
+from .views import spread, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -78,7 +78,7 @@ ORACLE_SQL["address_guard"] = _sql()
 def address_guard(spark, sf_dir):
     """Every spelling of every customer's address: whether it is public (null: no literal address) and may be asked about."""
     own = "sift_guarded_customers"
-    table(spark, sf_dir, "customer").select("c_custkey").createOrReplaceTempView(own)
+    spread(table(spark, sf_dir, "customer").select("c_custkey")).createOrReplaceTempView(own)
     each = F.explode(F.array(*[F.struct(F.lit(name).alias("spelling"), F.expr(text).alias("text")) for name, (text, _, _) in SPELLINGS.items()]))
     rows = spark.sql(placed(own)).select("k", each.alias("s")).select("k", "s.*")
     return rows.select("k", "spelling", "text", ad.public_address(F.col("text")).alias("public"), dom.scan_target(F.col("text")).alias("allowed"))

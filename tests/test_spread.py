@@ -2,9 +2,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftgraph.functions import domains as dom
-from siftgraph.plans import payloads, records
+from siftgraph.plans import network, payloads, records
 
-QUERIES = records.QUERIES | payloads.QUERIES
+QUERIES = records.QUERIES | payloads.QUERIES | network.QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -16,7 +16,7 @@ def tables(spark, tmp_path_factory):
     return str(at)
 
 
-@pytest.mark.parametrize("name", ["legal_links", "model_evidence"])
+@pytest.mark.parametrize("name", ["legal_links", "model_evidence", "address_guard"])
 def test_rows_of_a_small_file_are_spread(spark, tables, name):
     assert QUERIES[name](spark, tables).rdd.getNumPartitions() >= 3
 
