@@ -143,3 +143,10 @@ def test_bad_cases_are_set_aside(spark, tmp_path):
     assert [x["case_id"] for x in good.collect()] == ["c1"]
     assert sorted((x["key"] or "", x["problem"]) for x in bad.collect()) == [("", "case_id"), ("", "not a case"), ("", "not a case"), ("c2", "version")]
     assert all(x["file"].endswith("cases.json") for x in bad.collect())
+
+
+def test_problems_read_a_table_once_for_rows_and_contents(spark, tmp_path, capsys):
+    at = f"file://{tmp_path}/backup"
+    backups.backup({"nodes": nodes(spark, 3)}, at)
+    backups.problems(spark, at).explain()
+    assert capsys.readouterr().out.count("FileScan parquet") == 1
