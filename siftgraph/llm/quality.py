@@ -2,8 +2,8 @@
 
 Tokens are runs of letters and digits (A-Z folded) and single other characters
 that aren't white space. The model is fitted on trusted documents, those labelled
-good and never toxic: of each language a hash-chosen part of one half of them, of
-about ``fit_mb`` of text (None: that whole half); the other half sets the
+good and never toxic: of each language all of one hash-chosen half of them (a
+part of about ``fit_mb`` of text, where that is given); the other half sets the
 thresholds. Counts and continuation counts are grouped, and joined with the
 totals of their contexts, by language and n-gram over shards of the cluster.
 
@@ -43,7 +43,7 @@ from .storage import written
 from .text import ALNUM, U64, Lookup, Texts, mix, slices
 
 PRIOR, QUANTILE, SLACK = 30.0, 0.995, 1.1
-FIT_MB = 2.0  # trusted text that a language's model is fitted on
+FIT_MB: float | None = None  # trusted text that a language's model is fitted on; None: all of its half
 LOCAL, SHARD = 1 << 21, 4 << 20  # trigrams of a model that is broadcast; tokens of a shard
 _START = U64(0x51)
 _ONE, _TWO = U64(0xD6E8FEB86659FD93), U64(0xA5A3564E27F8862B)

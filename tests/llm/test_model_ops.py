@@ -325,3 +325,21 @@ def test_quality_trusts_no_toxic_text(spark, monkeypatch):
     labels = [(i, 1, i % 2) for i in range(80)] + [(0, 1, None), (2, 0, 1), (2, 1, 0)]
     q.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
     assert seen and set(seen) == {"fair words here"}
+
+
+def test_quality_fits_on_all_of_its_half_unless_told_otherwise(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def stop(trusted):
+        raise Seen(trusted.count())
+
+    big = spark.range(60).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.repeat(F.concat(F.lit("word "), F.col("id").cast("string")), 20_000).alias("text"))  # 7 MB
+    labels = big.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    monkeypatch.setattr(q, "fitted", stop)
+    counts = []
+    for given in ({}, {"fit_mb": None}):
+        with pytest.raises(Seen) as e:
+            q.judged(big, labels, **given)
+        counts.append(e.value.args[0])
+    assert counts[0] == counts[1] > 20  # two MB hold about 17 of them
