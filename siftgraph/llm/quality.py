@@ -39,12 +39,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from .storage import written
+from .storage import removed, written
 from .text import ALNUM, U64, Lookup, Texts, mix, slices
 
 PRIOR, QUANTILE, SLACK = 30.0, 0.995, 1.1
 FIT_MB: float | None = None  # trusted text that a language's model is fitted on; None: all of its half
-LOCAL, SHARD = 1 << 21, 4 << 20  # trigrams of a model that is broadcast; tokens of a shard
+LOCAL, SHARD = 1 << 21, 4 << 20  # trigrams of a model that is broadcast; tokens of a shard, about
+PASSES = 6  # parts of the documents that are sent to the shards one after the other, so that a part's messages alone are on disk
+BYTES = 4  # of text for a token, about
 _START = U64(0x51)
 _ONE, _TWO = U64(0xD6E8FEB86659FD93), U64(0xA5A3564E27F8862B)
 _CLASS = np.where(ALNUM, 1, 2).astype(np.int8)
@@ -173,25 +175,31 @@ class Model:
 
 
 def fitted(trusted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, dict[int, float], int]:
-    """Grams of three, two and one tokens of (lang, text) rows, all of which are counted, with their probability p and what their context leaves; each language's share of an unseen token; the number of trigrams."""
+    """Of (lang, text) rows, all of which are counted: trigrams with their count n and their language's discounts; grams of two and one tokens with their probability p and what their context leaves; each language's share of an unseen token; the number of trigrams."""
     c3 = written(_grams(trusted).groupBy("g", "u", "v", "w").agg(F.count("*").alias("n")), "grams3")
     c2 = written(c3.groupBy("g", "v", "w").agg(F.count("*").alias("n")), "grams2")
     c1 = c2.groupBy("g", "w").agg(F.count("*").alias("n"))
     size = c1.groupBy("g").agg(F.count("*").alias("words"))
     l1 = _level(c1, [], "n").join(F.broadcast(size), "g")
-    one = l1.select("g", "w", (F.col("share") + F.col("left") / (F.col("words") + 1)).alias("p"), (F.col("left") / (F.col("words") + 1)).alias("zero"))
+    one = written(l1.select("g", "w", (F.col("share") + F.col("left") / (F.col("words") + 1)).alias("p"), (F.col("left") / (F.col("words") + 1)).alias("zero")), "level1")
     l2 = _level(c2, ["v"], "n")
     two = l2.join(one.select("g", "w", F.col("p").alias("lower")), ["g", "w"]).select("g", "v", "w", (F.col("share") + F.col("left") * F.col("lower")).alias("p"), F.col("left").alias("leave"))
     two = written(two, "level2")
-    l3 = _level(c3, ["u", "v"], "n")
-    three = l3.join(two.select("g", "v", "w", F.col("p").alias("lower")), ["g", "v", "w"]).select("g", "u", "v", "w", (F.col("share") + F.col("left") * F.col("lower")).alias("p"), F.col("left").alias("leave"))
+    removed(c2)
+    three = c3.join(F.broadcast(written(_discounts(c3, "n"), "discounts")), "g")  # a row for each language
     zero = {int(r.g) & (1 << 64) - 1: float(r.zero) for r in one.select("g", "zero").distinct().collect()}  # a row for each language
     return three, two, one, zero, c3.count()
 
 
+def _finished(three: DataFrame, two: DataFrame) -> DataFrame:
+    """Trigrams with their probability p and what their context leaves."""
+    l3 = _level(three.select("g", "u", "v", "w", "n"), ["u", "v"], "n")
+    return l3.join(two.select("g", "v", "w", F.col("p").alias("lower")), ["g", "v", "w"]).select("g", "u", "v", "w", (F.col("share") + F.col("left") * F.col("lower")).alias("p"), F.col("left").alias("leave"))
+
+
 def gathered(three: DataFrame, two: DataFrame, one: DataFrame, zero: dict[int, float]) -> Model:
     """The whole model, for tables of a measured size."""
-    g3, c2 = _keyed(three, "u", "v", "w")
+    g3, c2 = _keyed(_finished(three, two), "u", "v", "w")
     g2, c1 = _keyed(two, "v", "w")
     g1, _ = _keyed(one.withColumn("leave", F.lit(0.0)), "w")
     return Model(g3, g2, g1, c2, c1, zero)
@@ -273,8 +281,8 @@ def _batch(messages: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([m[i] for m in messages], k) for i, k in enumerate(kinds)], names=["part", "kind", "size", "blob"])
 
 
-def _shards(df: DataFrame, words: tuple[str, ...], kinds: tuple[int, ...], by: str, parts: int) -> DataFrame:
-    """Messages of the probabilities of grams (the first kind) and of what contexts leave (the second)."""
+def _shards(df: DataFrame, words: tuple[str, ...], kinds: tuple[int, ...], by: str, parts: int, counts: bool = False) -> DataFrame:
+    """Messages of the probabilities of grams (the first kind) and of what contexts leave (the second); ``counts``: of the counts of trigrams."""
 
     def pack(batches):
         held, n = [], 0
@@ -297,10 +305,33 @@ def _shards(df: DataFrame, words: tuple[str, ...], kinds: tuple[int, ...], by: s
             out += _messages(kinds[1], at[i], [k, t.column("leave").to_numpy()[i].astype(np.float32)], [])
         return _batch(out)
 
+    def counted(held):
+        t = pa.Table.from_batches(held)
+        g, u, v, w, n = (t.column(c).to_numpy() for c in ("g", "u", "v", "w", "n"))
+        g, u, v, w = (x.view(U64) for x in (g, u, v, w))
+        order = np.lexsort((w, u, v, g))  # equal words side by side are sent in few bytes
+        g, u, v, w, n = (x[order] for x in (g, u, v, w, n))
+        return _batch(_messages(kinds[0], _part(v, parts), [g, n.astype(np.min_scalar_type(int(n.max())))], [u, v, w]))
+
+    if counts:
+        told = counted
+        return df.select("g", *words, "n").mapInArrow(pack, _MESSAGE)
     return df.select("g", *words, "p", *(["leave"] if len(kinds) > 1 else [])).mapInArrow(pack, _MESSAGE)
 
 
-def _answered(messages: DataFrame, parts: int, answer, schema: str) -> DataFrame:
+def _level3(messages: list[list[np.ndarray]], discounts: dict[int, tuple[float, ...]], two: Lookup, lower: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """(keys, probabilities) of the trigrams of a shard and (keys, weights left) of their contexts, from their counts: a shard holds all of a context, and the shorter grams."""
+    g, n, u, v, w = map(np.concatenate, zip(*messages))
+    contexts, at = np.unique(_key(g, u, v), return_inverse=True)
+    total = np.bincount(at, n, len(contexts))
+    langs, of = np.unique(g, return_inverse=True)
+    d = np.array([discounts[int(x)] for x in langs])[of, np.minimum(n, 3).astype(np.int64) - 1]
+    left = np.bincount(at, d, len(contexts)) / total
+    p = (n - d) / total[at] + left[at] * lower[two.find(_key(g, v, w))]
+    return (_key(g, u, v, w), p.astype(np.float32)), (contexts, left.astype(np.float32))
+
+
+def _answered(messages: DataFrame, parts: int, answer, schema: str, discounts: dict[int, tuple[float, ...]] | None = None) -> DataFrame:
     """``answer(tables, message)`` for each message of documents, with the (keys, values) that its part's model messages bring by kind."""
 
     def run(batches):
@@ -314,7 +345,10 @@ def _answered(messages: DataFrame, parts: int, answer, schema: str) -> DataFrame
                     continue
                 if tables is None:
                     none = (np.empty(0, dtype=U64), np.empty(0, dtype=np.float32))
+                    counts = held.pop(0, None)
                     full = [tuple(map(np.concatenate, zip(*held[k]))) if k in held else none for k in range(5)]
+                    if counts:
+                        full[0], full[1] = _level3(counts, discounts, Lookup(full[2][0]), full[2][1])
                     tables, held = Model(full[0], full[2], full[4], full[1], full[3], {}), {}
                 yield from answer(tables, _opened(size, blob))
 
@@ -326,8 +360,8 @@ def _sums(row: np.ndarray, logs: np.ndarray) -> tuple[pa.Array, pa.Array]:
     return pa.array(rows, pa.int64()), pa.array(np.bincount(at, logs, len(rows)), pa.float64())
 
 
-def scored_by_shuffle(docs: DataFrame, three: DataFrame, two: DataFrame, one: DataFrame, zero: dict[int, float], known: set[str | None], keep: tuple[str, ...], lang_col: str = "lang", text_col: str = "text", shard: int = SHARD) -> DataFrame:
-    """As ``scored``, with a model that stays in shards."""
+def scored_by_shuffle(docs: DataFrame, three: DataFrame, two: DataFrame, one: DataFrame, zero: dict[int, float], known: set[str | None], keep: tuple[str, ...], lang_col: str = "lang", text_col: str = "text", shard: int = SHARD, passes: int = PASSES, last_use: bool = False) -> DataFrame:
+    """As ``scored``, with a model that stays in shards: ``three`` as counts, of which each shard makes its probabilities. The documents go there in ``passes``, and each pass's rows are written. ``last_use``: the model's tables are deleted once the shards are written."""
 
     def cut(batches):
         for batch in batches:
@@ -339,8 +373,10 @@ def scored_by_shuffle(docs: DataFrame, three: DataFrame, two: DataFrame, one: Da
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[:k]), batch.column(k + 2).slice(i, j - i), pa.array(np.diff(first).astype(np.int64)), pa.array(langs[i:j].view(np.int64)), lists], names=[*keep, "__row", "n_tokens", "__g", "__h"])
 
     schema = docs.select(*keep).schema.add("__row", "long").add("n_tokens", "long").add("__g", "long").add("__h", ArrayType(LongType()))
-    told = written(docs.select(*keep, F.col(lang_col).alias("__lang"), F.col(text_col).alias("__text"), F.monotonically_increasing_id().alias("__row")).mapInArrow(cut, schema), "tokens")
-    parts = max(1, -(-(told.agg(F.sum("n_tokens")).first()[0] or 0) // shard))
+    size = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    parts = max(1, -(-size // (BYTES * shard)))
+    passes = min(passes, parts)
+    discounts = {int(r.g) & (1 << 64) - 1: (r.d1, r.d2, r.d3) for r in three.select("g", "d1", "d2", "d3").distinct().collect()}  # a row for each language
 
     def ask(batches):
         for batch in batches:
@@ -370,13 +406,28 @@ def scored_by_shuffle(docs: DataFrame, three: DataFrame, two: DataFrame, one: Da
         model.zero = zero
         yield pa.RecordBatch.from_arrays([*_sums(row, np.log10(model.alone(g, w)))], names=["row", "s"])
 
-    asked = told.select("__row", "__g", "__h").mapInArrow(ask, _MESSAGE)
-    grams = _shards(three, ("u", "v", "w"), (0, 1), "v", parts).unionByName(_shards(two, ("v", "w"), (2, 3), "v", parts))
-    half = written(_answered(grams.unionByName(asked), parts, shared, "row long, s double, " + _MESSAGE), "answers")
-    rest = half.where("blob is not null").select("part", "kind", "size", "blob")
-    last = _answered(_shards(one, ("w",), (4,), "w", parts).unionByName(rest), parts, alone, "row long, s double")
-    logs = half.where("blob is null").select("row", "s").unionByName(last).groupBy(F.col("row").alias("__row")).agg(F.sum("s").alias("logp"))
-    return told.drop("__g", "__h").join(logs, "__row", "left").select(*keep, "n_tokens", F.coalesce("logp", F.lit(0.0)).alias("logp"))
+    grams = _shards(three, ("u", "v", "w"), (0,), "v", parts, counts=True).unionByName(_shards(two, ("v", "w"), (2, 3), "v", parts))
+    grams, words = written(grams, "shards"), written(_shards(one, ("w",), (4,), "w", parts), "words")
+    if last_use:
+        removed(three, two, one)
+
+    def scan(mine: DataFrame) -> DataFrame:
+        told = written(mine.select(*keep, F.col(lang_col).alias("__lang"), F.col(text_col).alias("__text"), F.monotonically_increasing_id().alias("__row")).mapInArrow(cut, schema), "tokens")
+        asked = told.select("__row", "__g", "__h").mapInArrow(ask, _MESSAGE)
+        half = written(_answered(grams.unionByName(asked), parts, shared, "row long, s double, " + _MESSAGE, discounts), "answers")
+        rest = half.where("blob is not null").select("part", "kind", "size", "blob")
+        last = _answered(words.unionByName(rest), parts, alone, "row long, s double")
+        logs = half.where("blob is null").select("row", "s").unionByName(last).groupBy(F.col("row").alias("__row")).agg(F.sum("s").alias("logp"))
+        out = written(told.drop("__g", "__h").join(logs, "__row", "left").select(*keep, "n_tokens", F.coalesce("logp", F.lit(0.0)).alias("logp")), "scores")
+        removed(told, half)
+        return out
+
+    turn = F.pmod(F.xxhash64(keep[0], text_col), F.lit(passes))
+    out = scan(docs.where(turn == 0))
+    for k in range(1, passes):
+        out = out.unionByName(scan(docs.where(turn == k)))
+    removed(grams, words)
+    return out
 
 
 def judged(
@@ -420,10 +471,10 @@ def judged(
     names = [c for c in keep if c not in (id_col, lang_col)]
     columns = (id_col, lang_col, *names)
     if size <= local:
-        rows = scored(docs, gathered(*levels), known, columns, lang_col, text_col)
+        slim = written(scored(docs, gathered(*levels), known, columns, lang_col, text_col), "scores")
+        removed(*levels[:3])
     else:
-        rows = scored_by_shuffle(docs, *levels, known, columns, lang_col, text_col)
-    slim = written(rows, "scores")
+        slim = scored_by_shuffle(docs, *levels, known, columns, lang_col, text_col, last_use=True)
     lang = F.col(lang_col)
     mean = F.coalesce(F.sum("logp") / F.sum(F.nullif("n_tokens", F.lit(0))), F.lit(-3.0))
     means = slim.groupBy(lang.alias("__lang")).agg(mean.alias("__mean"))

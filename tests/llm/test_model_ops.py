@@ -343,3 +343,38 @@ def test_quality_fits_on_all_of_its_half_unless_told_otherwise(spark, monkeypatc
             q.judged(big, labels, **given)
         counts.append(e.value.args[0])
     assert counts[0] == counts[1] > 20  # two MB hold about 17 of them
+
+
+def test_quality_leaves_no_model_tables(spark, docs, tmp_path, monkeypatch):
+    from siftgraph.llm import storage
+
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 160, 2)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(storage, "shared_dir", lambda session: f"file://{tmp_path}")
+    for local in (0, q.LOCAL):
+        assert q.judged(docs, labels, local=local).count() == docs.count()
+    assert {x.name.split("-")[0] for x in (tmp_path / "siftgraph").iterdir()} == {"chosen", "scores"}
+
+
+def test_quality_in_passes_gives_the_same(spark, docs):
+    trusted = docs.where("doc_id < 80").select("lang", "text")
+    *levels, _ = q.fitted(trusted)
+    langs = {r.lang for r in trusted.select("lang").distinct().collect()}
+    told = [sorted((str(r.doc_id), r.n_tokens, round(r.logp, 9)) for r in q.scored_by_shuffle(docs, *levels, langs, ("doc_id", "lang"), shard=500, passes=n).collect()) for n in (1, 4)]
+    assert told[0] == told[1] and len(told[0]) == docs.count()
+
+
+def test_written_tables_leave_no_shuffle_files(spark, tmp_path):
+    import glob
+    import os
+    import time
+
+    from siftgraph.llm.storage import written
+
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    held = lambda: {f for d in local for f in glob.glob(os.path.join(d, "*", "shuffle_*.data"))}
+    before = held()
+    written(spark.range(1000).groupBy("id").count(), "counted")
+    end = time.time() + 10
+    while held() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not held() - before
