@@ -307,11 +307,8 @@ def _shards(df: DataFrame, words: tuple[str, ...], kinds: tuple[int, ...], by: s
 
     def counted(held):
         t = pa.Table.from_batches(held)
-        g, u, v, w, n = (t.column(c).to_numpy() for c in ("g", "u", "v", "w", "n"))
-        g, u, v, w = (x.view(U64) for x in (g, u, v, w))
-        order = np.lexsort((w, u, v, g))  # equal words side by side are sent in few bytes
-        g, u, v, w, n = (x[order] for x in (g, u, v, w, n))
-        return _batch(_messages(kinds[0], _part(v, parts), [g, n.astype(np.min_scalar_type(int(n.max())))], [u, v, w]))
+        g, u, v, w = (t.column(c).to_numpy().view(U64) for c in ("g", "u", "v", "w"))
+        return _batch(_messages(kinds[0], _part(v, parts), [g, _narrow(t.column("n").to_numpy())], [u, v, w]))
 
     if counts:
         told = counted
@@ -319,16 +316,47 @@ def _shards(df: DataFrame, words: tuple[str, ...], kinds: tuple[int, ...], by: s
     return df.select("g", *words, "p", *(["leave"] if len(kinds) > 1 else [])).mapInArrow(pack, _MESSAGE)
 
 
-def _level3(messages: list[list[np.ndarray]], discounts: dict[int, tuple[float, ...]], two: Lookup, lower: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """(keys, probabilities) of the trigrams of a shard and (keys, weights left) of their contexts, from their counts: a shard holds all of a context, and the shorter grams."""
-    g, n, u, v, w = map(np.concatenate, zip(*messages))
-    contexts, at = np.unique(_key(g, u, v), return_inverse=True)
-    total = np.bincount(at, n, len(contexts))
+def _narrow(n: np.ndarray) -> np.ndarray:
+    return n.astype(np.min_scalar_type(int(n.max()))) if len(n) else n
+
+
+def _joined(messages: DataFrame, parts: int) -> DataFrame:
+    """One message of each kind for each part: its words stand once, its trigrams in the order of their contexts."""
+
+    def told(part, kind, held):
+        cols = list(map(np.concatenate, zip(*held)))
+        if kind:
+            return _batch(_messages(kind, np.full(len(cols[0]), part), cols, []))
+        g, n, u, v, w = cols
+        order = np.lexsort((w, u, v, g))
+        return _batch(_messages(0, np.full(len(g), part), [g[order], _narrow(n[order])], [u[order], v[order], w[order]]))
+
+    def run(batches):
+        at, held = None, []
+        for batch in batches:
+            for part, kind, size, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != (part, kind):
+                    if held:
+                        yield told(*at, held)
+                    at, held = (part, kind), []
+                held.append(_opened(size, blob))
+        if held:
+            yield told(*at, held)
+
+    return messages.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(run, _MESSAGE)
+
+
+def _level3(message: list[np.ndarray], discounts: dict[int, tuple[float, ...]], two: Lookup, lower: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """(keys, probabilities) of the trigrams of a shard and (keys, weights left) of their contexts, from their counts in the order of the contexts: a shard holds all of a context, and the shorter grams."""
+    g, n, u, v, w = message
+    first = np.append(True, (g[1:] != g[:-1]) | (v[1:] != v[:-1]) | (u[1:] != u[:-1]))
+    start, at = np.flatnonzero(first), np.cumsum(first) - 1
+    total = np.add.reduceat(n, start, dtype=np.int64)
     langs, of = np.unique(g, return_inverse=True)
     d = np.array([discounts[int(x)] for x in langs])[of, np.minimum(n, 3).astype(np.int64) - 1]
-    left = np.bincount(at, d, len(contexts)) / total
+    left = np.add.reduceat(d, start) / total
     p = (n - d) / total[at] + left[at] * lower[two.find(_key(g, v, w))]
-    return (_key(g, u, v, w), p.astype(np.float32)), (contexts, left.astype(np.float32))
+    return (_key(g, u, v, w), p.astype(np.float32)), (_key(g[start], u[start], v[start]), left.astype(np.float32))
 
 
 def _answered(messages: DataFrame, parts: int, answer, schema: str, discounts: dict[int, tuple[float, ...]] | None = None) -> DataFrame:
@@ -348,7 +376,7 @@ def _answered(messages: DataFrame, parts: int, answer, schema: str, discounts: d
                     counts = held.pop(0, None)
                     full = [tuple(map(np.concatenate, zip(*held[k]))) if k in held else none for k in range(5)]
                     if counts:
-                        full[0], full[1] = _level3(counts, discounts, Lookup(full[2][0]), full[2][1])
+                        full[0], full[1] = _level3(counts[0], discounts, Lookup(full[2][0]), full[2][1])
                     tables, held = Model(full[0], full[2], full[4], full[1], full[3], {}), {}
                 yield from answer(tables, _opened(size, blob))
 
@@ -407,7 +435,7 @@ def scored_by_shuffle(docs: DataFrame, three: DataFrame, two: DataFrame, one: Da
         yield pa.RecordBatch.from_arrays([*_sums(row, np.log10(model.alone(g, w)))], names=["row", "s"])
 
     grams = _shards(three, ("u", "v", "w"), (0,), "v", parts, counts=True).unionByName(_shards(two, ("v", "w"), (2, 3), "v", parts))
-    grams, words = written(grams, "shards"), written(_shards(one, ("w",), (4,), "w", parts), "words")
+    grams, words = written(_joined(grams, parts), "shards"), written(_shards(one, ("w",), (4,), "w", parts), "words")
     if last_use:
         removed(three, two, one)
 
