@@ -4,15 +4,17 @@ Tokens are runs of letters and digits (A-Z folded) and single other characters
 that aren't white space. The model is fitted on trusted documents, those labelled
 good and never toxic: of each language all of one hash-chosen half of them (a
 part of about ``fit_mb`` of text, where that is given); the other half sets the
-thresholds. Counts and continuation counts are grouped, and joined with the
-totals of their contexts, by language and n-gram over shards of the cluster.
-
-A model of at most ``local`` trigrams (measured) is broadcast to the scorers as
-hash tables. A larger one stays in shards: the documents' tokens are sent to
-the shard of the token before (it holds all grams and contexts that need it),
-and those whose last two tokens weren't seen go on to the shard of the token
-itself; the results are the same. A token that follows one very frequent token
-goes to one shard, which grows with that token's count.
+thresholds. Slices of the texts are sent as messages (columns of numbers, a list
+of their words) to shards by the middle token of a trigram, where all grams and
+contexts with it meet and are counted; counts without context are grouped by
+language and word, and these probabilities joined back to the shards.
+
+A model of at most ``local`` trigrams (measured) is broadcast to the scorers.
+A larger one stays in shards: the documents' tokens are sent to the shard of the
+token before, and those whose last two tokens weren't seen go on to the shard of
+the token itself; sums for each document come back to a part named by its slice.
+The results are the same. A token that follows one very frequent token goes to
+one shard, which grows with that token's count.
 
 A document's value is its perplexity, smoothed by ``prior`` tokens of its
 language's average so that a few words decide nothing. Documents above the
@@ -32,23 +34,27 @@ than the named ones are ignored, whatever their names.
 from __future__ import annotations
 
 import pickle
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
 
 from .storage import removed, written
 from .text import ALNUM, U64, Lookup, Texts, mix, slices
 
 PRIOR, QUANTILE, SLACK = 30.0, 0.995, 1.1
 FIT_MB: float | None = None  # trusted text that a language's model is fitted on; None: all of its half
-LOCAL, SHARD = 1 << 21, 4 << 20  # trigrams of a model that is broadcast; tokens of a shard, about
+LOCAL, SHARD = 1 << 21, 8 << 20  # trigrams of a model that is broadcast; documents' tokens of a shard, about
+COUNTED = 1 << 20  # trusted tokens that are counted together, about
 PASSES = 6  # parts of the documents that are sent to the shards one after the other, so that a part's messages alone are on disk
+MESSAGES = "8m"  # bytes of messages or texts that a Python worker takes at once
+SLICE, _ROWS = 3 << 20, 20  # bytes of text whose tokens are sent together; bits of a document's place among them
 BYTES = 4  # of text for a token, about
 _START = U64(0x51)
-_ONE, _TWO = U64(0xD6E8FEB86659FD93), U64(0xA5A3564E27F8862B)
+_TWO = U64(0xA5A3564E27F8862B)
 _CLASS = np.where(ALNUM, 1, 2).astype(np.int8)
 _CLASS[[0x20, *range(0x09, 0x0E)]] = 0
 ALL = "*"
@@ -69,25 +75,6 @@ def _tokens(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     return t.hashes(s, e), np.searchsorted(s, t.offs)
 
 
-def _context(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two tokens before each token of its own text."""
-    u, v = np.full(len(h), _START), np.full(len(h), _START)
-    v[1:], u[2:] = h[:-1], h[:-2]
-    start = first[:-1][np.diff(first) > 0]
-    v[start], u[start] = _START, _START
-    second = start[start + 1 < len(h)] + 1
-    second = second[np.isin(second, first, invert=True)]
-    u[second] = _START
-    return u, v
-
-
-def _key(lang: np.ndarray, *words: np.ndarray) -> np.ndarray:
-    k = lang + U64(len(words))
-    for w in words:
-        k = mix(k * _ONE + w)
-    return k | U64(1)
-
-
 def _lang_hash(names: list[str | None]) -> np.ndarray:
     from hashlib import blake2b
 
@@ -95,185 +82,168 @@ def _lang_hash(names: list[str | None]) -> np.ndarray:
     return np.array([known[n] for n in names], dtype=U64)
 
 
-def _grams(docs: DataFrame) -> DataFrame:
-    """(g, u, v, w): every trigram of (lang, text), as hashes; g is the language's."""
+def _hashed(t: Texts, most: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_tokens``, some texts at a time, whose arrays are small."""
+    h, first, i = [np.empty(0, dtype=U64)], [np.zeros(1, dtype=np.int64)], 0
+    while i < len(t):
+        j = min(len(t), max(i + 1, int(np.searchsorted(t.offs, t.offs[i] + most, "right")) - 1))
+        mine, at = _tokens(Texts(t.data[t.offs[i] : t.offs[j]], t.offs[i : j + 1] - t.offs[i]))
+        h.append(mine), first.append(at[1:] + first[-1][-1])
+        i = j
+    return np.concatenate(h), np.concatenate(first)
 
-    def cut(batches):
-        for batch in batches:
-            langs = _lang_hash(batch.column(0).to_pylist())
-            for i, j, t in slices(batch.column(1)):
-                h, first = _tokens(t)
-                u, v = _context(h, first)
-                g = np.repeat(langs[i:j], np.diff(first))
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (g, u, v, h)], names=["g", "u", "v", "w"])
 
-    return docs.select("lang", "text").mapInArrow(cut, "g long, u long, v long, w long")
+def _folded(g: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Hashes of the tokens ``h`` as words of the languages ``g``."""
+    return mix(h ^ g)
 
 
-def _discounts(counts: DataFrame, n: str) -> DataFrame:
-    """(g, d1, d2, d3) of modified Kneser-Ney, from the counts of counts."""
-    c = counts.groupBy("g").agg(*[F.count_if(F.col(n) == i).cast("double").alias(f"c{i}") for i in (1, 2, 3, 4)])
+def _coded(g: np.ndarray, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The words of some texts of the languages ``g`` and their languages; for each token the places of u, v and w among the words: the two tokens before it in its own text and itself."""
+    size = np.diff(first)
+    langs, of = np.unique(g, return_inverse=True)
+    each = np.repeat(of, size)
+    found = pc.dictionary_encode(pa.array(np.concatenate([_folded(langs, np.full(len(langs), _START)), _folded(langs[each], h)])))
+    words, ids = np.asarray(found.dictionary), np.asarray(found.indices)
+    lang = np.empty(len(words), dtype=U64)
+    lang[ids[: len(langs)]], start, w = langs, ids[: len(langs)][of], ids[len(langs) :]
+    lang[w] = langs[each]
+    u, v = np.empty_like(w), np.empty_like(w)
+    v[1:], u[2:] = w[:-1], w[:-2]
+    v[first[:-1][size > 0]] = u[first[:-1][size > 0]] = start[size > 0]
+    u[first[:-1][size > 1] + 1] = start[size > 1]
+    return words, lang, u, v, w
+
+
+def _discounts(counts: DataFrame, by: list[str], times) -> DataFrame:
+    """(by, d1, d2, d3) of modified Kneser-Ney; ``times(i)`` aggregates the number of grams counted i times."""
+    c = counts.groupBy(*by).agg(*[F.coalesce(times(i), F.lit(0)).cast("double").alias(f"c{i}") for i in (1, 2, 3, 4)])
     y = F.col("c1") / F.greatest(F.col("c1") + 2 * F.col("c2"), F.lit(1.0))
     d = [F.greatest(F.lit(0.1), F.least(F.lit(i - 0.1), F.coalesce(i - (i + 1) * y * F.try_divide(f"c{i + 1}", f"c{i}"), F.lit(0.5)))) for i in (1, 2, 3)]
-    return c.select("g", *[x.alias(f"d{i}") for i, x in enumerate(d, 1)])
-
-
-def _level(counts: DataFrame, context: list[str], n: str) -> DataFrame:
-    """Discounted share of each gram in its context, and the weight its context leaves to the shorter one."""
-    own = _discounts(counts, n)
-    few = {f"n{i}": F.count_if(F.col(n) == i if i < 3 else F.col(n) >= 3) for i in (1, 2, 3)}
-    sums = {"total": F.sum(n), **few}
-    if len(context) == 2:  # a window sends the counts to their context once; a join would send them and their sums
-        w = Window.partitionBy("g", *context)
-        rows = counts.select("*", *[x.over(w).alias(k) for k, x in sums.items()])
-    else:  # one token's followers may be many: sums are combined before their shuffle, and a skewed join can be split
-        by = counts.groupBy("g", *context).agg(*[x.alias(k) for k, x in sums.items()])
-        rows = counts.join(by if context else F.broadcast(by), ["g", *context])  # without context a row for each language
-    rows = rows.join(F.broadcast(own), "g")  # a row for each language
-    d = F.when(F.col(n) == 1, F.col("d1")).when(F.col(n) == 2, F.col("d2")).otherwise(F.col("d3"))
+    return c.select(*by, *[x.alias(f"d{i}") for i, x in enumerate(d, 1)])
+
+
+def _alone(c1: DataFrame) -> DataFrame:
+    """(g, w, p, zero): probability of each word without context, and that of a word unseen in its language."""
+    n = F.col("n")
+    sums = {"total": F.sum("n"), "words": F.count("*"), "n1": F.count_if(n == 1), "n2": F.count_if(n == 2), "n3": F.count_if(n >= 3)}
+    by = c1.groupBy("g").agg(*[x.alias(k) for k, x in sums.items()]).join(_discounts(c1, ["g"], lambda i: F.count_if(n == i)), "g")
     left = (F.col("d1") * F.col("n1") + F.col("d2") * F.col("n2") + F.col("d3") * F.col("n3")) / F.col("total").cast("double")
-    return rows.select(*[c for c in counts.columns if c != n], ((F.col(n) - d) / F.col("total").cast("double")).alias("share"), left.alias("left"))
+    by = by.select("g", "total", "d1", "d2", "d3", (left / (F.col("words") + 1)).alias("zero"))
+    d = F.when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3"))
+    return c1.join(F.broadcast(by), "g").select("g", "w", ((n - d) / F.col("total").cast("double") + F.col("zero")).alias("p"), "zero")  # by: a row for each language
 
 
 class Model:
-    """Finished probabilities of seen grams and weights of seen contexts, by hash."""
-
-    def __init__(self, grams3, grams2, grams1, contexts2, contexts1, zero: dict[int, float]):
-        self.k3, self.k2, self.k1, self.c2, self.c1 = (Lookup(x[0]) for x in (grams3, grams2, grams1, contexts2, contexts1))
-        self.p3, self.p2, self.p1, self.left2, self.left1 = (np.append(x[1], np.float32(1)) for x in (grams3, grams2, grams1, contexts2, contexts1))
-        self.zero = zero
-
-    def seen(self, lang: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(probability of each token, positions where the token's own share is still to be multiplied)."""
-        out = np.zeros(len(w))
-        at = self.k3.find(_key(lang, u, v, w))
-        out[at >= 0] = self.p3[at[at >= 0]]
-        i = np.flatnonzero(at < 0)
-        lang, u, v, w = lang[i], u[i], v[i], w[i]
-        # Position -1 is the 1 at the end: an unseen context leaves all to the shorter one.
-        p = self.left2[self.c2.find(_key(lang, u, v))].astype(np.float64)
-        at = self.k2.find(_key(lang, v, w))
-        seen = at >= 0
-        p[seen] *= self.p2[at[seen]]
-        j = np.flatnonzero(~seen)
-        p[j] *= self.left1[self.c1.find(_key(lang[j], v[j]))]
-        out[i] = p
-        return out, i[j]
-
-    def alone(self, lang: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Share of each token without context."""
-        at = self.k1.find(_key(lang, w))
+    """Finished probabilities of the seen grams and weights of the seen contexts of one shard, or of all."""
+
+    def __init__(self, grams: list[np.ndarray] | None, langs: dict[int, tuple], words: np.ndarray | None = None, p: np.ndarray | None = None):
+        """``grams``: as of ``_merged``; ``words`` and ``p``: words with their probability without context."""
+        if grams is None:
+            grams = [np.empty(0, t) for t in (U64, U64, float, int, int, int, int)]
+        self.words, lang, lower, u, v, w, n = grams
+        known, of = np.unique(lang, return_inverse=True)
+        d2, d3 = (np.array([langs[int(x)][i] for x in known]).reshape(-1, 3) for i in (1, 2))
+        two, at, n2 = np.unique(v.astype(np.int64) << 32 | w, return_inverse=True, return_counts=True)
+        at = at.astype(np.int32)
+        v2 = two >> 32
+        new = v2[1:] != v2[:-1]
+        start, of2 = np.flatnonzero(np.append(len(v2) > 0, new)[: len(v2)]), np.cumsum(np.append(0, new))[: len(v2)]
+        d = d2[of[v2], np.minimum(n2, 3) - 1]
+        total = np.add.reduceat(n2, start) if len(start) else start
+        left = np.add.reduceat(d, start) / total if len(start) else d
+        p2 = (n2 - d) / total[of2] + left[of2] * lower[two & 0xFFFFFFFF]
+        self.left1 = np.ones(len(self.words) + 1, dtype=np.float32)  # the last is what an unseen context leaves: all
+        self.left1[v2[start]] = left
+        new = (v[1:] != v[:-1]) | (u[1:] != u[:-1])
+        start, of3 = np.flatnonzero(np.append(len(v) > 0, new)[: len(v)]), np.cumsum(np.append(0, new))[: len(v)].astype(np.int32)
+        d = d3[of[v], np.minimum(n, 3) - 1]
+        total = np.add.reduceat(n, start, dtype=np.int64) if len(start) else start
+        left = np.add.reduceat(d, start) / total if len(start) else d
+        self.p3 = ((n - d) / total[of3] + left[of3] * p2[at]).astype(np.float32)
+        self.left2, self.p2 = np.append(left, 1).astype(np.float32), p2.astype(np.float32)
+        self.three, self.two, self.contexts = (Lookup(x.astype(U64)) for x in (of3.astype(np.int64) << 32 | at, two, v[start].astype(np.int64) << 32 | u[start]))
+        self.langs, self.one, self.p1 = langs, Lookup(np.empty(0, U64) if words is None else words), p
+
+    def seen(self, words: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(probability of each token, positions where the token's own share is still to be multiplied). u, v, w: places in ``words``."""
+        at = np.searchsorted(self.words, words)
+        at[at == len(self.words)] = 0
+        at = np.where(self.words[at] == words, at, -1) if len(self.words) else np.full(len(words), -1)
+        u, v, w = at[u], at[v], at[w]
+        # No key holds a place of -1. Position -1 is the 1 at the end.
+        context, two = self.contexts.find(((v << 32) + u).view(U64)), self.two.find(((v << 32) + w).view(U64))
+        p = self.left2[context].astype(np.float64)
+        i = np.flatnonzero(two >= 0)
+        p[i] *= self.p2[two[i]]
+        i = i[context[i] >= 0]
+        three = self.three.find((context[i] << 32 | two[i]).view(U64))
+        p[i[three >= 0]] = self.p3[three[three >= 0]]
+        i = np.flatnonzero(two < 0)
+        p[i] *= self.left1[v[i]]
+        return p, i
+
+    def alone(self, words: np.ndarray, lang: np.ndarray) -> np.ndarray:
+        """Share of each word without context."""
+        at = self.one.find(words)
         g, back = np.unique(lang, return_inverse=True)
-        none = np.array([self.zero.get(int(x), 1e-7) for x in g])[back] if len(g) else np.empty(0)
-        return np.where(at >= 0, self.p1[at], none)
+        out = np.array([self.langs[int(x)][0] if int(x) in self.langs else 1e-7 for x in g])[back] if len(g) else np.empty(0)
+        out[at >= 0] = self.p1[at[at >= 0]]
+        return out
 
-    def logs(self, lang: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    def coded_logs(self, words: np.ndarray, lang: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
         """log10 probability of each token."""
-        out, i = self.seen(lang, u, v, w)
-        out[i] *= self.alone(lang[i], w[i])
+        out, i = self.seen(words, u, v, w)
+        out[i] *= self.alone(words, lang)[w[i]]
         return np.log10(out)
 
-
-def fitted(trusted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, dict[int, float], int]:
-    """Of (lang, text) rows, all of which are counted: trigrams with their count n and their language's discounts; grams of two and one tokens with their probability p and what their context leaves; each language's share of an unseen token; the number of trigrams."""
-    c3 = written(_grams(trusted).groupBy("g", "u", "v", "w").agg(F.count("*").alias("n")), "grams3")
-    c2 = written(c3.groupBy("g", "v", "w").agg(F.count("*").alias("n")), "grams2")
-    c1 = c2.groupBy("g", "w").agg(F.count("*").alias("n"))
-    size = c1.groupBy("g").agg(F.count("*").alias("words"))
-    l1 = _level(c1, [], "n").join(F.broadcast(size), "g")
-    one = written(l1.select("g", "w", (F.col("share") + F.col("left") / (F.col("words") + 1)).alias("p"), (F.col("left") / (F.col("words") + 1)).alias("zero")), "level1")
-    l2 = _level(c2, ["v"], "n")
-    two = l2.join(one.select("g", "w", F.col("p").alias("lower")), ["g", "w"]).select("g", "v", "w", (F.col("share") + F.col("left") * F.col("lower")).alias("p"), F.col("left").alias("leave"))
-    two = written(two, "level2")
-    removed(c2)
-    three = c3.join(F.broadcast(written(_discounts(c3, "n"), "discounts")), "g")  # a row for each language
-    zero = {int(r.g) & (1 << 64) - 1: float(r.zero) for r in one.select("g", "zero").distinct().collect()}  # a row for each language
-    return three, two, one, zero, c3.count()
-
-
-def _finished(three: DataFrame, two: DataFrame) -> DataFrame:
-    """Trigrams with their probability p and what their context leaves."""
-    l3 = _level(three.select("g", "u", "v", "w", "n"), ["u", "v"], "n")
-    return l3.join(two.select("g", "v", "w", F.col("p").alias("lower")), ["g", "v", "w"]).select("g", "u", "v", "w", (F.col("share") + F.col("left") * F.col("lower")).alias("p"), F.col("left").alias("leave"))
-
-
-def gathered(three: DataFrame, two: DataFrame, one: DataFrame, zero: dict[int, float]) -> Model:
-    """The whole model, for tables of a measured size."""
-    g3, c2 = _keyed(_finished(three, two), "u", "v", "w")
-    g2, c1 = _keyed(two, "v", "w")
-    g1, _ = _keyed(one.withColumn("leave", F.lit(0.0)), "w")
-    return Model(g3, g2, g1, c2, c1, zero)
-
-
-def train(trusted: DataFrame) -> Model:
-    """The model of (lang, text) rows, all of which are counted."""
-    return gathered(*fitted(trusted)[:4])
-
-
-def _keyed(df: DataFrame, *words: str) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """(keys, probabilities) of grams and (keys, weights left) of their contexts, hashed on the executors."""
-
-    def key(batches):
-        for batch in batches:
-            cols = [np.asarray(c).view(U64) for c in batch.columns[:-2]]
-            keys = [pa.array(k.view(np.int64)) for k in (_key(*cols), _key(*cols[:-1]))]
-            floats = [batch.column(batch.num_columns - i).cast(pa.float32()) for i in (2, 1)]
-            yield pa.RecordBatch.from_arrays([*keys, *floats], names=["k", "c", "p", "leave"])
-
-    t = df.select("g", *words, "p", "leave").mapInArrow(key, "k long, c long, p float, leave float").toArrow()
-    k, c, p, leave = (t.column(i).to_numpy() for i in ("k", "c", "p", "leave"))
-    del t
-    pa.default_memory_pool().release_unused()
-    contexts, at = np.unique(c, return_index=True)
-    return (k.view(U64), p), (contexts.view(U64), leave[at])
-
-
-def scored(docs: DataFrame, model: Model, known: set[str | None], keep: tuple[str, ...], lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` of each document with n_tokens and logp (log10 probability of its text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def scan(batches):
-        for batch in batches:
-            k = batch.num_columns - 2
-            langs = _lang_hash([x if x in known else ALL for x in batch.column(k).to_pylist()])
-            n, logs = [np.empty(0, dtype=np.int64)], [np.empty(0)]
-            for i, j, t in slices(batch.column(k + 1), 1 << 19):
-                h, first = _tokens(t)
-                size = np.diff(first)
-                logp = shared.value.logs(np.repeat(langs[i:j], size), *_context(h, first), h)
-                sums = np.concatenate([[0.0], np.cumsum(logp)])
-                n.append(size), logs.append(sums[first[1:]] - sums[first[:-1]])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(np.concatenate(n).astype(np.int64)), pa.array(np.concatenate(logs))], names=[*keep, "n_tokens", "logp"])
-
-    schema = docs.select(*keep).schema.add("n_tokens", "long").add("logp", "double")
-    return docs.select(*keep, F.col(lang_col).alias("__lang"), F.col(text_col).alias("__text")).mapInArrow(scan, schema)
+    def logs(self, lang: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """log10 probability of each token w of a language after u and v, all as hashes."""
+        words, ids = np.unique(np.concatenate([_folded(lang, x) for x in (u, v, w)]), return_inverse=True)
+        u, v, w = ids.reshape(3, -1)
+        g = np.empty(len(words), dtype=U64)
+        g[w] = g[v] = g[u] = lang
+        return self.coded_logs(words, g, u, v, w)
 
 
 _MESSAGE = "part int, kind int, size int, blob binary"
-_DOCS = 9  # kind of a message of documents' tokens; smaller ones are the model's and come first
+_GRAMS, _LOWER, _DOCS, _SIZES, _SUMS = range(5)  # kinds of messages; a part's model comes before its documents
 
 
 def _part(word: np.ndarray, parts: int) -> np.ndarray:
-    return (mix(word + _TWO) % U64(parts)).astype(np.int32)
+    part = mix(word + _TWO) % U64(parts)
+    return part.astype(np.uint16 if parts <= 1 << 16 else np.int32)  # few bits are sorted by radix
 
 
-def _messages(kind: int, part: np.ndarray, plain: list[np.ndarray], words: list[np.ndarray]) -> list[tuple]:
-    """A message of the rows of each part; ``words`` are sent as places in a list of those met."""
+def _dealt(part: np.ndarray, n: int, *ids: np.ndarray):
+    """For each part: its number, the positions that it gets, which of ``n`` words their ``ids`` name, and the places of these among them."""
     order = np.argsort(part, kind="stable")
     part = part[order]
     cut = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.empty(0, dtype=np.int64)
-    out = []
+    place = np.empty(n, dtype=np.int32)
     for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(part)]):
         at = order[a:b]
-        met, ids = np.unique(np.concatenate([x[at] for x in words]), return_inverse=True) if words else (None, None)
-        raw = pickle.dumps(([x[at] for x in plain], met, None if ids is None else ids.astype(np.int32)), 5)
-        out.append((int(part[a]), kind, len(raw), pa.compress(raw, "zstd", asbytes=True)))
-    return out
+        mine = [x[at] for x in ids]
+        if n > 8 * len(at):
+            met, flat = np.unique(np.concatenate(mine), return_inverse=True)
+            mine = list(flat.reshape(len(mine), -1))
+        else:
+            flag = np.zeros(n, dtype=bool)
+            for x in mine:
+                flag[x] = True
+            met = np.flatnonzero(flag)
+            place[met] = np.arange(len(met), dtype=np.int32)
+            mine = [place[x] for x in mine]
+        yield int(part[a]), at, met, [x.astype(np.min_scalar_type(len(met))) for x in mine]
 
 
-def _opened(size: int, blob: bytes) -> list[np.ndarray]:
-    plain, met, ids = pickle.loads(pa.decompress(blob, size, "zstd", asbytes=True))
-    return [*plain, *(met[ids].reshape(-1, len(plain[0])) if ids is not None else [])]
+def _message(part: int, kind: int, *arrays: np.ndarray) -> tuple:
+    raw = pickle.dumps(arrays, 5)
+    return part, kind, len(raw), pa.compress(raw, "zstd", asbytes=True)
+
+
+def _opened(size: int, blob: bytes) -> tuple[np.ndarray, ...]:
+    return pickle.loads(pa.decompress(blob, size, "zstd", asbytes=True))
 
 
 def _batch(messages: list[tuple]) -> pa.RecordBatch:
@@ -281,180 +251,320 @@ def _batch(messages: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([m[i] for m in messages], k) for i, k in enumerate(kinds)], names=["part", "kind", "size", "blob"])
 
 
-def _shards(df: DataFrame, words: tuple[str, ...], kinds: tuple[int, ...], by: str, parts: int, counts: bool = False) -> DataFrame:
-    """Messages of the probabilities of grams (the first kind) and of what contexts leave (the second); ``counts``: of the counts of trigrams."""
-
-    def pack(batches):
-        held, n = [], 0
-        for batch in batches:
-            held.append(batch)
-            n += batch.num_rows
-            if n >= 1 << 20:
-                yield told(held)
-                held, n = [], 0
-        if n:
-            yield told(held)
-
-    def told(held):
-        t = pa.Table.from_batches(held)
-        col = lambda c: t.column(c).to_numpy().view(U64)
-        at = _part(col(by), parts)
-        out = _messages(kinds[0], at, [_key(col("g"), *map(col, words)), t.column("p").to_numpy().astype(np.float32)], [])
-        if len(kinds) > 1:
-            k, i = np.unique(_key(col("g"), *map(col, words[:-1])), return_index=True)
-            out += _messages(kinds[1], at[i], [k, t.column("leave").to_numpy()[i].astype(np.float32)], [])
-        return _batch(out)
-
-    def counted(held):
-        t = pa.Table.from_batches(held)
-        g, u, v, w = (t.column(c).to_numpy().view(U64) for c in ("g", "u", "v", "w"))
-        return _batch(_messages(kinds[0], _part(v, parts), [g, _narrow(t.column("n").to_numpy())], [u, v, w]))
-
-    if counts:
-        told = counted
-        return df.select("g", *words, "n").mapInArrow(pack, _MESSAGE)
-    return df.select("g", *words, "p", *(["leave"] if len(kinds) > 1 else [])).mapInArrow(pack, _MESSAGE)
+def _told(batches):
+    for batch in batches:
+        for i in range(batch.num_rows):
+            part, kind, size, blob = (c[i].as_py() for c in batch.columns)
+            yield part, kind, _opened(size, blob)
 
 
 def _narrow(n: np.ndarray) -> np.ndarray:
     return n.astype(np.min_scalar_type(int(n.max()))) if len(n) else n
 
 
-def _joined(messages: DataFrame, parts: int) -> DataFrame:
-    """One message of each kind for each part: its words stand once, its trigrams in the order of their contexts."""
-
-    def told(part, kind, held):
-        cols = list(map(np.concatenate, zip(*held)))
-        if kind:
-            return _batch(_messages(kind, np.full(len(cols[0]), part), cols, []))
-        g, n, u, v, w = cols
-        order = np.lexsort((w, u, v, g))
-        return _batch(_messages(0, np.full(len(g), part), [g[order], _narrow(n[order])], [u[order], v[order], w[order]]))
+def _gram_messages(grams: list[np.ndarray], parts: int) -> pa.RecordBatch:
+    """Messages of grams to the parts of the middle word, which so get all grams and contexts that a token after it needs."""
+    words, lang, p, u, v, w, n = grams
+    return _batch([_message(to, _GRAMS, words[met], lang[met], p[met], *ids, _narrow(n[at])) for to, at, met, ids in _dealt(_part(words, parts)[v], len(words), u, v, w)])
+
+
+def _merged(held: list[tuple[np.ndarray, ...]], most: int = 64) -> list[np.ndarray]:
+    """One list of words, of their languages and their probabilities where these are known, and of the trigrams (u, v, w as places in it, sorted by v, u, w) with their counts, from several. Places of up to ``most`` bits together are sorted as one number."""
+    words = np.unique(np.concatenate([m[0] for m in held]))
+    lang, p, rows = np.empty(len(words), dtype=U64), np.full(len(words), np.nan), []
+    bits = U64(len(words).bit_length())
+    packed = 3 * int(bits) <= most
+    for k, g, q, u, v, w, n in held:
+        at = np.searchsorted(words, k).astype(U64 if packed else np.int32)
+        lang[at], p[at] = g, np.fmax(p[at], q)
+        rows.append(((at[v] << bits | at[u]) << bits | at[w], n) if packed else (at[v], at[u], at[w], n))
+    *keys, n = map(np.concatenate, zip(*rows))
+    del rows
+    if packed and len(n) and n.max() == 1:
+        keys[0].sort()
+    else:
+        order = np.argsort(keys[0], kind="stable") if packed else np.lexsort(keys[::-1])
+        keys, n = [x[order] for x in keys], n[order]
+    new = np.zeros(len(n), dtype=bool)
+    new[:1] = True
+    for x in keys:
+        new[1:] |= x[1:] != x[:-1]
+    start = np.flatnonzero(new)
+    keys = [x[start] for x in keys]
+    if packed:
+        mask = (U64(1) << bits) - U64(1)
+        keys = [(keys[0] >> x * bits & mask).astype(np.int32) for x in (U64(2), U64(1), U64(0))]
+    v, u, w = keys
+    return [words, lang, p, u, v, w, np.add.reduceat(n, start, dtype=np.int64) if len(start) else n.astype(np.int64)]
+
+
+def _by_part(messages: DataFrame, parts: int, told, schema: str = _MESSAGE) -> DataFrame:
+    """``told(part, kinds and arrays)`` for all messages of each part, smaller kinds first."""
 
     def run(batches):
         at, held = None, []
-        for batch in batches:
-            for part, kind, size, blob in zip(*(c.to_pylist() for c in batch.columns)):
-                if at != (part, kind):
-                    if held:
-                        yield told(*at, held)
-                    at, held = (part, kind), []
-                held.append(_opened(size, blob))
+        for part, kind, arrays in _told(batches):
+            if held and at != part:
+                yield from told(at, held)
+                held = []
+            at = part
+            held.append((kind, arrays))
         if held:
-            yield told(*at, held)
+            yield from told(at, held)
 
-    return messages.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(run, _MESSAGE)
+    return messages.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(run, schema)
 
 
-def _level3(message: list[np.ndarray], discounts: dict[int, tuple[float, ...]], two: Lookup, lower: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """(keys, probabilities) of the trigrams of a shard and (keys, weights left) of their contexts, from their counts in the order of the contexts: a shard holds all of a context, and the shorter grams."""
-    g, n, u, v, w = message
-    first = np.append(True, (g[1:] != g[:-1]) | (v[1:] != v[:-1]) | (u[1:] != u[:-1]))
-    start, at = np.flatnonzero(first), np.cumsum(first) - 1
-    total = np.add.reduceat(n, start, dtype=np.int64)
-    langs, of = np.unique(g, return_inverse=True)
-    d = np.array([discounts[int(x)] for x in langs])[of, np.minimum(n, 3).astype(np.int64) - 1]
-    left = np.add.reduceat(d, start) / total
-    p = (n - d) / total[at] + left[at] * lower[two.find(_key(g, v, w))]
-    return (_key(g, u, v, w), p.astype(np.float32)), (_key(g[start], u[start], v[start]), left.astype(np.float32))
+def _parts(texts: DataFrame, text_col: str, shard: int) -> int:
+    size = texts.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    return max(1, -(-size // (BYTES * shard)))
 
 
-def _answered(messages: DataFrame, parts: int, answer, schema: str, discounts: dict[int, tuple[float, ...]] | None = None) -> DataFrame:
-    """``answer(tables, message)`` for each message of documents, with the (keys, values) that its part's model messages bring by kind."""
+def fitted(trusted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, dict[int, tuple], int]:
+    """Of (lang, text) rows, all of which are counted: messages of the trigrams with their counts, by shard; messages of the probabilities of the words that end a shard's grams; words with their probability p; each language's share of an unseen word, and its discounts of two and three tokens; the number of trigrams."""
+    parts = _parts(trusted, "text", COUNTED)
 
-    def run(batches):
-        part, held, tables = None, {}, None
+    def cut(batches):
         for batch in batches:
-            for at, kind, size, blob in zip(*(c.to_pylist() for c in batch.columns)):
-                if at != part:
-                    part, held, tables = at, {}, None
-                if kind != _DOCS:
-                    held.setdefault(kind, []).append(_opened(size, blob))
-                    continue
-                if tables is None:
-                    none = (np.empty(0, dtype=U64), np.empty(0, dtype=np.float32))
-                    counts = held.pop(0, None)
-                    full = [tuple(map(np.concatenate, zip(*held[k]))) if k in held else none for k in range(5)]
-                    if counts:
-                        full[0], full[1] = _level3(counts[0], discounts, Lookup(full[2][0]), full[2][1])
-                    tables, held = Model(full[0], full[2], full[4], full[1], full[3], {}), {}
-                yield from answer(tables, _opened(size, blob))
+            langs = _lang_hash(batch.column(0).to_pylist())
+            for i, j, t in slices(batch.column(1), SLICE):
+                words, lang, u, v, w = _coded(langs[i:j], *_hashed(t))
+                yield _gram_messages([words, lang, np.full(len(words), np.nan), u, v, w, np.ones(len(w), dtype=np.uint8)], parts)
+
+    names = ["part", "kind", "size", "blob", "g", "w", "n"]
+
+    def told(part, held):
+        grams = _merged([m for _, m in held])
+        words, lang, _, u, v, w, n = grams
+        one = _batch([_message(part, _GRAMS, *grams[:3], *(_narrow(x) for x in grams[3:]))])
+        yield pa.RecordBatch.from_arrays([*one.columns, *[pa.nulls(1, pa.int64())] * 3], names=names)
+        two, n2 = np.unique(v.astype(np.int64) << 32 | w, return_counts=True)
+        n1 = np.bincount(two & 0xFFFFFFFF, minlength=len(words))
+        met = np.flatnonzero(n1)
+        rows = [(np.full(len(met), 1), lang[met], words[met].view(np.int64), n1[met])]
+        for kind, g, c in ((2, lang[two >> 32], n2), (3, lang[v], n)):  # how many grams have each small count; 0: all of a language
+            for i in range(5):
+                of, many = np.unique(g if i == 0 else g[c == i], return_counts=True)
+                rows.append((np.full(len(of), kind), of, np.full(len(of), i), many))
+        kind, g, w, n = map(np.concatenate, zip(*rows))
+        k = len(kind)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(k, part), pa.int32()), pa.array(kind, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), *(pa.array(x.view(np.int64)) for x in (g, w, n))], names=names)
+
+    counts = written(_by_part(trusted.select("lang", "text").mapInArrow(cut, _MESSAGE), parts, told, _MESSAGE + ", g long, w long, n long"), "counts", MESSAGES)
+    few = counts.where("blob is null")
+    one = written(_alone(few.where("kind = 1").groupBy("g", "w").agg(F.sum("n").alias("n"))), "words1")
 
-    return messages.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(run, schema)
+    def pack(batches):
+        def message():
+            t = pa.Table.from_batches(held)
+            return _batch([_message(at, _LOWER, t.column("w").to_numpy().view(U64), t.column("p").to_numpy())])
+
+        at, held = None, []
+        for batch in batches:
+            part = np.asarray(batch.column(0))
+            cut = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)]).tolist()
+            for a, b in zip(cut, [*cut[1:], len(part)]):
+                if held and at != int(part[a]):
+                    yield message()
+                    held = []
+                at = int(part[a])
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield message()
 
+    lower = few.where("kind = 1").select("part", "g", "w").join(one.select("g", "w", "p"), ["g", "w"]).select("part", "w", "p")
+    lower = written(lower.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(pack, _MESSAGE), "lower")
+    unsigned = lambda x: int(x) & (1 << 64) - 1
+    many = few.where("kind in (2, 3)")
+    # Some rows for each language:
+    d = {(r.kind, unsigned(r.g)): (r.d1, r.d2, r.d3) for r in _discounts(many, ["kind", "g"], lambda i: F.sum(F.when(F.col("w") == i, F.col("n")))).collect()}
+    langs = {unsigned(r.g): (float(r.zero), d[2, unsigned(r.g)], d[3, unsigned(r.g)]) for r in one.select("g", "zero").distinct().collect()}
+    size = many.where("kind = 3 and w = 0").agg(F.sum("n")).first()[0] or 0
+    return counts.where("blob is not null").select("part", "kind", "size", "blob"), lower, one, langs, size
 
-def _sums(row: np.ndarray, logs: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    rows, at = np.unique(row, return_inverse=True)
-    return pa.array(rows, pa.int64()), pa.array(np.bincount(at, logs, len(rows)), pa.float64())
 
+def _lowered(held: list[tuple[int, tuple[np.ndarray, ...]]]) -> list[np.ndarray]:
+    """The grams of a shard with the probabilities of the words that end them."""
+    grams = _merged([m for kind, m in held if kind == _GRAMS])
+    for kind, m in held:
+        if kind == _LOWER:
+            grams[2][np.searchsorted(grams[0], m[0])] = m[1]
+    return grams
 
-def scored_by_shuffle(docs: DataFrame, three: DataFrame, two: DataFrame, one: DataFrame, zero: dict[int, float], known: set[str | None], keep: tuple[str, ...], lang_col: str = "lang", text_col: str = "text", shard: int = SHARD, passes: int = PASSES, last_use: bool = False) -> DataFrame:
-    """As ``scored``, with a model that stays in shards: ``three`` as counts, of which each shard makes its probabilities. The documents go there in ``passes``, and each pass's rows are written. ``last_use``: the model's tables are deleted once the shards are written."""
 
-    def cut(batches):
+def gathered(three: DataFrame, two: DataFrame, one: DataFrame, langs: dict[int, tuple]) -> Model:
+    """The whole model, for tables of a measured size."""
+    held = {}
+    for r in sorted(three.unionByName(two).collect(), key=lambda r: r.kind):
+        held.setdefault(r.part, []).append((r.kind, _opened(r.size, bytes(r.blob))))
+    t = one.select("w", "p").toArrow()
+    return Model(_merged(list(map(_lowered, held.values()))) if held else None, langs, t.column("w").to_numpy().view(U64), t.column("p").to_numpy())
+
+
+def train(trusted: DataFrame) -> Model:
+    """The model of (lang, text) rows, all of which are counted."""
+    return gathered(*fitted(trusted)[:4])
+
+
+def scored(docs: DataFrame, model: Model, known: set[str | None], keep: tuple[str, ...], lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """The columns ``keep`` of each document with n_tokens and logp (log10 probability of its text)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def scan(batches):
         for batch in batches:
-            k = batch.num_columns - 3
+            k = batch.num_columns - 2
             langs = _lang_hash([x if x in known else ALL for x in batch.column(k).to_pylist()])
-            for i, j, t in slices(batch.column(k + 1)):
+            n, logs = [np.empty(0, dtype=np.int64)], [np.empty(0)]
+            for i, j, t in slices(batch.column(k + 1), 1 << 19):
                 h, first = _tokens(t)
-                lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[:k]), batch.column(k + 2).slice(i, j - i), pa.array(np.diff(first).astype(np.int64)), pa.array(langs[i:j].view(np.int64)), lists], names=[*keep, "__row", "n_tokens", "__g", "__h"])
+                sums = np.concatenate([[0.0], np.cumsum(shared.value.coded_logs(*_coded(langs[i:j], h, first)))])
+                n.append(np.diff(first)), logs.append(sums[first[1:]] - sums[first[:-1]])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(np.concatenate(n).astype(np.int64)), pa.array(np.concatenate(logs))], names=[*keep, "n_tokens", "logp"])
+
+    schema = docs.select(*keep).schema.add("n_tokens", "long").add("logp", "double")
+    return docs.select(*keep, F.col(lang_col).alias("__lang"), F.col(text_col).alias("__text")).mapInArrow(scan, schema)
+
 
-    schema = docs.select(*keep).schema.add("__row", "long").add("n_tokens", "long").add("__g", "long").add("__h", ArrayType(LongType()))
-    size = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
-    parts = max(1, -(-size // (BYTES * shard)))
+def scored_by_shuffle(docs: DataFrame, three: DataFrame, two: DataFrame, one: DataFrame, langs: dict[int, tuple], known: set[str | None], keep: tuple[str, ...], lang_col: str = "lang", text_col: str = "text", shard: int = SHARD, passes: int = PASSES, last_use: bool = False) -> DataFrame:
+    """As ``scored``, with a model that stays in shards. The documents' tokens go there in ``passes``, as messages; sums for each document come back to the part that its slice of documents names. ``last_use``: the model's tables are deleted once the shards are written."""
+    parts = _parts(docs, text_col, shard)
     passes = min(passes, parts)
-    discounts = {int(r.g) & (1 << 64) - 1: (r.d1, r.d2, r.d3) for r in three.select("g", "d1", "d2", "d3").distinct().collect()}  # a row for each language
 
-    def ask(batches):
+    def deal(part, held):
+        yield _gram_messages(_lowered(held), parts)
+
+    def join(part, held):
+        grams = _merged([m for _, m in held])
+        yield _batch([_message(part, _GRAMS, *grams[:3], *(_narrow(x) for x in grams[3:]))])
+
+    def spread(batches):
         for batch in batches:
-            row, g = (np.asarray(batch.column(c)) for c in (0, 1))
-            lists, i = batch.column(2), 0
-            ends = np.asarray(lists.offsets).astype(np.int64)
-            while i < len(row):
-                j = max(i + 1, int(np.searchsorted(ends, ends[i] + (2 << 20), "right")) - 1)
-                first = ends[i : j + 1] - ends[i]
-                h = np.asarray(lists.values)[ends[i] : ends[j]].view(U64)
-                u, v = _context(h, first)
-                each = lambda x: np.repeat(x[i:j], np.diff(first))
-                if len(h):
-                    yield _batch(_messages(_DOCS, _part(v, parts), [each(row), each(g).view(U64)], [u, v, h]))
-                i = j
-
-    def shared(model, message):
-        row, g, u, v, w = message
-        p, i = model.seen(g, u, v, w)
-        rows, sums = _sums(row, np.log10(p))
-        yield pa.RecordBatch.from_arrays([rows, sums, *(pa.nulls(len(rows), t) for t in (pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["row", "s", "part", "kind", "size", "blob"])
-        more = _batch(_messages(_DOCS, _part(w[i], parts), [row[i], g[i]], [w[i]]))
-        yield pa.RecordBatch.from_arrays([pa.nulls(more.num_rows, pa.int64()), pa.nulls(more.num_rows, pa.float64()), *more.columns], names=["row", "s", "part", "kind", "size", "blob"])
-
-    def alone(model, message):
-        row, g, w = message
-        model.zero = zero
-        yield pa.RecordBatch.from_arrays([*_sums(row, np.log10(model.alone(g, w)))], names=["row", "s"])
-
-    grams = _shards(three, ("u", "v", "w"), (0,), "v", parts, counts=True).unionByName(_shards(two, ("v", "w"), (2, 3), "v", parts))
-    grams, words = written(_joined(grams, parts), "shards"), written(_shards(one, ("w",), (4,), "w", parts), "words")
+            words, p = (np.asarray(c) for c in batch.columns)
+            yield _batch([_message(to, _LOWER, words[at].view(U64), p[at]) for to, at, _, _ in _dealt(_part(words.view(U64), parts), len(words), np.arange(len(words)))])
+
+    grams = written(_by_part(_by_part(three.unionByName(two), parts, deal), parts, join), "shards", MESSAGES)
+    words = written(one.select("w", "p").mapInArrow(spread, _MESSAGE), "words")
     if last_use:
         removed(three, two, one)
 
+    def home(row: np.ndarray) -> np.ndarray:
+        return _part(row >> U64(_ROWS), parts)
+
+    def ask(batches):
+        for whole in batches:
+            for batch in (whole.slice(a, 1 << _ROWS) for a in range(0, whole.num_rows, 1 << _ROWS)):
+                key = np.asarray(batch.column(0)).view(U64)
+                g = _lang_hash([x if x in known else ALL for x in batch.column(1).to_pylist()])
+                for i, j, t in slices(batch.column(2), SLICE):
+                    h, first = _hashed(t)
+                    at = np.arange(j - i, dtype=U64)
+                    # A slice is named by its keys: equal slices have equal rows, whose averages are taken in the end.
+                    row = np.bitwise_xor.reduce(mix(key[i:j] + mix(at))) << U64(_ROWS) | at
+                    yield _batch([_message(int(home(row[:1])[0]), _SIZES, row, key[i:j], np.diff(first))])
+                    met, lang, u, v, w = _coded(g[i:j], h, first)
+                    of, out = np.repeat(np.arange(j - i), np.diff(first)), []
+                    for to, at, mine, ids in _dealt(_part(met, parts)[v], len(met), u, v, w):
+                        start = np.flatnonzero(np.append(True, np.diff(of[at]) > 0))
+                        out.append(_message(to, _DOCS, row[of[at[start]]], _narrow(np.diff(np.append(start, len(at)))), met[mine], lang[mine], *ids))
+                    if out:
+                        yield _batch(out)
+
+    def sums(row: np.ndarray, logs: np.ndarray) -> list[tuple]:
+        return [_message(to, _SUMS, row[at], logs[at]) for to, at, _, _ in _dealt(home(row), len(row), np.arange(len(row)))]
+
+    def shared(batches):
+        part = model = None
+        more, n = [], 0
+
+        def rest():
+            row, word, g = map(np.concatenate, zip(*more))
+            order = np.argsort(row, kind="stable")
+            row, word, g = row[order], word[order], g[order]
+            found = pc.dictionary_encode(pa.array(word))
+            met, w = np.asarray(found.dictionary), np.asarray(found.indices)
+            lang = np.empty(len(met), dtype=U64)
+            lang[w] = g
+            return _batch([_message(to, _DOCS, row[at], met[mine], lang[mine], *ids) for to, at, mine, ids in _dealt(_part(met, parts)[w], len(met), w)])
+
+        for at, kind, arrays in _told(batches):
+            if at != part:
+                part, model = at, None
+            if kind == _GRAMS:
+                model = Model(list(arrays), langs)
+                continue
+            if kind == _SIZES:  # on its way home
+                yield _batch([_message(at, kind, *arrays)])
+                continue
+            row, runs, met, lang, u, v, w = arrays
+            model = model or Model(None, langs)
+            p, i = model.seen(met, u, v, w)
+            yield _batch(sums(row, np.add.reduceat(np.log10(p), np.cumsum(runs, dtype=np.int64) - runs)))
+            if len(i):
+                more.append((np.repeat(row, runs)[i], met[w[i]], lang[w[i]]))
+                n += len(i)
+            if n > 1 << 19:
+                yield rest()
+                more, n = [], 0
+        if more:
+            yield rest()
+
+    def alone(batches):
+        part = model = None
+        held, found, n = [], [], 0
+
+        def told():
+            row, logs = map(np.concatenate, zip(*found))
+            row, at = np.unique(row, return_inverse=True)
+            return _batch(sums(row, np.bincount(at, logs, len(row))))
+
+        for at, kind, arrays in _told(batches):
+            if at != part:
+                part, model, held = at, None, []
+            if kind == _LOWER:
+                held.append(arrays)
+                continue
+            if model is None:
+                model = Model(None, langs, *(map(np.concatenate, zip(*held)) if held else (np.empty(0, U64), np.empty(0))))
+            row, met, lang, w = arrays
+            found.append((row, np.log10(model.alone(met, lang))[w]))
+            n += len(row)
+            if n > 1 << 20:
+                yield told()
+                found, n = [], 0
+        if found:
+            yield told()
+
+    def add(batches):
+        sizes, found = [], []
+        for _, kind, arrays in _told(batches):
+            (sizes if kind == _SIZES else found).append(arrays)
+        if sizes:
+            row, key, n = map(np.concatenate, zip(*sizes))
+            row, at = np.unique(row, return_inverse=True)
+            to, logs = map(np.concatenate, zip(*found)) if found else (row[:0], np.empty(0))
+            total = np.bincount(np.searchsorted(row, to), logs, len(row)) / np.bincount(at)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(total[at])], names=["key", "n", "s"])
+
     def scan(mine: DataFrame) -> DataFrame:
-        told = written(mine.select(*keep, F.col(lang_col).alias("__lang"), F.col(text_col).alias("__text"), F.monotonically_increasing_id().alias("__row")).mapInArrow(cut, schema), "tokens")
-        asked = told.select("__row", "__g", "__h").mapInArrow(ask, _MESSAGE)
-        half = written(_answered(grams.unionByName(asked), parts, shared, "row long, s double, " + _MESSAGE, discounts), "answers")
-        rest = half.where("blob is not null").select("part", "kind", "size", "blob")
-        last = _answered(words.unionByName(rest), parts, alone, "row long, s double")
-        logs = half.where("blob is null").select("row", "s").unionByName(last).groupBy(F.col("row").alias("__row")).agg(F.sum("s").alias("logp"))
-        out = written(told.drop("__g", "__h").join(logs, "__row", "left").select(*keep, "n_tokens", F.coalesce("logp", F.lit(0.0)).alias("logp")), "scores")
-        removed(told, half)
+        asked = mine.select(key, lang_col, text_col).mapInArrow(ask, _MESSAGE)
+        by = lambda x, f: x.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(f, _MESSAGE)
+        tokens = F.col("kind") == _DOCS
+        half = written(by(grams.unionByName(asked), shared), "answers", MESSAGES)
+        last = by(words.unionByName(half.where(tokens)), alone)
+        back = half.where(~tokens).unionByName(last).repartition(parts, "part").mapInArrow(add, "key long, n long, s double")
+        out = written(back.groupBy("key").agg(F.first("n").alias("n"), F.avg("s").alias("s")), "sums", MESSAGES)
+        removed(half)
         return out
 
-    turn = F.pmod(F.xxhash64(keep[0], text_col), F.lit(passes))
-    out = scan(docs.where(turn == 0))
-    for k in range(1, passes):
-        out = out.unionByName(scan(docs.where(turn == k)))
+    cols = [F.col(c) for c in (keep[0], lang_col, text_col)]
+    key = F.xxhash64(*cols, *[c.isNull() for c in cols]).alias("__key")
+    turn = F.pmod(F.xxhash64(cols[0], F.lit(3)), F.lit(passes))
+    found = [scan(docs.where(turn == k)) for k in range(passes)]
     removed(grams, words)
+    logs = reduce(DataFrame.unionByName, found).withColumnRenamed("key", "__key")
+    out = docs.select(*keep, key).join(logs, "__key", "left").select(*keep, F.coalesce("n", F.lit(0)).alias("n_tokens"), F.coalesce("s", F.lit(0.0)).alias("logp"))
+    out = written(out, "scores")
+    removed(*found)
     return out
 
 

@@ -363,6 +363,51 @@ def test_quality_in_passes_gives_the_same(spark, docs):
     assert told[0] == told[1] and len(told[0]) == docs.count()
 
 
+def test_quality_sends_slices_not_documents(spark, docs, monkeypatch):
+    """Rows between the stages are messages: fewer than documents, whatever the number of shards."""
+    made = []
+
+    def written(df, what, *more, keep=q.written):
+        out = keep(df, what, *more)
+        if what == "answers":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(q, "written", written)
+    many = docs.where("doc_id < 80").crossJoin(spark.range(30).select(F.col("id").alias("copy"))).withColumn("doc_id", F.col("doc_id") + 1000 * F.col("copy")).coalesce(1)
+    trusted = docs.where("doc_id < 80").select("lang", "text")
+    *levels, _ = q.fitted(trusted)
+    langs = {r.lang for r in trusted.select("lang").distinct().collect()}
+    got = q.scored_by_shuffle(many, *levels, langs, ("doc_id", "lang"), shard=1500, passes=1).collect()
+    assert len(made) == 1 and made[0] < many.count() == len(got)
+    want = {r.doc_id: round(r.logp, 6) for r in q.scored(many, q.gathered(*levels), langs, ("doc_id", "lang")).collect()}
+    assert {r.doc_id: round(r.logp, 6) for r in got} == want
+
+
+def test_quality_equal_rows_and_slices_count_once(spark, docs):
+    one = docs.where("doc_id in (3, 12) or doc_id is null").coalesce(1)
+    twice = one.unionByName(one).unionByName(one)
+    *levels, _ = q.fitted(docs.where("doc_id < 80").select("lang", "text"))
+    told = [sorted((str(r.doc_id), r.n_tokens, round(r.logp, 9)) for r in q.scored_by_shuffle(x, *levels, {"en", "de"}, ("doc_id", "lang"), shard=20).collect()) for x in (one, twice)]
+    assert told[1] == sorted(told[0] * 3)
+
+
+def test_quality_merges_grams_of_many_words_alike():
+    r = np.random.default_rng(1)
+    held = []
+    for _ in range(3):
+        words = np.unique(r.integers(1, 60, 40)).astype(np.uint64)
+        held.append((words, words % np.uint64(2), np.full(len(words), np.nan), *(r.integers(0, len(words), 500) for _ in range(3)), r.integers(1, 3, 500)))
+    for x, y in zip(q._merged(held), q._merged(held, most=0)):
+        assert np.array_equal(x, y, equal_nan=x.dtype == float)
+    count = Counter()
+    for k, _, _, u, v, w, n in held:
+        for a, b, c, m in zip(k[u], k[v], k[w], n):
+            count[a, b, c] += m
+    k, _, _, u, v, w, n = q._merged(held)
+    assert {(k[a], k[b], k[c]): m for a, b, c, m in zip(u, v, w, n)} == count
+
+
 def test_written_tables_leave_no_shuffle_files(spark, tmp_path):
     import glob
     import os
