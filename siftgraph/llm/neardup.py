@@ -32,9 +32,10 @@ from pyspark.sql.types import ArrayType, LongType
 
 from .components import components
 from .storage import written
-from .text import ALNUM, U64, Texts, grams, mix, slices
+from .text import ALNUM, U64, Texts, freeing, grams, mix, slices
 
 SHINGLE, COMPONENTS, ROWS, SIMILAR = 5, 128, 4, 0.8
+TEXTS = "4m"  # bytes of texts that a Python worker takes at once
 _GOLD = U64(0x9E3779B97F4A7C15)
 
 
@@ -154,7 +155,7 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), _packed(keys), pa.array(size.astype(np.int64)), lists], names=["id", "mark", "node", "size", "bands"])
 
     schema = docs.select(F.col(id_col).alias("id")).schema.add("mark", "long").add("node", "binary").add("size", "long").add("bands", ArrayType(LongType()))
-    return docs.select(F.col(id_col).alias("id"), mark(text_col).alias("mark"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("id"), mark(text_col).alias("mark"), F.col(text_col).alias("text")).mapInArrow(freeing(run), schema)
 
 
 def mark(text_col: str = "text"):
@@ -183,7 +184,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(good, pa.bool_())) for k in (0, 1)], names=["a", "b"])
 
     full = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-    return written(full.select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary"), "links")
+    return written(full.select("a", "b", "x", "y").mapInArrow(freeing(check), "a binary, b binary"), "links", TEXTS)
 
 
 def _alike(a: str, b: str, least: float):
@@ -203,7 +204,7 @@ def _runs(nodes: DataFrame) -> DataFrame:
                 at = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (doc[1:] != doc[:-1]))) if len(g) else np.empty(0, dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i + doc[at])), pa.array(g[at].view(np.int64)), pa.array(np.diff(np.append(at, len(g))))], names=["node", "run", "n"])
 
-    return nodes.select("node", "text").mapInArrow(bag, "node binary, run long, n long")
+    return nodes.select("node", "text").mapInArrow(freeing(bag), "node binary, run long, n long")
 
 
 def _cross(shared: DataFrame, nodes: DataFrame, parts: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -218,7 +219,7 @@ def _cross(shared: DataFrame, nodes: DataFrame, parts: DataFrame, texts: DataFra
     apart = label.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
     label = written(label.join(apart, "h", "left_semi"), "apart")
     roots = label.select("node", "root").distinct()
-    runs = written(_runs(texts.join(roots, "node", "left_semi")).join(roots, "node"), "runs")
+    runs = written(_runs(texts.join(roots, "node", "left_semi")).join(roots, "node"), "runs", TEXTS)
     often = runs.groupBy("run").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("run")
     common = runs.join(often, "run").groupBy("node").agg(F.sum("n").alias("common"))
     label = written(label.join(common, "node").join(nodes.select("node", "bands"), "node").where(F.col("common") >= F.lit(least) * F.col("size")), "apart")
@@ -231,7 +232,7 @@ def _cross(shared: DataFrame, nodes: DataFrame, parts: DataFrame, texts: DataFra
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILAR) -> DataFrame:
     """One row per document: id, mark, class_id (the least id of its class), n_runs, keep (in the rows of one id and text of each class), twin (further rows have this id and text)."""
-    signed = written(sign(docs, id_col, text_col), "signed")
+    signed = written(sign(docs, id_col, text_col), "signed", TEXTS)
     own = F.struct(F.col("id").isNull().alias("none"), "id", "mark")
     nodes = written(signed.where("size > 0").groupBy("node").agg(F.min(own).alias("own"), F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes")
     rows = nodes.select("node", "size", F.explode("bands").alias("h"))

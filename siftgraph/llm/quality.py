@@ -43,15 +43,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import removed, written
-from .text import ALNUM, U64, Lookup, Texts, mix, slices
+from .text import ALNUM, U64, Lookup, Texts, freeing, mix, slices
 
 PRIOR, QUANTILE, SLACK = 30.0, 0.995, 1.1
 FIT_MB: float | None = None  # trusted text that a language's model is fitted on; None: all of its half
 LOCAL, SHARD = 1 << 21, 8 << 20  # trigrams of a model that is broadcast; documents' tokens of a shard, about
 COUNTED = 1 << 20  # trusted tokens that are counted together, about
 PASSES = 6  # parts of the documents that are sent to the shards one after the other, so that a part's messages alone are on disk
-MESSAGES = "8m"  # bytes of messages or texts that a Python worker takes at once
-SLICE, _ROWS = 3 << 20, 20  # bytes of text whose tokens are sent together; bits of a document's place among them
+MESSAGES = "3m"  # bytes of messages or texts that a Python worker takes at once
+SLICE, _ROWS = 4 << 20, 20  # most bytes of text whose tokens are sent together, above MESSAGES so that what is taken at once is one slice; bits of a document's place among them
 BYTES = 4  # of text for a token, about
 _START = U64(0x51)
 _TWO = U64(0xA5A3564E27F8862B)
@@ -251,6 +251,19 @@ def _batch(messages: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([m[i] for m in messages], k) for i, k in enumerate(kinds)], names=["part", "kind", "size", "blob"])
 
 
+def _batches(messages, most: int = 1 << 20):
+    """Batches of the messages, of about ``most`` bytes: Spark holds a batch outside its heap."""
+    held, size = [], 0
+    for m in messages:
+        held.append(m)
+        size += len(m[3])
+        if size >= most:
+            yield _batch(held)
+            held, size = [], 0
+    if held:
+        yield _batch(held)
+
+
 def _told(batches):
     for batch in batches:
         for i in range(batch.num_rows):
@@ -262,10 +275,10 @@ def _narrow(n: np.ndarray) -> np.ndarray:
     return n.astype(np.min_scalar_type(int(n.max()))) if len(n) else n
 
 
-def _gram_messages(grams: list[np.ndarray], parts: int) -> pa.RecordBatch:
+def _gram_messages(grams: list[np.ndarray], parts: int):
     """Messages of grams to the parts of the middle word, which so get all grams and contexts that a token after it needs."""
     words, lang, p, u, v, w, n = grams
-    return _batch([_message(to, _GRAMS, words[met], lang[met], p[met], *ids, _narrow(n[at])) for to, at, met, ids in _dealt(_part(words, parts)[v], len(words), u, v, w)])
+    return _batches(_message(to, _GRAMS, words[met], lang[met], p[met], *ids, _narrow(n[at])) for to, at, met, ids in _dealt(_part(words, parts)[v], len(words), u, v, w))
 
 
 def _merged(held: list[tuple[np.ndarray, ...]], most: int = 64) -> list[np.ndarray]:
@@ -312,7 +325,7 @@ def _by_part(messages: DataFrame, parts: int, told, schema: str = _MESSAGE) -> D
         if held:
             yield from told(at, held)
 
-    return messages.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(run, schema)
+    return messages.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(freeing(run), schema)
 
 
 def _parts(texts: DataFrame, text_col: str, shard: int) -> int:
@@ -329,7 +342,7 @@ def fitted(trusted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, dict[in
             langs = _lang_hash(batch.column(0).to_pylist())
             for i, j, t in slices(batch.column(1), SLICE):
                 words, lang, u, v, w = _coded(langs[i:j], *_hashed(t))
-                yield _gram_messages([words, lang, np.full(len(words), np.nan), u, v, w, np.ones(len(w), dtype=np.uint8)], parts)
+                yield from _gram_messages([words, lang, np.full(len(words), np.nan), u, v, w, np.ones(len(w), dtype=np.uint8)], parts)
 
     names = ["part", "kind", "size", "blob", "g", "w", "n"]
 
@@ -350,7 +363,7 @@ def fitted(trusted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, dict[in
         k = len(kind)
         yield pa.RecordBatch.from_arrays([pa.array(np.full(k, part), pa.int32()), pa.array(kind, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), *(pa.array(x.view(np.int64)) for x in (g, w, n))], names=names)
 
-    counts = written(_by_part(trusted.select("lang", "text").mapInArrow(cut, _MESSAGE), parts, told, _MESSAGE + ", g long, w long, n long"), "counts", MESSAGES)
+    counts = written(_by_part(trusted.select("lang", "text").mapInArrow(freeing(cut), _MESSAGE), parts, told, _MESSAGE + ", g long, w long, n long"), "counts", MESSAGES)
     few = counts.where("blob is null")
     one = written(_alone(few.where("kind = 1").groupBy("g", "w").agg(F.sum("n").alias("n"))), "words1")
 
@@ -373,7 +386,7 @@ def fitted(trusted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, dict[in
             yield message()
 
     lower = few.where("kind = 1").select("part", "g", "w").join(one.select("g", "w", "p"), ["g", "w"]).select("part", "w", "p")
-    lower = written(lower.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(pack, _MESSAGE), "lower")
+    lower = written(lower.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(freeing(pack), _MESSAGE), "lower")
     unsigned = lambda x: int(x) & (1 << 64) - 1
     many = few.where("kind in (2, 3)")
     # Some rows for each language:
@@ -422,7 +435,7 @@ def scored(docs: DataFrame, model: Model, known: set[str | None], keep: tuple[st
             yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(np.concatenate(n).astype(np.int64)), pa.array(np.concatenate(logs))], names=[*keep, "n_tokens", "logp"])
 
     schema = docs.select(*keep).schema.add("n_tokens", "long").add("logp", "double")
-    return docs.select(*keep, F.col(lang_col).alias("__lang"), F.col(text_col).alias("__text")).mapInArrow(scan, schema)
+    return docs.select(*keep, F.col(lang_col).alias("__lang"), F.col(text_col).alias("__text")).mapInArrow(freeing(scan), schema)
 
 
 def scored_by_shuffle(docs: DataFrame, three: DataFrame, two: DataFrame, one: DataFrame, langs: dict[int, tuple], known: set[str | None], keep: tuple[str, ...], lang_col: str = "lang", text_col: str = "text", shard: int = SHARD, passes: int = PASSES, last_use: bool = False) -> DataFrame:
@@ -431,7 +444,7 @@ def scored_by_shuffle(docs: DataFrame, three: DataFrame, two: DataFrame, one: Da
     passes = min(passes, parts)
 
     def deal(part, held):
-        yield _gram_messages(_lowered(held), parts)
+        yield from _gram_messages(_lowered(held), parts)
 
     def join(part, held):
         grams = _merged([m for _, m in held])
@@ -443,13 +456,18 @@ def scored_by_shuffle(docs: DataFrame, three: DataFrame, two: DataFrame, one: Da
             yield _batch([_message(to, _LOWER, words[at].view(U64), p[at]) for to, at, _, _ in _dealt(_part(words.view(U64), parts), len(words), np.arange(len(words)))])
 
     grams = written(_by_part(_by_part(three.unionByName(two), parts, deal), parts, join), "shards", MESSAGES)
-    words = written(one.select("w", "p").mapInArrow(spread, _MESSAGE), "words")
+    words = written(one.select("w", "p").mapInArrow(freeing(spread), _MESSAGE), "words")
     if last_use:
         removed(three, two, one)
 
     def home(row: np.ndarray) -> np.ndarray:
         return _part(row >> U64(_ROWS), parts)
 
+    def asked(of, row, met, lang, u, v, w):
+        for to, at, mine, ids in _dealt(_part(met, parts)[v], len(met), u, v, w):
+            start = np.flatnonzero(np.append(True, np.diff(of[at]) > 0))
+            yield _message(to, _DOCS, row[of[at[start]]], _narrow(np.diff(np.append(start, len(at)))), met[mine], lang[mine], *ids)
+
     def ask(batches):
         for whole in batches:
             for batch in (whole.slice(a, 1 << _ROWS) for a in range(0, whole.num_rows, 1 << _ROWS)):
@@ -462,12 +480,7 @@ def scored_by_shuffle(docs: DataFrame, three: DataFrame, two: DataFrame, one: Da
                     row = np.bitwise_xor.reduce(mix(key[i:j] + mix(at))) << U64(_ROWS) | at
                     yield _batch([_message(int(home(row[:1])[0]), _SIZES, row, key[i:j], np.diff(first))])
                     met, lang, u, v, w = _coded(g[i:j], h, first)
-                    of, out = np.repeat(np.arange(j - i), np.diff(first)), []
-                    for to, at, mine, ids in _dealt(_part(met, parts)[v], len(met), u, v, w):
-                        start = np.flatnonzero(np.append(True, np.diff(of[at]) > 0))
-                        out.append(_message(to, _DOCS, row[of[at[start]]], _narrow(np.diff(np.append(start, len(at)))), met[mine], lang[mine], *ids))
-                    if out:
-                        yield _batch(out)
+                    yield from _batches(asked(np.repeat(np.arange(j - i), np.diff(first)), row, met, lang, u, v, w))
 
     def sums(row: np.ndarray, logs: np.ndarray) -> list[tuple]:
         return [_message(to, _SUMS, row[at], logs[at]) for to, at, _, _ in _dealt(home(row), len(row), np.arange(len(row)))]
@@ -546,12 +559,12 @@ def scored_by_shuffle(docs: DataFrame, three: DataFrame, two: DataFrame, one: Da
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(total[at])], names=["key", "n", "s"])
 
     def scan(mine: DataFrame) -> DataFrame:
-        asked = mine.select(key, lang_col, text_col).mapInArrow(ask, _MESSAGE)
-        by = lambda x, f: x.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(f, _MESSAGE)
+        sent = mine.select(key, lang_col, text_col).mapInArrow(freeing(ask), _MESSAGE)
+        by = lambda x, f: x.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(freeing(f), _MESSAGE)
         tokens = F.col("kind") == _DOCS
-        half = written(by(grams.unionByName(asked), shared), "answers", MESSAGES)
+        half = written(by(grams.unionByName(sent), shared), "answers", MESSAGES)
         last = by(words.unionByName(half.where(tokens)), alone)
-        back = half.where(~tokens).unionByName(last).repartition(parts, "part").mapInArrow(add, "key long, n long, s double")
+        back = half.where(~tokens).unionByName(last).repartition(parts, "part").mapInArrow(freeing(add), "key long, n long, s double")
         out = written(back.groupBy("key").agg(F.first("n").alias("n"), F.avg("s").alias("s")), "sums", MESSAGES)
         removed(half)
         return out
@@ -609,7 +622,7 @@ def judged(
     names = [c for c in keep if c not in (id_col, lang_col)]
     columns = (id_col, lang_col, *names)
     if size <= local:
-        slim = written(scored(docs, gathered(*levels), known, columns, lang_col, text_col), "scores")
+        slim = written(scored(docs, gathered(*levels), known, columns, lang_col, text_col), "scores", MESSAGES)
         removed(*levels[:3])
     else:
         slim = scored_by_shuffle(docs, *levels, known, columns, lang_col, text_col, last_use=True)

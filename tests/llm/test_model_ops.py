@@ -423,3 +423,32 @@ def test_written_tables_leave_no_shuffle_files(spark, tmp_path):
     while held() - before and time.time() < end:
         time.sleep(0.2)
     assert not held() - before
+
+
+def test_quality_messages_come_in_small_batches():
+    rng = np.random.default_rng(5)
+    words, n = np.unique(rng.integers(1, 2**63, 400_000).astype(text.U64)), 400_000
+    u, v, w = rng.integers(0, len(words), (3, n)).astype(np.int32)
+    sent = list(q._gram_messages([words, words, np.full(len(words), np.nan), u, v, w, np.ones(n, dtype=np.uint8)], 40))
+    assert sum(b.nbytes for b in sent) > 4 << 20
+    assert max(b.nbytes for b in sent) < 2 << 20
+    got = [q._opened(b["size"][i].as_py(), b["blob"][i].as_py()) for b in sent for i in range(b.num_rows)]
+    assert sum(len(m[-1]) for m in got) == n
+
+
+def test_a_worker_keeps_no_memory_of_a_done_task():
+    def resident():
+        with open("/proc/self/status") as f:
+            return next(int(x.split()[1]) / 1024 for x in f if x.startswith("RssAnon"))
+
+    kept = []
+
+    def work(batches):
+        held = [np.ones(8_000) for _ in range(4_000)]  # 256 MB
+        kept.append(np.ones(100))
+        yield from batches
+        del held
+
+    before = resident()
+    assert list(text.freeing(work)([1, 2])) == [1, 2]
+    assert resident() < before + 60
