@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..streaming import folds, sinks
-from .views import table, view, with_views
+from .views import ROWS, table, view, with_views
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -39,7 +39,8 @@ def place(spark: SparkSession, what: str) -> str:
 
 def replay(events: DataFrame, fold: folds.Fold, key: str, what: str, slices: int = 3, shards: int | None = None) -> DataFrame:
     at = place(events.sparkSession, what)
-    stream = folds.replayed(events, at, slices, LATE, key)
+    size = {} if shards is None else {"rows": 8 * folds.SLICE, "files": 2 * folds.FILES}  # a task holds packed rows, or those of one shard
+    stream = folds.replayed(events, at, slices, LATE, key, **size)
     return folds.run_to_end(folds.folded(stream, fold, key, LATE, shards), at)
 
 
@@ -86,9 +87,9 @@ def streamed_heads(spark, sf_dir):
     return replay(waiting(spark, sf_dir), folds.Waiters(TTL), "provider", "heads").select("provider", "id", "since")
 
 
-def task_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each order is a task that is claimed every hour, some more often than it may fail; a claim meets a second one 5 minutes later, and is done, fails, or is reported done too late."""
-    o = table(spark, sf_dir, "orders")
+def task_events(spark: SparkSession, sf_dir: str, parts: int = 1) -> DataFrame:
+    """Each order is a task that is claimed every hour, some more often than it may fail; a claim meets a second one 5 minutes later, and is done, fails, or is reported done too late. Orders are spread over ``parts`` tasks, as each makes many rows."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate").repartition(parts)
     k = o.select(F.col("o_orderkey").alias("task_id"), F.col("o_orderdate").cast("timestamp").alias("day"), F.explode(F.sequence(F.lit(0), (F.col("o_orderkey") % 5).cast("int"))).alias("i"))
     k = k.withColumn("kind", ((F.floor(F.col("task_id") / 5) + F.col("i")) % 3).cast("int"))
     t = F.col("day") + F.make_dt_interval(F.lit(0), F.col("i"))
@@ -106,8 +107,8 @@ select task_id, t as at, 'in_progress' as status, attempts, 'claim' as cause fro
 select task_id, t + case kind when 0 then 10 when 1 then 20 else 30 end * 60000000, case when kind = 0 then 'succeeded' when attempts >= 3 then 'failed' else 'pending' end, attempts, case kind when 0 then 'done' when 1 then 'error' else 'lease_lost' end from a""")
 def streamed_tasks(spark, sf_dir):
     """Every change of the orders' tasks under leases of half an hour and three attempts, as a stream with timers."""
-    shards = max(64, table(spark, sf_dir, "orders").count() // folds.SHARD)
-    return replay(task_events(spark, sf_dir), folds.Tasks(3), "task_id", "tasks", 2, shards)
+    n = table(spark, sf_dir, "orders").count()
+    return replay(task_events(spark, sf_dir, max(min(-(-n // ROWS), 64), n // 500_000, 1)), folds.Tasks(3), "task_id", "tasks", 2, max(64, n // folds.SHARD))
 
 
 @query("select event_id as id, event_type as status, ts as started_at from events")

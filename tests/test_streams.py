@@ -2,6 +2,7 @@ import random
 import time
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,3 +193,77 @@ def test_micro_batches_of_bounded_size(spark, tmp_path):
     assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
     got = folds.run_to_end(folds.folded(stream, folds.Leases(3), "provider", "1 hour"), str(tmp_path))
     assert {(x["provider"], x["id"]) for x in got.collect()} == granted(rows, 3)
+
+
+TASKS = "task_id {}, at timestamp, id long, what string, lease_until long"
+
+
+def task_rows(r, n, keys):
+    rows = []
+    for i in range(n):
+        at = START + timedelta(minutes=r.randint(0, 300))
+        what = r.choice(["claim", "claim", "done", "error", "other", None])
+        rows.append((r.choice(keys), at, i, what, micros(at + timedelta(minutes=r.choice([-1, 0, 7, 45]))) if what == "claim" and r.random() < 0.9 else None))
+    return rows
+
+
+@pytest.mark.parametrize("few", [1, 32, 1000])
+def test_many_tasks_at_once_as_one_by_one(monkeypatch, few):
+    monkeypatch.setattr(folds, "FEW", few)
+    r, f = random.Random(few), folds.Tasks(2)
+    what = {"claim": 0, "done": 1, "error": 2}
+    events = sorted((r.randint(0, 40), r.randint(0, 99), i, r.choice(["claim", "claim", "done", "error", "other", None]), r.randint(0, 140) if r.random() < 0.9 else None, r.random() < 0.9) for i in range(900))
+    want, k, at, told = set(), *(np.array([e[i] for e in events]) for i in (0, 1, 5))
+    for key in range(41):
+        f.over(f.start(), [(e[1], e[2] if e[5] else None, e[3], e[4]) for e in events if e[0] == key], 120, out := [])
+        want |= {(key, *x) for x in out}
+    fields = [np.array([what.get(e[3], 3) for e in events]), np.array([folds.NEVER if e[4] is None else e[4] for e in events])]
+    out = f.over_all(f.starts(41), k, at, told, fields, 120)
+    places, *numbers = (np.concatenate(c) for c in zip(*out))
+    got = list(zip(places.tolist(), *(c.tolist() for c in f.named(numbers))))
+    assert len(got) == len(want) and set(got) == want
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_shards_of_tasks_over_micro_batches_and_a_restart(spark, tmp_path, kind):
+    r, f = random.Random(5), folds.Tasks(3)
+    keys = [None, *(k if kind == "long" else f"t{k}" for k in range(2**60, 2**60 + 40))]
+    rows = sorted(task_rows(r, 600, keys), key=lambda x: (x[1], x[2]))
+    rows.insert(300, (keys[3], rows[300][1], None, "claim", None))  # moves time on only
+    schema = TASKS.format(kind)
+    end = [(keys[1], START + timedelta(days=9), None, None, None)]
+    read = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    go = lambda: folds.run_to_end(folds.folded(read(), f, "task_id", "1 hour", shards=3), str(tmp_path))
+    for a in range(0, 300, 75):
+        part = rows[a : a + 75]
+        r.shuffle(part)
+        write(spark, part, tmp_path, schema)
+    before = go().count()
+    for part in (rows[300:450], rows[450:], end):
+        write(spark, part, tmp_path, schema)
+    want = []
+    for key in keys:
+        f.over(f.start(), [x[1:] for x in [(k, micros(t), *e) for k, t, *e in rows] if x[0] == key], 2**62, out := [])
+        want += [(key, *x) for x in out]
+    got = [tuple(x) for x in go().collect()]
+    assert 0 < before < len(got) and sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_rows_of_many_tasks_reach_the_state_packed(spark, tmp_path):
+    n = 20_000
+    df = spark.range(n).select(F.col("id").alias("task_id"), (F.lit(START) + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("id") % 500).cast("int"))).cast("timestamp").alias("at"), F.lit(1).cast("long").alias("id"), F.lit("claim").alias("what"), F.lit(micros(START + timedelta(days=1))).alias("lease_until"))
+    stream = folds.replayed(df, str(tmp_path), 2, "1 hour", "task_id")
+    out = folds.folded(stream, folds.Tasks(1), "task_id", "1 hour", shards=4)
+    run_ = folds.run_to_end(out, str(tmp_path))
+    assert run_.groupBy("cause").count().orderBy("cause").collect() == [("claim", n), ("lease_lost", n)]
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "MapInArrow" in plan.split("TransformWithState")[1]  # each row went to the state by itself before
+
+
+def test_a_large_micro_batch_is_a_slice(spark, tmp_path):
+    rows = spark.range(0, 40_000, 1, 1).select(F.lit("p").alias("provider"), F.timestamp_seconds("id").alias("at"), "id", F.lit(0).cast("long").alias("ends"))
+    folds.replayed(rows, str(tmp_path), 2, "1 hour", "provider", files=2)  # one task writes both slices
+    files = sorted((tmp_path / "in").glob("*.parquet"), key=lambda f: f.stat().st_mtime_ns)
+    spans = [spark.read.parquet(*map(str, fs)).agg(F.min("id"), F.max("id"), F.count("id")).first() for fs in (files[:2], files[2:4])]
+    assert len(files) == 5 and spans[0][1] < spans[1][0] and spans[0][2] + spans[1][2] == 40_000
+    assert 15_000 < spans[0][2] < 25_000
